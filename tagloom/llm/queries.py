@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, pieces, quality, secrets, tokens, urls
+from . import chat, neardup, pieces, quality, secrets, tokens, urls
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -47,6 +51,6 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_chat_formatting, op3_token_counts, op5_sentencepiece, op7_url_filters, op10_secret_scans)
+    f.__name__: f for f in (op1_quality_rules, op2_chat_formatting, op3_token_counts, op4_minhash_near_dedup, op5_sentencepiece, op7_url_filters, op10_secret_scans)
 }
 ORACLE: dict[str, str] = {"op2_chat_formatting": chat.ORACLE, "op7_url_filters": urls.ORACLE}
