@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, neardup, pieces, quality, secrets, tokens, urls
+from . import chat, neardup, pieces, quality, secrets, substrings, tokens, urls
 from .common import table
 
 
@@ -46,11 +46,15 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), split_pattern())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_chat_formatting, op3_token_counts, op4_minhash_near_dedup, op5_sentencepiece, op7_url_filters, op10_secret_scans)
+    f.__name__: f for f in (op1_quality_rules, op2_chat_formatting, op3_token_counts, op4_minhash_near_dedup, op5_sentencepiece, op7_url_filters, op9_substring_dedup, op10_secret_scans)
 }
 ORACLE: dict[str, str] = {"op2_chat_formatting": chat.ORACLE, "op7_url_filters": urls.ORACLE}
