@@ -1,10 +1,72 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again.
+
+Every stage takes (spark, docs, sf_dir), works on all its predecessor kept and returns the
+columns of documents; the last returns token ids instead.  ORACLE_SQL is None, as SQL
+can't express zstandard, MinHash or SentencePiece; tests hold it against brute force.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tagloom.llm import contamination, neardup, pieces, quality, secrets
+from tagloom.llm.common import map_texts, table, written
+from tagloom.llm.queries import split_pattern, tokenizer_path
+
+
+def _filtered(docs: DataFrame, flagged: DataFrame, keep) -> DataFrame:
+    """Rows to keep of a map over whole texts, with the columns of documents as they were."""
+    return flagged.where(keep).select(*[F.col("text").cast("string").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+
+
+def _others(docs: DataFrame) -> list[str]:
+    return [c for c in docs.columns if c not in ("doc_id", "text")]
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops what the base rules or the compression bands reject."""
+
+    def work(batch: list[bytes]) -> dict:
+        return {"__kept": quality.measure(batch)["kept"]}
+
+    return _filtered(docs, map_texts(docs, work, "__kept boolean", *_others(docs), keep_text=True), F.col("__kept"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leaves the document with the smallest id of each near-duplicate group; documents without an id stay."""
+    gone = neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    flagged = contamination.find_leaks(docs, table(spark, sf_dir, "benchmark"), *_others(docs), keep_text=True)
+    return _filtered(docs, flagged, F.size("hits") == 0)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces secrets by a mark."""
+    return secrets.redact_secrets(docs, tokenizer_path("byte_bpe_50k.tiktoken"), split_pattern())
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, with the digests of the ids and of the decoded text."""
+    return pieces.round_trip(docs, tokenizer_path("piece_bpe_32k.model"), keep_ids=True)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("minhash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("secret scans", secret_scan),
+    ("sentencepiece encoding", tokenise),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs

@@ -37,8 +37,12 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", *more, F.col("text").cast("binary").alias("text"))
 
 
-def map_texts(docs: DataFrame, work: Callable[[list], dict], schema: str, *more: str) -> DataFrame:
-    """Apply work(list of whole texts as bytes, null as empty) to each Arrow batch; it returns the new columns."""
+def map_texts(docs: DataFrame, work: Callable[[list], dict], schema: str, *more: str, keep_text: bool = False) -> DataFrame:
+    """Apply work(list of whole texts as bytes, null as empty) to each Arrow batch; it returns the new columns.
+
+    doc_id and the columns `more` stay; so does text, as bytes, with keep_text.
+    """
+    more = (*more, "text") if keep_text else more
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -48,11 +52,11 @@ def map_texts(docs: DataFrame, work: Callable[[list], dict], schema: str, *more:
                 yield pa.RecordBatch.from_pydict(kept | {k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in new.items()})
 
     ids = docs.schema["doc_id"].dataType.simpleString()
-    own = [f"doc_id {ids}"] + [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in more]
-    return texts(docs, *more).mapInArrow(run, ", ".join([*own, schema]))
+    own = [f"doc_id {ids}"] + [f"`{c}` {'binary' if c == 'text' else docs.schema[c].dataType.simpleString()}" for c in more]
+    return texts(docs, *(c for c in more if c != "text")).mapInArrow(run, ", ".join([*own, schema]))
 
 
-def slices(batch: pa.RecordBatch, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Pieces of a batch of about `most` bytes of text, so that memory does not follow text lengths."""
     at, size = 0, 0
     lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0).to_pylist()

@@ -168,21 +168,25 @@ def encode_pieces(docs: DataFrame, model: str, *more: str) -> DataFrame:
     return map_texts(docs, work, "ids array<int>, begin array<bigint>, end array<bigint>", *more)
 
 
-def round_trip(docs: DataFrame, model: str, *more: str) -> DataFrame:
-    """Per document: how many ids, their digest, the decoded text's digest, and whether the spans tile the text."""
+def round_trip(docs: DataFrame, model: str, *more: str, keep_ids: bool = False) -> DataFrame:
+    """Per document: how many ids, their digest, the decoded text's digest, whether the spans tile the text; ids if asked for."""
 
     def work(batch: list[bytes]) -> dict:
         c = coder(model)
-        n, said, decoded, tiled = [], [], [], []
+        n, said, decoded, tiled, every = [], [], [], [], []
         for t in batch:
             text = t.decode("utf-8", "replace")
             ids = c.encode(text)
             at = c.spans(text, ids)
             back = c.sp.decode([*ids, c.eos])
             n.append(len(ids) + 1)
+            if keep_ids:
+                every.append([*ids, c.eos])
             said.append(hashlib.sha256(" ".join(map(str, [*ids, c.eos])).encode()).hexdigest())
             decoded.append(hashlib.sha256(back.encode()).hexdigest())
             tiled.append(bool(at[0] == 0 and at[-1] == len(t) and (np.diff(at) >= 0).all()))
-        return {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": said, "decoded_sha256": decoded, "spans_tile": tiled}
+        out = {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(said, pa.string()), "decoded_sha256": pa.array(decoded, pa.string()), "spans_tile": pa.array(tiled, pa.bool_())}
+        return out | ({"ids": pa.array(every, pa.list_(pa.int32()))} if keep_ids else {})
 
-    return map_texts(docs, work, "n_tokens long, ids_sha256 string, decoded_sha256 string, spans_tile boolean", *more)
+    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string, spans_tile boolean"
+    return map_texts(docs, work, schema + ", ids array<int>" * keep_ids, *more)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, neardup, pieces, quality, secrets, substrings, tokens, urls
+from . import chat, contamination, neardup, pieces, quality, secrets, substrings, tokens, toxicity, urls
 from .common import table
 
 
@@ -42,10 +42,18 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -55,6 +63,6 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_chat_formatting, op3_token_counts, op4_minhash_near_dedup, op5_sentencepiece, op7_url_filters, op9_substring_dedup, op10_secret_scans)
+    f.__name__: f for f in (op1_quality_rules, op2_chat_formatting, op3_token_counts, op4_minhash_near_dedup, op5_sentencepiece, op6_toxicity, op7_url_filters, op8_benchmark_decontamination, op9_substring_dedup, op10_secret_scans)
 }
 ORACLE: dict[str, str] = {"op2_chat_formatting": chat.ORACLE, "op7_url_filters": urls.ORACLE}

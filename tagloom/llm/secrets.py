@@ -18,6 +18,7 @@ import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import map_texts
 
@@ -100,8 +101,7 @@ def find_secrets(docs: DataFrame, ranks: str, pattern: str, *more: str) -> DataF
 
 
 def redact_secrets(docs: DataFrame, ranks: str, pattern: str, mark: str = "[secret]") -> DataFrame:
-    """The documents with every secret's span replaced by a mark; all columns and rows stay."""
-    names = docs.columns
+    """The documents with every secret's span replaced by a mark; all columns and rows stay, n_chars follows the text."""
 
     def clean(batch: list[bytes]) -> dict:
         enc, out = coder(ranks, pattern), []
@@ -113,12 +113,10 @@ def redact_secrets(docs: DataFrame, ranks: str, pattern: str, mark: str = "[secr
                 if a >= at:
                     parts += [text[at:a], mark]
                 at = max(at, b)
-            out.append("".join([*parts, text[at:]]))
-        return {"clean": pa.array(out, pa.string())}
+            out.append("".join([*parts, text[at:]]) if parts else None)
+        return {"__clean": pa.array(out, pa.string())}
 
-    from pyspark.sql import functions as F
-
-    others = [c for c in names if c not in ("doc_id", "text")]
-    done = map_texts(docs.withColumn("__null", F.col("text").isNull()), clean, "clean string", "__null", *others)
-    text = F.when(F.col("__null"), None).otherwise(F.col("clean")).alias("text")
-    return done.select(*[text if c == "text" else F.col(f"`{c}`") for c in names])
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    done = map_texts(docs, clean, "__clean string", *others, keep_text=True)
+    changed = {"text": F.coalesce("__clean", F.col("text").cast("string")), "n_chars": F.when(F.col("__clean").isNotNull(), F.length("__clean")).otherwise(F.col("n_chars")) if "n_chars" in others else None}
+    return done.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
