@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import prompts  # noqa: F401
+from .plans import prompts, visual  # noqa: F401
 from .plans.registry import ORACLE, QUERIES
 
 
