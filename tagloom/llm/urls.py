@@ -81,7 +81,7 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
 
 ORACLE = r"""
 WITH RECURSIVE base AS (
-  SELECT page_id, url, html,
+  SELECT row_number() OVER () AS row_id, page_id, url, html,
     translate(coalesce(regexp_extract(url, '^(.*?)://([^/?#]*)([^?#]*)', 2, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     coalesce(regexp_extract(url, '^(.*?)://([^/?#]*)([^?#]*)', 3, 's'), '') AS path,
     regexp_extract(url, '^[^#]*', 0, 's') AS node
@@ -106,9 +106,9 @@ judged_nodes AS (
   JOIN verdicts v ON (n.host = v.host OR ends_with(n.host, '.' || v.host)) AND starts_with(n.path, v.path) GROUP BY n.node),
 reached AS (SELECT node FROM judged_nodes WHERE verdict = 'block' UNION SELECT e.b FROM reached r JOIN edges e ON e.a = r.node),
 own AS (
-  SELECT b.page_id, b.url, b.host, b.path, b.node, arg_max(v.rule, length(v.rule)) AS rule, arg_max(v.verdict, length(v.rule)) AS verdict
+  SELECT b.row_id, b.page_id, b.url, b.host, b.path, b.node, arg_max(v.rule, length(v.rule)) AS rule, arg_max(v.verdict, length(v.rule)) AS verdict
   FROM base b LEFT JOIN verdicts v ON (b.host = v.host OR ends_with(b.host, '.' || v.host)) AND starts_with(b.path, v.path)
-  GROUP BY b.page_id, b.url, b.host, b.path, b.node)
+  GROUP BY b.row_id, b.page_id, b.url, b.host, b.path, b.node)
 SELECT o.page_id, o.host, o.path, o.rule, coalesce(o.verdict, CASE WHEN r.node IS NOT NULL THEN 'block' END, 'allow') AS verdict
 FROM own o LEFT JOIN reached r ON r.node = o.node
 """
