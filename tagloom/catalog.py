@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import curation, prompts, visual  # noqa: F401
+from .plans import curation, prompts, streams, visual  # noqa: F401
 from .plans.registry import ORACLE, QUERIES
 
 
