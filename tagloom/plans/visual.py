@@ -85,7 +85,7 @@ def dup_groups(spark, sf_dir):
     return similar.greedy_groups(similar.near_pairs(reps, 3), save(spark))
 
 
-@query(LAB + " SELECT img, y, x, lab_l, lab_a, lab_b FROM (SELECT img, y::INTEGER AS y, x::INTEGER AS x, round(lab_l, 6) AS lab_l, round(lab_a, 6) AS lab_a, round(lab_b, 6) AS lab_b FROM lab)", "pixels")
+@query(LAB + " SELECT img, y, x, lab_l, lab_a, lab_b FROM (SELECT img, y::INTEGER AS y, x::INTEGER AS x, round(lab_l, 6) + 0.0::DOUBLE AS lab_l, round(lab_a, 6) + 0.0::DOUBLE AS lab_a, round(lab_b, 6) + 0.0::DOUBLE AS lab_b FROM lab)", "pixels")
 def lab_convert(spark, sf_dir):
     own = images.with_lab(pixels(spark, sf_dir))
     return own.select("img", "y", "x", *(F.round(c, 6).alias(c) for c in ("lab_l", "lab_a", "lab_b")))
@@ -98,7 +98,7 @@ def texture_energy(spark, sf_dir):
 
 
 @query(LAB + """, bx AS (SELECT vec_id AS img, (label % 3)::INTEGER AS x0, 8 AS x1 FROM embeddings), c AS (SELECT img, greatest(0, x0 + trunc((x1 - x0) * 0.15::DOUBLE)::INTEGER) AS a, least(8, x1 - trunc((x1 - x0) * 0.15::DOUBLE)::INTEGER) AS z FROM bx)
-SELECT img, count(*) AS pixels, round(avg(lab_l), 6) AS l, round(avg(lab_a), 6) AS a, round(avg(lab_b), 6) AS b FROM lab JOIN c USING (img) WHERE x >= c.a AND x < c.z AND y >= c.a AND y < c.z GROUP BY img""", "pixels")
+SELECT img, count(*) AS pixels, round(avg(lab_l), 6) + 0.0::DOUBLE AS l, round(avg(lab_a), 6) + 0.0::DOUBLE AS a, round(avg(lab_b), 6) + 0.0::DOUBLE AS b FROM lab JOIN c USING (img) WHERE x >= c.a AND x < c.z AND y >= c.a AND y < c.z GROUP BY img""", "pixels")
 def region_stats(spark, sf_dir):
     start = (F.col("label") % 3).cast("int")
     boxes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("img"), start.alias("x0"), start.alias("y0"), F.lit(8).alias("x1"), F.lit(8).alias("y1"))
@@ -116,7 +116,7 @@ m3 AS (SELECT *, max(wide) OVER (PARTITION BY img, x ORDER BY y ROWS BETWEEN 3 P
 SELECT img, round(avg(mean), 4) AS mean_abs, round(quantile_cont(mean, 0.95), 4) AS p95, round((""" + " + ".join(
     f"((2 * avg({c}) * avg({c}0) + 0.0001::DOUBLE) * (2 * covar_pop({c}, {c}0) + 0.0009::DOUBLE)) / ((pow(avg({c}), 2) + pow(avg({c}0), 2) + 0.0001::DOUBLE) * (var_pop({c}) + var_pop({c}0) + 0.0009::DOUBLE))" for c in "rgb"
 ) + """) / 3, 4) AS ssim, round(avg(changed::DOUBLE), 4) AS changed, coalesce(round(avg(de) FILTER (mask = 1), 2), 0) AS de_mean, coalesce(round(quantile_cont(de, 0.95) FILTER (mask = 1), 2), 0) AS de_p95,
-coalesce(round(avg(lab_l - lab_l0) FILTER (mask = 1), 2), 0) AS dl, coalesce(round(avg(lab_a - lab_a0) FILTER (mask = 1), 2), 0) AS da, coalesce(round(avg(lab_b - lab_b0) FILTER (mask = 1), 2), 0) AS db FROM m3 GROUP BY img"""
+coalesce(round(avg(lab_l - lab_l0) FILTER (mask = 1), 2), 0) + 0.0::DOUBLE AS dl, coalesce(round(avg(lab_a - lab_a0) FILTER (mask = 1), 2), 0) + 0.0::DOUBLE AS da, coalesce(round(avg(lab_b - lab_b0) FILTER (mask = 1), 2), 0) + 0.0::DOUBLE AS db FROM m3 GROUP BY img"""
 
 
 @query(DRIFT, "pixels")
