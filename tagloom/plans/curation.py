@@ -209,20 +209,19 @@ def tag_dump_scan(spark, sf_dir):
     return tag_dump(spark, sf_dir)
 
 
-SUGGEST = """, q AS (SELECT DISTINCT substr(tag, 1, 3) AS q FROM tag_dump WHERE length(tag) = 9), tiers AS (SELECT q, tag, cnt, 1 AS tier FROM q JOIN tag_dump ON tag = q UNION ALL SELECT q, tag, cnt, 2 FROM q JOIN tag_dump ON alias = q
-UNION ALL SELECT q, tag, cnt, 3 FROM q JOIN tag_dump ON substr(tag, 1, 3) = q), one AS (SELECT q, tag, max(cnt) AS cnt, min(tier) AS tier FROM tiers GROUP BY q, tag)"""
+SUGGEST = """, q AS (SELECT DISTINCT substr(tag, 1, 4) AS q FROM tag_dump WHERE length(tag) = 9), tiers AS (SELECT q, tag, cnt, 1 AS tier FROM q JOIN tag_dump ON tag = q UNION ALL SELECT q, tag, cnt, 2 FROM q JOIN tag_dump ON alias = q
+UNION ALL SELECT q, tag, cnt, 3 FROM q JOIN tag_dump ON starts_with(tag, q) UNION ALL SELECT q, tag, cnt, 4 FROM q JOIN tag_dump ON contains(tag, q) UNION ALL SELECT q, tag, cnt, 5 FROM q JOIN tag_dump ON contains(alias, q)),
+one AS (SELECT q, tag, max(cnt) AS cnt, min(tier) AS tier FROM tiers GROUP BY q, tag)"""
 
 
 @query(SUGGEST + " SELECT q, rank::INTEGER AS rank, tag, tier FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY tier, cnt DESC, tag) AS rank FROM one) WHERE rank <= 12", "tag_dump")
 def tag_suggest(spark, sf_dir):
-    """Twelve suggestions for each query: exact tag, exact alias, then prefix by count."""
+    """Twelve suggestions for each query: exact tag, exact alias, prefix, substring, substring of the alias; by count in a tier."""
+    from ..operators.suggest import suggest
+
     dump = tag_dump(spark, sf_dir)
-    asked = dump.where(F.length("tag") == 9).select(F.substr("tag", F.lit(1), F.lit(3)).alias("q")).distinct()
-    tier = lambda key, n: dump.select(key.alias("q"), "tag", "cnt", F.lit(n).alias("tier"))
-    found = tier(F.col("tag"), 1).union(tier(F.col("alias"), 2)).union(tier(F.substr("tag", F.lit(1), F.lit(3)), 3)).join(asked.hint("merge"), "q", "left_semi")
-    one = found.groupBy("q", "tag").agg(F.max("cnt").alias("cnt"), F.min("tier").alias("tier"))
-    order = Window.partitionBy("q").orderBy("tier", F.desc("cnt"), "tag")
-    return one.withColumn("rank", F.row_number().over(order)).where("rank <= 12").select("q", "rank", "tag", "tier")
+    asked = dump.where(F.length("tag") == 9).select(F.substr("tag", F.lit(1), F.lit(4)).alias("q")).distinct()
+    return suggest(dump, asked, 12)
 
 
 @query("SELECT page_id, nullif(regexp_extract(url, '/([0-9]+)', 1), '') AS model, nullif(regexp_extract(url, '[?&]page=([0-9]+)', 1), '') AS version, CASE WHEN regexp_matches(url, '[?&]page=[0-9]+') THEN 'version' WHEN regexp_matches(url, '/[0-9]+') THEN 'model' ELSE 'reject' END AS kind FROM pages")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import lint, stats
+from ..operators import lane, lint, stats
 from .registry import query
 from .views import library_index, tickets, tokens
 
@@ -184,3 +184,29 @@ def settings_map(spark, sf_dir):
     line = F.concat(F.lit("Steps: 1, Sampler: "), "source", F.lit(' a, Lora hashes: "a: 1, b: '), "lang", F.lit('", Steps: '), (20 + F.col("doc_id") % 10).cast("string"))
     own = table(spark, sf_dir, "documents").select("doc_id", F.explode(t.settings_map(line)).alias("key", "value"))
     return own
+
+
+@query()
+def lane_translate(spark, sf_dir):
+    """All prompts normalised to the lane, with their receipts."""
+    loras = F.array(F.struct(F.col("profile").alias("name"), F.lit(0.6).cast("double").alias("weight")))
+    return lane.translate(laned(spark, sf_dir).join(tickets(spark, sf_dir).select("doc_id", loras.alias("loras")).hint("merge"), "doc_id"))
+
+
+PLAN = r"""SELECT doc_id, t.prompt || ', clean lines, <lora:' || profile || ':0.8>' AS prompt, CASE WHEN doc_id % 2 = 0 THEN doc_id % 50 ELSE 24 END AS steps, CASE WHEN doc_id % 3 = 0 THEN 7.5::DOUBLE ELSE 6.0::DOUBLE END AS cfg,
+CASE WHEN doc_id % 4 = 0 THEN 2.0::DOUBLE END AS hr_scale, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS n_tabs, CASE WHEN doc_id % 2 = 0 THEN t.prompt END AS tab_prompt, least(3, doc_id % 5)::INTEGER AS n_units FROM tickets t"""
+
+
+@query(" " + PLAN, "tickets")
+def render_plan(spark, sf_dir):
+    """Overrides before profile before defaults; hires only when enabled; enabled tabs with the bare prompt; at most three control units."""
+    from ..operators.grid import render_plan as plan
+
+    d = F.col("doc_id")
+    units = F.transform(F.sequence(F.lit(1), F.lit(5)), lambda k: F.struct((k <= d % 5).alias("enabled"), F.lit("canny").alias("model")))
+    tabs = F.array(F.struct((d % 2 == 0).alias("enabled"), F.lit(None).cast("string").alias("prompt_override")), F.struct(F.lit(False).alias("enabled"), F.lit(None).cast("string").alias("prompt_override")))
+    own = tickets(spark, sf_dir).select(
+        "doc_id", "prompt", "profile", F.when(d % 2 == 0, d % 50).alias("steps_override"), F.lit(None).cast("long").alias("steps"), F.when(d % 3 == 0, F.lit(7.5)).alias("cfg"),
+        (d % 4 == 0).alias("hires"), F.lit(None).cast("double").alias("hr_scale"), tabs.alias("tabs"), units.alias("units"), F.lit("{prompt}, clean lines").alias("style"),
+    )
+    return plan(own)
