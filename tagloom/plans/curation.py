@@ -127,12 +127,12 @@ def dataset_export(spark, sf_dir):
     return export(spark, sf_dir).select("doc_id", name.alias("file"), "caption", "fallback")
 
 
-@query(EXPORT + " SELECT character, count(*) AS exported, count_if(fallback) AS fallbacks FROM x GROUP BY character", "tickets library_index")
+@query(EXPORT + " SELECT character, count(*) AS exported, count_if(fallback)::BIGINT AS fallbacks FROM x GROUP BY character", "tickets library_index")
 def dataset_receipt(spark, sf_dir):
     return export(spark, sf_dir).groupBy("character").agg(F.count("*").alias("exported"), F.count_if("fallback").alias("fallbacks"))
 
 
-@query(" SELECT count(*) AS total, count_if(l.doc_id IS NOT NULL) AS tagged FROM documents d LEFT JOIN library_index l USING (doc_id)", "library_index")
+@query(" SELECT count(*) AS total, count(l.doc_id) AS tagged FROM documents d LEFT JOIN library_index l USING (doc_id)", "library_index")
 def tag_coverage(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id").join(library_index(spark, sf_dir).select("doc_id", F.lit(1).alias("hit")).hint("merge"), "doc_id", "left").agg(F.count("*").alias("total"), F.count("hit").alias("tagged"))
 
@@ -204,7 +204,7 @@ def html_guides(spark, sf_dir):
     return own.select("page_id", F.md5(F.col("body").cast("binary")).alias("body_md5"), "title", tags.alias("tags"))
 
 
-@query(" SELECT tag, category, cnt, alias FROM tag_dump", "tag_dump")
+@query(" SELECT tag, category::INTEGER AS category, cnt, alias FROM tag_dump", "tag_dump")
 def tag_dump_scan(spark, sf_dir):
     return tag_dump(spark, sf_dir)
 
