@@ -9,13 +9,14 @@ in a document with a smaller id or in the same one.
 2.  Recurring phrases are owned by the smallest document that has them.  Each document is
     cut to pieces: runs of windows whose phrases recur and have one owner.  All
     occurrences of a window have the same owner, so owners can be judged apart.
-3.  Equal pieces collapse to their first.  Each shard of owners confirms recurring windows
+3.  Equal pieces collapse to their first, so many copies cost one row.  Each shard of owners confirms recurring windows
     word by word, compiles their phrases into an Aho-Corasick automaton and streams all of
     its pieces through it; located phrases tell which windows to judge, and each is removed
     unless it is the first.  Pieces' removals then go back to all of their copies.
 
-Skew: counts are pre-aggregated; pieces of an owner with more than HOT occurrences are cut
-to single windows, which are dealt out by their own hash and collapse before the shuffle.
+Skew: counts are pre-aggregated; distinct pieces of an owner with more than SHARD_WORDS words
+are cut to single windows, which collapse, are dealt out by their own hash, and are judged
+by the same automata.
 
 Defined results: a null text has no words; a null doc_id neither removes nor loses words;
 rows with equal id and text are the same document; every row gives one row.
@@ -29,6 +30,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,19 +41,30 @@ from .words import binary_column, grams, hash_words
 WINDOW = 20
 PHRASE = 8
 SPAN = WINDOW - PHRASE + 1
-HOT = 20_000
 #: Longest piece in windows, and the words of one automaton's shard.
 PIECE_WINDOWS = 400
 SHARD_WORDS = 400_000
 
 
 def minimizers(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Phrase hashes of a document, and the position of each window's minimizer."""
-    if len(h) < WINDOW:
+    """Phrase hashes of a word sequence, and the position of each window's minimizer (the first of equals)."""
+    n = len(h) - WINDOW + 1
+    if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     g = grams(h, PHRASE)
-    seen = np.lib.stride_tricks.sliding_window_view(g, SPAN)
-    return g, seen.argmin(1) + np.arange(len(seen))
+    least, at = g[:n].copy(), np.zeros(n, np.int64)
+    for k in range(1, SPAN):
+        less = g[k : k + n] < least
+        np.copyto(least, g[k : k + n], where=less)
+        np.copyto(at, k, where=less)
+    return g, at + np.arange(n)
+
+
+def windows_of(at: np.ndarray) -> np.ndarray:
+    """First words of all windows inside one of the sequences that `at` bounds."""
+    n = int(at[-1])
+    end = np.repeat(at[1:], np.diff(at))
+    return np.flatnonzero(np.arange(n) + WINDOW <= end)
 
 
 def _hashed(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -65,55 +78,52 @@ def phrases(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 h, at = _hashed(part)
-                hashes, positions, counts = [], [], []
-                for a, b in zip(at[:-1], at[1:]):
-                    g, m = minimizers(h[a:b])
-                    m = np.unique(m)
-                    hashes.append(g[m])
-                    positions.append(m)
-                    counts.append(len(m))
-                ids = part.column("doc_id").take(pa.array(np.repeat(np.arange(len(counts)), counts)))
-                yield pa.RecordBatch.from_pydict({"h": pa.array(np.concatenate(hashes).view(np.int64)), "doc_id": ids, "pos": pa.array(np.concatenate(positions).astype(np.int32))})
+                g, m = minimizers(h)
+                m = np.unique(m[windows_of(at)]) if len(m) else m
+                doc = np.searchsorted(at, m, "right") - 1
+                yield pa.RecordBatch.from_pydict({"h": pa.array(g[m].view(np.int64)), "doc_id": part.column("doc_id").take(pa.array(doc)), "pos": pa.array((m - at[doc]).astype(np.int32))})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return texts(docs).where("doc_id is not null").mapInArrow(run, f"h long, doc_id {kind}, pos int")
 
 
-def _cut(h: np.ndarray, hits: list[dict]) -> Iterator[tuple[int, int, int, int]]:
-    """(owner, hot, first window, number of windows) of a document's pieces."""
-    g, m = minimizers(h)
-    owner, hot = np.full(len(g) + 1, -1, np.int64), np.zeros(len(g) + 1, bool)
-    for x in hits:
-        if x["pos"] < len(g):
-            owner[x["pos"]], hot[x["pos"]] = x["owner"], x["hot"]
+def _cut(m: np.ndarray, pos: np.ndarray, owners: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(owner, first window, number of windows) of a document's pieces; m has its windows' minimizers."""
     if not len(m):
         return
-    own, hot = owner[m], hot[m]
+    owner = np.full(int(m[-1]) + 1, -1, np.int64)
+    inside = pos < len(owner)
+    owner[pos[inside]] = owners[inside]
+    own = owner[m]
     edges = np.flatnonzero(np.diff(own)) + 1
-    for a, b in zip([0, *edges], [*edges, len(own)]):
+    for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(own)]):
         if own[a] >= 0:
-            step = 1 if hot[a] else PIECE_WINDOWS
-            for s in range(a, b, step):
-                yield int(own[a]), bool(hot[a]), s, min(step, b - s)
+            for s in range(a, b, PIECE_WINDOWS):
+                yield int(own[a]), s, min(PIECE_WINDOWS, b - s)
 
 
 def cut_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, whole_sha256, pieces and, where there are any, text: all documents with what may recur in them."""
     seeds = phrases(docs)
-    recurring = written(seeds.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("owner")).where("n > 1"), "recurring")
-    hot = recurring.groupBy("owner").agg(F.sum("n").alias("total")).where(F.col("total") > HOT).select("owner", F.lit(True).alias("hot"))
-    recurring = recurring.select("h", "owner").join(hot.hint("merge"), "owner", "left").select("h", "owner", F.coalesce("hot", F.lit(False)).alias("hot"))
-    found = seeds.join(recurring.hint("merge"), "h").select("doc_id", F.struct("pos", F.col("owner").cast("long").alias("owner"), "hot").alias("hit"))
-    found = found.groupBy("doc_id").agg(F.collect_list("hit").alias("hits"))
+    recurring = seeds.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").cast("long").alias("owner")).where("n > 1").select("h", "owner")
+    found = seeds.join(recurring.hint("merge"), "h").groupBy("doc_id").agg(F.collect_list("pos").alias("pos"), F.collect_list("owner").alias("owners"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 h, at = _hashed(part)
+                m = minimizers(h)[1]
+                lists = {}
+                for c in ("pos", "owners"):
+                    column = part.column(c).fill_null([])
+                    lists[c] = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                    cuts = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(column).to_numpy(zero_copy_only=False))]).astype(np.int64)
                 every, shas, kept = [], [], []
-                for k, (text, hits) in enumerate(zip(part.column("text").to_pylist(), part.column("hits").to_pylist())):
-                    own = h[at[k] : at[k + 1]]
-                    pieces = [{"owner": o, "hot": x, "start": s, "n": n} for o, x, s, n in _cut(own, hits)] if hits else []
+                for k, text in enumerate(part.column("text").to_pylist()):
+                    a, b = int(cuts[k]), int(cuts[k + 1])
+                    last = max(int(at[k]), int(at[k + 1]) - WINDOW + 1)
+                    own = m[int(at[k]) : last] - at[k]
+                    pieces = [{"owner": o, "start": s, "n": n} for o, s, n in _cut(own, lists["pos"][a:b], lists["owners"][a:b])] if b > a else []
                     every.append(pieces)
                     shas.append(None if pieces else hashlib.sha256(b" ".join((text or b"").split())).hexdigest())
                     kept.append(text if pieces else None)
@@ -122,32 +132,52 @@ def cut_documents(docs: DataFrame) -> DataFrame:
                     "n_words": pa.array(np.diff(at)),
                     "whole_sha256": pa.array(shas, pa.string()),
                     "text": pa.array(kept, pa.binary()),
-                    "pieces": pa.array(every, pa.list_(pa.struct([("owner", pa.int64()), ("hot", pa.bool_()), ("start", pa.int64()), ("n", pa.int64())]))),
+                    "pieces": pa.array(every, pa.list_(pa.struct([("owner", pa.int64()), ("start", pa.int64()), ("n", pa.int64())]))),
                 })
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_words long, whole_sha256 string, text binary, pieces array<struct<owner:bigint,hot:boolean,start:bigint,n:bigint>>"
+    schema = f"doc_id {kind}, n_words long, whole_sha256 string, text binary, pieces array<struct<owner:bigint,start:bigint,n:bigint>>"
     return texts(docs).join(found.hint("merge"), "doc_id", "left").mapInArrow(run, schema)
 
 
 def cut_pieces(cut: DataFrame) -> DataFrame:
-    """(id, shard, doc_id, text_key, start, n, words) of every piece; id is a digest of owner and words."""
+    """(id, owner, doc_id, text_key, start, n, words) of every piece; id is a digest of owner and words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                rows: dict[str, list] = {k: [] for k in ("id", "shard", "doc_id", "text_key", "start", "n", "words")}
+                rows: dict[str, list] = {k: [] for k in ("id", "owner", "doc_id", "text_key", "start", "n", "words")}
                 for doc_id, text, pieces in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "pieces"))):
                     words, key = text.split(), xxhash.xxh3_64_intdigest(text) >> 1
                     for p in pieces:
                         own = b" ".join(words[p["start"] : p["start"] + p["n"] + WINDOW - 1])
-                        shard = xxhash.xxh3_64_intdigest(own if p["hot"] else p["owner"].to_bytes(8, "little")) >> 1
-                        for k, v in zip(rows, (xxhash.xxh3_128_digest(p["owner"].to_bytes(8, "little") + own), shard, doc_id, key, p["start"], p["n"], own)):
+                        for k, v in zip(rows, (xxhash.xxh3_128_digest(p["owner"].to_bytes(8, "little", signed=True) + own), p["owner"], doc_id, key, p["start"], p["n"], own)):
                             rows[k].append(v)
-                yield pa.RecordBatch.from_pydict({"id": pa.array(rows["id"], pa.binary()), "shard": pa.array(rows["shard"], pa.int64()), "doc_id": pa.array(rows["doc_id"], part.schema.field("doc_id").type), "text_key": pa.array(rows["text_key"], pa.int64()), "start": pa.array(rows["start"], pa.int64()), "n": pa.array(rows["n"], pa.int64()), "words": pa.array(rows["words"], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"id": pa.array(rows["id"], pa.binary()), "owner": pa.array(rows["owner"], pa.int64()), "doc_id": pa.array(rows["doc_id"], part.schema.field("doc_id").type), "text_key": pa.array(rows["text_key"], pa.int64()), "start": pa.array(rows["start"], pa.int64()), "n": pa.array(rows["n"], pa.int64()), "words": pa.array(rows["words"], pa.binary())})
 
     kind = cut.schema["doc_id"].dataType.simpleString()
-    return cut.where("size(pieces) > 0").select("doc_id", "text", "pieces").mapInArrow(run, f"id binary, shard long, doc_id {kind}, text_key long, start long, n long, words binary")
+    return cut.where("size(pieces) > 0").select("doc_id", "text", "pieces").mapInArrow(run, f"id binary, owner long, doc_id {kind}, text_key long, start long, n long, words binary")
+
+
+def cut_windows(distinct: DataFrame) -> DataFrame:
+    """(id, piece, j, doc_id, start, copies, words) of every single window of distinct pieces; id is a digest of its words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                rows: dict[str, list] = {k: [] for k in ("id", "piece", "j", "doc_id", "start", "copies", "words")}
+                for piece, doc_id, start, copies, text in zip(*(part.column(c).to_pylist() for c in ("id", "doc_id", "start", "copies", "words"))):
+                    words = text.split(b" ")
+                    for j in range(len(words) - WINDOW + 1):
+                        own = b" ".join(words[j : j + WINDOW])
+                        for k, v in zip(rows, (xxhash.xxh3_128_digest(own), piece, j, doc_id, start + j, copies, own)):
+                            rows[k].append(v)
+                kinds = {"id": pa.binary(), "piece": pa.binary(), "doc_id": part.schema.field("doc_id").type, "words": pa.binary()}
+                yield pa.RecordBatch.from_pydict({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in rows.items()})
+
+    kind = distinct.schema["doc_id"].dataType.simpleString()
+    return distinct.select("id", "doc_id", "start", "copies", "words").mapInArrow(run, f"id binary, piece binary, j long, doc_id {kind}, start long, copies long, words binary")
 
 
 def _runs(flags: np.ndarray) -> list[dict]:
@@ -158,48 +188,45 @@ def _runs(flags: np.ndarray) -> list[dict]:
 
 def judge_shard(pieces: list[tuple[bytes, int, object, int]]) -> list[list[dict]]:
     """Removed windows of each piece (words, copies, doc_id and start of its first copy), as ranges."""
-    split = [p[0].split(b" ") for p in pieces]
-    data, offsets = binary_column(pa.array([p[0] for p in pieces], pa.large_binary()))
-    h, at = hash_words(data, offsets)
-    windows = [grams(h[a:b], WINDOW) for a, b in zip(at[:-1], at[1:])]
-    sizes = [len(w) for w in windows]
-    owner_piece = np.repeat(np.arange(len(pieces)), sizes)
-    inside = np.concatenate([np.arange(n) for n in sizes])
-    flat = np.concatenate(windows)
-    # by window, then document and start: the first of each is kept
-    ids = {d: k for k, d in enumerate(sorted({p[2] for p in pieces}))}
-    doc = np.array([ids[p[2]] for p in pieces])[owner_piece]
-    start = np.array([p[3] for p in pieces])[owner_piece] + inside
+    none: list[list[dict]] = [[] for _ in pieces]
+    h, at = hash_words(*binary_column(pa.array([p[0] for p in pieces], pa.large_binary())))
+    first = windows_of(at)
+    if not len(first):
+        return none
+    piece = np.searchsorted(at, first, "right") - 1
+    flat, m = grams(h, WINDOW)[first], minimizers(h)[1][first]
+    number = {d: k for k, d in enumerate(sorted({p[2] for p in pieces}))}
+    doc = np.array([number[p[2]] for p in pieces])[piece]
+    start = np.array([p[3] for p in pieces])[piece] + first - at[piece]
+    # by window, then document and start: the first place stays, later ones go
     by = np.lexsort((start, doc, flat))
     new = np.concatenate([[True], np.diff(flat[by].view(np.int64)) != 0])
     group = np.cumsum(new) - 1
-    copies = np.bincount(group, np.array([p[1] for p in pieces])[owner_piece][by])
-    again = np.zeros(len(flat), bool)
-    # a window is removed if an earlier start exists; equal starts are the same place
-    lead = np.flatnonzero(new)[group]
-    later = (doc[by] != doc[by][lead]) | (start[by] != start[by][lead])
-    again[by] = later & (copies[group] > 1)
-    confirmed = np.zeros(len(flat), bool)
-    confirmed[by] = copies[group] > 1
-
-    edges = np.concatenate([[0], np.cumsum(sizes)])
-    automaton, places = ahocorasick.Automaton(), [minimizers(h[a:b])[1] for a, b in zip(at[:-1], at[1:])]
-    for k, words in enumerate(split):
-        for m in np.unique(places[k][confirmed[edges[k] : edges[k + 1]]]):
-            phrase = " " + b" ".join(words[m : m + PHRASE]).decode("latin-1") + " "
-            automaton.add_word(phrase, len(phrase))
-    if not len(automaton):
-        return [[] for _ in pieces]
+    lead = by[np.flatnonzero(new)[group]]
+    recurs = np.bincount(group, np.array([p[1] for p in pieces])[piece][by])[group] > 1
+    confirmed, later = np.zeros(len(flat), bool), np.zeros(len(flat), bool)
+    confirmed[by] = recurs
+    later[by] = recurs & ((doc[by] != doc[lead]) | (start[by] != start[lead]))
+    if not later.any():
+        return none
+
+    words = b" ".join(p[0] for p in pieces).decode("latin-1").split(" ")  # one character a byte
+    automaton = ahocorasick.Automaton()
+    for k in np.unique(m[confirmed]).tolist():
+        phrase = f" {' '.join(words[k : k + PHRASE])} "
+        automaton.add_word(phrase, len(phrase))
     automaton.make_automaton()
-    out = []
-    for k, words in enumerate(split):
-        text = " " + pieces[k][0].decode("latin-1") + " "  # one character a byte
-        ends = np.cumsum([0] + [len(w) + 1 for w in words])  # where each word's leading space is
-        hits = np.array([end + 1 - n for end, n in automaton.iter(text)], np.int64)
-        located = np.zeros(len(words) + 1, bool)
-        located[np.searchsorted(ends, hits)] = True
-        out.append(_runs(again[edges[k] : edges[k + 1]] & located[places[k]]))
-    return out
+    located = np.zeros(len(words), bool)
+    # every piece streams through the automaton; matches across the seam of two pieces are no window's phrase
+    spaces = np.cumsum([0] + [len(w) + 1 for w in words])
+    hits = np.fromiter((end + 1 - n for end, n in automaton.iter(f" {' '.join(words)} ")), np.int64)
+    located[np.searchsorted(spaces, hits)] = True
+
+    gone = later & located[m]
+    for k in np.unique(piece[gone]).tolist():
+        a, b = np.searchsorted(piece, (k, k + 1))
+        none[k] = _runs(gone[a:b])
+    return none
 
 
 def judge_pieces(distinct: DataFrame) -> DataFrame:
@@ -238,10 +265,23 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
     cut = written(cut_documents(docs), "cut")
     pieces = cut_pieces(cut)
-    distinct = pieces.groupBy("id").agg(
-        F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("copies"), F.any_value("shard").alias("shard"), F.any_value("words").alias("words")
-    )
-    judged = written(judge_pieces(distinct.select("id", "shard", "first.doc_id", "first.start", "copies", "words")), "judged")
+    first = F.min(F.struct("doc_id", "start")).alias("first")
+    distinct = pieces.groupBy("id").agg(first, F.count("*").alias("copies"), F.any_value("owner").alias("owner"), F.any_value("n").alias("n"), F.any_value("words").alias("words"))
+    distinct = written(distinct.select("id", "owner", "first.doc_id", "first.start", "copies", "n", "words"), "pieces")
+    large = distinct.groupBy("owner").agg(F.sum(F.col("n") + WINDOW).alias("words")).where(F.col("words") > SHARD_WORDS).select("owner")
+    small = distinct.join(large.hint("merge"), "owner", "left_anti")
+    judged = judge_pieces(small.withColumnRenamed("owner", "shard"))
+    # owners too large for a shard: their windows are dealt out one by one
+    big = distinct.join(large.hint("merge"), "owner", "left_semi")
+    singles = cut_windows(big)
+    collapsed = singles.groupBy("id").agg(first, F.sum("copies").alias("copies"), F.any_value("words").alias("words"))
+    apart = judge_pieces(collapsed.select("id", F.xxhash64("id").alias("shard"), "first.doc_id", "first.start", "copies", "words").where("copies > 1"))
+    apart = apart.select("id", F.struct("doc_id", "start").alias("first"), (F.size("gone") > 0).alias("gone"))
+    back = singles.select("id", "piece", "j", F.struct("doc_id", "start").alias("own")).join(apart.hint("merge"), "id").where("gone or own <> first")
+    windows = back.groupBy(F.col("piece").alias("id")).agg(F.collect_list(F.struct(F.col("j").alias("a"), (F.col("j") + 1).alias("b"))).alias("gone"))
+    none = F.expr("cast(array() as array<struct<a:bigint,b:bigint>>)")
+    big = big.select("id", "doc_id", "start").join(windows.hint("merge"), "id", "left").withColumn("gone", F.coalesce("gone", none))
+    judged = written(judged.unionByName(big), "judged")
     first = judged.select("id", F.struct("doc_id", "start").alias("first"), "gone")
     copies = pieces.select("id", "doc_id", "text_key", "start", "n").join(first.hint("merge"), "id")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n").alias("b")))
