@@ -105,7 +105,8 @@ def _cut(m: np.ndarray, pos: np.ndarray, owners: np.ndarray) -> Iterator[tuple[i
 def cut_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, whole_sha256, pieces and, where there are any, text: all documents with what may recur in them."""
     seeds = phrases(docs)
-    recurring = seeds.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").cast("long").alias("owner")).where("n > 1").select("h", "owner")
+    # written, so that both sides of the join are shuffles and a hot phrase's partition can be split
+    recurring = written(seeds.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").cast("long").alias("owner")).where("n > 1").select("h", "owner"), "recurring")
     found = seeds.join(recurring.hint("merge"), "h").groupBy("doc_id").agg(F.collect_list("pos").alias("pos"), F.collect_list("owner").alias("owners"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
