@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import QUALITY_GRAMMAR
+from ..functions.text import QUALITY_GRAMMAR, stats_tag
 
 
 def tag_counts(tokens: DataFrame) -> DataFrame:
     """Counts by polarity, for each character and overall (character null) in one pass."""
-    kept = tokens.where((F.col("tag") != "") & ~F.col("tag").rlike(QUALITY_GRAMMAR))
+    # equal raw tokens are counted first, so each is normalised once
+    raws = tokens.groupBy("polarity", "character", "raw").agg(F.count("*").alias("n"))
+    kept = raws.withColumn("tag", stats_tag(F.col("raw"))).where((F.col("tag") != "") & ~F.col("tag").rlike(QUALITY_GRAMMAR))
     sets = kept.groupingSets([("polarity", "character", "tag"), ("polarity", "tag")], "polarity", "character", "tag")
-    return sets.agg(F.grouping("character").cast("int").alias("overall"), F.count("*").alias("cnt"))
+    return sets.agg(F.grouping("character").cast("int").alias("overall"), F.sum("n").alias("cnt"))
 
 
 def top_tags(counts: DataFrame, own: dict[str, int], overall: dict[str, int]) -> DataFrame:
