@@ -50,6 +50,19 @@ def test_quality_bands():
     assert quality.judge(b"short", packer) == (None, None, None)
 
 
+def test_quality_rejects_random_words():
+    packer, own = quality.zstandard.ZstdCompressor(level=3, write_checksum=False), random.Random(3)
+    base62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    junk = lambda n, least=3, most=9: " ".join("".join(own.choices(base62, k=own.randint(least, most))) for _ in range(n))[:n].encode()
+    for n in (500, 800, 1023, 3000, 30_000):
+        assert quality.judge(junk(n), packer)[2] == quality.judge(junk(n, 2, 4), packer)[2] == "incompressible", n
+    good = LONG.encode()
+    assert quality.judge(good[:20_000] + junk(20_000), packer)[2] == "chunks"
+    assert quality.judge(good[:2048] + junk(2000), packer)[2] is not None  # a tail shorter than a chunk
+    for n in (2048, 3000, 4096, 20_001):
+        assert quality.judge(good[:n], packer)[2] is None, n
+
+
 def test_token_counts(spark, docs):
     from tokenizers import Tokenizer
 
