@@ -14,6 +14,9 @@ from tagloom.llm import contamination, neardup, pieces, quality, secrets
 from tagloom.llm.common import map_texts, table, written
 from tagloom.llm.queries import split_pattern, tokenizer_path
 
+#: Similarity, in hundredths, from which documents are near duplicates here; op4's contract has its own.
+NEAR_PERCENT = 80
+
 
 def _filtered(docs: DataFrame, flagged: DataFrame, keep) -> DataFrame:
     """Rows to keep of a map over whole texts, with the columns of documents as they were."""
@@ -35,7 +38,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves the document with the smallest id of each near-duplicate group; documents without an id stay."""
-    gone = neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    gone = neardup.near_duplicates(docs, NEAR_PERCENT).where("not kept").select("doc_id").distinct()
     return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -12,12 +12,13 @@ hash, each pair of blocks in one task, and only a spanning set of links leaves a
 
 Defined results: a document without words has 0 shingles and its own component; equal ids
 are one document; rows with a null doc_id link nothing, have a null component and stay;
-every row gives one row.  With BANDS x ROWS minima a link at the threshold is missed with
-probability (1 - t^ROWS)^BANDS, 8e-7 at 0.85.
+every row gives one row.  A link at the threshold t is missed with probability
+(1 - t^ROWS)^bands, which the number of bands holds under MISSED: 24 at 0.85, 35 at 0.80.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,16 +32,28 @@ from .components import components
 from .words import U64, binary_column, grams, hash_words, mix, whole
 
 WORDS = 5
-BANDS, ROWS = 24, 5
-#: Links need 100 * intersection >= PERCENT * union.
+ROWS, MISSED = 5, 1e-6
+#: Links need 100 * intersection >= percent * union.
 PERCENT = 85
-#: Estimated similarity below which a pair isn't checked exactly, more than five standard deviations under the threshold.
-LEAST_ESTIMATE = 0.62
+#: A pair isn't checked exactly if its similarity, estimated from 120 minima or more, is so far under the threshold: more than five standard deviations.
+MARGIN = 0.23
 BLOCK_SHINGLES = 300_000
 
 _rng = np.random.default_rng(85_2024)
-_A = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * U64(2) + U64(1)
-_B = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
+_A = _rng.integers(0, 2**63, 120, dtype=np.uint64) * U64(2) + U64(1)
+_B = _rng.integers(0, 2**63, 120, dtype=np.uint64)
+
+
+def n_bands(percent: int) -> int:
+    return math.ceil(math.log(MISSED) / math.log1p(-((percent / 100) ** ROWS)))
+
+
+def functions(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and summands of n hash functions; fewer are the beginning of more."""
+    if n <= 120:
+        return _A[:n], _B[:n]
+    more = np.random.default_rng(80_2024).integers(0, 2**63, (n - 120, 2), dtype=np.uint64)
+    return np.concatenate([_A, more[:, 0] * U64(2) + U64(1)]), np.concatenate([_B, more[:, 1]])
 
 
 def shingle_set(h: np.ndarray, k: int = WORDS) -> np.ndarray:
@@ -50,19 +63,20 @@ def shingle_set(h: np.ndarray, k: int = WORDS) -> np.ndarray:
     return np.unique(grams(h, k)) if len(h) >= k else np.array([whole(h)], np.uint64)
 
 
-def minima(s: np.ndarray) -> np.ndarray:
+def minima(s: np.ndarray, n: int = 120) -> np.ndarray:
     """Strongly universal multiply-add-shift minima of a non-empty set, by hash function."""
-    x, least = s >> U64(32), None
+    x, least, (a, b) = s >> U64(32), None, functions(n)
     for at in range(0, len(x), 2048):
-        y = ((_A[:, None] * x[None, at : at + 2048] + _B[:, None]) >> U64(32)).min(1)
+        y = ((a[:, None] * x[None, at : at + 2048] + b[:, None]) >> U64(32)).min(1)
         least = y if least is None else np.minimum(least, y)
     return least.astype(np.uint32)
 
 
 def band_keys(m: np.ndarray) -> np.ndarray:
-    x = np.arange(1, BANDS + 1, dtype=np.uint64)
+    m = m.reshape(-1, ROWS)
+    x = np.arange(1, len(m) + 1, dtype=np.uint64)
     for k in range(ROWS):
-        x = mix(x * U64(0xD6E8FEB86659FD93) + m.reshape(BANDS, ROWS)[:, k].astype(np.uint64))
+        x = mix(x * U64(0xD6E8FEB86659FD93) + m[:, k].astype(np.uint64))
     return x.view(np.int64)
 
 
@@ -72,15 +86,16 @@ def shingle_sets(batch: list[bytes]) -> list[np.ndarray]:
     return [shingle_set(h[a:b]) for a, b in zip(at[:-1], at[1:])]
 
 
-def sketch(docs: DataFrame) -> DataFrame:
+def sketch(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, set_key (128 bits, null if empty) and band keys of every document."""
+    n = ROWS * n_bands(percent)
 
     def work(batch: list[bytes]) -> dict:
         sets = shingle_sets(batch)
         return {
             "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
             "set_key": pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-            "bands": pa.array([band_keys(minima(s)) if len(s) else [] for s in sets], pa.list_(pa.int64())),
+            "bands": pa.array([band_keys(minima(s, n)) if len(s) else [] for s in sets], pa.list_(pa.int64())),
         }
 
     return map_texts(docs, work, "n_shingles long, set_key binary, bands array<bigint>")
@@ -118,7 +133,8 @@ def links(left: tuple[list, list], right: tuple[list, list] | None, percent: int
     ids_b, b = right or left
     sig_a = [minima(s) for s in a]
     sig_b = np.stack(sig_a if right is None else [minima(s) for s in b])
-    near = [(i, j) for i, m in enumerate(sig_a) for j in np.flatnonzero((sig_b == m).mean(1) >= LEAST_ESTIMATE) if right is not None or j < i]
+    least = percent / 100 - MARGIN
+    near = [(i, j) for i, m in enumerate(sig_a) for j in np.flatnonzero((sig_b == m).mean(1) >= least) if right is not None or j < i]
     if not near:
         return []
     if len(near) > 200:
@@ -164,7 +180,7 @@ def by_key(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple
         yield last, pa.Table.from_batches(parts)
 
 
-def verified_links(docs: DataFrame, groups: DataFrame) -> DataFrame:
+def verified_links(docs: DataFrame, groups: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b): links on full sets inside candidate groups (node, component, n_shingles)."""
     sizes = groups.groupBy("component").agg(F.sum("n_shingles").alias("total"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
@@ -183,7 +199,7 @@ def verified_links(docs: DataFrame, groups: DataFrame) -> DataFrame:
             ids, sets = group.column("doc_id").to_pylist(), shingle_sets(group.column("text").to_pylist())
             pick = lambda k: ([ids[x] for x in np.flatnonzero(block == k)], [sets[x] for x in np.flatnonzero(block == k)])  # noqa: E731,B023
             left, right = pick(i), pick(j) if j != i else None
-            found = links(left, right) if left[0] and (right is None or right[0]) else []
+            found = links(left, right, percent) if left[0] and (right is None or right[0]) else []
             if found:
                 yield pa.RecordBatch.from_pydict({"a": [x for x, _ in found], "b": [x for _, x in found]})
 
@@ -191,16 +207,16 @@ def verified_links(docs: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(work, f"a {kind}, b {kind}")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document."""
-    sketches = written(sketch(docs), "sketches")
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document; links from a similarity of percent on."""
+    sketches = written(sketch(docs, percent), "sketches")
     known = sketches.where("set_key is not null and doc_id is not null")
     least = known.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     classes = written(known.join(least.hint("merge"), "set_key").where("doc_id = rep").select("rep", "n_shingles", "bands", "set_key"), "classes")
     groups = candidate_groups(classes)
     sized = groups.join(classes.groupBy(F.col("rep").alias("node")).agg(F.max("n_shingles").alias("n_shingles")).hint("merge"), "node")
     groups = written(sized, "groups")
-    found = components(written(verified_links(docs, groups), "links"))
+    found = components(written(verified_links(docs, groups, percent), "links"))
     labels = classes.select("set_key", "rep").distinct().join(found.withColumnRenamed("node", "rep").hint("merge"), "rep", "left")
     labels = labels.select("set_key", F.coalesce("component", "rep").alias("component"))
     result = sketches.select("doc_id", "n_shingles", "set_key").join(labels.hint("merge"), "set_key", "left")

@@ -73,6 +73,21 @@ def test_near_duplicates_edges(spark, docs):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_pipeline_drops_near_copies_from_80_percent(spark, docs):
+    base = [f"w{k}" for k in range(150)]
+    near = list(base)
+    for k in (30, 70, 110):
+        near[k] = "other"
+    far = list(base)
+    for k in (20, 50, 80, 110):
+        far[k] = "another"
+    texts = [" ".join(base), " ".join(near), " ".join(far)]  # 131 of 161 shingles are shared: 0.81; 126 of 166: 0.76
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs(texts), "").collect()) == [0, 2]
+    assert all(r.kept for r in neardup.near_duplicates(docs(texts)).collect())
+    for percent in (80, 85):
+        assert (1 - (percent / 100) ** neardup.ROWS) ** neardup.n_bands(percent) < neardup.MISSED
+
+
 def test_intersections_by_products():
     import numpy as np
 
