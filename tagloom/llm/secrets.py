@@ -2,9 +2,11 @@
 
 A byte-pair vocabulary spends few tokens on words and many on random characters.  Every
 white-space piece of MIN_LENGTH or more key-like characters is encoded with a tiktoken
-vocabulary; fewer than MAX_RATIO characters a token mark it as random.  Known digests and
-identifiers (hex digests of usual lengths, UUIDs, dates and numbers, addresses, links)
-are excluded first; they stay spans only where a base pattern finds them.
+vocabulary; fewer than MAX_RATIO characters a token mark it as random, with or without
+digits in it.  Known digests and identifiers (hex digests of usual lengths, UUIDs, dates and
+numbers, addresses, and of links the scheme, host, path and names of parameters) are excluded
+first; they stay spans only where a base pattern finds them.  Links' user-info and the values
+of their queries and fragments are tested like other text.
 
 Defined results: a null text is empty (no spans); offsets are code points, ends exclusive;
 spans of the method never overlap base spans; every row gives one row.
@@ -32,7 +34,10 @@ MIN_LENGTH = 20
 MAX_RATIO = 2.1
 #: digests (md5, sha1, sha224, sha256, sha384, sha512), UUIDs, numbers.
 KNOWN = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9+/_=-]+")
-LINK = re.compile(r"://|@|^www\.")
+#: Of links: scheme, user-info (group 1), host and path; names of parameters; mail addresses that are no user-info before a host.
+LINK = re.compile(r"""(?:[A-Za-z][A-Za-z0-9+.-]*://([^\s/?#@:"'<>]*(?::[^\s?#@"'<>]*)?@)?|(?<![A-Za-z0-9@./-])www\.)[^\s?#"'<>|\\^`{},;()\[\]]*""")
+NAME = re.compile(r"[?&;#][A-Za-z0-9_.-]+=")
+ADDRESS = re.compile(r"(?:\bmailto:|(?<![A-Za-z0-9._%+:/=-]))[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 
 _coders: dict = {}
 
@@ -59,12 +64,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found, key=lambda s: (s[0], s[2]))
 
 
+def without_links(piece: str) -> str:
+    """The piece with links' known parts and addresses blanked, at equal offsets."""
+
+    def blank(m: re.Match) -> str:
+        if m.re is LINK and m[1]:
+            return " " * (m.start(1) - m.start()) + m[1] + " " * (m.end() - m.end(1))
+        return " " * len(m[0])
+
+    if "://" in piece or "www." in piece:
+        piece = NAME.sub(blank, LINK.sub(blank, piece))
+    return ADDRESS.sub(blank, piece) if "@" in piece else piece
+
+
 def random_spans(text: str, base: list[tuple[int, int, int]], enc) -> list[tuple[int, int, int]]:
     found = []
     for piece in {p for p in text.split() if len(p) >= MIN_LENGTH}:
-        if LINK.search(piece):
-            continue
-        bad = [m for m in KEYLIKE.finditer(piece) if not KNOWN.fullmatch(m[0]) and re.search("[0-9]", m[0]) and len(m[0]) < MAX_RATIO * len(enc.encode_ordinary(m[0]))]
+        bad = [m for m in KEYLIKE.finditer(without_links(piece)) if not KNOWN.fullmatch(m[0]) and len(m[0]) < MAX_RATIO * len(enc.encode_ordinary(m[0]))]
         if bad:
             at = text.find(piece)
             while at >= 0:

@@ -155,6 +155,22 @@ def test_secrets_random_strings(spark, docs):
     assert clean[1].text == texts[1] and clean[4].text is None and clean[4].kept is True
 
 
+def test_secrets_without_digits_and_in_links():
+    enc, own = secrets.coder(queries.tokenizer_path("byte_bpe_50k.tiktoken"), queries.split_pattern()), random.Random(9)
+    found = lambda text: [text[a:b] for a, b, _ in secrets.random_spans(text, [], enc)]
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    keys = ["".join(own.choices(letters, k=own.randint(20, 40))) for _ in range(200)]
+    assert [found(f"a {k} b") for k in keys] == [[k] for k in keys]
+    for key in ("q8Zx1vKp0LwT7mJc3RbY9nHd", keys[0]):
+        for text in ("postgres://user:{}@db.example.com:5432/name", "https://{}@example.com/", "https://example.com/path?key={}", "https://example.com/a?b=c&key={}&d=e", "https://example.com/a#access_token={}",
+                     "jdbc:x://db.example.com/name;password={}", "user:{}@example.com", '{{"url":"https://example.com/a","key":"{}"}}', "www.example.com/a?{}"):
+            assert found(text.format(key)) == [key], text
+        for text in ("https://example.com/{}", "https://example.com:80/a/{}?b=c", "see:https://example.com/{}", "www.example.com/{}", "{}@mail.example.com", "mailto:{}@mail.example.com"):
+            assert found(text.format(key)) == [], text
+    for text in ("internationalization", "einlichheitenpfpfver", "getElementsByClassNameInDocument", "https://example.com/a?" + "some_long_parameter_name=" * 2, "kubernetes/ingress-nginx-controller"):
+        assert found(text) == [], text
+
+
 def test_toxicity_learns_marks(spark, docs):
     bad = ["scum of", "worthless", "pathetic fool"]
     texts = [" ".join(rng.choices(WORDS, k=60) + ([rng.choice(bad)] * 3 if k % 3 == 0 else []) + rng.choices(WORDS, k=60)) for k in range(300)] + [None, ""]
