@@ -1,7 +1,8 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, one on the same plus the
-strings that mark toxic text.  A window of text that the toxic dictionary packs better
+One zstandard dictionary is trained, on ordinary text; the toxic one is not trained but is
+the same plus a list of strings that mark toxic text (the README compares both).  With too
+few toxic rows for any mark the two are equal and nothing is caught.  A window of text that the toxic dictionary packs better
 than the ordinary one is closer to toxic text; a document's score is a logistic function
 of how much and how often its windows are, with coefficients and thresholds calibrated on
 the training rows.
