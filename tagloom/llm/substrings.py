@@ -6,26 +6,33 @@ in a document with a smaller id or in the same one.
 1.  Every window holds a minimizer, its smallest-hashed phrase of PHRASE words; equal
     windows have equal minimizers.  Phrases that occur once rule out their windows, so
     only minimizers are shuffled, about one for seven words.
-2.  Recurring phrases are owned by the smallest document that has them.  Each document is
-    cut to pieces: runs of windows whose phrases recur and have one owner.  All
-    occurrences of a window have the same owner, so owners can be judged apart.
-3.  Equal pieces collapse to their first, so many copies cost one row.  Each shard of owners confirms recurring windows
-    word by word, compiles their phrases into an Aho-Corasick automaton and streams all of
-    its pieces through it; located phrases tell which windows to judge, and each is removed
-    unless it is the first.  Pieces' removals then go back to all of their copies.
-
-Skew: counts are pre-aggregated; distinct pieces of an owner with more than SHARD_WORDS words
-are cut to single windows, which collapse, are dealt out by their own hash, and are judged
-by the same automata.
+2.  Every document is cut to pieces: runs of windows whose phrases recur and have one
+    owner, the smallest document with the phrase.  All places of a window have the same
+    owner, so owners can be judged apart; the rest of a text can't match any automaton.
+3.  Equal pieces collapse to one row.  For each shard of owners, windows that are there
+    twice or more, compared word by word, are the confirmed passages.  They are compiled
+    into Aho-Corasick automata of at most PATTERNS windows each, over one character a
+    word, and the shard's pieces stream through them.  The hits are the occurrences: of
+    each pattern the first place stays, and every other place found is removed.  Pieces'
+    hits then go back to all of their copies.
+
+Phrase hashes only decide which text goes to which shard; a collision costs work, never a
+result.  Skew: counts are pre-aggregated; distinct pieces of an owner with more than
+SHARD_WORDS words are cut to single windows, which collapse, are dealt out by their own
+hash, and stream through automata in the same way.
 
 Defined results: a null text has no words; a null doc_id neither removes nor loses words;
-rows with equal id and text are the same document; every row gives one row.
+doc_id may be of any type that Spark orders, and of either sign; rows with equal id and
+text are the same document; a very long text is cut to many pieces; other columns are
+ignored, whatever their names; an empty table gives an empty table; every row gives one row.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -41,9 +48,12 @@ from .words import binary_column, grams, hash_words
 WINDOW = 20
 PHRASE = 8
 SPAN = WINDOW - PHRASE + 1
-#: Longest piece in windows, and the words of one automaton's shard.
+#: Longest piece in windows, words of one shard, and windows of one automaton (about 1.6 KB each).
 PIECE_WINDOWS = 400
-SHARD_WORDS = 400_000
+SHARD_WORDS = 100_000
+PATTERNS = 50_000
+#: Owners up to this number are broadcast (8 bytes each); more are joined by a salted key.
+BROADCAST_OWNERS, SALTS = 200_000, 64
 
 
 def minimizers(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,13 +101,13 @@ def _cut(m: np.ndarray, pos: np.ndarray, owners: np.ndarray) -> Iterator[tuple[i
     """(owner, first window, number of windows) of a document's pieces; m has its windows' minimizers."""
     if not len(m):
         return
-    owner = np.full(int(m[-1]) + 1, -1, np.int64)
+    owner, recurs = np.zeros(int(m[-1]) + 1, np.int64), np.zeros(int(m[-1]) + 1, bool)
     inside = pos < len(owner)
-    owner[pos[inside]] = owners[inside]
-    own = owner[m]
-    edges = np.flatnonzero(np.diff(own)) + 1
+    owner[pos[inside]], recurs[pos[inside]] = owners[inside], True
+    own, has = owner[m], recurs[m]
+    edges = np.flatnonzero((np.diff(own) != 0) | (has[1:] != has[:-1])) + 1
     for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(own)]):
-        if own[a] >= 0:
+        if has[a]:
             for s in range(a, b, PIECE_WINDOWS):
                 yield int(own[a]), s, min(PIECE_WINDOWS, b - s)
 
@@ -106,7 +116,7 @@ def cut_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, whole_sha256, pieces and, where there are any, text: all documents with what may recur in them."""
     seeds = phrases(docs)
     # written, so that both sides of the join are shuffles and a hot phrase's partition can be split
-    recurring = written(seeds.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").cast("long").alias("owner")).where("n > 1").select("h", "owner"), "recurring")
+    recurring = written(seeds.groupBy("h").agg(F.count("*").alias("n"), F.xxhash64(F.min("doc_id")).alias("owner")).where("n > 1").select("h", "owner"), "recurring")
     found = seeds.join(recurring.hint("merge"), "h").groupBy("doc_id").agg(F.collect_list("pos").alias("pos"), F.collect_list("owner").alias("owners"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,67 +191,83 @@ def cut_windows(distinct: DataFrame) -> DataFrame:
     return distinct.select("id", "doc_id", "start", "copies", "words").mapInArrow(run, f"id binary, piece binary, j long, doc_id {kind}, start long, copies long, words binary")
 
 
-def _runs(flags: np.ndarray) -> list[dict]:
-    """Half-open ranges of true flags."""
+def _spell(pieces: list[bytes]) -> tuple[str, np.ndarray]:
+    """All pieces as one string of a character a word, each after a character that is no word, and where they start."""
+    split = [p.split(b" ") for p in pieces]
+    # surrogates are left out, and 0 is no word
+    number = {w: chr(k if k < 0xD800 else k + 0x800) for k, w in enumerate(dict.fromkeys(w for p in split for w in p), 1)}
+    starts = np.cumsum([1, *(len(p) + 1 for p in split)])[:-1]
+    return "".join("\0" + "".join(map(number.__getitem__, p)) for p in split), starts
+
+
+def confirm(text: str, starts: list[int], ends: list[int], copies: list[int]) -> list[str]:
+    """Windows, word by word, that are in the pieces twice or more, copies counted."""
+    counts: Counter = Counter()
+    for a, b, n in zip(starts, ends, copies):
+        windows = [text[i : i + WINDOW] for i in range(a, b - WINDOW + 1)]
+        counts.update(windows)
+        if n > 1:
+            counts.update(windows)
+    return [w for w, n in counts.items() if n > 1]
+
+
+def locate(text: str, passages: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(passage, place) of every occurrence of the passages in the text, by automata of at most PATTERNS of them."""
+    found = [np.zeros((0, 2), np.int64)]
+    for k in range(0, len(passages), PATTERNS):
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for number, passage in enumerate(passages[k : k + PATTERNS], k):
+            automaton.add_word(passage, number)
+        automaton.make_automaton()
+        hits = np.fromiter(chain.from_iterable(automaton.iter(text)), np.int64).reshape(-1, 2)
+        found.append(np.stack([hits[:, 1], hits[:, 0] - WINDOW + 1], 1))
+    return tuple(np.concatenate(found).T)
+
+
+def _runs(flags: np.ndarray, starts: np.ndarray) -> list[list[dict]]:
+    """By piece, half-open ranges of true flags, counted from the piece's start."""
+    out: list[list[dict]] = [[] for _ in starts]
     edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
-    return [{"a": int(a), "b": int(b)} for a, b in zip(edge[::2], edge[1::2])]
-
-
-def judge_shard(pieces: list[tuple[bytes, int, object, int]]) -> list[list[dict]]:
-    """Removed windows of each piece (words, copies, doc_id and start of its first copy), as ranges."""
-    none: list[list[dict]] = [[] for _ in pieces]
-    h, at = hash_words(*binary_column(pa.array([p[0] for p in pieces], pa.large_binary())))
-    first = windows_of(at)
-    if not len(first):
-        return none
-    piece = np.searchsorted(at, first, "right") - 1
-    flat, m = grams(h, WINDOW)[first], minimizers(h)[1][first]
+    piece = np.searchsorted(starts, edge[::2], "right") - 1
+    for k, a, b in zip(piece.tolist(), (edge[::2] - starts[piece]).tolist(), (edge[1::2] - starts[piece]).tolist()):
+        out[k].append({"a": a, "b": b})
+    return out
+
+
+def judge_shard(pieces: list[tuple[bytes, int, object, int]]) -> tuple[list[list[dict]], list[list[dict]]]:
+    """Of pieces (words, copies, doc_id and start of the first copy): windows located, and of them those that are not the first, as ranges."""
+    text, starts = _spell([p[0] for p in pieces])
+    ends = [*(starts[1:] - 1).tolist(), len(text)]
+    passage, place = locate(text, confirm(text, starts.tolist(), ends, [p[1] for p in pieces]))
+    piece = np.searchsorted(starts, place, "right") - 1
     number = {d: k for k, d in enumerate(sorted({p[2] for p in pieces}))}
     doc = np.array([number[p[2]] for p in pieces])[piece]
-    start = np.array([p[3] for p in pieces])[piece] + first - at[piece]
-    # by window, then document and start: the first place stays, later ones go
-    by = np.lexsort((start, doc, flat))
-    new = np.concatenate([[True], np.diff(flat[by].view(np.int64)) != 0])
-    group = np.cumsum(new) - 1
-    lead = by[np.flatnonzero(new)[group]]
-    recurs = np.bincount(group, np.array([p[1] for p in pieces])[piece][by])[group] > 1
-    confirmed, later = np.zeros(len(flat), bool), np.zeros(len(flat), bool)
-    confirmed[by] = recurs
-    later[by] = recurs & ((doc[by] != doc[lead]) | (start[by] != start[lead]))
-    if not later.any():
-        return none
-
-    words = b" ".join(p[0] for p in pieces).decode("latin-1").split(" ")  # one character a byte
-    automaton = ahocorasick.Automaton()
-    for k in np.unique(m[confirmed]).tolist():
-        phrase = f" {' '.join(words[k : k + PHRASE])} "
-        automaton.add_word(phrase, len(phrase))
-    automaton.make_automaton()
-    located = np.zeros(len(words), bool)
-    # every piece streams through the automaton; matches across the seam of two pieces are no window's phrase
-    spaces = np.cumsum([0] + [len(w) + 1 for w in words])
-    hits = np.fromiter((end + 1 - n for end, n in automaton.iter(f" {' '.join(words)} ")), np.int64)
-    located[np.searchsorted(spaces, hits)] = True
-
-    gone = later & located[m]
-    for k in np.unique(piece[gone]).tolist():
-        a, b = np.searchsorted(piece, (k, k + 1))
-        none[k] = _runs(gone[a:b])
-    return none
+    start = np.array([p[3] for p in pieces])[piece] + place - starts[piece]
+    order = np.lexsort((start, doc, passage))
+    new = np.concatenate([[True], np.diff(passage[order]) != 0])[: len(order)]
+    lead = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(order) else order
+    later = (doc[order] != doc[lead]) | (start[order] != start[lead])
+    located, gone = np.zeros(len(text), bool), np.zeros(len(text), bool)
+    located[place] = True
+    gone[place[order[later]]] = True
+    return _runs(located, starts), _runs(gone, starts)
+
+
+_RANGES = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
 
 def judge_pieces(distinct: DataFrame) -> DataFrame:
-    """(id, doc_id, start, gone): of each distinct piece, its first copy's place and that copy's removed windows."""
+    """(id, doc_id, start, located, gone): of each distinct piece its first copy's place, its located windows, and those which that copy loses."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
-            gone = judge_shard([(r[1], r[2], r[3], r[4]) for r in rows])
+            located, gone = judge_shard([(r[1], r[2], r[3], r[4]) for r in rows])
             return pa.RecordBatch.from_pydict({
                 "id": pa.array([r[0] for r in rows], pa.binary()), "doc_id": pa.array([r[3] for r in rows], kind), "start": pa.array([r[4] for r in rows], pa.int64()),
-                "gone": pa.array(gone, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))),
+                "located": pa.array(located, _RANGES), "gone": pa.array(gone, _RANGES),
             })
 
         last = kind = None
@@ -259,7 +285,17 @@ def judge_pieces(distinct: DataFrame) -> DataFrame:
 
     kind = distinct.schema["doc_id"].dataType.simpleString()
     dealt = distinct.repartition("shard").sortWithinPartitions("shard")
-    return dealt.mapInArrow(run, f"id binary, doc_id {kind}, start long, gone array<struct<a:bigint,b:bigint>>")
+    ranges = "array<struct<a:bigint,b:bigint>>"
+    return dealt.mapInArrow(run, f"id binary, doc_id {kind}, start long, located {ranges}, gone {ranges}")
+
+
+def _split(distinct: DataFrame, large: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct pieces of owners that fit a shard, and of large ones."""
+    if large.count() <= BROADCAST_OWNERS:
+        return distinct.join(F.broadcast(large), "owner", "left_anti"), distinct.join(F.broadcast(large), "owner", "left_semi")
+    salted = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
+    own = distinct.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    return tuple(own.join(salted, ["owner", "salt"], how).drop("salt") for how in ("left_anti", "left_semi"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -270,24 +306,23 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     distinct = pieces.groupBy("id").agg(first, F.count("*").alias("copies"), F.any_value("owner").alias("owner"), F.any_value("n").alias("n"), F.any_value("words").alias("words"))
     distinct = written(distinct.select("id", "owner", "first.doc_id", "first.start", "copies", "n", "words"), "pieces")
     large = distinct.groupBy("owner").agg(F.sum(F.col("n") + WINDOW).alias("words")).where(F.col("words") > SHARD_WORDS).select("owner")
-    small = distinct.join(large.hint("merge"), "owner", "left_anti")
+    small, big = _split(distinct, written(large, "large"))
     judged = judge_pieces(small.withColumnRenamed("owner", "shard"))
     # owners too large for a shard: their windows are dealt out one by one
-    big = distinct.join(large.hint("merge"), "owner", "left_semi")
     singles = cut_windows(big)
     collapsed = singles.groupBy("id").agg(first, F.sum("copies").alias("copies"), F.any_value("words").alias("words"))
     apart = judge_pieces(collapsed.select("id", F.xxhash64("id").alias("shard"), "first.doc_id", "first.start", "copies", "words").where("copies > 1"))
-    apart = apart.select("id", F.struct("doc_id", "start").alias("first"), (F.size("gone") > 0).alias("gone"))
-    back = singles.select("id", "piece", "j", F.struct("doc_id", "start").alias("own")).join(apart.hint("merge"), "id").where("gone or own <> first")
-    windows = back.groupBy(F.col("piece").alias("id")).agg(F.collect_list(F.struct(F.col("j").alias("a"), (F.col("j") + 1).alias("b"))).alias("gone"))
+    apart = apart.where("size(located) > 0").select("id", F.struct("doc_id", "start").alias("first"))
+    one = F.struct(F.col("j").alias("a"), (F.col("j") + 1).alias("b"))
+    back = singles.select("id", "piece", one.alias("one"), F.struct("doc_id", "start").alias("own")).join(apart.hint("merge"), "id")
+    windows = back.groupBy(F.col("piece").alias("id")).agg(F.collect_list("one").alias("located"), F.collect_list(F.when(F.col("own") != F.col("first"), F.col("one"))).alias("gone"))
     none = F.expr("cast(array() as array<struct<a:bigint,b:bigint>>)")
-    big = big.select("id", "doc_id", "start").join(windows.hint("merge"), "id", "left").withColumn("gone", F.coalesce("gone", none))
+    big = big.select("id", "doc_id", "start").join(windows.hint("merge"), "id", "left").withColumns({c: F.coalesce(c, none) for c in ("located", "gone")})
     judged = written(judged.unionByName(big), "judged")
-    first = judged.select("id", F.struct("doc_id", "start").alias("first"), "gone")
-    copies = pieces.select("id", "doc_id", "text_key", "start", "n").join(first.hint("merge"), "id")
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n").alias("b")))
+    first = judged.select("id", F.struct("doc_id", "start").alias("first"), "located", "gone")
+    copies = pieces.select("id", "doc_id", "text_key", "start").join(first.hint("merge"), "id")
     is_first = (F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.start") == F.col("start"))
-    gone = F.transform(F.when(is_first, F.col("gone")).otherwise(whole), lambda r: F.struct((r["a"] + F.col("start")).alias("a"), (r["b"] + F.col("start")).alias("b")))
+    gone = F.transform(F.when(is_first, F.col("gone")).otherwise(F.col("located")), lambda r: F.struct((r["a"] + F.col("start")).alias("a"), (r["b"] + F.col("start")).alias("b")))
     ranges = copies.select("doc_id", "text_key", gone.alias("gone")).where("size(gone) > 0").groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("gone")).alias("gone"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -111,9 +111,10 @@ def repeats_truth(texts):
     return out
 
 
-@pytest.mark.parametrize("shard", [substrings.SHARD_WORDS, 200])
-def test_remove_repeats(spark, docs, monkeypatch, shard):
+@pytest.mark.parametrize("shard, owners", [(substrings.SHARD_WORDS, 1000), (200, 1000), (200, 0)])
+def test_remove_repeats(spark, docs, monkeypatch, shard, owners):
     monkeypatch.setattr(substrings, "SHARD_WORDS", shard)
+    monkeypatch.setattr(substrings, "BROADCAST_OWNERS", owners)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.remove_repeats(docs(TEXTS)).collect()}
     assert got == repeats_truth(TEXTS)
 
@@ -125,6 +126,21 @@ def test_remove_repeats_edges(spark, docs):
     got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_removed) for r in substrings.remove_repeats(more).collect()))
     assert got == [(False, 0, 0)] * 2 + [(False, 1, 40)] * 2 + [(True, 0, 0)]
     assert substrings.remove_repeats(df.limit(0)).count() == 0
+    for ids in ([-3, -2, 5], ["-3", "-20", "b"]):  # strings sort as text: "-20" is the first
+        same = spark.createDataFrame([(d, text) for d in ids], "doc_id string, text string" if ids[2] == "b" else "doc_id long, text string")
+        assert {r.doc_id: r.n_removed for r in substrings.remove_repeats(same).collect()} == {d: 0 if d == min(ids) else 40 for d in ids}
+
+
+def test_hits_of_the_automata_decide(monkeypatch):
+    own, shared = passage(30), passage(25)
+    pieces = [(" ".join(w).encode(), n, d, 0) for w, n, d in ((own + shared, 1, 4), (shared, 2, 2), (passage(40), 1, 1), (own, 1, 9))]
+    located, gone = substrings.judge_shard(pieces)
+    assert located == [[{"a": 0, "b": 11}, {"a": 30, "b": 36}], [{"a": 0, "b": 6}], [], [{"a": 0, "b": 11}]]
+    assert gone == [[{"a": 30, "b": 36}], [], [], [{"a": 0, "b": 11}]]
+    monkeypatch.setattr(substrings, "PATTERNS", 3)
+    assert substrings.judge_shard(pieces) == (located, gone)
+    monkeypatch.setattr(substrings, "locate", lambda text, passages: tuple(substrings.np.zeros((2, 0), int)))
+    assert substrings.judge_shard(pieces) == ([[]] * 4, [[]] * 4)
 
 
 def test_components_of_chains_and_stars(spark):
