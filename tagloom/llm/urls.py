@@ -6,9 +6,15 @@ their aliases: redirects (meta refresh) and canonical links join urls to compone
 component with a blocked url is blocked, except for urls that a rule explicitly allows.
 Everything else is allowed.
 
+Links are resolved against their page's url (a base element isn't read).  For aliases, urls
+are the same if they agree but for the case of scheme and host, dot segments, an empty path
+for "/", and the fragment; components run over 128-bit digests of that form.
+
 Defined results: a null or malformed url has empty host and path, no rule, and verdict
-allow; every row of the table gives one row; a relative link is resolved against its
-page's scheme and host; fragments don't distinguish urls; links of null urls are ignored.
+allow; every row of the table gives one row, repeated rows too; null or empty html has no
+links, and links of null or malformed urls are ignored, as are links to other things than
+urls with "://" (mailto: and the like); very long html is read whole; other columns are
+ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -22,8 +28,8 @@ from .common import written
 #: (verdict, host, path); a short list, compiled to one expression.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-PARTS = r"(?s)^(.*?)://([^/?#]*)([^?#]*)"
-CANONICAL = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
+PARTS = r"(?s)^(.*?)://([^/?#]*)([^?#]*)(\?[^#]*)?"
+CANONICAL = r"""(?is)<link\b[^>]*\srel\s*=\s*(?:"(?:[^">]*\s)?canonical(?:\s[^">]*)?"|'(?:[^'>]*\s)?canonical(?:\s[^'>]*)?'|canonical[\s/>])[^>]*>?"""
 REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
 
 
@@ -44,71 +50,93 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return found
 
 
-def _node(url: Column) -> Column:
-    return F.regexp_extract(url, r"(?s)^[^#]*", 0)
+def _normal(url: Column) -> Column:
+    """The form that stands for a url's aliases; null without "://"."""
+    scheme, p = F.translate(F.regexp_extract(url, PARTS, 1), UPPER, LOWER), path(url)
+    # each segment in turn: ".." takes back the one before it
+    folded = F.aggregate(F.slice(F.split(p, "/"), F.lit(2), F.size(F.split(p, "/"))), F.lit(""), lambda done, s: F.when(s == "..", F.regexp_replace(done, "/[^/]*$", "")).when(s == ".", done).otherwise(F.concat(done, F.lit("/"), s)))
+    folded = F.concat(folded, F.when(p.rlike(r"/\.\.?$"), "/").otherwise(""))
+    clean = F.when(p == "", "/").when(p.contains("/."), folded).otherwise(p)
+    return F.when(url.contains("://"), F.concat(scheme, F.lit("://"), host(url), clean, F.regexp_extract(url, PARTS, 4)))
+
 
+def _key(normal: Column) -> Column:
+    return F.unhex(F.md5(normal))
 
-def alias_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): a page's url and the target of each of its redirects and canonical links."""
+
+def alias_edges(pages: DataFrame, rules=RULES) -> DataFrame:
+    """(a, b, a_blocked, b_blocked): keys of a page's url and of the target of each of its redirects and canonical links."""
     unquoted = r"[\"']?\s*([^\"'\s>]+)"
-    tags = pages.where("url is not null and html is not null").select(
+    tags = pages.where("contains(url, '://') and html is not null").select(
         "url",
         F.explode(
             F.concat(
-                F.transform(F.regexp_extract_all("html", F.lit(CANONICAL), F.lit(0)), lambda t: F.regexp_extract(t, r"(?is)\bhref\s*=\s*" + unquoted, 1)),
+                F.transform(F.regexp_extract_all("html", F.lit(CANONICAL), F.lit(0)), lambda t: F.regexp_extract(t, r"(?is)\shref\s*=\s*" + unquoted, 1)),
                 F.transform(F.regexp_extract_all("html", F.lit(REFRESH), F.lit(0)), lambda t: F.regexp_extract(t, r"(?is)\burl\s*=\s*" + unquoted, 1)),
             )
         ).alias("target"),
     )
-    target = F.replace("target", F.lit("&amp;"), F.lit("&"))
-    origin = F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1)
-    scheme = F.regexp_extract("url", r"(?s)^(.*?):", 1)
-    whole = F.when(target.startswith("//"), F.concat(scheme, F.lit(":"), target)).when(target.startswith("/"), F.concat(origin, target)).otherwise(target)
-    return tags.where("target <> ''").select(_node(F.col("url")).alias("a"), _node(whole).alias("b")).where("b rlike '://' and a <> b").distinct()
+    url, target = F.col("url"), F.replace("target", F.lit("&amp;"), F.lit("&"))
+    origin = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
+    folder = F.coalesce(F.nullif(F.regexp_extract(path(url), "(?s)^(.*/)", 1), F.lit("")), F.lit("/"))
+    whole = (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), target)
+        .when(target.startswith("//"), F.concat(F.regexp_extract(url, r"(?s)^(.*?):", 1), F.lit(":"), target))
+        .when(target.startswith("/"), F.concat(origin, target))
+        .when(target.startswith("?"), F.concat(origin, path(url), target))
+        .when(~target.startswith("#"), F.concat(origin, folder, target))
+    )
+    ends = tags.where("target <> ''").select("url", _normal(url).alias("a"), _normal(whole).alias("b")).where("a <> b")
+    blocked = lambda u: F.coalesce(rule_of(host(u), path(u), rules)["verdict"] == "block", F.lit(False))
+    return ends.select(_key(F.col("a")).alias("a"), _key(F.col("b")).alias("b"), (blocked(url) | blocked(F.col("a"))).alias("a_blocked"), blocked(F.col("b")).alias("b_blocked")).distinct()
 
 
 def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule and verdict of every page."""
-    own = pages.select("page_id", "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
+    own = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), _key(_normal(F.col("url"))).alias("node"))
     own = own.withColumn("own", rule_of(F.col("host"), F.col("path"), rules))
-    edges = written(alias_edges(pages), "aliases")
-    nodes = components(edges)
-    blocked = nodes.where(rule_of(host(F.col("node")), path(F.col("node")), rules)["verdict"] == "block").select("component").distinct()
+    edges = written(alias_edges(pages, rules), "aliases")
+    nodes = written(components(edges), "alias-components")
+    sources = edges.where("a_blocked").select(F.col("a").alias("node")).unionByName(edges.where("b_blocked").select(F.col("b").alias("node"))).distinct()
+    # written, so that both sides of the join are shuffles and a hot component's partition can be split
+    blocked = written(nodes.join(sources.hint("merge"), "node", "left_semi").select("component").distinct(), "blocked-components")
     aliases = nodes.join(blocked.hint("merge"), "component", "left_semi").select(F.col("node"), F.lit("block").alias("alias"))
-    judged = own.withColumn("node", _node(F.col("url"))).join(aliases.hint("merge"), "node", "left")
+    judged = own.join(written(aliases, "blocked-aliases").hint("merge"), "node", "left")
     return judged.select("page_id", "host", "path", F.col("own.rule").alias("rule"), F.coalesce("own.verdict", "alias", F.lit("allow")).alias("verdict"))
 
 
-ORACLE = r"""
+_TAGS = r"""list_transform(regexp_extract_all(html, '<link\b[^>]*\srel\s*=\s*(?:"(?:[^">]*\s)?canonical(?:\s[^">]*)?"|''(?:[^''>]*\s)?canonical(?:\s[^''>]*)?''|canonical[\s/>])[^>]*>?', 0, 'is'), lambda t: regexp_extract(t, '\shref\s*=\s*["'']?\s*([^"''\s>]+)', 1, 'is'))
+    || list_transform(regexp_extract_all(html, '<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0, 'is'), lambda t: regexp_extract(t, '\burl\s*=\s*["'']?\s*([^"''\s>]+)', 1, 'is'))"""
+_HOST = "translate(coalesce(regexp_extract({0}, '^(.*?)://([^/?#]*)([^?#]*)', 2, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PATH = "coalesce(regexp_extract({0}, '^(.*?)://([^/?#]*)([^?#]*)', 3, 's'), '')"
+ORACLE = rf"""
 WITH RECURSIVE base AS (
-  SELECT row_number() OVER () AS row_id, page_id, url, html,
-    translate(coalesce(regexp_extract(url, '^(.*?)://([^/?#]*)([^?#]*)', 2, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-    coalesce(regexp_extract(url, '^(.*?)://([^/?#]*)([^?#]*)', 3, 's'), '') AS path,
-    regexp_extract(url, '^[^#]*', 0, 's') AS node
-  FROM pages),
-tags AS (
-  SELECT node AS a, url, unnest(
-    list_transform(regexp_extract_all(html, '<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0, 'is'), lambda t: regexp_extract(t, '\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1, 'is'))
-    || list_transform(regexp_extract_all(html, '<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0, 'is'), lambda t: regexp_extract(t, '\burl\s*=\s*["'']?\s*([^"''\s>]+)', 1, 'is'))) AS raw
-  FROM base WHERE url IS NOT NULL AND html IS NOT NULL),
+  SELECT row_number() OVER () AS row_id, page_id, url, html, {_HOST.format("url")} AS host, {_PATH.format("url")} AS path FROM pages),
+tags AS (SELECT url, path, replace(unnest({_TAGS}), '&amp;', '&') AS t FROM base WHERE contains(url, '://') AND html IS NOT NULL),
 links AS (
-  SELECT DISTINCT a, regexp_extract(CASE WHEN t LIKE '//%' THEN regexp_extract(url, '^(.*?):', 1, 's') || ':' || t
-    WHEN t LIKE '/%' THEN regexp_extract(url, '^(.*?://[^/?#]*)', 1, 's') || t ELSE t END, '^[^#]*', 0, 's') AS b
-  FROM (SELECT a, url, replace(raw, '&amp;', '&') AS t FROM tags WHERE raw <> '')),
-edges AS (SELECT a, b FROM links WHERE contains(b, '://') AND a <> b UNION SELECT b, a FROM links WHERE contains(b, '://') AND a <> b),
+  SELECT DISTINCT url, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN t WHEN t LIKE '//%' THEN regexp_extract(url, '^(.*?):', 1, 's') || ':' || t
+    WHEN t LIKE '/%' THEN origin || t WHEN t LIKE '?%' THEN origin || path || t
+    WHEN t NOT LIKE '#%' THEN origin || coalesce(nullif(regexp_extract(path, '^(.*/)', 1, 's'), ''), '/') || t END AS target
+  FROM (SELECT *, regexp_extract(url, '^(.*?://[^/?#]*)', 1, 's') AS origin FROM tags WHERE t <> '')),
+forms AS (
+  SELECT raw, translate(regexp_extract(raw, '^(.*?)://', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || '://' || {_HOST.format("raw")} || CASE WHEN p = '' THEN '/' ELSE
+    list_reduce(string_split(p, '/'), lambda done, s: CASE s WHEN '..' THEN regexp_replace(done, '/[^/]*$', '') WHEN '.' THEN done ELSE done || '/' || s END) || CASE WHEN regexp_matches(p, '/\.\.?$') THEN '/' ELSE '' END END
+    || coalesce(regexp_extract(raw, '^(.*?)://([^/?#]*)([^?#]*)(\?[^#]*)?', 4, 's'), '') AS node
+  FROM (SELECT raw, {_PATH.format("raw")} AS p FROM (SELECT url AS raw FROM base UNION SELECT target FROM links) WHERE contains(raw, '://'))),
+directed AS (SELECT l.url, l.target, f.node AS a, g.node AS b FROM links l JOIN forms f ON f.raw = l.url JOIN forms g ON g.raw = l.target WHERE f.node <> g.node),
+edges AS (SELECT a, b FROM directed UNION SELECT b, a FROM directed),
 verdicts(rule, host, path, verdict) AS (VALUES ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'),
   ('example.org/en/1', 'example.org', '/en/1', 'block'), ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block')),
-nodes AS (SELECT DISTINCT a AS node FROM edges),
-judged_nodes AS (
-  SELECT n.node, arg_max(v.verdict, length(v.rule)) AS verdict
-  FROM (SELECT node, translate(regexp_extract(node, '^(.*?)://([^/?#]*)([^?#]*)', 2, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-          regexp_extract(node, '^(.*?)://([^/?#]*)([^?#]*)', 3, 's') AS path FROM nodes) n
-  JOIN verdicts v ON (n.host = v.host OR ends_with(n.host, '.' || v.host)) AND starts_with(n.path, v.path) GROUP BY n.node),
-reached AS (SELECT node FROM judged_nodes WHERE verdict = 'block' UNION SELECT e.b FROM reached r JOIN edges e ON e.a = r.node),
+ends AS (SELECT url AS raw, a AS node FROM directed UNION SELECT a, a FROM directed UNION SELECT b, b FROM directed),
+judged_ends AS (
+  SELECT n.raw, n.node, arg_max(v.verdict, length(v.rule)) AS verdict
+  FROM (SELECT raw, node, {_HOST.format("raw")} AS host, {_PATH.format("raw")} AS path FROM ends) n
+  JOIN verdicts v ON (n.host = v.host OR ends_with(n.host, '.' || v.host)) AND starts_with(n.path, v.path) GROUP BY n.raw, n.node),
+reached AS (SELECT node FROM judged_ends WHERE verdict = 'block' UNION SELECT e.b FROM reached r JOIN edges e ON e.a = r.node),
 own AS (
-  SELECT b.row_id, b.page_id, b.url, b.host, b.path, b.node, arg_max(v.rule, length(v.rule)) AS rule, arg_max(v.verdict, length(v.rule)) AS verdict
-  FROM base b LEFT JOIN verdicts v ON (b.host = v.host OR ends_with(b.host, '.' || v.host)) AND starts_with(b.path, v.path)
-  GROUP BY b.row_id, b.page_id, b.url, b.host, b.path, b.node)
+  SELECT b.row_id, b.page_id, b.host, b.path, f.node, arg_max(v.rule, length(v.rule)) AS rule, arg_max(v.verdict, length(v.rule)) AS verdict
+  FROM base b LEFT JOIN forms f ON f.raw = b.url LEFT JOIN verdicts v ON (b.host = v.host OR ends_with(b.host, '.' || v.host)) AND starts_with(b.path, v.path)
+  GROUP BY b.row_id, b.page_id, b.host, b.path, f.node)
 SELECT o.page_id, o.host, o.path, o.rule, coalesce(o.verdict, CASE WHEN r.node IS NOT NULL THEN 'block' END, 'allow') AS verdict
 FROM own o LEFT JOIN reached r ON r.node = o.node
 """

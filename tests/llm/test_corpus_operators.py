@@ -156,6 +156,10 @@ PAGES = [
     (4, "https://good.example.org/es/9", ""), (5, "HTTP://WWW.Example.COM/fr/2?q=/de/", '<link rel="canonical" href="http://shop.example.com/de/1">'), (6, None, None), (7, "nonsense", "<html>"),
     (8, "https://plain.example.net", '<link rel="stylesheet" href="http://shop.example.com/de/1">'), (9, "http://evilexample.org/es/1", ""), (10, "http://example.org/en/12", ""), (1, "https://alias.example.net/x#top", None),
     (11, "https://a.net/u://v?x#y", '<link rel="canonical" href="//second.example.net/y">'),
+    (20, "http://rel.example.com/de/2", '<meta http-equiv="refresh" content="0; url=../en/9">'), (21, "HTTP://REL.example.com/en/9", ""), (22, "http://rel.example.com/en/deep/er", '<link rel="canonical" href="./../../de/./5">'),
+    (23, "http://rel.example.com/q", "<link rel='alternate canonical' href='?a=1&amp;b=2'>"), (24, "http://rel.example.com/q?a=1&b=2", '<link href="de/1" rel="canonical">'), (25, "http://rel.example.com", '<link rel=canonical href="de/7">'),
+    (26, "http://rel.example.com/#top", ""), (27, "http://rel.example.com/m", '<link rel="canonical" href="mailto:a@b.example.com">'), (28, "http://rel.example.com/n", '<link rel="canonical" href="#de">'), (29, "http://rel.example.com/x/..", ""),
+    (30, "http://rel.example.com/en/none", '<link rel="non-canonical" href="/de/1">'), (31, "http://rel.example.com/de/../y", '<link rel="canonical" href="/z/.">'), (32, "http://rel.example.com/z/", ""), (33, "", "<link rel=canonical href=/de/1>"),
 ]
 
 
@@ -166,6 +170,8 @@ def test_url_filters(spark):
     assert got[3] == ("good.example.org", "/p", "org/", "allow") and got[4][2:] == ("example.org/es/", "block")
     assert got[5] == ("www.example.com", "/fr/2", "com/fr/", "allow") and got[6] == ("", "", None, "allow") == got[7]
     assert got[8] == ("plain.example.net", "", None, "allow") and got[9][2:] == ("org/", "allow") and got[10][2:] == ("example.org/en/1", "block")
+    verdicts = {k: got[k][3] for k in range(20, 33)}
+    assert [k for k, v in verdicts.items() if v == "block"] == [20, 21, 22, 23, 24, 25, 26, 29, 31, 32]
     con = duckdb.connect()
     con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
     con.executemany("INSERT INTO pages VALUES (?, ?, ?)", PAGES)
