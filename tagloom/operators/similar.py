@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import written
+
 BITS = 64
 
 
@@ -44,22 +46,22 @@ def nearest(keyed: DataFrame, probe: int, threshold: int, n: int) -> DataFrame:
     return keyed.where(F.col("key") != probe).join(F.broadcast(one)).where(d <= threshold).select("key", d.alias("distance")).orderBy("distance", "key").limit(n)
 
 
-def greedy_groups(pairs: DataFrame, save) -> DataFrame:
+def greedy_groups(pairs: DataFrame) -> DataFrame:
     """(member, leader): in key order, a key leads unless an earlier leader is near, whose smallest it joins.
 
     Rounds over the pair table: undecided keys without a smaller undecided neighbour lead,
-    their neighbours follow.  `save` writes a table and reads it back, to cut lineage.
+    their neighbours follow; each round's tables are written, to cut lineage.
     """
-    edges = save(pairs.select("a", "b"))
-    undecided = save(edges.select(F.col("a").alias("k")).union(edges.select(F.col("b").alias("k"))).distinct())
+    edges = written(pairs.select("a", "b"), "groups")
+    undecided = written(edges.select(F.col("a").alias("k")).union(edges.select(F.col("b").alias("k"))).distinct(), "groups")
     leaders = undecided.limit(0)
     while not undecided.isEmpty():
         live = edges.join(undecided.withColumnRenamed("k", "a").hint("merge"), "a", "left_semi").join(undecided.withColumnRenamed("k", "b").hint("merge"), "b", "left_semi")
         blocked = live.select(F.col("b").alias("k")).distinct()
-        new = save(undecided.join(blocked.hint("merge"), "k", "left_anti"))
+        new = written(undecided.join(blocked.hint("merge"), "k", "left_anti"), "groups")
         followers = edges.join(new.withColumnRenamed("k", "a").hint("merge"), "a", "left_semi").select(F.col("b").alias("k"))
-        leaders = save(leaders.union(new))
-        undecided = save(undecided.join(new.hint("merge"), "k", "left_anti").join(followers.hint("merge"), "k", "left_anti"))
+        leaders = written(leaders.union(new), "groups")
+        undecided = written(undecided.join(new.hint("merge"), "k", "left_anti").join(followers.hint("merge"), "k", "left_anti"), "groups")
     heads = leaders.withColumnRenamed("k", "a")
     joined = edges.join(heads.hint("merge"), "a", "left_semi").join(leaders.withColumnRenamed("k", "b").hint("merge"), "b", "left_anti")
     members = joined.groupBy(F.col("b").alias("member")).agg(F.min("a").alias("leader"))

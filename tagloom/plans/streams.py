@@ -14,7 +14,7 @@ def source(sf_dir: str, name: str) -> str:
     return f"{sf_dir}/{name}.parque[t]"
 
 
-@query()
+@query("SELECT * FROM events")
 def stream_ingest(spark, sf_dir):
     """All events, read by a stream and written once."""
     at = jobs.shared(spark)
@@ -22,7 +22,7 @@ def stream_ingest(spark, sf_dir):
     return jobs.ingest(spark, source(sf_dir, "events"), schema, ["event_id"], f"{at}/table", f"{at}/checkpoint")
 
 
-@query()
+@query("SELECT coalesce(l.doc_id, d.doc_id) AS doc_id, l.quality, length(d.text) AS n_chars FROM labels l FULL JOIN documents d ON d.doc_id = l.doc_id")
 def stream_upsert(spark, sf_dir):
     """Labels as an index, with a computed length for each document streamed in."""
     at = jobs.shared(spark)
@@ -32,7 +32,12 @@ def stream_upsert(spark, sf_dir):
     return spark.read.parquet(jobs.upsert(spark, stream, f"{at}/index", ["n_chars"], f"{at}/checkpoint"))
 
 
-@query()
+@query("""WITH RECURSIVE own AS (SELECT user_id AS id, ts, CASE event_type WHEN 'signup' THEN 'create' WHEN 'click' THEN 'propose' WHEN 'purchase' THEN 'accept' WHEN 'error' THEN 'decline' ELSE 'view' END AS action FROM events),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts, action) AS rn FROM own),
+moves(state, action, after) AS (VALUES ('new', 'create', 'open'), ('open', 'propose', 'proposed'), ('proposed', 'accept', 'accepted'), ('proposed', 'decline', 'declined')),
+walk AS (SELECT n.id, n.rn, n.ts, n.action, m.after IS NOT NULL AS accepted, coalesce(m.after, 'new') AS state FROM numbered n LEFT JOIN moves m ON m.state = 'new' AND m.action = n.action WHERE n.rn = 1
+  UNION ALL SELECT n.id, n.rn, n.ts, n.action, m.after IS NOT NULL, coalesce(m.after, w.state) FROM walk w JOIN numbered n ON n.id = w.id AND n.rn = w.rn + 1 LEFT JOIN moves m ON m.state = w.state AND m.action = n.action)
+SELECT id, ts, action, accepted, state FROM walk""")
 def lifecycle(spark, sf_dir):
     """Users' events as request actions, judged by a stateful stream."""
     at = jobs.shared(spark)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -20,18 +18,6 @@ fs AS (SELECT *, CASE WHEN vx > 216 / 24389 THEN cbrt(vx) ELSE (24389 / 27 * vx
 lab AS (SELECT img, label, y, x, r, g, b, 116 * fy - 16 AS lab_l, 500 * (fx - fy) AS lab_a, 200 * (fy - fz) AS lab_b FROM fs)"""
 
 
-def save(spark):
-    """Write a table to the cluster's shared folder and read it back."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-
-    def run(df):
-        path = f"{folder.rstrip('/')}/step-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    return run
-
-
 def keyed(spark, sf_dir):
     return hashes(spark, sf_dir).select(F.col("vec_id").alias("key"), "h")
 
@@ -82,7 +68,7 @@ def hash_classes(spark, sf_dir):
 def dup_groups(spark, sf_dir):
     """Greedy leader groups of near-duplicate classes."""
     reps = similar.classes(simhash(spark, sf_dir))
-    return similar.greedy_groups(similar.near_pairs(reps, 3), save(spark))
+    return similar.greedy_groups(similar.near_pairs(reps, 3))
 
 
 @query(LAB + " SELECT img, y, x, lab_l, lab_a, lab_b FROM (SELECT img, y::INTEGER AS y, x::INTEGER AS x, round(lab_l, 6) + 0.0::DOUBLE AS lab_l, round(lab_a, 6) + 0.0::DOUBLE AS lab_a, round(lab_b, 6) + 0.0::DOUBLE AS lab_b FROM lab)", "pixels")

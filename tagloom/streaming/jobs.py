@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..shared import shared_folder
+
 MOVES = {("new", "create"): "open", ("open", "propose"): "proposed", ("proposed", "accept"): "accepted", ("proposed", "decline"): "declined"}
 
 
 def shared(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def drain(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str) -> None:
@@ -24,30 +25,49 @@ def drain(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint:
 
 
 def ingest(spark: SparkSession, source: str, schema, keys: list[str], target: str, checkpoint: str) -> DataFrame:
-    """Append what is new since the last run to a table; a batch seen twice is written over, so restarts are idempotent."""
+    """Append what is new since the last run to a table, one row a key; a batch seen twice is written over, so restarts are idempotent."""
     stream = spark.readStream.schema(schema).parquet(source)
 
     def work(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates(keys).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        new = batch.dropDuplicates(keys)
+        if number > 0:  # keys of earlier batches stay as they are
+            before = spark.read.parquet(target).where(F.col("batch") < number).select(*keys)
+            new = new.join(before.hint("merge"), keys, "left_anti")
+        new.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     drain(stream, work, checkpoint)
     return spark.read.parquet(target).drop("batch")
 
 
-def upsert(spark: SparkSession, stream: DataFrame, index: str, columns: list[str], checkpoint: str) -> str:
-    """Merge computed fields into an index without touching others; each batch writes a snapshot and the last path is returned."""
-    current = {"path": index}
+def _newest(spark: SparkSession, folder: str) -> int:
+    """The largest number of a complete snapshot in a folder, or -1."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = [int(p.getParent().getName()) for p in (s.getPath() for s in files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/*/_SUCCESS")) or ())]
+    return max(done, default=-1)
+
+
+def upsert(spark: SparkSession, stream: DataFrame, index: str, columns: list[str], checkpoint: str, order: str | None = None) -> str:
+    """Merge computed fields into an index without touching others; each batch writes a snapshot and the newest one's path is returned.
+
+    A batch builds on the newest snapshot before it, which is found in the folder, so a restart
+    goes on where the last run ended and a batch seen twice gives the same snapshot.  Of several
+    values for a key in one batch the one with the largest `order` wins (without it, the largest
+    value); a null leaves the field as it was.
+    """
+    folder = f"{checkpoint}/snapshots"
 
     def work(batch: DataFrame, number: int) -> None:
-        old = spark.read.parquet(current["path"])
-        new = batch.groupBy("doc_id").agg(*(F.last(c, ignorenulls=True).alias(f"new_{c}") for c in columns))
+        before = min(_newest(spark, folder), number - 1)
+        old = spark.read.parquet(f"{folder}/{before}" if before >= 0 else index)
+        value = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct(F.col(order or c).alias("at"), F.col(c).alias("value"))))["value"]
+        new = batch.groupBy("doc_id").agg(*(value(c).alias(f"new_{c}") for c in columns))
         merged = old.join(new.hint("merge"), "doc_id", "full_outer").select("doc_id", *(F.coalesce(f"new_{c}", c).alias(c) if c in columns else F.col(c) for c in old.columns if c != "doc_id"))
-        path = f"{checkpoint}/snapshots/{number}"
-        merged.write.mode("overwrite").parquet(path)
-        current["path"] = path
+        merged.write.mode("overwrite").parquet(f"{folder}/{number}")
 
     drain(stream, work, checkpoint)
-    return current["path"]
+    newest = _newest(spark, folder)
+    return f"{folder}/{newest}" if newest >= 0 else index
 
 
 def quiet(stream: DataFrame, key: str, ts: str, gap: str, delay: str) -> DataFrame:
@@ -66,12 +86,13 @@ def lifecycle(events: DataFrame) -> DataFrame:
 
     def advance(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = state.get[0] if state.exists else "new"
-        for part in parts:
-            out = []
-            for ts, action in part.sort_values(["ts", "action"])[["ts", "action"]].itertuples(index=False):
-                accepted, now = step(now, action)
-                out.append((key[0], ts, action, accepted, now))
-            yield pd.DataFrame(out, columns=["id", "ts", "action", "accepted", "state"])
+        # one id's events of one micro-batch, which may come in several Arrow batches
+        own = pd.concat([part[["ts", "action"]] for part in parts]).sort_values(["ts", "action"])
+        out = []
+        for ts, action in own.itertuples(index=False):
+            accepted, now = step(now, action)
+            out.append((key[0], ts, action, accepted, now))
         state.update((now,))
+        yield pd.DataFrame(out, columns=["id", "ts", "action", "accepted", "state"])
 
     return events.groupBy("id").applyInPandasWithState(advance, "id long, ts timestamp, action string, accepted boolean, state string", "state string", "append", GroupStateTimeout.NoTimeout)

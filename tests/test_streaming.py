@@ -17,6 +17,28 @@ def test_upsert_keeps_other_fields(spark, sf_dir):
     assert sorted(map(tuple, got.select("doc_id", "quality", "n_chars").collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
 
 
+def test_upsert_goes_on_after_a_restart(spark, tmp_path):
+    rows = lambda rs: spark.createDataFrame(rs, "doc_id long, score long, at long")
+    spark.createDataFrame([(1, 5, "a"), (2, None, "b")], "doc_id long, score long, name string").write.parquet(f"{tmp_path}/index")
+    stream = lambda: spark.readStream.schema(rows([]).schema).parquet(f"{tmp_path}/in")
+    run = lambda: jobs.upsert(spark, stream(), f"{tmp_path}/index", ["score"], f"{tmp_path}/cp", "at")
+    rows([(2, 7, 1), (2, 6, 2), (11, 1, 1), (1, None, 9)]).write.parquet(f"{tmp_path}/in")
+    assert {tuple(r) for r in spark.read.parquet(run()).select("doc_id", "score", "name").collect()} == {(1, 5, "a"), (2, 6, "b"), (11, 1, None)}
+    rows([(12, 3, 1)]).write.mode("append").parquet(f"{tmp_path}/in")
+    want = {(1, 5, "a"), (2, 6, "b"), (11, 1, None), (12, 3, None)}
+    for _ in range(2):  # the second time without anything new
+        assert {tuple(r) for r in spark.read.parquet(run()).select("doc_id", "score", "name").collect()} == want
+
+
+def test_ingest_takes_a_key_once(spark, tmp_path):
+    rows = lambda rs: spark.createDataFrame(rs, "id long, x long")
+    run = lambda: sorted(r.id for r in jobs.ingest(spark, f"{tmp_path}/in", rows([]).schema, ["id"], f"{tmp_path}/out", f"{tmp_path}/cp").collect())
+    rows([(1, 1), (1, 2), (2, 1)]).write.parquet(f"{tmp_path}/in")
+    assert run() == [1, 2]
+    rows([(2, 5), (3, 1)]).write.mode("append").parquet(f"{tmp_path}/in")
+    assert run() == [1, 2, 3] == run()
+
+
 def test_lifecycle_table(spark, sf_dir):
     got = [r for r in catalog.queries()["lifecycle"](spark, sf_dir).collect()]
     assert len(got) == spark.read.parquet(f"{sf_dir}/events.parquet").count()
