@@ -8,8 +8,11 @@ numbers, addresses, and of links the scheme, host, path and names of parameters)
 first; they stay spans only where a base pattern finds them.  Links' user-info and the values
 of their queries and fragments are tested like other text.
 
-Defined results: a null text is empty (no spans); offsets are code points, ends exclusive;
-spans of the method never overlap base spans; every row gives one row.
+Defined results: a null or empty text has no spans; offsets are code points, ends exclusive;
+spans of the method never overlap base spans; base spans of different kinds may overlap, and
+of equal starts the kind listed first comes first; every row gives one row, repeated rows
+too; a very long text is read whole, in time in proportion to its length; other columns are
+ignored (redaction keeps them, whatever their names); an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, unused
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -31,6 +34,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KEYLIKE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 MIN_LENGTH = 20
+PIECE = re.compile(r"\S{%d,}" % MIN_LENGTH)
 MAX_RATIO = 2.1
 #: digests (md5, sha1, sha224, sha256, sha384, sha512), UUIDs, numbers.
 KNOWN = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9+/_=-]+")
@@ -77,16 +81,31 @@ def without_links(piece: str) -> str:
     return ADDRESS.sub(blank, piece) if "@" in piece else piece
 
 
+def random_parts(piece: str, enc) -> list[tuple[int, int]]:
+    """Key-like runs of a white-space piece that take too many tokens."""
+    runs = KEYLIKE.finditer(without_links(piece))
+    return [m.span() for m in runs if not KNOWN.fullmatch(m[0]) and len(m[0]) < MAX_RATIO * len(enc.encode_ordinary(m[0]))]
+
+
 def random_spans(text: str, base: list[tuple[int, int, int]], enc) -> list[tuple[int, int, int]]:
-    found = []
-    for piece in {p for p in text.split() if len(p) >= MIN_LENGTH}:
-        bad = [m for m in KEYLIKE.finditer(without_links(piece)) if not KNOWN.fullmatch(m[0]) and len(m[0]) < MAX_RATIO * len(enc.encode_ordinary(m[0]))]
-        if bad:
-            at = text.find(piece)
-            while at >= 0:
-                found += [(at + m.start(), at + m.end(), 3) for m in bad]
-                at = text.find(piece, at + len(piece))
-    return sorted({s for s in found if not any(s[0] < b[1] and b[0] < s[1] for b in base)})
+    """Random strings that no base span touches, by one pass over the text."""
+    taken: list[list[int]] = []  # base spans, merged and sorted
+    for a, b, _ in base:
+        if taken and a < taken[-1][1]:
+            taken[-1][1] = max(b, taken[-1][1])
+        else:
+            taken.append([a, b])
+    found, seen, k = [], {}, 0
+    for m in PIECE.finditer(text):
+        if m[0] not in seen:
+            seen[m[0]] = random_parts(m[0], enc)
+        for a, b in seen[m[0]]:
+            a, b = a + m.start(), b + m.start()
+            while k < len(taken) and taken[k][1] <= a:
+                k += 1
+            if k == len(taken) or taken[k][0] >= b:
+                found.append((a, b, 3))
+    return found
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -130,9 +149,10 @@ def redact_secrets(docs: DataFrame, ranks: str, pattern: str, mark: str = "[secr
                     parts += [text[at:a], mark]
                 at = max(at, b)
             out.append("".join([*parts, text[at:]]) if parts else None)
-        return {"__clean": pa.array(out, pa.string())}
+        return {own: pa.array(out, pa.string())}
 
+    own = unused("clean", docs.columns)
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    done = map_texts(docs, clean, "__clean string", *others, keep_text=True)
-    changed = {"text": F.coalesce("__clean", F.col("text").cast("string")), "n_chars": F.when(F.col("__clean").isNotNull(), F.length("__clean")).otherwise(F.col("n_chars")) if "n_chars" in others else None}
+    done = map_texts(docs, clean, f"{own} string", *others, keep_text=True)
+    changed = {"text": F.coalesce(own, F.col("text").cast("string")), "n_chars": F.when(F.col(own).isNotNull(), F.length(own)).otherwise(F.col("n_chars")) if "n_chars" in others else None}
     return done.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
