@@ -12,22 +12,30 @@ most, so windows with fewer benchmark words, or fewer rare ones, than every matc
 are skipped, which loses nothing.  WALKS and SAMPLES are set for a recall above
 0.95 at the largest distance (see tests); exact copies always collide.
 
-Defined results: null texts and items, and items without words, match nothing; repeated
-rows are judged each; the benchmark is a query set, read in blocks of BLOCK items that are
-broadcast one at a time, so its size is not bounded by memory.
+The benchmark is a query set.  It is read in blocks of at most about BLOCK items and
+BLOCK_BYTES bytes; with more than one, each block is a pass over the documents of its own,
+whose result is written before the next block is broadcast, so a worker holds one block.
+
+Defined results: null texts and items, and items without words, match nothing; equal items
+with the same id count once; repeated documents are judged each; very long texts are read
+whole; other columns are ignored or kept as they are, whatever their names; an empty table of
+documents gives an empty table, an empty benchmark no match.
 """
 
 from __future__ import annotations
 
 import string
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import map_texts
+from .common import map_texts, unused, written
 from .words import U64, binary_column, hash_words, mix
 
 EDIT_SHARE = 5
@@ -35,7 +43,7 @@ WALKS, SAMPLES, PICKS = 6, 8, 4
 COMMON = 0.02
 SIEVE_BITS = 20
 _SIEVE = U64((1 << SIEVE_BITS) - 1)
-BLOCK = 5_000
+BLOCK, BLOCK_BYTES = 5_000, 8 << 20
 GROWTH = 1.25
 _SPACED = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 _PAD = U64(0x5BD1E9955BD1E995)
@@ -187,36 +195,52 @@ def matches(batch: list[bytes], items: Items) -> list[list[dict]]:
     return [[{"item": items.ids[k], "distance": v[0], "end_word": v[1], "item_words": len(items.words[k])} for k, v in sorted(f.items())] for f in found]
 
 
-def item_blocks(benchmark: DataFrame) -> list[list[tuple]]:
-    """The benchmark's texts in blocks; each is collected and broadcast alone."""
-    rows = benchmark.where("item_id is not null and text is not null")
-    n = max(1, -(-rows.count() // BLOCK))
-    for k in range(n):
-        block = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else rows
-        yield sorted((r.item_id, bytes(r.text)) for r in block.select("item_id", F.col("text").cast("binary").alias("text")).distinct().collect())
+def item_blocks(benchmark: DataFrame) -> tuple[int, Iterator[list[tuple]]]:
+    """How many blocks the benchmark has, and their items (id, text), collected one block at a time."""
+    rows = benchmark.select("item_id", F.col("text").cast("binary").alias("text")).where("item_id is not null and text is not null").distinct()
+    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("bytes")).first()
+    n = max(1, -(-size.n // BLOCK), -(-size.bytes // BLOCK_BYTES))
+    blocks = (rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else rows for k in range(n))
+    return n, (sorted((r.item_id, bytes(r.text)) for r in block.collect()) for block in blocks)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *more: str, keep_text: bool = False) -> DataFrame:
-    """Every document with `hits`, an array of its benchmark items."""
-    kind = benchmark.schema["item_id"].dataType.simpleString()
-    schema = f"hits array<struct<item:{kind},distance:int,end_word:bigint,item_words:int>>"
-    sc, blocks = docs.sparkSession.sparkContext, []
-    for rows in item_blocks(benchmark):
-        blocks.append(sc.broadcast(prepare(rows)))
+def find_hits(docs: DataFrame, benchmark: DataFrame, items: list[tuple], name: str, *more: str, keep_text: bool = False) -> DataFrame:
+    """Every document with an array `name` of its items among these."""
+    kind = benchmark.schema["item_id"].dataType
+    block = docs.sparkSession.sparkContext.broadcast(prepare(items))
+    own = pa.struct([("item", to_arrow_type(kind)), ("distance", pa.int32()), ("end_word", pa.int64()), ("item_words", pa.int32())])
 
     def work(batch: list[bytes]) -> dict:
-        hits = [[] for _ in batch]
-        for block in blocks:
-            for own, new in zip(hits, matches(batch, block.value)):
-                own += new
-        kinds = pa.struct([("item", pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()), ("distance", pa.int32()), ("end_word", pa.int64()), ("item_words", pa.int32())])
-        return {"hits": pa.array(hits, pa.list_(kinds))}
+        return {name: pa.array(matches(batch, block.value), pa.list_(own))}
 
+    schema = f"`{name}` array<struct<item:{kind.simpleString()},distance:int,end_word:bigint,item_words:int>>"
     return map_texts(docs, work, schema, *more, keep_text=keep_text)
 
 
+def _each_block(benchmark: DataFrame, step: Callable[[list[tuple]], DataFrame], name: str) -> Iterator[DataFrame]:
+    n, blocks = item_blocks(benchmark)
+    for items in blocks:
+        yield step(items) if n == 1 else written(step(items), name)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_item_words, distance, end_word): every document and item that it holds."""
-    return find_leaks(docs, benchmark).select("doc_id", F.explode("hits").alias("hit")).select(
+    hit = F.explode("hits").alias("hit")
+    found = _each_block(benchmark, lambda items: find_hits(docs, benchmark, items, "hits").select("doc_id", hit), "leaks")
+    return reduce(DataFrame.unionByName, found).select(
         "doc_id", F.col("hit.item").alias("item_id"), F.col("hit.item_words").alias("n_item_words"), F.col("hit.distance").alias("distance"), F.col("hit.end_word").alias("end_word")
     )
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents that hold no item, with all their columns; each block reads what the one before it left."""
+    own, others = unused("hits", docs.columns), [c for c in docs.columns if c not in ("doc_id", "text")]
+    left = [docs]
+
+    def step(items: list[tuple]) -> DataFrame:
+        found = find_hits(left[-1], benchmark, items, own, *others, keep_text=True).where(F.size(own) == 0)
+        return found.select(*[F.col("text").cast("string").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+
+    for kept in _each_block(benchmark, step, "clean"):
+        left.append(kept)
+    return left[-1]
