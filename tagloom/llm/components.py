@@ -2,8 +2,9 @@
 
 Each round is two aggregations and two joins on the current edges and is written to the
 shared folder, so lineage stays short and a lost executor costs one round at most.  A hot
-node's neighbours are pre-aggregated to their minimum before the shuffle, and the joins
-are sort-merge joins that adaptive execution splits; no group is ever collected.
+node's neighbours are pre-aggregated to their minimum before the shuffle.  The minima are
+written, too: both sides of each join are then plain shuffles, which adaptive execution
+splits for a hot node.  No group is ever collected.
 """
 
 from __future__ import annotations
@@ -16,12 +17,12 @@ from .common import written
 
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "minima")
     return both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
+    least = written(e.groupBy("u").agg(F.min("v").alias("m")), "minima")
     moved = e.join(least.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -40,7 +41,7 @@ def components(edges: DataFrame) -> DataFrame:
     e = written(e, "edges")
     before = _mark(e)
     while before[0]:
-        e = written(_small_star(_large_star(e)), "edges")
+        e = written(_small_star(written(_large_star(e), "edges")), "edges")
         after = _mark(e)
         if after == before:
             break

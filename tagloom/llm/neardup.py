@@ -3,17 +3,24 @@
 Universal hash minima of word shingles, banded into buckets; every bucket is a star around
 its smallest member, and the stars' connected components are candidate groups that hold
 every pair of documents sharing a bucket.  Inside a group, pairs are checked by signature
-and then exactly on full shingle sets, in blocks of bounded size; the links found give the
-final components.
+and then exactly on full shingle sets; the links found give the final components.
 
-Skew: documents with equal sets are one class from the start (a hot group of copies costs
-one row); buckets are pre-aggregated; groups beyond BLOCK_SHINGLES are dealt to blocks by
-hash, each pair of blocks in one task, and only a spanning set of links leaves a task.
+Only one link per merge is kept: a document that has joined a cluster is compared with no
+other member of it, so tasks hold sets, signatures and cluster numbers, never pairs.
 
-Defined results: a document without words has 0 shingles and its own component; equal ids
-are one document; rows with a null doc_id link nothing, have a null component and stay;
-every row gives one row.  A link at the threshold t is missed with probability
-(1 - t^ROWS)^bands, which the number of bands holds under MISSED: 24 at 0.85, 35 at 0.80.
+Skew: documents with equal sets are one class from the start (a hot group of copies costs
+one row); buckets are pre-aggregated.  Groups beyond BLOCK_SHINGLES are dealt to blocks by
+hash.  First each block is compared in itself, then the clusters' first documents across
+blocks, and then only what is still open: documents outside a group's largest cluster, with
+the whole group, each pair of blocks in one task.  Texts of one large cluster thus travel
+once; many different texts in one large group still cost the square of their blocks.
+
+Defined results: a document without words (or null, or empty) has 0 shingles and its own
+component; equal ids are one document; rows with a null doc_id link nothing, have a null
+component and stay; very long texts are read whole; other columns are ignored; an empty table
+gives an empty table; every row gives one row.  A link at the threshold t is missed with
+probability (1 - t^ROWS)^bands, which the number of bands holds under MISSED: 24 at 0.85, 35
+at 0.80.
 """
 
 from __future__ import annotations
@@ -24,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_texts, texts, written
@@ -105,61 +112,65 @@ def candidate_groups(classes: DataFrame) -> DataFrame:
     """(node, component) of documents that share a bucket with another, by stars around buckets' smallest ids."""
     members = classes.select("rep", F.explode("bands").alias("bucket"))
     stars = members.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").select("bucket", "hub")
-    return components(members.join(stars.hint("merge"), "bucket").select(F.col("hub").alias("a"), F.col("rep").alias("b")))
-
-
-def _intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections of two lists of sets, by products of 0/1 columns of shared shingles."""
-    both = np.concatenate([*a, *b])
-    _, code, n = np.unique(both, return_inverse=True, return_counts=True)
-    shared = np.cumsum(n > 1) - 1
-    row = np.repeat(np.arange(len(a) + len(b)), [len(s) for s in [*a, *b]])
-    keep = (n > 1)[code]
-    row, col = row[keep], shared[code[keep]]
-    order = np.argsort(col, kind="stable")
-    row, col = row[order], col[order]
-    out, width = np.zeros((len(a), len(b)), np.float32), 2048
-    cuts = np.searchsorted(col, np.arange(0, (col[-1] if len(col) else -1) + width + 1, width))
-    for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])):
-        m = np.zeros((len(a) + len(b), width), np.float32)
-        m[row[i:j], col[i:j] - k * width] = 1
-        out += m[: len(a)] @ m[len(a) :].T
-    return out
-
-
-def links(left: tuple[list, list], right: tuple[list, list] | None, percent: int = PERCENT) -> list[tuple]:
-    """A spanning set of the links between two lists (ids, sets), or within one."""
-    ids_a, a = left
-    ids_b, b = right or left
-    sig_a = [minima(s) for s in a]
-    sig_b = np.stack(sig_a if right is None else [minima(s) for s in b])
-    least = percent / 100 - MARGIN
-    near = [(i, j) for i, m in enumerate(sig_a) for j in np.flatnonzero((sig_b == m).mean(1) >= least) if right is not None or j < i]
-    if not near:
-        return []
-    if len(near) > 200:
-        rows, cols = sorted({i for i, _ in near}), sorted({j for _, j in near})
-        common = _intersections([a[i] for i in rows], [b[j] for j in cols])
-        at_row, at_col = {i: k for k, i in enumerate(rows)}, {j: k for k, j in enumerate(cols)}
-        size = {(i, j): int(common[at_row[i], at_col[j]]) for i, j in near}
-    else:
-        size = {(i, j): len(np.intersect1d(a[i], b[j], assume_unique=True)) for i, j in near}
-    parent: dict = {}
-
-    def find(x):
-        while parent.get(x, x) != x:
-            parent[x] = parent.get(parent[x], parent[x])
-            x = parent[x]
-        return x
-
-    found = []
-    for (i, j), n in size.items():
-        if 100 * n >= percent * (len(a[i]) + len(b[j]) - n):
-            x, y = find(ids_a[i]), find(ids_b[j])
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                found.append((ids_a[i], ids_b[j]))
-    return found
+    # written, so that a hot bucket's partition of the join can be split
+    return components(members.join(written(stars, "stars").hint("merge"), "bucket").select(F.col("hub").alias("a"), F.col("rep").alias("b")))
+
+
+def _shared(own: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of one sorted set with others."""
+    at = np.cumsum([0, *(len(s) for s in sets)])
+    flat = np.concatenate(sets)
+    k = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+    return np.add.reduceat((own[k] == flat).astype(np.int64), at[:-1])
+
+
+class Clusters:
+    """Members of one task with their sets and clusters; links join clusters."""
+
+    def __init__(self, ids: list, sets: list[np.ndarray], labels: list, percent: int):
+        self.ids, self.sets, self.percent = ids, sets, percent
+        self.size = np.array([len(s) for s in sets])
+        self.signatures = np.stack([minima(s) for s in sets])
+        self.root = np.unique(np.array([str(x) for x in labels]), return_inverse=True)[1]
+        self.found: list[tuple] = []
+
+    def join(self, x: int, others: np.ndarray) -> None:
+        """Link x with those of the others that are near and in other clusters, most similar first."""
+        others = others[(100 * np.minimum(self.size[others], self.size[x]) >= self.percent * np.maximum(self.size[others], self.size[x]))]
+        same = [(self.signatures[others[k : k + 2048]] == self.signatures[x]).mean(1) for k in range(0, len(others), 2048)]
+        if not same:
+            return
+        same = np.concatenate(same)
+        order = np.argsort(-same, kind="stable")
+        near = others[order[same[order] >= self.percent / 100 - MARGIN]]
+        step = 1
+        while len(near):
+            # few at a time first: the most similar one often joins the cluster of all
+            part, near = near[:step], near[step:]
+            step = min(4 * step, max(1, 2_000_000 // int(self.size[x] + 1)))
+            n = _shared(self.sets[x], [self.sets[j] for j in part])
+            for j in part[100 * n >= self.percent * (self.size[x] + self.size[part] - n)].tolist():
+                if self.root[j] != self.root[x]:
+                    self.root[self.root == self.root[j]] = self.root[x]
+                    self.found.append((self.ids[x], self.ids[j]))
+            near = near[self.root[near] != self.root[x]]
+
+
+def links(ids: list, sets: list[np.ndarray], labels: list, left: np.ndarray | None = None, percent: int = PERCENT) -> list[tuple]:
+    """A spanning set of the links between clusters of documents; with `left`, only of those between the left ones and the others."""
+    c = Clusters(ids, sets, labels, percent)
+    side = np.zeros(len(ids), bool) if left is None else left
+    both = left is not None
+    order = np.flatnonzero(side) if both else np.arange(len(ids))
+    for x in order.tolist():
+        pool = np.flatnonzero(~side) if both else np.arange(x)
+        pool = pool[c.root[pool] != c.root[x]]
+        firsts = pool[np.unique(c.root[pool], return_index=True)[1]]
+        c.join(x, firsts)  # one of each cluster
+        if len(firsts) < len(pool):
+            pool = np.setdiff1d(pool, firsts, assume_unique=True)
+            c.join(x, pool[c.root[pool] != c.root[x]])
+    return c.found
 
 
 def by_key(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
@@ -180,44 +191,80 @@ def by_key(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple
         yield last, pa.Table.from_batches(parts)
 
 
-def verified_links(docs: DataFrame, groups: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b): links on full sets inside candidate groups (node, component, n_shingles)."""
-    sizes = groups.groupBy("component").agg(F.sum("n_shingles").alias("total"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
-    placed = groups.join(sizes.hint("merge"), "component").select("node", "component", blocks.alias("blocks"))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = texts(docs).join(placed.hint("merge"), F.col("doc_id") == F.col("node")).drop("node")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.withColumn("other", other).select(
-        "doc_id", "text", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
-    )
+def compare(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links of the rows (doc_id, text, component, label, block, i, j), inside block i where i = j, else between blocks i and j."""
     keys = ["component", "i", "j"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, i, j), group in by_key(batches, keys):
-            block = np.array(group.column("block").to_pylist())
-            ids, sets = group.column("doc_id").to_pylist(), shingle_sets(group.column("text").to_pylist())
-            pick = lambda k: ([ids[x] for x in np.flatnonzero(block == k)], [sets[x] for x in np.flatnonzero(block == k)])  # noqa: E731,B023
-            left, right = pick(i), pick(j) if j != i else None
-            found = links(left, right, percent) if left[0] and (right is None or right[0]) else []
-            if found:
-                yield pa.RecordBatch.from_pydict({"a": [x for x, _ in found], "b": [x for _, x in found]})
+            ids, labels, sets = group.column("doc_id").to_pylist(), group.column("label").to_pylist(), shingle_sets(group.column("text").to_pylist())
+            left = None if i == j else np.array(group.column("block").to_pylist()) == i
+            if len(ids) > 1:
+                found = links(ids, sets, labels, left, percent)
+                kind = group.schema.field("doc_id").type
+                yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], kind), "b": pa.array([x for _, x in found], kind)})
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("doc_id", "text", "label", "block", *keys).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(work, f"a {kind}, b {kind}")
+
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(work, f"a {kind}, b {kind}")
+def _blocks(shingles) -> Column:
+    return F.greatest(F.lit(1), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+
+
+def _dealt(blocks, seed: int) -> Column:
+    return F.pmod(F.xxhash64("node", F.lit(seed)), F.col(blocks)).cast("int")
+
+
+def verified_links(docs: DataFrame, groups: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b): links on full sets inside candidate groups (node, component, n_shingles)."""
+    sizes = groups.groupBy("component").agg(_blocks(F.sum("n_shingles")).alias("blocks"))
+    placed = groups.join(written(sizes, "sizes").hint("merge"), "component")
+    placed = placed.withColumn("block", _dealt("blocks", 0)).withColumn("label", F.col("node"))
+    members = texts(docs).join(placed.hint("merge"), F.col("doc_id") == F.col("node"))
+    members = written(members, "members")
+    inside = lambda rows: rows.withColumns({"i": F.col("block"), "j": F.col("block")})
+    found = written(compare(inside(members), percent), "links")
+    large = members.where("blocks > 1").drop("block", "label")
+    if large.isEmpty():
+        return found
+
+    def labelled() -> DataFrame:
+        own = components(found).withColumnRenamed("component", "label")
+        return placed.where("blocks > 1").select("node", "component", "n_shingles").join(own.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    # the first documents of all clusters
+    firsts = labelled().where("node = label")
+    sizes = written(firsts.groupBy("component").agg(_blocks(F.sum("n_shingles")).alias("few")), "sizes")
+    firsts = firsts.select("node", "component", "label").join(sizes.hint("merge"), "component").withColumn("block", _dealt("few", 1)).drop("component")
+    found = found.unionByName(written(compare(inside(large.join(firsts.hint("merge"), "node")), percent), "links"))
+
+    # documents outside a group's largest cluster, with all others
+    labels = written(labelled(), "labels")
+    clusters = labels.groupBy("component", "label").agg(F.sum("n_shingles").alias("total"))
+    main = clusters.groupBy("component").agg(F.max(F.struct("total", "label")).alias("most"), F.sum("total").alias("total"), F.count("*").alias("n")).where("n > 1")
+    main = main.select("component", F.col("most.label").alias("main"), _blocks(F.col("most.total")).alias("inner"), _blocks(F.col("total") - F.col("most.total")).alias("outer"))
+    open_ = labels.select("node", "component", "label").join(written(main, "open").hint("merge"), "component")
+    is_main = F.col("label") == F.col("main")
+    open_ = open_.withColumn("block", F.when(is_main, _dealt("inner", 2)).otherwise(F.col("inner") + _dealt("outer", 2)))
+    # a document of the largest cluster meets the outer blocks, any other one all blocks
+    other = F.explode(F.sequence(F.when(is_main, F.col("inner")).otherwise(0), F.col("inner") + F.col("outer") - 1))
+    pairs = large.join(open_.drop("component").hint("merge"), "node").withColumn("other", other)
+    pairs = pairs.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    return found.unionByName(written(compare(pairs, percent), "links"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document; links from a similarity of percent on."""
     sketches = written(sketch(docs, percent), "sketches")
     known = sketches.where("set_key is not null and doc_id is not null")
-    least = known.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    classes = written(known.join(least.hint("merge"), "set_key").where("doc_id = rep").select("rep", "n_shingles", "bands", "set_key"), "classes")
+    first = known.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("first"))
+    classes = written(first.select("set_key", F.col("first.doc_id").alias("rep"), "first.n_shingles", "first.bands"), "classes")
     groups = candidate_groups(classes)
     sized = groups.join(classes.groupBy(F.col("rep").alias("node")).agg(F.max("n_shingles").alias("n_shingles")).hint("merge"), "node")
     groups = written(sized, "groups")
-    found = components(written(verified_links(docs, groups, percent), "links"))
-    labels = classes.select("set_key", "rep").distinct().join(found.withColumnRenamed("node", "rep").hint("merge"), "rep", "left")
+    found = components(verified_links(docs, groups, percent))
+    labels = classes.select("set_key", "rep").join(found.withColumnRenamed("node", "rep").hint("merge"), "rep", "left")
     labels = labels.select("set_key", F.coalesce("component", "rep").alias("component"))
     result = sketches.select("doc_id", "n_shingles", "set_key").join(labels.hint("merge"), "set_key", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

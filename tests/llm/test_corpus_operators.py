@@ -88,12 +88,32 @@ def test_pipeline_drops_near_copies_from_80_percent(spark, docs):
         assert (1 - (percent / 100) ** neardup.ROWS) ** neardup.n_bands(percent) < neardup.MISSED
 
 
-def test_intersections_by_products():
+def test_links_span_all_clusters():
     import numpy as np
 
-    sets = [np.unique(np.array(rng.choices(range(5000), k=rng.randint(1, 3000)), np.uint64)) for _ in range(12)]
-    got = neardup._intersections(sets[:5], sets[5:])
-    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[5:]] for a in sets[:5]]
+    base = [np.unique(np.array(rng.choices(range(10**6), k=200), np.uint64)) for _ in range(3)]
+    sets = []
+    for k in range(90):
+        own = base[k % 3].copy()
+        own[rng.sample(range(len(own)), k % 20)] = rng.sample(range(10**6, 10**7), k % 20)
+        sets.append(np.unique(own))
+    near = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b))
+
+    def groups(pairs):
+        parent = list(range(90))
+        for a, b in pairs:
+            x, y = find(parent, a), find(parent, b)
+            parent[max(x, y)] = min(x, y)
+        return [find(parent, k) for k in range(90)]
+
+    true = [(i, j) for i in range(90) for j in range(i) if near(sets[i], sets[j])]
+    found = neardup.links(list(range(90)), sets, list(range(90)))
+    assert len(found) <= 89 and set(map(frozenset, found)) <= set(map(frozenset, true)) and groups(found) == groups(true)
+    left = np.arange(90) < 40
+    found = neardup.links(list(range(90)), sets, list(range(90)), left)
+    assert groups(found) == groups([(i, j) for i, j in true if left[i] != left[j]])
+    labels = [k % 3 for k in range(90)]  # all clusters known before
+    assert neardup.links(list(range(90)), sets, labels) == []
 
 
 def repeats_truth(texts):
