@@ -172,16 +172,36 @@ def test_secrets_without_digits_and_in_links():
 
 
 def test_toxicity_learns_marks(spark, docs):
-    bad = ["scum of", "worthless", "pathetic fool"]
-    texts = [" ".join(rng.choices(WORDS, k=60) + ([rng.choice(bad)] * 3 if k % 3 == 0 else []) + rng.choices(WORDS, k=60)) for k in range(300)] + [None, ""]
-    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(300)] + [(None, 1), (5, None)], "doc_id long, toxic int")
-    got = by_id(toxicity.toxicity(docs(texts), labels))
-    assert len(got) == 302 and all(0 <= r.score <= 1 for r in got.values())
+    bad = ["worthless scum", "pathetic", "disgusting fool"]
+
+    def text(toxic):
+        words = rng.choices(WORDS, k=120)
+        for at in rng.sample(range(120), 4) if toxic else ():
+            words[at] = rng.choice(bad)
+        return " ".join(words)
+
+    texts = [text(k % 3 == 0) for k in range(300)] + [None, "", " ".join(rng.choices(WORDS, k=30_000))]
+    table = docs(texts).withColumn("toxic", __import__("pyspark").sql.functions.lit(1))  # a clashing column
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(300)] + [(None, 1), (5, None), (4, 0), (6, 0)], "doc_id long, toxic int")
+    got = by_id(toxicity.toxicity(table.unionByName(table.where("doc_id = 0")), labels))
+    assert len(got) == 303 and all(0 <= r.score <= 1 for r in got.values())
     assert all(r.held_out == (zlib.crc32(str(k).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5) for k, r in got.items())
     right = [r.predicted == int(k % 3 == 0) for k, r in got.items() if r.held_out and k < 300]
     assert np.mean(right) > 0.95
+    assert got[300].score == got[301].score and got[300].predicted == got[302].predicted == 0
     empty = by_id(toxicity.toxicity(docs(["a"]), labels.limit(0)))
     assert empty[0].score == 0.0
+    assert toxicity.toxicity(docs(["a"]).limit(0), labels).count() == 0
+
+
+def test_toxicity_dictionaries_are_of_their_own_class(spark):
+    ordinary, toxic = toxicity.dictionary([b"the plain words of a plain text "] * 50, 512, 16), toxicity.dictionary([b" scum idiot ", b" idiot moron "] * 50, 512, 16)
+    assert b"plain" in ordinary and b"idiot" not in ordinary and b"idiot" in toxic
+    few = toxicity.dictionary([b" scum ", b" scum ", b" fool "], 512, 16)
+    assert few.endswith(b" scum ") and b" fool " in few
+    counts = [(b" scum ", 9, 0), (b" the ", 10, 90), (b" odd ", 2, 10)]
+    assert toxicity.significant(counts, 10, 90, 3) == {b" scum "}
+    assert toxicity._own_strings(b" the scum scummy fool ", {b" scum ", b" scumm", b" foo"}) == [b" scum ", b" scumm"]
 
 
 def _edited(words, n):
