@@ -188,7 +188,7 @@ def test_toxicity_learns_marks(spark, docs):
     assert all(r.held_out == (zlib.crc32(str(k).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5) for k, r in got.items())
     right = [r.predicted == int(k % 3 == 0) for k, r in got.items() if r.held_out and k < 300]
     assert np.mean(right) > 0.95
-    assert got[300].score == got[301].score and got[300].predicted == got[302].predicted == 0
+    assert got[300].score == got[301].score < 0.5
     empty = by_id(toxicity.toxicity(docs(["a"]), labels.limit(0)))
     assert empty[0].score == 0.0
     assert toxicity.toxicity(docs(["a"]).limit(0), labels).count() == 0
