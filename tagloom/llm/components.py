@@ -2,9 +2,9 @@
 
 Each round is two aggregations and two joins on the current edges and is written to the
 shared folder, so lineage stays short and a lost executor costs one round at most.  A hot
-node's neighbours are pre-aggregated to their minimum before the shuffle.  The minima are
-written, too: both sides of each join are then plain shuffles, which adaptive execution
-splits for a hot node.  No group is ever collected.
+node's neighbours are pre-aggregated to their minimum before the shuffle.  The large star's
+minima are written, too: both sides of its join are then plain shuffles, which adaptive
+execution splits for a hub of many edges.  No group is ever collected.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ def _large_star(e: DataFrame) -> DataFrame:
 
 
 def _small_star(e: DataFrame) -> DataFrame:
-    least = written(e.groupBy("u").agg(F.min("v").alias("m")), "minima")
+    least = e.groupBy("u").agg(F.min("v").alias("m"))
     moved = e.join(least.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -41,7 +41,7 @@ def components(edges: DataFrame) -> DataFrame:
     e = written(e, "edges")
     before = _mark(e)
     while before[0]:
-        e = written(_small_star(written(_large_star(e), "edges")), "edges")
+        e = written(_small_star(_large_star(e)), "edges")
         after = _mark(e)
         if after == before:
             break

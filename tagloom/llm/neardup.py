@@ -5,8 +5,8 @@ its smallest member, and the stars' connected components are candidate groups th
 every pair of documents sharing a bucket.  Inside a group, pairs are checked by signature
 and then exactly on full shingle sets; the links found give the final components.
 
-Only one link per merge is kept: a document that has joined a cluster is compared with no
-other member of it, so tasks hold sets, signatures and cluster numbers, never pairs.
+A document that has joined a cluster is compared with no other member of it, and tasks give
+one row for each merged document: they hold sets, signatures and cluster numbers, never pairs.
 
 Skew: documents with equal sets are one class from the start (a hot group of copies costs
 one row); buckets are pre-aggregated.  Groups beyond BLOCK_SHINGLES are dealt to blocks by
@@ -44,7 +44,7 @@ ROWS, MISSED = 5, 1e-6
 PERCENT = 85
 #: A pair isn't checked exactly if its similarity, estimated from 120 minima or more, is so far under the threshold: more than five standard deviations.
 MARGIN = 0.23
-BLOCK_SHINGLES = 300_000
+BLOCK_SHINGLES = 60_000
 
 _rng = np.random.default_rng(85_2024)
 _A = _rng.integers(0, 2**63, 120, dtype=np.uint64) * U64(2) + U64(1)
@@ -125,22 +125,21 @@ def _shared(own: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
 
 
 class Clusters:
-    """Members of one task with their sets and clusters; links join clusters."""
+    """Members of one task with their sets and clusters; links merge clusters."""
 
-    def __init__(self, ids: list, sets: list[np.ndarray], labels: list, percent: int):
-        self.ids, self.sets, self.percent = ids, sets, percent
+    def __init__(self, sets: list[np.ndarray], labels: list, percent: int):
+        self.sets, self.percent = sets, percent
         self.size = np.array([len(s) for s in sets])
         self.signatures = np.stack([minima(s) for s in sets])
-        self.root = np.unique(np.array([str(x) for x in labels]), return_inverse=True)[1]
-        self.found: list[tuple] = []
+        number: dict = {}
+        self.root = np.array([number.setdefault(x, len(number)) for x in labels])
 
     def join(self, x: int, others: np.ndarray) -> None:
-        """Link x with those of the others that are near and in other clusters, most similar first."""
-        others = others[(100 * np.minimum(self.size[others], self.size[x]) >= self.percent * np.maximum(self.size[others], self.size[x]))]
-        same = [(self.signatures[others[k : k + 2048]] == self.signatures[x]).mean(1) for k in range(0, len(others), 2048)]
-        if not same:
+        """Merge x's cluster with those of the others that are near, most similar first."""
+        others = others[100 * np.minimum(self.size[others], self.size[x]) >= self.percent * np.maximum(self.size[others], self.size[x])]
+        if not len(others):
             return
-        same = np.concatenate(same)
+        same = np.concatenate([(self.signatures[others[k : k + 2048]] == self.signatures[x]).mean(1) for k in range(0, len(others), 2048)])
         order = np.argsort(-same, kind="stable")
         near = others[order[same[order] >= self.percent / 100 - MARGIN]]
         step = 1
@@ -152,25 +151,25 @@ class Clusters:
             for j in part[100 * n >= self.percent * (self.size[x] + self.size[part] - n)].tolist():
                 if self.root[j] != self.root[x]:
                     self.root[self.root == self.root[j]] = self.root[x]
-                    self.found.append((self.ids[x], self.ids[j]))
             near = near[self.root[near] != self.root[x]]
 
 
-def links(ids: list, sets: list[np.ndarray], labels: list, left: np.ndarray | None = None, percent: int = PERCENT) -> list[tuple]:
-    """A spanning set of the links between clusters of documents; with `left`, only of those between the left ones and the others."""
-    c = Clusters(ids, sets, labels, percent)
-    side = np.zeros(len(ids), bool) if left is None else left
-    both = left is not None
-    order = np.flatnonzero(side) if both else np.arange(len(ids))
-    for x in order.tolist():
-        pool = np.flatnonzero(~side) if both else np.arange(x)
+def links(sets: list[np.ndarray], labels: list, left: np.ndarray | None = None, percent: int = PERCENT) -> list[tuple]:
+    """(label, smallest label of its cluster) after all links between documents; with `left`, only those between the left ones and the others."""
+    c = Clusters(sets, labels, percent)
+    right = None if left is None else np.flatnonzero(~left)
+    for x in (range(len(sets)) if left is None else np.flatnonzero(left).tolist()):
+        pool = np.arange(x) if right is None else right
         pool = pool[c.root[pool] != c.root[x]]
         firsts = pool[np.unique(c.root[pool], return_index=True)[1]]
         c.join(x, firsts)  # one of each cluster
         if len(firsts) < len(pool):
             pool = np.setdiff1d(pool, firsts, assume_unique=True)
             c.join(x, pool[c.root[pool] != c.root[x]])
-    return c.found
+    least: dict = {}
+    for r, x in zip(c.root.tolist(), labels):
+        least[r] = min(least.get(r, x), x)
+    return [(x, least[r]) for x, r in dict(zip(labels, c.root.tolist())).items() if least[r] != x]
 
 
 def by_key(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
@@ -192,20 +191,22 @@ def by_key(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple
 
 
 def compare(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links of the rows (doc_id, text, component, label, block, i, j), inside block i where i = j, else between blocks i and j."""
+    """(a, b): labels and the smallest label that they are linked to, of rows (text, component, label, block, i, j).
+
+    Rows are compared inside block i where i = j, else between the blocks i and j.
+    """
     keys = ["component", "i", "j"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, i, j), group in by_key(batches, keys):
-            ids, labels, sets = group.column("doc_id").to_pylist(), group.column("label").to_pylist(), shingle_sets(group.column("text").to_pylist())
             left = None if i == j else np.array(group.column("block").to_pylist()) == i
-            if len(ids) > 1:
-                found = links(ids, sets, labels, left, percent)
-                kind = group.schema.field("doc_id").type
+            if group.num_rows > 1:
+                found = links(shingle_sets(group.column("text").to_pylist()), group.column("label").to_pylist(), left, percent)
+                kind = group.schema.field("label").type
                 yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], kind), "b": pa.array([x for _, x in found], kind)})
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "text", "label", "block", *keys).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(work, f"a {kind}, b {kind}")
+    kind = rows.schema["label"].dataType.simpleString()
+    return rows.select("text", "label", "block", *keys).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(work, f"a {kind}, b {kind}")
 
 
 def _blocks(shingles) -> Column:
@@ -216,31 +217,34 @@ def _dealt(blocks, seed: int) -> Column:
     return F.pmod(F.xxhash64("node", F.lit(seed)), F.col(blocks)).cast("int")
 
 
+def _relabelled(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows whose label is replaced by the label that it was linked to, if any."""
+    new = found.select(F.col("a").alias("label"), F.col("b").alias("new"))
+    return rows.join(new.hint("merge"), "label", "left").withColumn("label", F.coalesce("new", "label")).drop("new")
+
+
 def verified_links(docs: DataFrame, groups: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b): links on full sets inside candidate groups (node, component, n_shingles)."""
+    """(a, b): links on full sets inside candidate groups (node, component, n_shingles), enough of them to join what is linked."""
     sizes = groups.groupBy("component").agg(_blocks(F.sum("n_shingles")).alias("blocks"))
     placed = groups.join(written(sizes, "sizes").hint("merge"), "component")
     placed = placed.withColumn("block", _dealt("blocks", 0)).withColumn("label", F.col("node"))
-    members = texts(docs).join(placed.hint("merge"), F.col("doc_id") == F.col("node"))
-    members = written(members, "members")
+    members = written(texts(docs).join(placed.hint("merge"), F.col("doc_id") == F.col("node")), "members")
     inside = lambda rows: rows.withColumns({"i": F.col("block"), "j": F.col("block")})
     found = written(compare(inside(members), percent), "links")
-    large = members.where("blocks > 1").drop("block", "label")
+    large = members.where("blocks > 1").select("node", "text", "component")
     if large.isEmpty():
         return found
-
-    def labelled() -> DataFrame:
-        own = components(found).withColumnRenamed("component", "label")
-        return placed.where("blocks > 1").select("node", "component", "n_shingles").join(own.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    # each document of a large group is in one block, so its label there is known without further rounds
+    labels = _relabelled(placed.where("blocks > 1").select("node", "component", "n_shingles", "label"), found)
 
     # the first documents of all clusters
-    firsts = labelled().where("node = label")
-    sizes = written(firsts.groupBy("component").agg(_blocks(F.sum("n_shingles")).alias("few")), "sizes")
-    firsts = firsts.select("node", "component", "label").join(sizes.hint("merge"), "component").withColumn("block", _dealt("few", 1)).drop("component")
-    found = found.unionByName(written(compare(inside(large.join(firsts.hint("merge"), "node")), percent), "links"))
+    firsts = labels.where("node = label").drop("label")
+    few = firsts.groupBy("component").agg(_blocks(F.sum("n_shingles")).alias("few"))
+    firsts = firsts.select("node", "component").join(written(few, "sizes").hint("merge"), "component").withColumn("block", _dealt("few", 1)).drop("component")
+    across = written(compare(inside(large.join(firsts.hint("merge"), "node").withColumn("label", F.col("node"))), percent), "links")
 
     # documents outside a group's largest cluster, with all others
-    labels = written(labelled(), "labels")
+    labels = written(_relabelled(labels, across), "labels")
     clusters = labels.groupBy("component", "label").agg(F.sum("n_shingles").alias("total"))
     main = clusters.groupBy("component").agg(F.max(F.struct("total", "label")).alias("most"), F.sum("total").alias("total"), F.count("*").alias("n")).where("n > 1")
     main = main.select("component", F.col("most.label").alias("main"), _blocks(F.col("most.total")).alias("inner"), _blocks(F.col("total") - F.col("most.total")).alias("outer"))
@@ -251,7 +255,7 @@ def verified_links(docs: DataFrame, groups: DataFrame, percent: int = PERCENT) -
     other = F.explode(F.sequence(F.when(is_main, F.col("inner")).otherwise(0), F.col("inner") + F.col("outer") - 1))
     pairs = large.join(open_.drop("component").hint("merge"), "node").withColumn("other", other)
     pairs = pairs.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    return found.unionByName(written(compare(pairs, percent), "links"))
+    return found.unionByName(across).unionByName(written(compare(pairs, percent), "links"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

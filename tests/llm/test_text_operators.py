@@ -74,12 +74,24 @@ def test_token_counts(spark, docs):
         assert (got[k].n_bytes, got[k].n_tokens, got[k].over_limit) == (len((text or "").encode()), n, n > 2048), k
 
 
-def test_token_counts_with_small_caches(spark, docs, monkeypatch):
+def test_token_counts_with_small_caches(monkeypatch):
     monkeypatch.setattr(tokens, "CACHE", 3)
-    lengths = tokens.Lengths(queries.tokenizer_path("word_bpe_49k.json"), {b"a": 1})
-    text = LONG.encode().split()[:3000]
-    assert sum(map(lengths.__getitem__, text)) == len(lengths.tok.encode(b" ".join(text).decode(), add_special_tokens=False).ids)
-    assert len(lengths) <= 4
+    monkeypatch.setattr(tokens, "TOGETHER", 7)
+    lengths = tokens.Lengths(queries.tokenizer_path("word_bpe_49k.json"), {"a": 1})
+    odd = ["a\u00a0b\u2003c x", "\x1c\x1d z", "don't'sea ''s", "<|endoftext|>x<|ENDOFTEXT|> y", "e\u0301 \u0301 \u0130", "x" * 300 + " " + "é" * 90, "1234 ab12 ½ 日本語"]
+    for text in [*odd, " ".join(LONG.split()[:3000])]:
+        want = len(lengths.splitter.tok.encode(text, add_special_tokens=False).ids)
+        assert lengths.counts([text.encode(), text.encode()]) == [want, want], text
+    assert len(lengths.words) <= 3
+
+
+def test_token_counts_of_a_tokenizer_that_keeps_spaces(spark, docs):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    tok, some = Tokenizer.from_file(path), [t for t in AWKWARD if t is None or len(t) < 10_000]
+    got = by_id(tokens.token_counts(docs(some), path))
+    assert {k: r.n_tokens for k, r in got.items()} == {k: len(tok.encode(t or "", add_special_tokens=False).ids) for k, t in enumerate(some)}
 
 
 def test_pieces_round_trip(spark, docs):
