@@ -3,10 +3,15 @@
 Normalisation reads a text by longest prefix through the model's compiled character map
 and records, for every normalised byte, the source byte it came from; each piece's end in
 the normalised text then projects to an end in the source, so pieces carry byte spans of
-the original text.  The ids are the library's own, for whole texts; the spans fail loudly
-if its pieces don't spell what the normaliser made.
-
-Defined results: a null text is empty (only the end id); every row gives one row.
+the original text.  A model with an empty map (piece_bpe_32k.model is one) has no prefix to
+look for, so its alignment is made by one pass over the spaces instead of the walk.  The ids
+are the library's own, for whole texts; where its pieces don't spell what the normaliser
+made, the ids stay and the spans are null.
+
+Defined results: a null or empty text has the end id only, whose span is empty; unknown
+pieces span the characters that the library took together; equal rows give equal rows; very
+long texts are encoded whole; other columns are ignored; an empty table gives an empty table;
+every row gives one row.
 """
 
 from __future__ import annotations
@@ -126,20 +131,22 @@ class Coder:
         self.normalise = Normaliser(spec.precompiled_charsmap, spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces)
         kinds = proto.ModelProto.SentencePiece
         self.lengths = np.array([1 if p.type == kinds.BYTE else 0 if p.type == kinds.CONTROL else len(p.piece.encode()) for p in model.pieces], np.int64)
-        self.eos = self.sp.eos_id()
+        self.eos, self.unknown = self.sp.eos_id(), self.sp.unk_id()
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text without an end id."""
         return self.sp.encode(text, num_threads=1)
 
-    def spans(self, text: str, ids: list[int]) -> np.ndarray:
-        """len(ids) + 1 offsets: piece k covers source bytes [k] to [k + 1]."""
-        source = text.encode()
-        normal, align = self.normalise(source)
-        ends = np.concatenate([[0], np.cumsum(self.lengths[ids] if len(ids) else np.zeros(0, np.int64))])
-        if ends[-1] != len(normal):
-            raise ValueError("the pieces don't spell the normalised text")
-        return align[ends]
+    def spans(self, text: str, ids: list[int]) -> np.ndarray | None:
+        """len(ids) + 1 offsets: piece k covers source bytes [k] to [k + 1]; null if the pieces don't spell the normalised text."""
+        normal, align = self.normalise(text.encode())
+        lengths = self.lengths[ids] if len(ids) else np.zeros(0, np.int64)
+        if self.unknown in ids:  # an unknown piece is as long as what it stands for
+            names = self.sp.encode(text, out_type=str, num_threads=1)
+            for k in np.flatnonzero(np.array(ids) == self.unknown).tolist():
+                lengths[k] = len(names[k].encode())
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        return align[ends] if ends[-1] == len(normal) else None
 
 
 _coders: dict[str, Coder] = {}
@@ -159,21 +166,24 @@ def encode_pieces(docs: DataFrame, model: str, *more: str) -> DataFrame:
         for t in batch:
             text = t.decode("utf-8", "replace")
             own = c.encode(text)
-            at = c.spans(text, own).tolist()
+            at = c.spans(text, own)
             ids.append([*own, c.eos])
-            begins.append([*at[:-1], len(t)])
-            ends.append([*at[1:], len(t)])
+            begins.append(None if at is None else [*at[:-1].tolist(), len(t)])
+            ends.append(None if at is None else [*at[1:].tolist(), len(t)])
         return {"ids": pa.array(ids, pa.list_(pa.int32())), "begin": pa.array(begins, pa.list_(pa.int64())), "end": pa.array(ends, pa.list_(pa.int64()))}
 
     return map_texts(docs, work, "ids array<int>, begin array<bigint>, end array<bigint>", *more)
 
 
 def round_trip(docs: DataFrame, model: str, *more: str, keep_ids: bool = False) -> DataFrame:
-    """Per document: how many ids, their digest, the decoded text's digest, whether the spans tile the text; ids if asked for."""
+    """Per document: how many ids, digests of the ids, the decoded text and the spans, and whether the spans tile the text; ids if asked for.
+
+    spans_sha256 is of the offsets between pieces as little-endian 64-bit numbers, the text's length last.
+    """
 
     def work(batch: list[bytes]) -> dict:
         c = coder(model)
-        n, said, decoded, tiled, every = [], [], [], [], []
+        n, said, decoded, spanned, tiled, every = [], [], [], [], [], []
         for t in batch:
             text = t.decode("utf-8", "replace")
             ids = c.encode(text)
@@ -184,9 +194,10 @@ def round_trip(docs: DataFrame, model: str, *more: str, keep_ids: bool = False)
                 every.append([*ids, c.eos])
             said.append(hashlib.sha256(" ".join(map(str, [*ids, c.eos])).encode()).hexdigest())
             decoded.append(hashlib.sha256(back.encode()).hexdigest())
-            tiled.append(bool(at[0] == 0 and at[-1] == len(t) and (np.diff(at) >= 0).all()))
-        out = {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(said, pa.string()), "decoded_sha256": pa.array(decoded, pa.string()), "spans_tile": pa.array(tiled, pa.bool_())}
+            spanned.append(None if at is None else hashlib.sha256(np.append(at, len(t)).astype("<i8").tobytes()).hexdigest())
+            tiled.append(None if at is None else bool(at[0] == 0 and at[-1] == len(t) and (np.diff(at) >= 0).all()))
+        out = {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(said, pa.string()), "decoded_sha256": pa.array(decoded, pa.string()), "spans_sha256": pa.array(spanned, pa.string()), "spans_tile": pa.array(tiled, pa.bool_())}
         return out | ({"ids": pa.array(every, pa.list_(pa.int32()))} if keep_ids else {})
 
-    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string, spans_tile boolean"
+    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string, spans_tile boolean"
     return map_texts(docs, work, schema + ", ids array<int>" * keep_ids, *more)

@@ -3,9 +3,10 @@
 Tokens never cross the tokenizer's own pre-tokens, so a text's count is the sum of its
 pre-tokens' lengths.  Tier one is a hash table of frequent pre-tokens' lengths: every task
 counts the pre-tokens of its frequent white-space pieces and sends the SUMMARY most frequent
-ones; of the sums the TIER_ONE largest (of at most KEY_BYTES bytes, about 2 MB) are broadcast.  Tier two is each Python worker's
-own cache; what both lack is encoded by the library's model.  No pre-token of a text is
-shuffled: the summaries are at most SUMMARY rows of some 20 bytes for each input split.
+ones; of the sums the TIER_ONE largest (of at most KEY_BYTES bytes, about 2 MB) are broadcast.
+Tier two is each Python worker's own cache; what both lack is encoded by the library's model.
+No pre-token of a text is shuffled: the summaries are at most SUMMARY rows of some 20 bytes
+for each input split.
 
 Pre-tokens come from the library's own normaliser and pre-tokenizer, called for many
 white-space pieces at once: each distinct piece of a batch is split once, and pieces' counts
