@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import base_form
+
 # Fixed values that results must share: points by rule, curated groups, colours, bases.
 DUPLICATE, OVERLAP, REPEAT, COLOUR, SUBSUMED, CAP = 20, 12, 3, 12, 6, 100
 GROUPS = (
@@ -77,9 +79,41 @@ def scores(found: DataFrame) -> DataFrame:
     return found.groupBy("doc_id").agg(F.least(F.lit(CAP).cast("long"), F.sum("points")).alias("score"), F.count("*").alias("n_findings"))
 
 
-def apply_removals(tokens: DataFrame, budgets: DataFrame) -> DataFrame:
-    """Drop the first `budget` extra occurrences of each norm after the kept one, and rejoin the rest in order."""
-    order = Window.partitionBy("doc_id", "norm").orderBy("pos")
-    ranked = tokens.withColumn("rn", F.row_number().over(order)).join(budgets.hint("merge"), ["doc_id", "norm"], "left")
+def ordered(found: DataFrame) -> DataFrame:
+    """Findings with their rank in a report: most points first, then by kind and target."""
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("points"), "kind", "target")))
+
+
+def budgets(selected: DataFrame) -> DataFrame:
+    """(doc_id, negative, norm, budget) of chosen removals (doc_id, negative, norm, n): positive ones add up, of negative ones the largest counts."""
+    return selected.groupBy("doc_id", "negative", "norm").agg(F.sum("n").alias("total"), F.max("n").alias("most")).select("doc_id", "negative", "norm", F.when(F.col("negative"), F.col("most")).otherwise(F.col("total")).alias("budget"))
+
+
+def _segments(prompts: DataFrame) -> DataFrame:
+    return prompts.select("doc_id", F.posexplode(F.split("prompt", r"\s*BREAK\s*")).alias("seg", "part"))
+
+
+def placed_tokens(prompts: DataFrame) -> DataFrame:
+    """(doc_id, seg, line, pos, raw, norm): every token of a prompt with its BREAK segment, line and place there."""
+    lines = _segments(prompts).select("doc_id", "seg", F.posexplode(F.split("part", "\n")).alias("line", "text"))
+    tokens = lines.select("doc_id", "seg", "line", F.posexplode(F.split("text", ",")).alias("pos", "raw")).where(r"raw rlike '\\S'")
+    return tokens.select("doc_id", "seg", "line", "pos", F.regexp_replace("raw", r"^\s+|\s+$", "").alias("raw"), base_form(F.col("raw")).alias("norm"))
+
+
+def apply_removals(prompts: DataFrame, removals: DataFrame) -> DataFrame:
+    """(doc_id, prompt): of each norm the first token stays and the next `budget` go, whatever lines they are in; lines and BREAKs stay.
+
+    Prompts without removals (doc_id, norm, budget) stay as they are.
+    """
+    chosen = removals.where("budget > 0")
+    touched = prompts.join(chosen.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
+    order = Window.partitionBy("doc_id", "norm").orderBy("seg", "line", "pos")
+    ranked = placed_tokens(touched).withColumn("rn", F.row_number().over(order)).join(chosen.hint("merge"), ["doc_id", "norm"], "left")
     kept = ranked.where("budget is null or rn = 1 or rn > budget + 1")
-    return kept.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "raw"))), lambda x: x["raw"]), ", ").alias("prompt"), F.count("*").alias("n_tokens"))
+    join = lambda at, what, by: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, what))), lambda x: x[what]), by)
+    lines = kept.groupBy("doc_id", "seg", "line").agg(F.concat(join("pos", "raw", ", "), F.lit(",")).alias("text"))
+    parts = lines.groupBy("doc_id", "seg").agg(join("line", "text", "\n").alias("part"))
+    whole = _segments(touched).select("doc_id", "seg").join(parts.hint("merge"), ["doc_id", "seg"], "left").withColumn("part", F.coalesce("part", F.lit("")))
+    new = whole.groupBy("doc_id").agg(join("seg", "part", "\nBREAK\n").alias("new"))
+    clean = F.regexp_replace(F.regexp_replace(F.regexp_replace("new", r"\n?BREAK\s*\z", ""), r",+\z", ""), r"\s+\z", "")
+    return prompts.join(new.select("doc_id", clean.alias("new")).hint("merge"), "doc_id", "left").select("doc_id", F.coalesce("new", "prompt").alias("prompt"))

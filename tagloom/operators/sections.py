@@ -36,8 +36,14 @@ def parse(prompts: DataFrame) -> DataFrame:
     return own.withColumn("section", F.when(second, "secondary").otherwise(F.col("section"))).select("doc_id", "seg", "line", "text", "section")
 
 
+#: Which sections share a block of a composed prompt.
+BLOCKS = {"quality": 0, "keystone": 0, "character": 1, "secondary": 2, "setting": 3, "lighting": 3}
+
+
 def compose(lines: DataFrame) -> DataFrame:
-    """Sections in their order, joined by BREAK; empty sections leave no block."""
-    rank = F.array_position(F.array(*[F.lit(s) for s in ORDER]), F.col("section"))
-    blocks = lines.groupBy("doc_id", rank.alias("rank")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg", "line", "text"))), lambda x: x["text"]), "\n").alias("block"))
-    return blocks.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "block"))), lambda x: x["block"]), "\nBREAK\n").alias("prompt"))
+    """Up to four blocks joined by BREAK; every line ends with a comma, sections keep their order in a block, empty ones leave none."""
+    at = lambda values: F.element_at(F.create_map(*[F.lit(x) for kv in values for x in kv]), F.col("section"))
+    own = lines.select("doc_id", at(BLOCKS.items()).alias("block"), at([(s, k) for k, s in enumerate(ORDER)]).alias("rank"), "seg", "line", F.trim(F.btrim(F.trim("text"), F.lit(","))).alias("text")).where("text <> ''")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "seg", "line", "text"))), lambda x: x["text"]), ",\n")
+    blocks = own.groupBy("doc_id", "block").agg(F.concat(joined, F.lit(",")).alias("text"))
+    return blocks.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda x: x["text"]), "\nBREAK\n").alias("prompt"))

@@ -12,7 +12,7 @@ def tag_counts(tokens: DataFrame) -> DataFrame:
     """Counts by polarity, for each character and overall (character null) in one pass."""
     # equal raw tokens are counted first, so each is normalised once
     raws = tokens.groupBy("polarity", "character", "raw").agg(F.count("*").alias("n"))
-    kept = raws.withColumn("tag", stats_tag(F.col("raw"))).where((F.col("tag") != "") & ~F.col("tag").rlike(QUALITY_GRAMMAR))
+    kept = raws.withColumn("tag", stats_tag(F.col("raw"))).where((F.col("tag") != "") & ~F.col("tag").rlike(QUALITY_GRAMMAR) & ~F.startswith("tag", F.lit("<lora")))
     sets = kept.groupingSets([("polarity", "character", "tag"), ("polarity", "tag")], "polarity", "character", "tag")
     return sets.agg(F.grouping("character").cast("int").alias("overall"), F.sum("n").alias("cnt"))
 
@@ -23,26 +23,33 @@ def top_tags(counts: DataFrame, own: dict[str, int], overall: dict[str, int]) ->
     for p in own:
         limit = F.when(F.col("polarity") == p, F.when(F.col("overall") == 1, overall[p]).otherwise(own[p])).otherwise(limit)
     scope = Window.partitionBy("polarity", "overall", "character").orderBy(F.desc("cnt"), "tag")
-    return counts.withColumn("rank", F.row_number().over(scope)).where(F.col("rank") <= limit)
+    # the literal bound lets each task keep its best rows only, before the shuffle
+    most = max(*own.values(), *overall.values())
+    return counts.withColumn("rank", F.row_number().over(scope)).where(F.col("rank") <= most).where(F.col("rank") <= limit)
+
+
+def total_renders(tickets: DataFrame, **filters: str) -> DataFrame:
+    """One row: renders under the filters (column=value; empty values don't filter)."""
+    for column, value in filters.items():
+        tickets = tickets.where(F.col(column) == value) if value else tickets
+    return tickets.agg(F.count("*").alias("total_renders"))
 
 
 def character_counts(tickets: DataFrame) -> DataFrame:
     return tickets.groupBy("character").agg(F.count("*").alias("renders"), F.count_distinct("profile").alias("profiles"))
 
 
-def cooccurrence(tokens: DataFrame, least: int, most_share: float) -> DataFrame:
-    """Pairs of distinct tags of one prompt with their document counts.
+def cooccurrence(prompts: DataFrame, least: int) -> DataFrame:
+    """Pairs of distinct tags of one prompt (an array `tags`) with the number of prompts, from `least` on.
 
-    Tags below `least` documents, and tags of more than most_share of the documents (they
-    pair with everything), are out before the self-join; a prompt's pairs then stay few.
+    Each prompt gives its pairs from its own sorted array, and tasks add them up before the
+    one shuffle.  The work grows with the square of a prompt's tags: meant for prompts, not
+    for long documents.
     """
-    per_doc = tokens.where("polarity = 'positive' and tag <> ''").select("doc_id", "tag").distinct()
-    docs = per_doc.agg(F.count_distinct("doc_id").alias("docs"))
-    frequent = per_doc.groupBy("tag").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    frequent = frequent.join(F.broadcast(docs)).where(F.col("n") <= most_share * F.col("docs")).select("tag")
-    kept = per_doc.join(frequent.hint("merge"), "tag")
-    pairs = kept.alias("a").join(kept.alias("b").hint("merge"), "doc_id").where("a.tag < b.tag")
-    return pairs.groupBy(F.col("a.tag").alias("tag_a"), F.col("b.tag").alias("tag_b")).agg(F.count("*").alias("docs")).where(F.col("docs") >= least)
+    own = prompts.select(F.array_sort(F.array_distinct("tags")).alias("tags"))
+    after = lambda x, k: F.transform(F.slice(F.col("tags"), k + 2, F.size("tags")), lambda y: F.struct(x.alias("tag_a"), y.alias("tag_b")))
+    pairs = own.select(F.explode(F.flatten(F.transform("tags", after))).alias("pair"))
+    return pairs.groupBy("pair.tag_a", "pair.tag_b").agg(F.count("*").alias("prompts")).where(F.col("prompts") >= least)
 
 
 def consolidate(tokens: DataFrame, share: float) -> DataFrame:
@@ -50,4 +57,5 @@ def consolidate(tokens: DataFrame, share: float) -> DataFrame:
     per_doc = tokens.where("polarity = 'positive' and tag <> ''").select("character", "doc_id", "tag").distinct()
     totals = per_doc.groupBy("character").agg(F.count_distinct("doc_id").alias("renders"))
     counts = per_doc.groupBy("character", "tag").agg(F.count("*").alias("docs"))
-    return counts.join(totals.hint("merge"), "character").where(F.col("docs") >= share * F.col("renders")).select("character", "tag", "docs", "renders")
+    totals = F.broadcast(totals) if totals.limit(10_001).count() <= 10_000 else totals.hint("merge")
+    return counts.join(totals, "character").where(F.col("docs") >= share * F.col("renders")).select("character", "tag", "docs", "renders")

@@ -9,19 +9,20 @@ GRAM = 3
 
 
 def _grams(text: Column) -> Column:
-    """Distinct substrings of GRAM characters."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - GRAM + 1)), lambda k: F.substr(text, k, F.lit(GRAM))))
+    """Distinct substrings of one to GRAM characters."""
+    of = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n + 1)), lambda k: F.substr(text, k, F.lit(n)))
+    return F.array_distinct(F.flatten(F.array(*[of(n) for n in range(1, GRAM + 1)])))
 
 
 def suggest(dump: DataFrame, asked: DataFrame, n: int) -> DataFrame:
-    """(q, rank, tag, tier): the n best tags (tag, cnt, alias) for each query of GRAM or more characters.
+    """(q, rank, tag, tier): the n best tags (tag, cnt, alias) for each query.
 
     Tiers: 1 the tag itself, 2 its alias, 3 prefix, 4 inside the tag, 5 inside the alias. A
-    query's first GRAM characters are looked up among tags' substrings, an equi join; then
-    the whole query is compared.
+    query's first GRAM characters (all of a shorter one) are looked up among tags'
+    substrings, an equi join; then the whole query is compared.
     """
     rows = dump.select("tag", "cnt", "alias", F.explode(F.array_union(_grams(F.col("tag")), _grams(F.col("alias")))).alias("gram"))
-    keyed = asked.select("q", F.substr("q", F.lit(1), F.lit(GRAM)).alias("gram"))
+    keyed = asked.where("q <> ''").select("q", F.substr("q", F.lit(1), F.lit(GRAM)).alias("gram"))
     q = F.col("q")
     tier = F.when(F.col("tag") == q, 1).when(F.col("alias") == q, 2).when(F.startswith("tag", q), 3).when(F.contains("tag", q), 4).when(F.contains("alias", q), 5)
     found = rows.join(keyed.hint("merge"), "gram").withColumn("tier", tier).where("tier is not null")
@@ -31,6 +32,21 @@ def suggest(dump: DataFrame, asked: DataFrame, n: int) -> DataFrame:
 
 
 def back_off(queries: DataFrame) -> DataFrame:
-    """(q, part, depth): a query's shorter forms, cut at underscores, the longest first; for queries without any suggestion."""
+    """(q, part, depth): a query's shorter forms, cut at underscores, the longest first."""
     parts = F.split("q", "_")
-    return queries.select("q", F.posexplode(F.transform(F.sequence(F.size(parts) - 1, F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "_"))).alias("depth", "part"), parts.alias("p")).where("size(p) > 1").drop("p")
+    forms = F.transform(F.sequence(F.size(parts) - 1, F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "_"))
+    return queries.where("instr(q, '_') > 0").select("q", F.posexplode(forms).alias("depth", "part"))
+
+
+def suggest_all(dump: DataFrame, asked: DataFrame, n: int) -> DataFrame:
+    """`suggest`, filled up to n for queries of several words: tier 6, tags that go on from the longest shorter form with anything new."""
+    first = suggest(dump, asked, n)
+    had = first.groupBy("q").agg(F.count("*").alias("had"), F.collect_set("tag").alias("seen"))  # at most n tags each
+    short = asked.join(had.hint("merge"), "q", "left").where(f"coalesce(had, 0) < {n}")
+    forms = back_off(short.select("q")).join(short.hint("merge"), "q")
+    starts = dump.select("tag", "cnt", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("tag", "_")) - 1), lambda k: F.array_join(F.slice(F.split("tag", "_"), F.lit(1), k), "_"))).alias("part")).where("instr(tag, '_') > 0")
+    new = forms.join(starts.hint("merge"), "part").where("not array_contains(coalesce(seen, array()), tag)")
+    best = new.withColumn("longest", F.min("depth").over(Window.partitionBy("q"))).where("depth = longest")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cnt"), "tag")) + F.coalesce("had", F.lit(0))
+    more = best.withColumn("rank", rank.cast("int")).where(F.col("rank") <= n)
+    return first.unionByName(more.select("q", "rank", "tag", F.lit(6).alias("tier")))

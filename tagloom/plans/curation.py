@@ -159,10 +159,10 @@ def backlinks(spark, sf_dir):
     return edges.join(known.hint("merge"), "target", "left_semi").groupBy("target").agg(F.count("*").alias("sources"), F.min("id").alias("first"))
 
 
-@query(" SELECT id, array_to_string(list_sort(list_distinct(list_concat(links, regexp_extract_all(body, '([A-Z][a-z]{8,})', 1)[1:3]))), ',') AS links FROM notes", "notes")
+@query(" SELECT id, array_to_string(list_sort(list_distinct(list_concat(links, regexp_extract_all(body, '([A-Z][a-z]{8,})', 1)))), ',') AS links FROM notes", "notes")
 def note_links(spark, sf_dir):
     """Frontmatter links joined with links found in the body, sorted."""
-    found = F.slice(F.regexp_extract_all("body", F.lit("([A-Z][a-z]{8,})"), F.lit(1)), 1, 3)
+    found = F.regexp_extract_all("body", F.lit("([A-Z][a-z]{8,})"), F.lit(1))
     return notes(spark, sf_dir).select("id", F.array_join(F.array_sort(F.array_union("links", found)), ",").alias("links"))
 
 
@@ -209,18 +209,19 @@ def tag_dump_scan(spark, sf_dir):
     return tag_dump(spark, sf_dir)
 
 
-SUGGEST = """, q AS (SELECT DISTINCT substr(tag, 1, 4) AS q FROM tag_dump WHERE length(tag) = 9), tiers AS (SELECT q, tag, cnt, 1 AS tier FROM q JOIN tag_dump ON tag = q UNION ALL SELECT q, tag, cnt, 2 FROM q JOIN tag_dump ON alias = q
+SUGGEST = """, q AS (SELECT DISTINCT unnest(string_split(lower(regexp_replace(text, '[^\\p{L}0-9]+', ' ', 'g')), ' ')) AS q FROM documents WHERE doc_id % 100 = 0), tiers AS (SELECT q, tag, cnt, 1 AS tier FROM q JOIN tag_dump ON tag = q UNION ALL SELECT q, tag, cnt, 2 FROM q JOIN tag_dump ON alias = q
 UNION ALL SELECT q, tag, cnt, 3 FROM q JOIN tag_dump ON starts_with(tag, q) UNION ALL SELECT q, tag, cnt, 4 FROM q JOIN tag_dump ON contains(tag, q) UNION ALL SELECT q, tag, cnt, 5 FROM q JOIN tag_dump ON contains(alias, q)),
-one AS (SELECT q, tag, max(cnt) AS cnt, min(tier) AS tier FROM tiers GROUP BY q, tag)"""
+one AS (SELECT q, tag, max(cnt) AS cnt, min(tier) AS tier FROM tiers WHERE q <> '' GROUP BY q, tag)"""
 
 
 @query(SUGGEST + " SELECT q, rank::INTEGER AS rank, tag, tier FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY tier, cnt DESC, tag) AS rank FROM one) WHERE rank <= 12", "tag_dump")
 def tag_suggest(spark, sf_dir):
-    """Twelve suggestions for each query: exact tag, exact alias, prefix, substring, substring of the alias; by count in a tier."""
+    """Twelve suggestions for each query, the words of every document whose id is divisible by 100: exact tag, exact alias, prefix, substring, substring of the alias; by count in a tier."""
     from ..operators.suggest import suggest
 
     dump = tag_dump(spark, sf_dir)
-    asked = dump.where(F.length("tag") == 9).select(F.substr("tag", F.lit(1), F.lit(4)).alias("q")).distinct()
+    words = F.explode(F.split(F.lower(F.regexp_replace("text", r"[^\p{L}0-9]+", " ")), " ")).alias("q")
+    asked = table(spark, sf_dir, "documents").where("doc_id % 100 = 0").select(words).where("q <> ''").distinct()
     return suggest(dump, asked, 12)
 
 

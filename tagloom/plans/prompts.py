@@ -9,7 +9,7 @@ from ..operators import lane, lint, stats
 from .registry import query
 from .views import library_index, tickets, tokens
 
-GRAMMAR = "tag <> '' AND NOT regexp_matches(tag, '^(score_[0-9](_up)?|source_[0-9a-z_]+)$')"
+GRAMMAR = "tag <> '' AND NOT starts_with(tag, '<lora') AND NOT regexp_matches(tag, '^(score_[0-9](_up)?|source_[0-9a-z_]+)$')"
 COUNTS = f"counts AS (SELECT polarity, character, tag, grouping(character) AS overall, count(*) AS cnt FROM tokens WHERE {GRAMMAR} GROUP BY GROUPING SETS ((polarity, character, tag), (polarity, tag)))"
 
 
@@ -32,13 +32,21 @@ def character_counts(spark, sf_dir):
     return stats.character_counts(tickets(spark, sf_dir))
 
 
+@query("SELECT count(*) AS total_renders FROM documents WHERE lang = 'en'")
+def render_total(spark, sf_dir):
+    return stats.total_renders(tickets(spark, sf_dir), character="en", profile="")
+
+
 @query(
-    """, d AS (SELECT DISTINCT doc_id, tag FROM tokens WHERE polarity = 'positive' AND tag <> ''), f AS (SELECT tag FROM d GROUP BY tag HAVING count(*) >= 8 AND count(*) <= 0.1 * (SELECT count(DISTINCT doc_id) FROM d)),
-k AS (SELECT d.* FROM d JOIN f USING (tag)) SELECT a.tag AS tag_a, b.tag AS tag_b, count(*) AS docs FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.tag < b.tag GROUP BY 1, 2 HAVING count(*) >= 8""",
-    "tokens",
+    r"""WITH p AS (SELECT conv_id, turn, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}0-9]+'), lambda x: x <> ''))) AS l FROM (SELECT DISTINCT conv_id, turn, text FROM conversations)),
+t AS (SELECT conv_id, turn, l, unnest(l) AS tag FROM p) SELECT a.tag AS tag_a, b.tag AS tag_b, count(*) AS prompts FROM t a JOIN (SELECT conv_id, turn, l, unnest(l) AS tag FROM p) b ON a.conv_id = b.conv_id AND a.turn = b.turn AND a.l = b.l AND a.tag < b.tag GROUP BY 1, 2 HAVING count(*) >= 8"""
 )
 def tag_cooccurrence(spark, sf_dir):
-    return stats.cooccurrence(tokens(spark, sf_dir), 8, 0.1)
+    """Words of one chat turn as the tags of one prompt."""
+    from .views import table
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text").distinct()
+    return stats.cooccurrence(turns.select(F.filter(F.split(F.lower("text"), r"[^\p{L}0-9]+"), lambda x: x != "").alias("tags")), 8)
 
 
 @query(
@@ -106,30 +114,41 @@ def lint_score(spark, sf_dir):
     return lint.scores(lint.findings(lint_side(spark, sf_dir, "positive"), lint_side(spark, sf_dir, "negative"), **RULES))
 
 
+_BARE = r"trim(regexp_replace(lower(trim(split_part(regexp_replace({0}, '[()]+', '', 'g'), ':', 1))), '[\s-]+', ' ', 'g'))"
+
+
 @query(
-    NORM
-    + """, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, norm ORDER BY pos) AS rn, least(2, count(*) OVER (PARTITION BY doc_id, norm) - 1) AS budget FROM p)
-SELECT doc_id, string_agg(raw, ', ' ORDER BY pos) AS prompt, count(*) AS n_tokens FROM r WHERE rn = 1 OR rn > budget + 1 GROUP BY doc_id""",
-    "tokens",
+    rf"""WITH p AS (SELECT doc_id, regexp_replace(text, ' +', ', ', 'g') AS prompt FROM documents),
+s AS (SELECT doc_id, unnest(range(len(l))) AS seg, unnest(l) AS part FROM (SELECT doc_id, regexp_split_to_array(prompt, '\s*BREAK\s*') AS l FROM p)),
+n AS (SELECT doc_id, seg, unnest(range(len(l))) AS line, unnest(l) AS text FROM (SELECT doc_id, seg, string_split(part, chr(10)) AS l FROM s)),
+k AS (SELECT doc_id, seg, line, unnest(range(len(l))) AS pos, unnest(l) AS raw FROM (SELECT doc_id, seg, line, string_split(text, ',') AS l FROM n)),
+t AS (SELECT doc_id, seg, line, pos, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS raw, {_BARE.format("raw")} AS norm FROM k WHERE regexp_matches(raw, '\S')),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, norm ORDER BY seg, line, pos) AS rn, least(2, count(*) OVER (PARTITION BY doc_id, norm) - 1) AS budget FROM t),
+l AS (SELECT doc_id, seg, line, string_agg(raw, ', ' ORDER BY pos) || ',' AS text FROM r WHERE rn = 1 OR rn > budget + 1 GROUP BY ALL),
+g AS (SELECT s.doc_id, s.seg, coalesce(string_agg(l.text, chr(10) ORDER BY l.line), '') AS part FROM s LEFT JOIN l ON l.doc_id = s.doc_id AND l.seg = s.seg GROUP BY ALL),
+w AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(string_agg(part, chr(10) || 'BREAK' || chr(10) ORDER BY seg), '\n?BREAK\s*$', ''), ',+$', ''), '\s+$', '') AS prompt FROM g GROUP BY doc_id),
+touched AS (SELECT DISTINCT doc_id FROM r WHERE budget > 0)
+SELECT p.doc_id, CASE WHEN x.doc_id IS NULL THEN p.prompt ELSE w.prompt END AS prompt FROM p LEFT JOIN touched x ON x.doc_id = p.doc_id LEFT JOIN w ON w.doc_id = p.doc_id"""
 )
 def lint_apply(spark, sf_dir):
-    own = lint_side(spark, sf_dir, "positive")
-    budgets = own.groupBy("doc_id", "norm").agg(F.least(F.lit(2), F.count("*") - 1).alias("budget")).where("budget > 0")
-    return lint.apply_removals(own, budgets)
+    """Up to two repeats of each token go; lines stay lines."""
+    from .views import spread, table
 
+    own = spread(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", F.regexp_replace("text", " +", ", ").alias("prompt"))
+    counts = lint.placed_tokens(own).groupBy("doc_id", "norm").agg(F.least(F.lit(2), F.count("*") - 1).alias("n")).where("n > 0")
+    return lint.apply_removals(own, lint.budgets(counts.withColumn("negative", F.lit(False))).select("doc_id", "norm", "budget"))
 
-@query(
-    r"""SELECT doc_id, trim(regexp_replace(lower(title), '[\s-]+', ' ', 'g')) AS lint_form, replace(trim(regexp_replace(lower(title), '[\s-]+', ' ', 'g')), ' ', '_') AS stats_form,
-trim(regexp_replace(lower(title), '[\s_-]+', ' ', 'g')) AS name_form, regexp_replace(lower(title), '[\s_-]+', '', 'g') AS spaceless_form, trim(regexp_replace(lower(title), '\s+', '_', 'g'), '_') AS query_form
-FROM (SELECT doc_id, replace(substr(text, 1, 40), ':', '') AS title FROM documents)"""
-)
+
+@query(r"""WITH f AS (SELECT DISTINCT raw FROM (SELECT unnest(string_split(text, ',')) AS raw FROM documents) WHERE regexp_matches(raw, '\S'))
+SELECT raw, trim(regexp_replace(lower(trim(split_part(regexp_replace(raw, '[()]+', '', 'g'), ':', 1))), '[\s-]+', ' ', 'g')) AS lint_form, replace(trim(regexp_replace(lower(trim(split_part(regexp_replace(raw, '[()]+', '', 'g'), ':', 1))), '[\s-]+', ' ', 'g')), ' ', '_') AS stats_form,
+trim(regexp_replace(lower(trim(raw)), '[\s_-]+', ' ', 'g')) AS name_form, regexp_replace(lower(raw), '[\s_-]+', '', 'g') AS spaceless_form, trim(regexp_replace(lower(trim(raw)), '\s+', '_', 'g'), '_') AS query_form FROM f""")
 def tag_normalize(spark, sf_dir):
-    from .views import table
+    """Every different comma-separated token of whole texts, in all normal forms."""
+    from .views import spread, table
 
-    title = F.replace(F.substr("text", F.lit(1), F.lit(40)), F.lit(":"), F.lit(""))
-    own = table(spark, sf_dir, "documents").select("doc_id", title.alias("title"))
-    c = F.col("title")
-    return own.select("doc_id", t.base_form(c).alias("lint_form"), t.stats_tag(c).alias("stats_form"), t.name_form(c).alias("name_form"), t.spaceless(c).alias("spaceless_form"), t.query_form(c).alias("query_form"))
+    own = spread(table(spark, sf_dir, "documents"), "doc_id").select(F.explode(F.split("text", ",")).alias("raw")).where(r"raw rlike '\\S'").distinct()
+    c = F.col("raw")
+    return own.select("raw", t.base_form(c).alias("lint_form"), t.stats_tag(c).alias("stats_form"), t.name_form(c).alias("name_form"), t.spaceless(c).alias("spaceless_form"), t.query_form(c).alias("query_form"))
 
 
 @query("SELECT doc_id, polarity, pos::INTEGER AS pos, raw, tag FROM tokens", "tokens")

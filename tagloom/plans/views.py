@@ -15,13 +15,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal a table's rows by a key where it has fewer splits than there are cores, so that later work on them isn't left to a few."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def small(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """The table with the hint for its size: broadcast up to so many rows, else a merge join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")
+
+
 def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    """Documents as prompts; negative prompts are the benchmark's items in turn."""
+    docs, bench = spread(table(spark, sf_dir, "documents"), "doc_id"), table(spark, sf_dir, "benchmark")
     comma = lambda c: F.regexp_replace(c, r"[^\p{L}0-9]+", ", ")
-    negative = bench.where("item_id < 40").select(F.col("item_id").alias("slot"), comma(F.col("text")).alias("negative_prompt"))
+    negative = bench.select(F.col("item_id").alias("slot"), comma(F.col("text")).alias("negative_prompt"))
     own = docs.select("doc_id", F.col("lang").alias("character"), F.col("source").alias("profile"), comma(F.col("text")).alias("prompt"), F.col("n_chars").alias("mtime"))
-    # at most 40 rows of the benchmark
-    return own.withColumn("slot", F.col("doc_id") % 40).join(F.broadcast(negative), "slot", "left").drop("slot")
+    return own.withColumn("slot", F.col("doc_id") % max(1, bench.count())).join(small(negative), "slot", "left").drop("slot")
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,14 +80,14 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tag_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents as a tag table: tag, category, cnt, alias."""
-    words = table(spark, sf_dir, "documents").select(F.explode(F.split(F.lower(F.regexp_replace("text", r"[^\p{L}0-9]+", " ")), " ")).alias("tag")).where("tag <> ''")
+    words = spread(table(spark, sf_dir, "documents"), "doc_id").select(F.explode(F.split(F.lower(F.regexp_replace("text", r"[^\p{L}0-9]+", " ")), " ")).alias("tag")).where("tag <> ''")
     return words.groupBy("tag").agg(F.count("*").alias("cnt")).select("tag", (F.length("tag") % 6).alias("category"), "cnt", F.reverse("tag").alias("alias"))
 
 
 SQL = {
     "tickets": r"""tickets AS (SELECT d.doc_id, d.lang AS character, d.source AS profile, regexp_replace(d.text, '[^\p{L}0-9]+', ', ', 'g') AS prompt,
   regexp_replace(b.text, '[^\p{L}0-9]+', ', ', 'g') AS negative_prompt, d.n_chars AS mtime
-  FROM documents d LEFT JOIN (SELECT * FROM benchmark WHERE item_id < 40) b ON b.item_id = d.doc_id % 40)""",
+  FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))""",
     "tokens": r"""raws AS (SELECT doc_id, character, profile, 'positive' AS polarity, list_filter(list_transform(string_split(coalesce(prompt, ''), ','), lambda x: trim(x)), lambda x: x <> '') AS l FROM tickets
   UNION ALL SELECT doc_id, character, profile, 'negative', list_filter(list_transform(string_split(coalesce(negative_prompt, ''), ','), lambda x: trim(x)), lambda x: x <> '') FROM tickets),
 flat AS (SELECT doc_id, character, profile, polarity, unnest(range(len(l))) AS pos, unnest(l) AS raw FROM raws),

@@ -96,7 +96,9 @@ def test_sections_round_trip(spark):
     assert [s for _, s in got] == ["quality", "keystone", "character", "secondary", "setting", "lighting"]
     once = sections.compose(lines).first().prompt
     again = sections.compose(sections.parse(spark.createDataFrame([(1, once)], "doc_id long, prompt string"))).first().prompt
-    assert once == again and once.count("BREAK") == 5
+    assert once == "score_9, sharp,\nportrait, 50mm,\nBREAK\nred hair, blue eyes,\nBREAK\nblack coat, 1boy,\nBREAK\nforest at night,\nrim light,"
+    assert [s for _, s in sorted((r.line + 10 * r.seg, r.section) for r in sections.parse(spark.createDataFrame([(1, once)], "doc_id long, prompt string")).collect())] == ["quality", "keystone", "character", "secondary", "setting", "lighting"]
+    assert once == again
 
 
 def test_lint_rules_fire(spark):
