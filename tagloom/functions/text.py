@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 QUALITY_GRAMMAR = "^(score_[0-9](_up)?|source_[0-9a-z_]+)$"
+# Fixed value: the inline form of a lora with its weight.
 LORA = "<lora:([^:>]+):([^>]*)>"
 
 
@@ -41,11 +42,30 @@ def lint_tokens(prompt: Column) -> Column:
     return F.filter(F.transform(F.split(F.regexp_replace(prompt, r"\s*BREAK\s*|\n", ","), ","), lambda t: F.trim(t)), lambda t: t != "")
 
 
+def _without_tokens(prompt: Column) -> Column:
+    """Inline lora tokens out, with a comma that is left before a BREAK or at the end."""
+    bare = F.regexp_replace(prompt, r"\s*<(lora|lyco):[^>]*>\s*", " ")
+    bare = F.regexp_replace(bare, r",\s*\n\s*(BREAK|\z)", "\n$1")
+    return F.regexp_replace(F.regexp_replace(bare, r",\s*\z", ""), r"^\s+|\s+\z", "")
+
+
 def strip_loras(prompt: Column) -> Column:
-    """Inline lora tokens out, then doubled and dangling commas."""
-    bare = F.regexp_replace(prompt, LORA, "")
-    bare = F.regexp_replace(bare, r",(\s*,)+", ",")
-    return F.btrim(F.regexp_replace(bare, r",\s*(\n?BREAK|$)", "$1"), F.lit(" ,"))
+    """A prompt without its inline loras."""
+    return F.regexp_replace(F.regexp_replace(_without_tokens(prompt), r",+\z", ""), r"\s+\z", "")
+
+
+def merge_loras(prompt: Column, loras: Column) -> Column:
+    """A prompt whose loras are all at its end, one a line: its own in order, then new ones of `loras` (array of name, weight), whose weights win."""
+    none = F.expr("cast(array() as array<struct<name:string,weight:string>>)")
+    own = F.arrays_zip(F.regexp_extract_all(prompt, F.lit(LORA), F.lit(1)).alias("name"), F.regexp_extract_all(prompt, F.lit(LORA), F.lit(2)).alias("weight"))
+    given = F.transform(loras, lambda x: F.struct(F.trim(x["name"]).alias("name"), F.coalesce(x["weight"].cast("string"), F.lit("0.8")).alias("weight")))
+    given = F.filter(given, lambda x: x["name"].isNotNull() & (x["name"] != ""))
+    # names keep the order of their first place, of several weights the last one counts
+    put = lambda done, x: F.when(F.exists(done, lambda d: d["name"] == x["name"]), F.transform(done, lambda d: F.when(d["name"] == x["name"], x).otherwise(d))).otherwise(F.concat(done, F.array(x)))
+    every = F.aggregate(F.concat(own.cast("array<struct<name:string,weight:string>>"), F.coalesce(given, none)), none, put)
+    tail = F.array_join(F.transform(every, lambda x: F.concat(F.lit("<lora:"), x["name"], F.lit(":"), x["weight"], F.lit(">"))), ",\n")
+    bare = _without_tokens(prompt)
+    return F.when(tail == "", bare).when(bare == "", tail).otherwise(F.concat(bare, F.lit("\n"), tail))
 
 
 def caption(prompt: Column) -> Column:
@@ -65,11 +85,17 @@ def lane(prompt: Column) -> Column:
 
 
 def settings_map(text: Column) -> Column:
-    """`key: value, key: "quoted, value"` to a map; the last duplicate wins (spark.sql.mapKeyDedupPolicy)."""
-    pattern = F.lit(r'([A-Za-z0-9 _\-]+?):\s*("(?:[^"\\]|\\.)*"|[^,]*)(?:,|$)')
-    keys = F.transform(F.regexp_extract_all(text, pattern, F.lit(1)), lambda k: F.trim(k))
-    values = F.transform(F.regexp_extract_all(text, pattern, F.lit(2)), lambda v: F.when(v.startswith('"'), F.replace(F.replace(F.substr(v, F.lit(2), F.length(v) - 2), F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit("\n"))).otherwise(F.trim(v)))
-    entries = F.arrays_zip(keys.alias("k"), values.alias("v"))
-    # last duplicate wins, without relying on session settings
+    """`key: value, key: "quoted, value"` to a map; the last duplicate wins.
+
+    The text is cut at its commas; a part that leaves a quote open takes the following parts
+    with it, and a part without a colon belongs to no key.
+    """
+    quotes = lambda s: F.length(F.regexp_replace(s, r'\\.|[^"\\]', ""))
+    closed = lambda done: quotes(F.element_at(done, -1)) % 2 == 0
+    glue = lambda done, part: F.when((F.size(done) > 0) & ~closed(done), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.concat_ws(",", F.element_at(done, -1), part)))).otherwise(F.concat(done, F.array(part)))
+    parts = F.aggregate(F.split(text, ","), F.array().cast("array<string>"), glue)
+    entry = lambda p: F.struct(F.trim(F.regexp_extract(p, r"^\s*([A-Za-z0-9 _-]+):", 1)).alias("k"), F.trim(F.regexp_replace(p, "^[^:]*:", "")).alias("v"))
+    plain = lambda v: F.when(v.startswith('"') & v.endswith('"') & (F.length(v) > 1), F.replace(F.replace(F.substr(v, F.lit(2), F.length(v) - 2), F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit("\n"))).otherwise(v)
+    entries = F.transform(F.filter(F.transform(parts, entry), lambda e: e["k"] != ""), lambda e: F.struct(e["k"].alias("k"), plain(e["v"]).alias("v")))
     last = F.filter(entries, lambda e, i: F.array_position(F.reverse(F.transform(entries, lambda x: x["k"])), e["k"]) == F.size(entries) - i)
     return F.map_from_entries(last)

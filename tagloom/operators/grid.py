@@ -2,26 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import text as t
+
 STEPS, CFG, HR_SCALE, MOST_UNITS = 24, 6.0, 2.0, 3
 
 
 def render_plan(rows: DataFrame) -> DataFrame:
-    """One plan row a render of (doc_id, prompt, profile, steps_override, steps, cfg, hires, hr_scale, tabs, units, style)."""
-    tabs = F.filter("tabs", lambda t: t["enabled"])
+    """One plan row a render of (doc_id, prompt, loras, steps_override, steps, cfg, hires, hr_scale, tabs, units, style).
+
+    The profile's loras are merged into the prompt first; tabs take the prompt without any
+    lora, before the style wraps it.
+    """
+    rows = rows.withColumn("prompt", t.merge_loras(F.col("prompt"), F.col("loras")))
+    tabs = F.filter("tabs", lambda x: x["enabled"])
     units = F.slice(F.filter("units", lambda u: u["enabled"] & (u["model"] != "None")), 1, MOST_UNITS)
-    # tabs take the prompt before the style wraps it, without loras
-    tab_prompt = F.get(F.transform(tabs, lambda t: F.coalesce(t["prompt_override"], F.col("prompt"))), F.lit(0))
+    tab_prompt = F.get(F.transform(tabs, lambda x: F.coalesce(x["prompt_override"], t.strip_loras(F.col("prompt")))), F.lit(0))
     return rows.withColumn("tab_prompt", tab_prompt).select(
-        "doc_id", F.concat(F.replace("style", F.lit("{prompt}"), F.col("prompt")), F.lit(", <lora:"), "profile", F.lit(":0.8>")).alias("prompt"),
+        "doc_id", F.replace("style", F.lit("{prompt}"), F.col("prompt")).alias("prompt"),
         F.coalesce("steps_override", "steps", F.lit(STEPS)).alias("steps"), F.coalesce("cfg", F.lit(CFG)).alias("cfg"), F.when(F.col("hires"), F.coalesce("hr_scale", F.lit(HR_SCALE))).alias("hr_scale"),
         F.size(tabs).alias("n_tabs"), "tab_prompt", F.size(units).alias("n_units"),
     )
 
 
+def control_units(rows: DataFrame, images: DataFrame) -> DataFrame:
+    """(doc_id, pos, unit) of enabled control units with a model whose image file, by its base name, is among images (file); at most MOST_UNITS a render."""
+    own = rows.select("doc_id", F.posexplode("units").alias("pos", "unit")).where("unit.enabled and coalesce(unit.model, 'None') <> 'None'")
+    own = own.withColumn("file", F.element_at(F.split("unit.image_file", "/"), -1)).join(images.select("file").distinct().hint("merge"), "file", "left_semi").drop("file")
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))
+    return own.withColumn("nth", nth).where(F.col("nth") <= MOST_UNITS).drop("nth")
+
+
+def apply_styles(rows: DataFrame, styles: DataFrame) -> DataFrame:
+    """Prompts (doc_id, prompt, negative_prompt, style) wrapped by their style (nth, name, prompt, negative_prompt).
+
+    Of styles with one name the first whose prompt has {prompt} counts; a missing style
+    changes nothing; a style's negative comes first.
+    """
+    known = styles.where("contains(prompt, '{prompt}')").groupBy("name").agg(F.min(F.struct("nth", "prompt", "negative_prompt")).alias("s"))
+    known = known.select(F.col("name").alias("style"), F.col("s.prompt").alias("template"), F.coalesce("s.negative_prompt", F.lit("")).alias("extra"))
+    own = rows.join(known.hint("merge"), "style", "left")
+    both = F.concat_ws(", ", F.nullif("extra", F.lit("")), F.nullif("negative_prompt", F.lit("")))
+    return own.select("doc_id", "style", F.when(F.col("template").isNotNull(), F.replace("template", F.lit("{prompt}"), F.col("prompt"))).otherwise(F.col("prompt")).alias("prompt"), F.when(F.col("template").isNotNull(), both).otherwise(F.col("negative_prompt")).alias("negative"))
+
+
 def paths(schema: T.StructType, prefix: str = "") -> set[str]:
     """All settable leaf paths of a profile schema; an array stands for each of its elements as `a[]`."""
     found: set[str] = set()

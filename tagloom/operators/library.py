@@ -14,6 +14,11 @@ def view(renders: DataFrame, index: DataFrame) -> DataFrame:
     return joined.withColumns({"rating": F.coalesce("rating", F.lit(0)), "favorite": F.coalesce("favorite", F.lit(False)), "folders": F.coalesce("folders", F.array().cast("array<string>"))})
 
 
+def with_tickets(renders: DataFrame, tickets: DataFrame) -> DataFrame:
+    """Renders (character, name, stem) with the ticket of the same folder and stem, if there is one."""
+    return renders.join(tickets.hint("merge"), ["character", "name", "stem"], "left")
+
+
 def matching(rows: DataFrame, character=None, profile=None, min_rating=None, favorites=False, folder=None, tag=None) -> DataFrame:
     """Conjunctive filter; an unset parameter doesn't filter."""
     for column, value in (("character", character), ("profile", profile)):
@@ -21,7 +26,11 @@ def matching(rows: DataFrame, character=None, profile=None, min_rating=None, fav
     rows = rows.where(F.col("rating") >= min_rating) if min_rating else rows
     rows = rows.where("favorite") if favorites else rows
     rows = rows.where(F.array_contains("folders", folder)) if folder else rows
-    return rows.where(F.exists("tags", lambda t: F.lower(t) == tag.lower())) if tag else rows
+    if not tag:
+        return rows
+    # the user's own tags, and the machine's where the view has them
+    known = F.concat(*(F.coalesce(c, F.array().cast("array<string>")) for c in ("tags", "machine_tags") if c in rows.columns))
+    return rows.where(F.exists(known, lambda t: F.lower(t) == tag.lower()))
 
 
 def page(rows: DataFrame, offset: int, limit: int) -> DataFrame:

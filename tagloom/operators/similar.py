@@ -15,14 +15,20 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def bands(h: Column, threshold: int) -> Column:
-    """threshold + 1 bands of nearly equal width; hashes within the threshold agree in one of them at least."""
-    width, extra = divmod(BITS, threshold + 1)
-    parts, at = [], 0
-    for k in range(threshold + 1):
+    """Keys of which hashes within the threshold share one at least: all choices of two out of threshold + 2 blocks of nearly equal width.
+
+    A differing bit spoils one block, so two blocks agree; two make a key long enough that
+    chance keeps buckets small.
+    """
+    n = threshold + 2
+    width, extra = divmod(BITS, n)
+    blocks, at = [], 0
+    for k in range(n):
         w = width + (k < extra)
-        parts.append(F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << w) - 1 if w < 63 else -1)).alias("bits")))
+        blocks.append((F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << w) - 1 if w < 63 else -1)), w))
         at += w
-    return F.array(*parts)
+    pairs = [(i, j) for i in range(n) for j in range(i)]
+    return F.array(*[F.struct(F.lit(k).alias("band"), F.shiftleft(blocks[i][0], blocks[j][1]).bitwiseOR(blocks[j][0]).alias("bits")) for k, (i, j) in enumerate(pairs)])
 
 
 def classes(keyed: DataFrame) -> DataFrame:
@@ -33,7 +39,7 @@ def classes(keyed: DataFrame) -> DataFrame:
 def near_pairs(reps: DataFrame, threshold: int) -> DataFrame:
     """(a, b, distance): pairs of classes (h, rep) within the threshold, by banded equi joins; loses none."""
     banded = reps.select("rep", "h", F.explode(bands(F.col("h"), threshold)).alias("x")).select("rep", "h", "x.band", "x.bits")
-    left, right = banded.alias("l"), banded.alias("r").hint("shuffle_hash")
+    left, right = banded.alias("l"), banded.alias("r").hint("merge")
     pairs = left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.bits") == F.col("r.bits")) & (F.col("l.rep") < F.col("r.rep")))
     d = distance(F.col("l.h"), F.col("r.h"))
     return pairs.where(d <= threshold).select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b"), d.alias("distance")).distinct()

@@ -188,12 +188,15 @@ def token_strip(spark, sf_dir):
     return own.join(F.broadcast(rules), "key", "left_anti").select("doc_id", "pos", "tag")
 
 
-@query(""" SELECT s.doc_id, s.style, replace(CASE s.style WHEN 'base' THEN '{prompt}, clean lines' ELSE 'ink, {prompt}' END, '{prompt}', t.prompt) AS prompt, CASE s.style WHEN 'base' THEN 'blur, ' ELSE '' END || t.negative_prompt AS negative
-FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'base' ELSE 'ink' END AS style FROM tickets) s JOIN tickets t USING (doc_id)""", "tickets")
+@query(""", s AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'base' WHEN 1 THEN 'ink' ELSE 'none' END AS style FROM tickets)
+SELECT s.doc_id, s.style, CASE s.style WHEN 'base' THEN t.prompt || ', clean lines' WHEN 'ink' THEN 'ink, ' || t.prompt ELSE t.prompt END AS prompt, CASE s.style WHEN 'base' THEN 'blur, ' ELSE '' END || t.negative_prompt AS negative FROM s JOIN tickets t USING (doc_id)""", "tickets")
 def style_apply(spark, sf_dir):
-    styles = spark.createDataFrame([("base", "{prompt}, clean lines", "blur, "), ("ink", "ink, {prompt}", "")], "style string, template string, extra string")
-    own = tickets(spark, sf_dir).withColumn("style", F.when(F.col("doc_id") % 2 == 0, "base").otherwise("ink"))
-    return own.join(F.broadcast(styles), "style", "left").select("doc_id", "style", F.replace("template", F.lit("{prompt}"), F.col("prompt")).alias("prompt"), F.concat("extra", "negative_prompt").alias("negative"))
+    """A style with a negative, one without, and a name that isn't there."""
+    from ..operators.grid import apply_styles
+
+    styles = spark.createDataFrame([(0, "base", "no place for it", ""), (1, "base", "{prompt}, clean lines", "blur"), (2, "ink", "ink, {prompt}", None), (3, "base", "{prompt}, late", "")], "nth int, name string, prompt string, negative_prompt string")
+    name = F.when(F.col("doc_id") % 3 == 0, "base").when(F.col("doc_id") % 3 == 1, "ink").otherwise("none")
+    return apply_styles(tickets(spark, sf_dir).withColumn("style", name), styles)
 
 
 @query(r"""SELECT doc_id, s.k AS key, s.v AS value FROM (SELECT doc_id, unnest([{'k': 'Steps', 'v': CAST(20 + doc_id % 10 AS VARCHAR)}, {'k': 'Sampler', 'v': source || ' a'}, {'k': 'Lora hashes', 'v': 'a: 1, b: ' || lang}]) AS s FROM documents)""")
@@ -212,8 +215,9 @@ def lane_translate(spark, sf_dir):
     return lane.translate(laned(spark, sf_dir).join(tickets(spark, sf_dir).select("doc_id", loras.alias("loras")).hint("merge"), "doc_id"))
 
 
-PLAN = r"""SELECT doc_id, t.prompt || ', clean lines, <lora:' || profile || ':0.8>' AS prompt, CASE WHEN doc_id % 2 = 0 THEN doc_id % 50 ELSE 24 END AS steps, CASE WHEN doc_id % 3 = 0 THEN 7.5::DOUBLE ELSE 6.0::DOUBLE END AS cfg,
-CASE WHEN doc_id % 4 = 0 THEN 2.0::DOUBLE END AS hr_scale, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS n_tabs, CASE WHEN doc_id % 2 = 0 THEN t.prompt END AS tab_prompt, least(3, doc_id % 5)::INTEGER AS n_units FROM tickets t"""
+PLAN = r""", m AS (SELECT *, trim(regexp_replace(prompt, ',\s*$', '')) AS bare FROM tickets)
+SELECT doc_id, bare || CASE WHEN bare = '' THEN '' ELSE chr(10) END || '<lora:' || profile || ':0.8>, clean lines' AS prompt, CASE WHEN doc_id % 2 = 0 THEN doc_id % 50 ELSE 24 END AS steps, CASE WHEN doc_id % 3 = 0 THEN 7.5::DOUBLE ELSE 6.0::DOUBLE END AS cfg,
+CASE WHEN doc_id % 4 = 0 THEN 2.0::DOUBLE END AS hr_scale, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS n_tabs, CASE WHEN doc_id % 2 = 0 THEN bare END AS tab_prompt, least(3, doc_id % 5)::INTEGER AS n_units FROM m"""
 
 
 @query(" " + PLAN, "tickets")
@@ -225,7 +229,26 @@ def render_plan(spark, sf_dir):
     units = F.transform(F.sequence(F.lit(1), F.lit(5)), lambda k: F.struct((k <= d % 5).alias("enabled"), F.lit("canny").alias("model")))
     tabs = F.array(F.struct((d % 2 == 0).alias("enabled"), F.lit(None).cast("string").alias("prompt_override")), F.struct(F.lit(False).alias("enabled"), F.lit(None).cast("string").alias("prompt_override")))
     own = tickets(spark, sf_dir).select(
-        "doc_id", "prompt", "profile", F.when(d % 2 == 0, d % 50).alias("steps_override"), F.lit(None).cast("long").alias("steps"), F.when(d % 3 == 0, F.lit(7.5)).alias("cfg"),
+        "doc_id", "prompt", F.array(F.struct(F.col("profile").alias("name"), F.lit(None).cast("double").alias("weight"))).alias("loras"), F.when(d % 2 == 0, d % 50).alias("steps_override"), F.lit(None).cast("long").alias("steps"), F.when(d % 3 == 0, F.lit(7.5)).alias("cfg"),
         (d % 4 == 0).alias("hires"), F.lit(None).cast("double").alias("hr_scale"), tabs.alias("tabs"), units.alias("units"), F.lit("{prompt}, clean lines").alias("style"),
     )
     return plan(own)
+
+
+@query(r"""SELECT doc_id AS id, trim(regexp_replace(text, ',\s*$', ''), ' ' || chr(10) || chr(9) || chr(13)) AS prompt, 'blur' AS negative_prompt, doc_id AS seed, CASE WHEN doc_id % 2 = 0 THEN 512 ELSE 768 END AS width, CASE WHEN doc_id % 2 = 0 THEN 640 ELSE 1024 END AS height, 'Euler a' AS sampler, 'Karras' AS scheduler,
+CASE WHEN regexp_matches(lower(text), 'score_9|source_cartoon|source_anime') THEN 'pony' WHEN regexp_matches(lower(text), 'masterpiece|best quality|masterwork|best_quality') THEN 'illustrious' END AS base_family,
+source || ':0.7' AS loras, CASE WHEN source IN (SELECT DISTINCT source FROM labels l JOIN documents d ON d.doc_id = l.doc_id WHERE l.quality = 1) THEN 'models/' || source || '.safetensors' ELSE source END AS checkpoint FROM documents""")
+def draft_profiles(spark, sf_dir):
+    """Documents as parameter blocks of pictures, read back to draft profiles; sources of good documents are the installed checkpoints."""
+    from ..operators import ingest
+    from .views import spread, table
+
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
+    size = F.when(F.col("doc_id") % 2 == 0, ", Size: 512x640").otherwise("")
+    block = F.concat("text", F.lit(" <lora:"), "source", F.lit(":0.7>"), F.lit("\nNegative prompt: blur\nSteps: 20, Seed: "), F.col("doc_id").cast("string"), size, F.lit(", Model: "), "source")
+    parsed = ingest.infotext(docs.select(F.col("doc_id").alias("id"), block.alias("text")))
+    good = docs.join(table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").hint("merge"), "doc_id", "left_semi").select("source").distinct()
+    installed = good.select(F.concat(F.lit("models/"), "source", F.lit(".safetensors")).alias("name"), F.lit(0).alias("nth"))
+    found = ingest.drafts(parsed, installed)
+    loras = F.array_join(F.transform("loras", lambda x: F.concat(x["name"], F.lit(":"), x["weight"].cast("string"))), ",")
+    return found.select("id", "prompt", "negative_prompt", "seed", "width", "height", "sampler", "scheduler", "base_family", loras.alias("loras"), "checkpoint")

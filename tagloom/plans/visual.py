@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import images, similar
 from .registry import query
-from .views import hashes, pixels, table, tokens
+from .views import hashes, pixels, small, table, tokens
 
 LAB = """, lin AS (SELECT *, CASE WHEN r <= 0.04045 THEN r / 12.92 ELSE pow((r + 0.055) / 1.055, 2.4) END AS lr, CASE WHEN g <= 0.04045 THEN g / 12.92 ELSE pow((g + 0.055) / 1.055, 2.4) END AS lg,
   CASE WHEN b <= 0.04045 THEN b / 12.92 ELSE pow((b + 0.055) / 1.055, 2.4) END AS lb FROM pixels),
@@ -111,8 +111,9 @@ def image_drift(spark, sf_dir):
     embeddings = table(spark, sf_dir, "embeddings")
     first = embeddings.groupBy("label").agg(F.min("vec_id").alias("img0"))
     lab = images.with_lab(pixels(spark, sf_dir))
-    base = lab.join(first.hint("merge"), "label").where("img = img0").select("label", "y", "x", *(F.col(c).alias(f"{c}0") for c in ("img", "r", "g", "b", "lab_l", "lab_a", "lab_b")))
-    return images.drift(lab.join(base.hint("merge"), ["label", "y", "x"]).where("img <> img0"))
+    # one row of bases a label and pixel: broadcast while there are few, so that the images aren't dealt by label
+    base = lab.join(small(first), "label").where("img = img0").select("label", "y", "x", *(F.col(c).alias(f"{c}0") for c in ("img", "r", "g", "b", "lab_l", "lab_a", "lab_b")))
+    return images.drift(lab.join(small(base, 100_000), ["label", "y", "x"]).where("img <> img0"))
 
 
 @query(""", o AS (SELECT vec_id AS img, lag(vec_id) OVER (PARTITION BY label, vec_id // 64 ORDER BY vec_id) AS prev FROM embeddings)

@@ -59,8 +59,14 @@ def png_chunks(content: bytes) -> list[tuple[str, str]]:
                 found.append((key.decode("latin-1"), zlib.decompress(rest[1:]).decode("latin-1")))
             except zlib.error:
                 pass
-        elif kind == b"iTXt" and rest[:1] == b"\0":
-            found.append((key.decode("latin-1"), rest.split(b"\0", 3)[-1].decode("utf-8", "replace")))
+        elif kind == b"iTXt" and rest[:1] in (b"\0", b"\1"):
+            # flag and method, then language, translated keyword and text, the latter two after a null byte each
+            text = rest[2:].split(b"\0", 2)[-1]
+            try:
+                text = zlib.decompress(text) if rest[:1] == b"\1" else text
+            except zlib.error:
+                continue
+            found.append((key.decode("latin-1"), text.decode("utf-8", "replace")))
         elif kind == b"IEND":
             break
     return found
@@ -79,10 +85,10 @@ def png_metadata(spark: SparkSession, glob: str) -> DataFrame:
     return found.select("path", F.when(F.col("parameters").isNotNull(), "infotext").when(F.col("graph").isNotNull(), "graph").alias("dialect"), F.coalesce("parameters", "graph").alias("text"))
 
 
-def sidecar_fallback(files: DataFrame, sidecars: DataFrame) -> DataFrame:
+def sidecar_fallback(files: DataFrame, sidecars: DataFrame, suffix: str = ".meta.json") -> DataFrame:
     """Each file (path, file) with its sidecar's text (file, path, text): by stem before the first dot, by full name, by the same stem anywhere."""
     stem = lambda c: F.split_part(c, F.lit("."), F.lit(1))
-    side = sidecars.select(F.regexp_replace("file", r"\.meta\.json$", "").alias("base"), F.col("path").alias("side_path"), F.col("text").alias("side_text"))
+    side = sidecars.select(F.regexp_replace("file", suffix.replace(".", r"\.") + "$", "").alias("base"), F.col("path").alias("side_path"), F.col("text").alias("side_text"))
     tier = F.when(F.col("base") == stem(F.col("file")), F.when(F.regexp_extract("path", "^(.*)/", 1) == F.regexp_extract("side_path", "^(.*)/", 1), 1).otherwise(3)).otherwise(2)
     found = files.join(side.hint("merge"), stem(F.col("file")) == stem(F.col("base")), "left").withColumn("tier", tier)
     first = Window.partitionBy("path").orderBy(F.asc_nulls_last("tier"), "side_path")
@@ -122,3 +128,16 @@ def models(spark: SparkSession, root: str, cache: DataFrame) -> DataFrame:
 def write_tickets(tickets: DataFrame, path: str) -> None:
     """One JSON partition a character and profile; existing files stay."""
     tickets.write.partitionBy("character", "profile").mode("append").json(path)
+
+
+def styles(spark: SparkSession, path: str) -> DataFrame:
+    """(nth, name, prompt, negative_prompt) of a JSON list of prompt styles; an unreadable file has none."""
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "array<struct<name:string, prompt:string, negative_prompt:string>>").alias("x"))
+    return whole.select(F.posexplode("x").alias("nth", "s")).select("nth", "s.name", "s.prompt", "s.negative_prompt")
+
+
+def experiments(spark: SparkSession, root: str) -> DataFrame:
+    """One row a folder with a readable experiment.json, newest first: folder, mtime and the file's text."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "experiment.json").load(f"{root}/*/")
+    own = files.select(F.element_at(_parts(F.col("path")), -2).alias("folder"), F.unix_timestamp("modificationTime").alias("mtime"), F.col("content").cast("string").alias("manifest"))
+    return own.where("try_parse_json(manifest) is not null").orderBy(F.desc("mtime"), "folder")

@@ -39,6 +39,11 @@ def ingest(spark: SparkSession, source: str, schema, keys: list[str], target: st
     return spark.read.parquet(target).drop("batch")
 
 
+def ingest_counts(spark: SparkSession, target: str) -> DataFrame:
+    """(batches, processed) of an ingest's table so far."""
+    return spark.read.parquet(target).agg(F.count_distinct("batch").alias("batches"), F.count("*").alias("processed"))
+
+
 def _newest(spark: SparkSession, folder: str) -> int:
     """The largest number of a complete snapshot in a folder, or -1."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

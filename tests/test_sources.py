@@ -137,3 +137,77 @@ def test_banded_pairs_and_greedy_groups(spark):
                 leaders.append(k)
         groups |= {x: x for x in groups.values()}
         assert {r.member: r.leader for r in similar.greedy_groups(pairs).collect()} == groups
+
+
+def test_lora_merge_and_strip(spark):
+    prompt = "a cat <lora:ink:0.7>, sky,\nBREAK\nrain <lora:oil:1>, <lora:ink:0.9>"
+    given = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(w).cast("double").alias("weight")) for n, w in (("oil", 0.5), ("new", None), ("", 1.0))])
+    row = spark.createDataFrame([(prompt,)], "p string").select(t.merge_loras(F.col("p"), given).alias("merged"), t.strip_loras(F.col("p")).alias("bare"), t.merge_loras(F.lit("<lora:a:1>"), F.slice(given, 1, 0)).alias("only"), t.merge_loras(F.lit("plain, "), F.when(F.lit(False), given)).alias("plain")).first()
+    assert row.merged.endswith("<lora:ink:0.9>,\n<lora:oil:0.5>,\n<lora:new:0.8>") and row.merged.count("<lora") == 3
+    assert "lora" not in row.bare and row.only == "<lora:a:1>" and row.plain == "plain"
+
+
+def test_removals_keep_lines_and_breaks(spark):
+    prompts = spark.createDataFrame([(1, "sky, cat,\nsky,\nhat, Sky\nBREAK\nsky, (sky:1.2), end"), (2, "a, a"), (3, "x\nBREAK\nx")], "doc_id long, prompt string")
+    chosen = spark.createDataFrame([(1, False, "sky", 1), (1, False, "sky", 2), (3, False, "x", 1)], "doc_id long, negative boolean, norm string, n long")
+    budgets = lint.budgets(chosen)
+    assert [(r.doc_id, r.budget) for r in budgets.orderBy("doc_id").collect()] == [(1, 3), (3, 1)]
+    worst = lint.budgets(chosen.withColumn("negative", F.lit(True)))
+    assert sorted(r.budget for r in worst.collect()) == [1, 2]
+    got = {r.doc_id: r.prompt for r in lint.apply_removals(prompts, budgets).collect()}
+    assert got == {1: "sky, cat,\nhat,\nBREAK\n(sky:1.2), end", 2: "a, a", 3: "x"}
+
+
+def test_findings_order_and_tags_of_stats(spark):
+    found = spark.createDataFrame([(1, "overlap", "b", 12), (1, "duplicate", "a", 20), (1, "overlap", "a", 12)], "doc_id long, kind string, target string, points long")
+    assert [(r.kind, r.target) for r in lint.ordered(found).orderBy("rank").collect()] == [("duplicate", "a"), ("overlap", "a"), ("overlap", "b")]
+    from tagloom.operators import stats
+
+    tokens = spark.createDataFrame([("positive", "mia", x) for x in ("<lora:x:0.8>", "Blue Sky", "blue-sky", "score_9", "(hat:1.1)")], "polarity string, character string, raw string")
+    assert sorted((r.tag, r.cnt, r.overall) for r in stats.tag_counts(tokens).collect()) == [("blue_sky", 2, 0), ("blue_sky", 2, 1), ("hat", 1, 0), ("hat", 1, 1)]
+    pairs = stats.cooccurrence(spark.createDataFrame([(["b", "a", "a"],), (["a", "b", "c"],), ([],), (None,)], "tags array<string>"), 2)
+    assert [tuple(r) for r in pairs.collect()] == [("a", "b", 2)]
+
+
+def test_suggestions_of_any_length(spark):
+    from tagloom.operators.suggest import suggest_all
+
+    dump = spark.createDataFrame([("green_dress", 9, "robe"), ("green_hat", 5, "x"), ("red_hat", 7, "y"), ("g", 1, "z")], "tag string, cnt long, alias string")
+    got = suggest_all(dump, spark.createDataFrame([("g",), ("green_ball_gown",), ("robe",), ("none_such",)], "q string"), 3)
+    assert sorted((r.q, r["rank"], r.tag, r.tier) for r in got.collect()) == [("g", 1, "g", 1), ("g", 2, "green_dress", 3), ("g", 3, "green_hat", 3), ("green_ball_gown", 1, "green_dress", 6), ("green_ball_gown", 2, "green_hat", 6), ("robe", 1, "green_dress", 2)]
+
+
+def test_drafts(spark):
+    text = "a cat <lora:ink:0.7>, score_9, <lora:ink:0.2> <lora:odd:x>,\nNegative prompt: blur\nSteps: 24, Seed: 7.0, Size: 512x640, Model: sub\\\\Best, Sampler: DPM"
+    parsed = ingest.infotext(spark.createDataFrame([(1, text), (2, "b\nSteps: 3, Seed: no, Model: lost"), (3, "c")], "id long, text string"))
+    installed = spark.createDataFrame([("models/best.safetensors", 1), ("old/BEST.ckpt", 2)], "name string, nth int")
+    got = {r.id: r for r in ingest.drafts(parsed, installed).collect()}
+    assert [(x.name, x.weight) for x in got[1].loras] == [("ink", 0.7), ("odd", 0.8)] and "lora" not in got[1].prompt
+    assert (got[1].seed, got[1].width, got[1].height, got[1].sampler, got[1].scheduler, got[1].base_family) == (7, 512, 640, "DPM", "Karras", "pony")
+    assert got[1].checkpoint == "models/best.safetensors" and got[1].checkpoint_resolved and got[1].notes == ["Steps 24 inherited from universal ratios"]
+    assert (got[2].seed, got[2].width, got[2].checkpoint, got[2].checkpoint_resolved) == (-1, 768, "lost", False) and got[2].notes[-1] == "checkpoint lost is not installed"
+    assert got[3].checkpoint == ingest.NO_CHECKPOINT and got[3].notes == []
+
+
+def test_styles_experiments_tickets_and_units(spark, tmp_path):
+    from tagloom.operators import grid, library
+
+    (tmp_path / "styles.json").write_text(json.dumps([{"name": "ink", "prompt": "nothing"}, {"name": "ink", "prompt": "ink, {prompt}", "negative_prompt": "blur"}]))
+    styles = scan.styles(spark, f"file:{tmp_path}/styles.json")
+    rows = spark.createDataFrame([(1, "cat", "dog", "ink"), (2, "cat", "dog", "lost"), (3, "cat", "", "ink")], "doc_id long, prompt string, negative_prompt string, style string")
+    assert {r.doc_id: (r.prompt, r.negative) for r in grid.apply_styles(rows, styles).collect()} == {1: ("ink, cat", "blur, dog"), 2: ("cat", "dog"), 3: ("ink, cat", "blur")}
+    for name, manifest in (("one", '{"a": 1}'), ("bad", "{")):
+        (tmp_path / "exp" / name).mkdir(parents=True)
+        (tmp_path / "exp" / name / "experiment.json").write_text(manifest)
+    assert [r.folder for r in scan.experiments(spark, f"file:{tmp_path}/exp").collect()] == ["one"]
+    renders = spark.createDataFrame([("mia", "base", "1_7"), ("mia", "alt", "1_7")], "character string, name string, stem string")
+    tickets = spark.createDataFrame([("mia", "base", "1_7", 7)], "character string, name string, stem string, seed long")
+    assert {r.name: r.seed for r in library.with_tickets(renders, tickets).collect()} == {"base": 7, "alt": None}
+    units = spark.createDataFrame([(1, [(True, "canny", "x/a.png"), (True, "None", "a.png"), (False, "canny", "a.png"), (True, "depth", "lost.png"), (True, "pose", "b.png")])], "doc_id long, units array<struct<enabled:boolean, model:string, image_file:string>>")
+    images = spark.createDataFrame([("a.png",), ("b.png",)], "file string")
+    assert sorted((r.pos, r.unit.model) for r in grid.control_units(units, images).collect()) == [(0, "canny"), (4, "pose")]
+    nodes = spark.createDataFrame([("g", "s", "KSampler", None), ("g", "p", "CLIPTextEncode", "a cat")], "graph string, node string, class_type string, text string")
+    edges = spark.createDataFrame([("g", "s", "positive", "p"), ("g", "s", "negative", "s")], "graph string, node string, input string, source string")
+    assert [(r.positive, r.negative) for r in ingest.text_inputs(nodes, edges, nodes.where("node = 's'")).collect()] == [("a cat", "")]
+    packed = b"Title\0\1\0en\0t\0" + zlib.compress("ü".encode())
+    assert scan.png_chunks(png([(b"iTXt", packed), (b"iTXt", b"k\0\0\0\0\0plain")])) == [("Title", "ü"), ("k", "plain")]
