@@ -11,7 +11,11 @@ one conversation with a large share of all rows spreads over many tasks.
 
 Defined results: rows without conv_id belong to no conversation and are left out; turns
 sort by turn (null first), role, text; repeated equal rows count once; null role or text
-reads as empty; each conversation is rendered in parts of PART turns, one row each.
+reads as empty; conversations with equal turns leave the smallest conv_id; very long texts
+are hashed and rendered whole; other columns are ignored, whatever their names; an empty
+table gives an empty table.  Each conversation is rendered in parts of PART turns, one row
+each, so that no row grows with a conversation; `part=None` gives one row a conversation.
+Turns of equal number (null among them) of one conversation are sorted in one task.
 """
 
 from __future__ import annotations
@@ -72,19 +76,19 @@ def maximal(prefixes: DataFrame) -> DataFrame:
     return ends.join(inner.hint("merge"), KEY, "left_anti").select("conv_id", F.col("pos").alias("n_turns"), "n_copies")
 
 
-def render(prefixes: DataFrame, kept: DataFrame, part: int = PART) -> DataFrame:
-    """Template text of the kept conversations; turns in order, `part` turns a row."""
+def render(prefixes: DataFrame, kept: DataFrame, part: int | None = PART) -> DataFrame:
+    """Template text of the kept conversations; turns in order, `part` turns a row, or all in one."""
     turns = prefixes.select("conv_id", "pos", "role", "text").join(kept.hint("merge"), "conv_id")
     line = F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("\n<|end|>\n"))
-    groups = turns.groupBy("conv_id", "n_turns", "n_copies", F.floor((F.col("pos") - 1) / part).cast("long").alias("part"))
+    groups = turns.groupBy("conv_id", "n_turns", "n_copies", (F.floor((F.col("pos") - 1) / part).cast("long") if part else F.lit(0).cast("long")).alias("part"))
     lines = F.array_sort(F.collect_list(F.struct("pos", line.alias("line"))))
     return groups.agg(F.concat_ws("", F.transform(lines, lambda x: x["line"])).alias("rendered"))
 
 
-def collapse_and_render(conversations: DataFrame) -> DataFrame:
+def collapse_and_render(conversations: DataFrame, part: int | None = PART) -> DataFrame:
     """conv_id, n_turns, n_copies, part, rendered of every maximal conversation."""
     prefixes = written(prefix_hashes(conversations), "prefixes")
-    return render(prefixes, maximal(prefixes))
+    return render(prefixes, maximal(prefixes), part)
 
 
 ORACLE = r"""

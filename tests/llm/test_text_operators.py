@@ -315,6 +315,9 @@ def test_chat_collapse_equals_sql(spark, monkeypatch):
         got = sorted(tuple(r) for r in chat.collapse_and_render(df).select("conv_id", "n_turns", "n_copies", "part", "rendered").collect())
         assert got == want
     assert chat.collapse_and_render(df.limit(0)).count() == 0
+    long = spark.createDataFrame([(1, k, "user", f"t{k}") for k in range(300)], "conv_id long, turn long, role string, text string")
+    assert sorted(r.part for r in chat.collapse_and_render(long).collect()) == [0, 1]
+    assert [(r.part, r.rendered.count("<|end|>")) for r in chat.collapse_and_render(long, None).collect()] == [(0, 300)]
 
 
 @pytest.mark.parametrize("operator", ["quality", "tokens", "pieces", "secrets", "leaks"])
