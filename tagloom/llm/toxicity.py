@@ -3,16 +3,17 @@
 Two zstandard dictionaries are trained, one on ordinary and one on toxic text.  Windows of
 whole texts tell little apart here, as toxic text is mostly ordinary words; so the toxic
 dictionary is trained on what toxic rows have more often than ordinary rows: their words
-and word beginnings that are significant by log-likelihood ratio (STRINGS of them at most,
-false discovery rate FALSE_RATE), in the order of the texts.  It is used in front of the
-ordinary one, so common text costs the same in both.  A window of text that the toxic side
-packs better is closer to toxic text; a document's score is a logistic function of how much
-and how often its windows are, with weights and thresholds calibrated on the training rows.
+and word beginnings that are significant by log-likelihood ratio (the STRINGS strongest at a
+false discovery rate of FALSE_RATE, and all at SURE_RATE), in the order of the texts.  It is
+used in front of the ordinary one, so common text costs the same in both.  A window of text
+that the toxic side packs better is closer to toxic text; a document's score is a logistic
+function of how much and how often its windows are, with weights and thresholds calibrated
+on the training rows.
 
 Training uses labelled rows whose crc32(doc_id as text) mod 5 is not 0, at most
 TOXIC_ROWS and ORDINARY_ROWS of them (smallest hashes of the id) with texts of at most
 TRAIN_BYTES; weights restore the labels' shares.  Tasks count strings, cut samples and
-measure features; the driver gets at most STRINGS counts, SAMPLES samples and one row of
+measure features; the driver gets at most MOST counts, SAMPLES samples and one row of
 features for each training row.  Scoring reads every whole text.
 
 Defined results: a null text is empty and gets the score of a text without any gain; with
@@ -41,11 +42,11 @@ from .common import map_texts, slices, texts, written
 TOXIC_ROWS, ORDINARY_ROWS, TRAIN_BYTES = 3_000, 6_000, 65_536
 SIZE, STEP = 64, 52
 STRATEGY, SEARCH, LEAST_MATCH = zstandard.STRATEGY_GREEDY, 5, 6
-ORDINARY_BYTES, TOXIC_BYTES = 2_048, 1_024
+ORDINARY_BYTES, TOXIC_BYTES = 2_048, 2_048
 #: Training samples for either dictionary: windows of ordinary text, or TOGETHER strings of a toxic one.
 SAMPLES, TOGETHER = 60_000, 4
-#: Strings that mark toxic text: how many at most, and the share of false ones among the significant.
-STRINGS, FALSE_RATE = 64, 0.01
+#: Strings that mark toxic text: so many at a false discovery rate of FALSE_RATE, all at SURE_RATE, of the MOST strongest.
+STRINGS, FALSE_RATE, SURE_RATE, MOST = 64, 0.01, 1e-9, 4_096
 PREFIXES = range(5, 13)
 #: Gains in bytes from which windows are counted.
 GAINS = range(1, 7)
@@ -111,10 +112,10 @@ def _own_strings(text: bytes, marks: set[bytes]) -> list[bytes]:
 
 
 def significant(counts: list[tuple[bytes, int, int]], n_toxic: int, n_ordinary: int, n_tested: int) -> set[bytes]:
-    """The strings (string, toxic rows, ordinary rows) that pass Benjamini and Hochberg's bound, the strongest STRINGS at most."""
+    """The strings (string, toxic rows, ordinary rows) that pass Benjamini and Hochberg's bound."""
     ranked = sorted(((_g2(a, b, n_toxic, n_ordinary), s) for s, a, b in counts), reverse=True)
-    last = max((k for k, (g, _) in enumerate(ranked, 1) if 0.5 * math.erfc(math.sqrt(g / 2)) <= FALSE_RATE * k / n_tested), default=0)
-    return {s for _, s in ranked[: min(last, STRINGS)]}
+    passed = lambda rate: max((k for k, (g, _) in enumerate(ranked, 1) if 0.5 * math.erfc(math.sqrt(g / 2)) <= rate * k / n_tested), default=0)
+    return {s for _, s in ranked[: max(min(passed(FALSE_RATE), STRINGS), passed(SURE_RATE))]}
 
 
 def dictionary(samples: list[bytes], size: int, segment: int) -> bytes:
@@ -202,10 +203,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         return Model(b"", b"", [], [], [], share)
     counts = _map(rows, _count_strings, "string binary, a long, b long").groupBy("string").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("a >= 2")
     counts = written(counts, "strings")
-    # more often in toxic rows; the largest differences of rates are enough for the STRINGS strongest
+    # more often in toxic rows, the most significant differences of rates
     surplus = F.col("a") / n[1] - F.col("b") / n[0]
     rates = (F.col("a") + F.col("b")) / (n[1] + n[0])
-    by_chi = counts.where(surplus > 0).orderBy(F.desc(surplus * surplus / (rates * (1 - rates) + 1e-12)), "string").limit(8 * STRINGS)
+    by_chi = counts.where(surplus > 0).orderBy(F.desc(surplus * surplus / (rates * (1 - rates) + 1e-12)), "string").limit(MOST)
     marks = significant([(bytes(r.string), r.a, r.b) for r in by_chi.collect()], n[1], n[0], max(1, counts.count()))
 
     def windows(pairs: Iterator[tuple[bytes, int]]) -> Iterator[dict]:

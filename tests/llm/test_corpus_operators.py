@@ -237,8 +237,13 @@ def test_pipeline_stages(spark, sf_dir):
 
 
 def test_pipeline_stages_with_odd_rows(spark, docs, sf_dir):
-    odd = docs([None, "", " ".join(passage(400)), " ".join(passage(400)) + " token = abcdef0123456789"]).withColumn("__x", __import__("pyspark").sql.functions.lit(1))
+    odd = docs([None, "", " ".join(passage(400)), " ".join(passage(400)) + " token = abcdef0123456789"]).withColumns({c: __import__("pyspark").sql.functions.lit(1) for c in ("hits", "clean", "node", "component", "__x")})
     for _, stage in corpus_pipeline.STAGES[:-1]:
         odd = stage(spark, odd, sf_dir)
     rows = {r.doc_id: r for r in odd.collect()}
+    assert odd.columns[-5:] == ["hits", "clean", "node", "component", "__x"] and all(r.hits == 1 for r in rows.values())
+    none = docs(["x"]).limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        none = stage(spark, none, sf_dir)
+        assert none.count() == 0
     assert rows.keys() == {2, 3} and rows[3].text.endswith("[secret]") and rows[3].n_chars == len(rows[3].text) and rows[2]["__x"] == 1

@@ -50,6 +50,28 @@ def test_quality_bands():
     assert quality.judge(b"short", packer) == (None, None, None)
 
 
+def test_quality_verdict_against_brute_force(spark, docs):
+    own = random.Random(17)
+    noise = lambda n: "".join(own.choices("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz ", k=n))
+    good = " ".join(own.choices(WORDS, k=9000))
+    texts = [*AWKWARD, good[:5000] + noise(9000), good[:30_000] + noise(2000), "ab " * 3000, good[:300], good[:700], noise(700), good[:2047], good[:2048], good[:4096] + "x" * 4096]
+    pack = quality.zstandard.ZstdCompressor(level=3, write_checksum=False).compress
+    for k, r in by_id(quality.compression_bands(docs(texts))).items():
+        data = (texts[k] or "").encode()
+        ok = not r.base_failed
+        limits = [b for b in quality.BANDS if len(data) >= b[0]]
+        if limits:
+            ok = ok and limits[-1][1] <= len(data) / len(pack(data)) <= limits[-1][2]
+        if len(data) >= 2048:
+            chunks = []
+            while 2048 * len(chunks) + 2048 < len(data):
+                chunks.append(data[2048 * len(chunks) :][:2048])
+            chunks.append(data[-2048:])
+            outside = [not quality.CHUNK_BAND[0] <= 2048 / len(pack(c)) <= quality.CHUNK_BAND[1] for c in chunks]
+            ok = ok and sum(outside) <= 0.3 * len(chunks)
+        assert r.kept == ok, k
+
+
 def test_quality_rejects_random_words():
     packer, own = quality.zstandard.ZstdCompressor(level=3, write_checksum=False), random.Random(3)
     base62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -206,6 +228,28 @@ def test_secrets_random_strings(spark, docs):
     assert clean[1].text == texts[1] and clean[4].text is None and clean[4].kept is True
 
 
+def test_secrets_against_brute_force(spark, docs):
+    own, enc = random.Random(5), secrets.coder(queries.tokenizer_path("byte_bpe_50k.tiktoken"), queries.split_pattern())
+    key = lambda: "".join(own.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=own.randint(15, 45)))
+    made = [lambda: own.choice(WORDS), lambda: own.choice(WORDS), key, lambda: "token=" + key(), lambda: f"https://example.com/a?k={key()}", lambda: "AKIA" + key().upper(), lambda: f"{own.getrandbits(128):032x}", lambda: f"{own.getrandbits(112):x},{key()};{key()}", lambda: "Password : 'abc" + key()]
+    texts = [" ".join(own.choice(made)() for _ in range(own.randint(1, 60))) for _ in range(60)] + [*AWKWARD, " ".join(key() for _ in range(4000))]
+    twice = docs(texts).withColumn("spans", __import__("pyspark").sql.functions.lit(1))
+    rows = secrets.find_secrets(twice.unionByName(twice), queries.tokenizer_path("byte_bpe_50k.tiktoken"), queries.split_pattern()).collect()
+    assert len(rows) == 2 * len(texts)
+    for r in rows:
+        text = texts[r.doc_id] or ""
+        base = [(m.start(), k, m.end()) for k, p in enumerate((secrets.ASSIGN, secrets.ACCESS, secrets.HEX)) for m in p.finditer(text) if k or len(m[2]) >= 6]
+        said = lambda spans: ",".join(f"{('assign', 'access', 'hex', 'random')[k]}:{a}:{b}" for a, k, b in sorted(spans))
+        assert r.base_sha256 == hashlib.sha256(said(base).encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x[1] == k for x in base) for k in range(3))
+        more = []
+        for m in re.finditer(r"\S+", text):
+            for a, b in secrets.random_parts(m[0], enc):
+                if not any(a + m.start() < z and y < b + m.start() for y, _, z in base):
+                    more.append((a + m.start(), 3, b + m.start()))
+        assert r.spans == said(base + more), r.doc_id
+
+
 def test_secrets_without_digits_and_in_links():
     enc, own = secrets.coder(queries.tokenizer_path("byte_bpe_50k.tiktoken"), queries.split_pattern()), random.Random(9)
     found = lambda text: [text[a:b] for a, b, _ in secrets.random_spans(text, [], enc)]
@@ -320,6 +364,36 @@ def test_chat_collapse_equals_sql(spark, monkeypatch):
     assert [(r.part, r.rendered.count("<|end|>")) for r in chat.collapse_and_render(long, None).collect()] == [(0, 300)]
 
 
+@pytest.mark.parametrize("operator", ["quality", "tokens", "pieces", "leaks"])
+def test_repeated_rows_and_clashing_columns(spark, docs, operator):
+    lit, path = __import__("pyspark").sql.functions.lit, queries.tokenizer_path
+    some = [t for t in AWKWARD if t is None or len(t) < 10_000]
+    plain = docs(some)
+    clash = plain.withColumns({c: lit("x") for c in ("hits", "n_tokens", "spans", "score", "n_words", "ids", "a", "component", "component_id")})
+    bench = spark.createDataFrame([(1, "line one line two"), (1, "line one line two"), (2, "non break"), (3, None)], "item_id long, text string")
+    work = {
+        "quality": quality.compression_bands,
+        "tokens": lambda d: tokens.token_counts(d, path("word_bpe_49k.json")),
+        "pieces": lambda d: pieces.round_trip(d, path("piece_bpe_32k.model")),
+        "leaks": lambda d: contamination.leaks(d, bench),
+    }[operator]
+    once = sorted(map(repr, work(plain).collect()))
+    assert once and sorted(map(repr, work(clash.unionByName(clash)).collect())) == sorted([*once, *once])
+
+
+def test_contamination_in_several_blocks(spark, docs, monkeypatch):
+    items = [[rng.choice(WORDS) for _ in range(20)] for _ in range(30)]
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    texts = [" ".join([*rng.choices(WORDS, k=30), *items[k % 30], *items[(k + 7) % 30]]) for k in range(40)] + [" ".join(rng.choices(WORDS, k=50)), None, ""]
+    found = lambda: sorted(map(tuple, contamination.leaks(docs(texts), bench).collect()))
+    whole = found()
+    kept = lambda: sorted(r.doc_id for r in contamination.without_leaks(docs(texts).withColumn("hits", __import__("pyspark").sql.functions.lit(1)), bench).collect())
+    assert {(r[0], r[1]) for r in whole} >= {(k, x) for k in range(40) for x in (k % 30, (k + 7) % 30)} and kept() == [40, 41, 42]
+    monkeypatch.setattr(contamination, "BLOCK", 4)
+    monkeypatch.setattr(contamination, "COMMON", 1.0)
+    assert {r[:2] for r in found()} == {r[:2] for r in whole} and kept() == [40, 41, 42]
+
+
 @pytest.mark.parametrize("operator", ["quality", "tokens", "pieces", "secrets", "leaks"])
 def test_empty_tables(spark, docs, operator):
     none = docs(["x"]).limit(0)
