@@ -23,7 +23,8 @@ def split_pattern() -> str:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.compression_bands(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return quality.compression_bands(docs, bands=quality.fit_bands(docs, table(spark, sf_dir, "labels")))
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

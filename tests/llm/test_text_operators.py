@@ -72,6 +72,21 @@ def test_quality_verdict_against_brute_force(spark, docs):
         assert r.kept == ok, k
 
 
+def test_quality_bands_follow_good_documents(spark, docs, monkeypatch):
+    monkeypatch.setattr(quality, "LEAST_GOOD", 20)
+    texts = [" ".join(rng.choices(WORDS, k=130)) for _ in range(40)] + [" ".join(rng.choices(WORDS[:4], k=300)) for _ in range(5)] + [None, ""]
+    labels = spark.createDataFrame([(k, int(k < 40)) for k in range(47)] + [(3, 0), (None, 1), (4, None)], "doc_id long, quality int")
+    table = docs(texts).withColumn("quality", __import__("pyspark").sql.functions.lit(7))
+    bands = quality.fit_bands(table, labels)
+    packer = quality.zstandard.ZstdCompressor(level=3, write_checksum=False)
+    ratios = [len(t.encode()) / len(packer.compress(t.encode())) for t in texts[:40] if 768 <= len(t.encode()) < 1024]
+    own = {b[0]: b for b in bands}
+    if len(ratios) > 20:
+        assert own[768][2] <= max(ratios) * 1.021 and own[768][1] >= 1.5
+    assert own[16384] == quality.BANDS[-1]
+    assert quality.fit_bands(table, labels.limit(0)) == quality.BANDS == quality.fit_bands(table.limit(0), labels)
+
+
 def test_quality_rejects_random_words():
     packer, own = quality.zstandard.ZstdCompressor(level=3, write_checksum=False), random.Random(3)
     base62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
