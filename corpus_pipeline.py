@@ -20,15 +20,16 @@ NEAR_PERCENT = 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what the base rules or the compression bands reject.
+    """Drops what the base rules or the compression bands, fitted on good documents, reject.
 
     Null and empty texts have too few words and go; equal rows share their verdict; long texts
     are read whole.  All columns of docs stay as they are, whatever their names.
     """
     own, others = unused("kept", docs.columns), [c for c in docs.columns if c not in ("doc_id", "text")]
+    bands = quality.fit_bands(docs, table(spark, sf_dir, "labels"))
 
     def work(batch: list[bytes]) -> dict:
-        return {own: quality.measure(batch)["kept"]}
+        return {own: quality.measure(batch, bands)["kept"]}
 
     kept = map_texts(docs, work, f"{own} boolean", *others, keep_text=True).where(F.col(own))
     return kept.select(*[F.col("text").cast("string").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
