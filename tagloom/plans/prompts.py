@@ -58,45 +58,61 @@ def consolidate(spark, sf_dir):
     return stats.consolidate(tokens(spark, sf_dir), 0.5)
 
 
+def phrases(c):
+    """A text as a prompt of phrases: punctuation as commas, lines stay lines."""
+    return F.regexp_replace(c, r"[^\p{L}0-9 \n]+", ",")
+
+
 def lint_side(spark, sf_dir, polarity):
-    found = tokens(spark, sf_dir).where(F.col("polarity") == polarity)
+    """Tokens of documents as prompts, or of the benchmark's items in turn as negative prompts."""
+    from .views import small, spread, table
+
+    docs, bench = spread(table(spark, sf_dir, "documents"), "doc_id"), table(spark, sf_dir, "benchmark")
+    if polarity == "positive":
+        own = docs.select("doc_id", phrases(F.col("text")).alias("prompt"))
+    else:
+        own = docs.select("doc_id", (F.col("doc_id") % max(1, bench.count())).alias("item_id")).join(small(bench.select("item_id", phrases(F.col("text")).alias("prompt"))), "item_id")
+    found = own.select("doc_id", F.posexplode(t.lint_tokens(F.coalesce("prompt", F.lit("")))).alias("pos", "raw"))
     return found.select("doc_id", "pos", "raw", t.base_form(F.col("raw")).alias("norm"))
 
 
-#: Prompts of the adapter views are single words, so the rules run with tables of such words.
-RULES = {"groups": (("the", "and", "of"), ("die", "der", "und"), ("le", "la", "de")), "attribute": r"\b(the|der|la)\b", "known": ("the", "der", "la"), "bases": ("the", "der", "la")}
-NORM = r", lt AS (SELECT doc_id, polarity, pos, raw, trim(regexp_replace(lower(trim(split_part(regexp_replace(raw, '[()]+', '', 'g'), ':', 1))), '[\s-]+', ' ', 'g')) AS norm FROM tokens), p AS (SELECT * FROM lt WHERE polarity = 'positive'), g AS (SELECT * FROM lt WHERE polarity = 'negative')"
+#: The rules run with tables of words that occur in the given texts.
+RULES = {"groups": (("the", "and", "of"), ("die", "der", "und"), ("le", "la", "de")), "attribute": "(?:^| )(the|der|la)(?: |$)", "known": ("of", "in", "and", "und", "die", "de", "et"), "bases": ("the", "of", "and", "der", "und", "la", "de")}
+NORM = r"""WITH sides AS (SELECT doc_id, 'positive' AS polarity, text FROM documents UNION ALL SELECT d.doc_id, 'negative', b.text FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)),
+lists AS (SELECT doc_id, polarity, list_filter(list_transform(string_split(regexp_replace(regexp_replace(coalesce(text, ''), '[^\p{L}0-9 \n]+', ',', 'g'), '\s*BREAK\s*|\n', ',', 'g'), ','), lambda x: trim(x)), lambda x: x <> '') AS l FROM sides),
+flat AS (SELECT doc_id, polarity, unnest(range(len(l))) AS pos, unnest(l) AS raw FROM lists),
+lt AS (SELECT doc_id, polarity, pos, raw, trim(regexp_replace(lower(trim(split_part(regexp_replace(raw, '[()]+', '', 'g'), ':', 1))), '[\s-]+', ' ', 'g')) AS norm FROM flat), p AS (SELECT * FROM lt WHERE polarity = 'positive'), g AS (SELECT * FROM lt WHERE polarity = 'negative')"""
 DUP = "SELECT doc_id, 'duplicate' AS kind, norm AS target, 20 * (count(*) - 1) AS points FROM p GROUP BY doc_id, norm HAVING count(*) > 1"
 NEG = "SELECT doc_id, 'negative-duplicate' AS kind, min(norm) AS target, 20::BIGINT AS points FROM (SELECT doc_id, norm FROM g GROUP BY ALL HAVING count(*) > 1) GROUP BY doc_id"
 OVER = """SELECT doc_id, 'overlap' AS kind, norm AS target, 12::BIGINT AS points FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, grp ORDER BY length(norm) DESC, pos) AS rn FROM (
   SELECT doc_id, norm, min(pos) AS pos, CASE WHEN norm IN ('the', 'and', 'of') THEN 0 WHEN norm IN ('die', 'der', 'und') THEN 1 ELSE 2 END AS grp FROM p WHERE norm IN ('the', 'and', 'of', 'die', 'der', 'und', 'le', 'la', 'de') GROUP BY doc_id, norm)) WHERE rn > 1"""
 REP = "SELECT doc_id, 'repeated-word' AS kind, word AS target, 3 * (count(*) - 2) AS points FROM (SELECT doc_id, unnest(list_distinct(string_split(norm, ' '))) AS word FROM p) WHERE length(word) >= 4 GROUP BY doc_id, word HAVING count(*) >= 3"
-COL = """SELECT doc_id, 'color-conflict' AS kind, attr AS target, 12 * (count(DISTINCT colour) - 1) AS points FROM (SELECT doc_id, regexp_extract(norm, '\\b(the|der|la)\\b', 1) AS attr,
-  list_min(list_filter(['the', 'der', 'la'], lambda c: list_contains(regexp_split_to_array(norm, '[^a-z0-9_]+'), c))) AS colour FROM p) WHERE attr <> '' AND colour IS NOT NULL GROUP BY doc_id, attr HAVING count(DISTINCT colour) > 1""".replace("\\\\", "\\")
-SUB = """SELECT doc_id, 'subsumed' AS kind, base AS target, 6::BIGINT AS points FROM (SELECT doc_id, norm, string_split(norm, ' ')[-1] AS base FROM p) WHERE base IN ('the', 'der', 'la') GROUP BY doc_id, base HAVING bool_or(norm = base) AND bool_or(norm <> base)"""
+COL = """SELECT doc_id, 'color-conflict' AS kind, attr AS target, 12 * (count(DISTINCT colour) - 1) AS points FROM (SELECT doc_id, regexp_extract(norm, '(?:^| )(the|der|la)(?: |$)', 1) AS attr,
+  list_min(list_filter(['of', 'in', 'and', 'und', 'die', 'de', 'et'], lambda c: list_contains(regexp_split_to_array(norm, '[^a-z0-9_]+'), c))) AS colour FROM p) WHERE attr <> '' AND colour IS NOT NULL GROUP BY doc_id, attr HAVING count(DISTINCT colour) > 1""".replace("\\\\", "\\")
+SUB = """SELECT doc_id, 'subsumed' AS kind, base AS target, 6::BIGINT AS points FROM (SELECT doc_id, norm, string_split(norm, ' ')[-1] AS base FROM p) WHERE base IN ('the', 'of', 'and', 'der', 'und', 'la', 'de') GROUP BY doc_id, base HAVING bool_or(norm = base) AND bool_or(norm <> base)"""
 
 
-@query(NORM + " " + DUP, "tokens")
+@query(NORM + " " + DUP)
 def lint_duplicates(spark, sf_dir):
     return lint.duplicates(lint_side(spark, sf_dir, "positive"))
 
 
-@query(NORM + " " + OVER, "tokens")
+@query(NORM + " " + OVER)
 def lint_overlap(spark, sf_dir):
     return lint.overlaps(lint_side(spark, sf_dir, "positive"), RULES["groups"])
 
 
-@query(NORM + " " + REP, "tokens")
+@query(NORM + " " + REP)
 def lint_repeats(spark, sf_dir):
     return lint.repeats(lint_side(spark, sf_dir, "positive"))
 
 
-@query(NORM + f" SELECT * FROM ({COL})", "tokens")
+@query(NORM + f" SELECT * FROM ({COL})")
 def lint_colors(spark, sf_dir):
     return lint.colours(lint_side(spark, sf_dir, "positive"), RULES["attribute"], RULES["known"])
 
 
-@query(NORM + " " + SUB, "tokens")
+@query(NORM + " " + SUB)
 def lint_subsumed(spark, sf_dir):
     return lint.subsumed(lint_side(spark, sf_dir, "positive"), RULES["bases"])
 
@@ -104,12 +120,12 @@ def lint_subsumed(spark, sf_dir):
 FINDINGS = " UNION ALL ".join(f"SELECT * FROM ({q})" for q in (DUP, OVER, REP, COL, SUB, NEG))
 
 
-@query(NORM + " " + FINDINGS, "tokens")
+@query(NORM + " " + FINDINGS)
 def lint_findings(spark, sf_dir):
     return lint.findings(lint_side(spark, sf_dir, "positive"), lint_side(spark, sf_dir, "negative"), **RULES)
 
 
-@query(NORM + f" SELECT doc_id, least(100, sum(points))::BIGINT AS score, count(*) AS n_findings FROM ({FINDINGS}) GROUP BY doc_id", "tokens")
+@query(NORM + f" SELECT doc_id, least(100, sum(points))::BIGINT AS score, count(*) AS n_findings FROM ({FINDINGS}) GROUP BY doc_id")
 def lint_score(spark, sf_dir):
     return lint.scores(lint.findings(lint_side(spark, sf_dir, "positive"), lint_side(spark, sf_dir, "negative"), **RULES))
 
