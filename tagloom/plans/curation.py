@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import library
+from ..operators import library, profiles
 from .registry import query
 from .views import hashes, library_index, notes, table, tag_dump, tickets, tokens
 
@@ -239,13 +239,15 @@ def key_quarantine(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", key.alias("key"), key.rlike("^[a-z0-9][a-z0-9_-]*$").alias("valid"))
 
 
-SAMPLERS = {"euler": "Euler", "euler_ancestral": "Euler a", "dpmpp_2m": "DPM++ 2M", "ddim": "DDIM", "heun": "Heun"}
+_KEYS = [*profiles.SAMPLERS, *profiles.SCHEDULERS, "unheard_of"]
+_NAMES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in (profiles.SAMPLERS | profiles.SCHEDULERS).items())
 
 
-@query("SELECT event_id, event_type AS k, CASE event_type WHEN 'view' THEN 'Euler' WHEN 'click' THEN 'DDIM' ELSE event_type END AS name FROM events")
+@query(f"SELECT doc_id, k, CASE k {_NAMES} ELSE k END AS name FROM (SELECT doc_id, {_KEYS!r}[1 + doc_id % {len(_KEYS)}] AS k FROM documents)")
 def vocab_map(spark, sf_dir):
-    names = F.create_map(*[F.lit(x) for p in (("view", SAMPLERS["euler"]), ("click", SAMPLERS["ddim"])) for x in p])
-    return table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("k"), F.coalesce(F.try_element_at(names, F.col("event_type")), "event_type").alias("name"))
+    """Every known sampler and scheduler name in turn, and one that isn't known."""
+    k = F.element_at(F.array(*[F.lit(x) for x in _KEYS]), (F.col("doc_id") % len(_KEYS) + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", k.alias("k")).select("doc_id", "k", profiles.known_name(F.col("k"), profiles.SAMPLERS | profiles.SCHEDULERS).alias("name"))
 
 
 @query("SELECT event_id, CASE event_type WHEN 'error' THEN 'fallback' WHEN 'view' THEN 'view' WHEN 'click' THEN 'clicked' ELSE 'fallback' END AS name, event_type NOT IN ('error', 'view', 'click') AS noted FROM events")
@@ -329,15 +331,19 @@ def metric_alias(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.lit("2,1,2,1").alias("raw"), F.array_join(F.array_distinct(F.transform(names, lambda n: F.try_element_at(alias, n))), ",").alias("metrics"))
 
 
-PINS = {"steps": 24, "cfg": 6.0, "denoise": 0.45}
-
-
-@query("SELECT doc_id, coalesce(CASE WHEN doc_id % 2 = 0 THEN doc_id % 50 END, 30) AS steps, coalesce(CASE WHEN doc_id % 3 = 0 THEN (doc_id % 10)::DOUBLE END, 6.0::DOUBLE) AS cfg, 0.45::DOUBLE AS denoise FROM documents")
+@query("""SELECT doc_id, coalesce(CASE WHEN doc_id % 2 = 0 THEN doc_id % 50 END, 30) AS steps, coalesce(CASE WHEN doc_id % 3 = 0 THEN (doc_id % 10)::DOUBLE END, 6.0::DOUBLE) AS cfg_scale, 3.0::DOUBLE AS distilled_cfg_scale,
+CASE WHEN doc_id % 5 <> 0 THEN 1.5::DOUBLE END AS hr_scale, CASE WHEN doc_id % 5 <> 0 THEN coalesce(CASE WHEN doc_id % 2 = 0 THEN doc_id % 20 END, 10) END AS hr_steps, CASE WHEN doc_id % 5 <> 0 THEN 0.45::DOUBLE END AS hr_denoise, CASE WHEN doc_id % 5 <> 0 THEN 4.5::DOUBLE END AS hr_cfg,
+doc_id % 3 AS n_tabs, CASE WHEN doc_id % 3 > 0 THEN 0.3::DOUBLE END AS confidence, CASE WHEN doc_id % 3 > 0 THEN 0.4::DOUBLE END AS denoise, CASE WHEN doc_id % 3 > 0 THEN coalesce(CASE WHEN doc_id % 2 = 0 THEN doc_id % 64 END, 32) END AS padding FROM documents""")
 def inherit_defaults(spark, sf_dir):
-    """A null ratio takes the universal pin, else the fixed default."""
-    pins = spark.createDataFrame([(30, None)], "pin_steps long, pin_cfg double")
-    own = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id") % 50).alias("steps"), F.when(F.col("doc_id") % 3 == 0, (F.col("doc_id") % 10).cast("double")).alias("cfg")).join(F.broadcast(pins))
-    return own.select("doc_id", F.coalesce("steps", "pin_steps", F.lit(PINS["steps"])).alias("steps"), F.coalesce("cfg", "pin_cfg", F.lit(PINS["cfg"])).alias("cfg"), F.lit(PINS["denoise"]).alias("denoise"))
+    """All ten ratios: null ones take the shared pin, else the default."""
+    d, none = F.col("doc_id"), F.lit(None).cast("double")
+    even = lambda n: F.when(d % 2 == 0, d % n)
+    base = F.struct(even(50).alias("steps"), F.when(d % 3 == 0, (d % 10).cast("double")).alias("cfg_scale"), none.alias("distilled_cfg_scale"))
+    hires = F.when(d % 5 != 0, F.struct(none.alias("scale"), even(20).alias("steps"), none.alias("denoise"), none.alias("cfg")))
+    tabs = F.array_repeat(F.struct(none.alias("confidence"), none.alias("denoise"), even(64).alias("padding")), (d % 3).cast("int"))
+    own = profiles.inherit(table(spark, sf_dir, "documents").select("doc_id", base.alias("base"), hires.alias("hires"), tabs.alias("tabs")), {"steps": 30, "hr_scale": 1.5, "cfg_scale": None})
+    last = F.try_element_at("tabs", F.lit(-1))
+    return own.select("doc_id", "base.*", F.col("hires.scale").alias("hr_scale"), F.col("hires.steps").alias("hr_steps"), F.col("hires.denoise").alias("hr_denoise"), F.col("hires.cfg").alias("hr_cfg"), F.size("tabs").cast("long").alias("n_tabs"), last["confidence"].alias("confidence"), last["denoise"].alias("denoise"), last["padding"].alias("padding"))
 
 
 @query(" SELECT doc_id, line::INTEGER AS line, CASE WHEN doc_id % 3 = 0 THEN -1 ELSE doc_id + line END AS seed, CASE WHEN trim(raw) = '' THEN profile ELSE profile || ', ' || trim(raw) END AS prompt FROM (SELECT doc_id, profile, unnest(range(least(64, len(string_split(prompt, ', '))))) AS line, unnest(string_split(prompt, ', ')[1:64]) AS raw FROM tickets)", "tickets")
