@@ -33,6 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -217,10 +218,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                 made = [b"".join(own[i : i + TOGETHER]).replace(b"  ", b" ") for i in range(0, len(own), TOGETHER)]
             else:
                 made = [x[i : i + SIZE] for i in range(0, len(x), SIZE)]
-            yield {"sample": pa.array(made, pa.binary()), "toxic": pa.array([toxic] * len(made), pa.int32())}
+            key = xxhash.xxh3_64_intdigest(text) >> 1
+            yield {"sample": pa.array(made, pa.binary()), "toxic": pa.array([toxic] * len(made), pa.int32()), "key": pa.array([key] * len(made), pa.int64()), "pos": pa.array(range(len(made)), pa.int32())}
 
-    samples = written(_map(rows, windows, "sample binary, toxic int"), "samples")
-    some = lambda v: sorted(bytes(r.sample) for r in samples.where(F.col("toxic") == v).orderBy(F.xxhash64("sample"), "sample").limit(SAMPLES).collect())
+    samples = written(_map(rows, windows, "sample binary, toxic int, key long, pos int"), "samples")
+    # whole texts in an order of their own: training takes frequent strings from all over its samples, so equal ones must not lie together
+    some = lambda v: [bytes(r.sample) for r in samples.where(F.col("toxic") == v).orderBy("key", "pos").limit(SAMPLES).collect()]
     ordinary, toxic = dictionary(some(0), ORDINARY_BYTES, 24), dictionary(some(1), TOXIC_BYTES, 16)
 
     def measure(pairs: Iterator[tuple[bytes, int]]) -> Iterator[dict]:
