@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, clusters, contamination, neardup, pieces, quality, secrets, substrings, tokens, toxicity, urls, whitening
+from . import chat, clusters, contamination, neardup, pieces, pii, quality, secrets, substrings, tokens, toxicity, urls, whitening
 from .common import table
 
 
@@ -63,6 +63,10 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), split_pattern())
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -72,6 +76,6 @@ def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_chat_formatting, op3_token_counts, op4_minhash_near_dedup, op5_sentencepiece, op6_toxicity, op7_url_filters, op8_benchmark_decontamination, op9_substring_dedup, op10_secret_scans, op12_embedding_whitening, op13_centroid_clustering)
+    f.__name__: f for f in (op1_quality_rules, op2_chat_formatting, op3_token_counts, op4_minhash_near_dedup, op5_sentencepiece, op6_toxicity, op7_url_filters, op8_benchmark_decontamination, op9_substring_dedup, op10_secret_scans, op11_pii, op12_embedding_whitening, op13_centroid_clustering)
 }
 ORACLE: dict[str, str] = {"op2_chat_formatting": chat.ORACLE, "op7_url_filters": urls.ORACLE, "op13_centroid_clustering": clusters.ORACLE}
