@@ -54,7 +54,9 @@ def library_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def embedding_hash(vec: Column) -> Column:
     """64 bits: each element against the median of elements 2 to 64, most significant first."""
     median = F.element_at(F.sort_array(F.slice(vec, 2, 63)), 32)
-    return F.aggregate(F.transform(vec, lambda x: F.when(x > median, 1).otherwise(0).cast("long")), F.lit(0).cast("long"), lambda a, b: F.shiftleft(a, 1).bitwiseOR(b))
+    # bound once, by a transform of one element: named inside the lambda it would be sorted again for each element
+    bits = lambda m: F.aggregate(vec, F.lit(0).cast("long"), lambda h, x: F.shiftleft(h, 1).bitwiseOR(F.when(x > m, 1).otherwise(0).cast("long")))
+    return F.get(F.transform(F.array(median), bits), F.lit(0))
 
 
 def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import images, similar
+from ..operators import images, resample, similar
 from .registry import query
 from .views import hashes, pixels, small, table, tokens
 
@@ -24,8 +24,21 @@ def keyed(spark, sf_dir):
 
 @query(" SELECT vec_id, bits FROM hashes", "hashes")
 def median_bit_hash(spark, sf_dir):
-    bits = F.array_join(F.transform(F.sequence(F.lit(63), F.lit(0), F.lit(-1)), lambda k: F.getbit(F.col("h"), k).cast("string")), "")
-    return hashes(spark, sf_dir).select("vec_id", bits.alias("bits"))
+    text = lambda h: F.array_join(F.transform(F.sequence(F.lit(63), F.lit(0), F.lit(-1)), lambda k: F.getbit(h, k).cast("string")), "")
+    return hashes(spark, sf_dir).select("vec_id", F.get(F.transform(F.array("h"), text), F.lit(0)).alias("bits"))
+
+
+DCT = """, cosines AS (SELECT k, n, sqrt(CASE WHEN k = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END / 8) * cos((2 * n + 1) * k * pi() / 16) AS c FROM (SELECT unnest(range(8)) AS k), (SELECT unnest(range(8)) AS n)),
+f AS (SELECT img, a.k AS ky, b.k AS kx, sum(p.r * a.c * b.c) AS v FROM pixels p JOIN cosines a ON a.n = p.y JOIN cosines b ON b.n = p.x GROUP BY ALL),
+m AS (SELECT img, median(v) AS mid FROM f WHERE ky + kx > 0 GROUP BY img)"""
+
+
+@query(DCT + " SELECT img, string_agg(CASE WHEN v > mid THEN '1' ELSE '0' END, '' ORDER BY ky, kx) AS bits FROM f JOIN m USING (img) GROUP BY img", "pixels")
+def dct_hash(spark, sf_dir):
+    """Perceptual hashes of pictures of 8 x 8 points: bits of their cosine transform."""
+    own = pixels(spark, sf_dir).select("img", "y", "x", F.col("r").alias("v"))
+    text = lambda h: F.array_join(F.transform(F.sequence(F.lit(63), F.lit(0), F.lit(-1)), lambda k: F.getbit(h, k).cast("string")), "")
+    return resample.bits(resample.transform(own, 8)).select("img", F.get(F.transform(F.array("h"), text), F.lit(0)).alias("bits"))
 
 
 @query(""", p AS (SELECT bits FROM hashes WHERE vec_id = 7) SELECT key, distance FROM (SELECT h.vec_id AS key, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN h.bits[i] <> p.bits[i] THEN 1 ELSE 0 END))::INTEGER AS distance
@@ -116,6 +129,35 @@ def image_drift(spark, sf_dir):
     return images.drift(lab.join(small(base, 100_000), ["label", "y", "x"]).where("img <> img0"))
 
 
+def uneven(spark, sf_dir):
+    """Pictures of different sizes: those with odd ids keep 6 rows and 5 columns."""
+    return pixels(spark, sf_dir).where("img % 2 = 0 or (y < 6 and x < 5)")
+
+
+KERNEL = "CASE WHEN u = 0 THEN 1.0::DOUBLE WHEN abs(u) >= 3 THEN 0.0::DOUBLE ELSE 3 * sin(pi() * u) * sin(pi() * u / 3) / (pi() * u * pi() * u) END"
+UNEVEN = f""", own AS (SELECT * FROM pixels WHERE img % 2 = 0 OR (y < 6 AND x < 5)), size AS (SELECT img, max(y) + 1 AS h, max(x) + 1 AS w FROM own GROUP BY img),
+pairs AS (SELECT s.vec_id AS img, b.img0 FROM embeddings s JOIN (SELECT label, min(vec_id) AS img0 FROM embeddings GROUP BY label) b ON b.label = s.label AND s.vec_id <> b.img0),
+jobs AS (SELECT DISTINCT p.img0, s.h, s.w, z.h AS h0, z.w AS w0 FROM pairs p JOIN size s ON s.img = p.img JOIN size z ON z.img = p.img0),
+steps AS (SELECT DISTINCT n, t FROM (SELECT h0 AS n, h AS t FROM jobs UNION ALL SELECT w0, w FROM jobs)),
+us AS (SELECT n, t, pos, src, (src + 0.5::DOUBLE - (pos + 0.5::DOUBLE) * n / t) / greatest(1.0::DOUBLE, n / t) AS u FROM (SELECT n, t, unnest(range(t)) AS pos FROM steps) JOIN (SELECT DISTINCT n, unnest(range(n)) AS src FROM steps) USING (n)),
+k AS (SELECT n, t, pos, src, {KERNEL} AS v FROM us), weights AS (SELECT n, t, pos, src, v / sum(v) OVER (PARTITION BY n, t, pos) AS v FROM k),
+base AS (SELECT j.img0, j.h, j.w, a.pos AS y, b.pos AS x, sum(p.r * a.v * b.v) AS r0, sum(p.g * a.v * b.v) AS g0, sum(p.b * a.v * b.v) AS b0
+  FROM jobs j JOIN own p ON p.img = j.img0 JOIN weights a ON a.n = j.h0 AND a.t = j.h AND a.src = p.y JOIN weights b ON b.n = j.w0 AND b.t = j.w AND b.src = p.x GROUP BY ALL)
+SELECT p.img, p.img0, count(*) AS pixels, round(avg((abs(o.r - b.r0) + abs(o.g - b.g0) + abs(o.b - b.b0)) / 3), 6) AS mean_abs, round(max(greatest(abs(o.r - b.r0), abs(o.g - b.g0), abs(o.b - b.b0))), 6) AS most
+FROM pairs p JOIN size s USING (img) JOIN own o USING (img) JOIN base b ON b.img0 = p.img0 AND b.h = s.h AND b.w = s.w AND b.y = o.y AND b.x = o.x GROUP BY p.img, p.img0"""
+
+
+@query(UNEVEN, "pixels")
+def resampled_drift(spark, sf_dir):
+    """Drift of pictures against the first of their label, resampled to their size where it differs."""
+    embeddings = table(spark, sf_dir, "embeddings")
+    first = embeddings.groupBy("label").agg(F.min("vec_id").alias("img0"))
+    pairs = embeddings.select(F.col("vec_id").alias("img"), "label").join(first.hint("merge"), "label").where("img <> img0").select("img", "img0")
+    gaps = F.array(*[F.abs(F.col(c) - F.col(f"{c}0")) for c in "rgb"])
+    rows = resample.paired(uneven(spark, sf_dir), pairs).withColumn("gaps", gaps)
+    return rows.groupBy("img", "img0").agg(F.count("*").alias("pixels"), F.round(F.avg(F.aggregate("gaps", F.lit(0.0), lambda a, b: a + b) / 3), 6).alias("mean_abs"), F.round(F.max(F.array_max("gaps")), 6).alias("most"))
+
+
 @query(""", o AS (SELECT vec_id AS img, lag(vec_id) OVER (PARTITION BY label, vec_id // 64 ORDER BY vec_id) AS prev FROM embeddings)
 SELECT o.img, o.prev, round(avg((abs(a.r - b.r) + abs(a.g - b.g) + abs(a.b - b.b)) / 3 * 255), 4) AS delta FROM o JOIN pixels a ON a.img = o.img JOIN pixels b ON b.img = o.prev AND b.y = a.y AND b.x = a.x GROUP BY o.img, o.prev""", "pixels")
 def ladder_delta(spark, sf_dir):
