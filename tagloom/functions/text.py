@@ -42,11 +42,20 @@ def lint_tokens(prompt: Column) -> Column:
     return F.filter(F.transform(F.split(F.regexp_replace(prompt, r"\s*BREAK\s*|\n", ","), ","), lambda t: F.trim(t)), lambda t: t != "")
 
 
+def tidy(prompt: Column) -> Column:
+    """A prompt without the comma that is left at its end or at the end of a part before a BREAK, and without white space at its ends.
+
+    Parts begin at each BREAK of a new line; a part loses one comma, with the white space around it.
+    """
+    parts = F.split(prompt, r"\n\s*(?=BREAK)")
+    bare = lambda x: F.regexp_replace(x, r"\s+\z", "")
+    ended = lambda x: F.when(F.endswith(bare(x), F.lit(",")), F.substr(bare(x), F.lit(1), F.length(bare(x)) - 1)).otherwise(x)
+    return F.regexp_replace(F.array_join(F.transform(parts, ended), "\n"), r"^\s+|\s+\z", "")
+
+
 def _without_tokens(prompt: Column) -> Column:
-    """Inline lora tokens out, with a comma that is left before a BREAK or at the end."""
-    bare = F.regexp_replace(prompt, r"\s*<(lora|lyco):[^>]*>\s*", " ")
-    bare = F.regexp_replace(bare, r",\s*\n\s*(BREAK|\z)", "\n$1")
-    return F.regexp_replace(F.regexp_replace(bare, r",\s*\z", ""), r"^\s+|\s+\z", "")
+    """Inline lora tokens out, with the commas they leave behind."""
+    return tidy(F.regexp_replace(prompt, r"\s*<(lora|lyco):[^>]*>\s*", " "))
 
 
 def strip_loras(prompt: Column) -> Column:

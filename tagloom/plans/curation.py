@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import library, profiles
+from ..operators import graphs, ingest, library, profiles
 from .registry import query
 from .views import hashes, library_index, notes, table, tag_dump, tickets, tokens
 
@@ -293,11 +293,45 @@ def log_progress(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("job"), step.alias("step")).where("step is not null").groupBy("job").agg(F.max("step").alias("step"), F.count("*").alias("lines"))
 
 
-@query("SELECT lang AS character, CASE WHEN n_chars < 500 THEN 'none' WHEN doc_id % 3 = 0 THEN 'graph' ELSE 'infotext' END AS dialect, count(*) AS n, grouping(CASE WHEN n_chars < 500 THEN 'none' WHEN doc_id % 3 = 0 THEN 'graph' ELSE 'infotext' END)::INTEGER AS total FROM documents GROUP BY ROLLUP (lang, CASE WHEN n_chars < 500 THEN 'none' WHEN doc_id % 3 = 0 THEN 'graph' ELSE 'infotext' END)")
+CENSUS = """WITH f AS (SELECT d.doc_id, d.text, CASE WHEN l.quality = 1 THEN 'infotext' WHEN l.quality = 0 THEN 'graph' WHEN d.lang <> 'en' AND d.text <> '' THEN 'sidecar' END AS dialect FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.text IS NOT NULL)"""
+
+
+def archive(spark, sf_dir):
+    """Documents as pictures: labelled ones hold settings or a graph, others in foreign languages have a sidecar."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").join(table(spark, sf_dir, "labels").select("doc_id", "quality").hint("merge"), "doc_id", "left")
+    path = F.concat(F.lit("/archive/"), F.col("doc_id").cast("string"))
+    dialect = F.when(F.col("quality") == 1, "infotext").when(F.col("quality") == 0, "graph")
+    files = docs.select(F.concat(path, F.lit(".png")).alias("path"), F.lit(True).alias("readable"), dialect.alias("dialect"), F.when(dialect.isNotNull(), F.col("text")).alias("text"))
+    beside = docs.where("quality is null and lang <> 'en'").select(F.concat(F.col("doc_id").cast("string"), F.lit(".meta.json")).alias("file"), F.concat(path, F.lit(".meta.json")).alias("path"), F.to_json(F.struct(F.col("text").alias("parameters"))).alias("text"))
+    return files, beside
+
+
+@query(CENSUS + """ SELECT dialect, base, count(*) AS n FROM (SELECT dialect, CASE WHEN regexp_matches(lower(text), 'score_9|source_cartoon|source_anime') THEN 'pony' WHEN regexp_matches(lower(text), 'masterpiece|best quality|masterwork|best_quality') THEN 'illustrious' ELSE 'other' END AS base FROM f WHERE dialect IS NOT NULL) GROUP BY ROLLUP (dialect, base)""")
 def archive_census(spark, sf_dir):
-    dialect = F.when(F.col("n_chars") < 500, "none").when(F.col("doc_id") % 3 == 0, "graph").otherwise("infotext")
-    own = table(spark, sf_dir, "documents").select(F.col("lang").alias("character"), dialect.alias("dialect"))
-    return own.rollup("character", "dialect").agg(F.count("*").alias("n"), F.grouping("dialect").cast("int").alias("total"))
+    """Pictures by where their settings were found and by base family, sidecars looked for beside those without."""
+    return ingest.census(ingest.dispatch(*archive(spark, sf_dir))[0])
+
+
+@query(CENSUS + " SELECT '/archive/' || doc_id || '.png' AS path, 'no settings in the picture or beside it' AS reason FROM f WHERE dialect IS NULL")
+def archive_rejects(spark, sf_dir):
+    return ingest.dispatch(*archive(spark, sf_dir))[1]
+
+
+@query("""WITH RECURSIVE t AS (SELECT conv_id, turn, min(role) AS role FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn),
+n AS (SELECT conv_id, turn, role, CASE WHEN role <> 'system' THEN lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) END AS next FROM t),
+w AS (SELECT conv_id, turn AS start, turn, role, next, 0 AS depth FROM n QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1
+  UNION ALL SELECT w.conv_id, w.start, n.turn, n.role, n.next, w.depth + 1 FROM w JOIN n ON n.conv_id = w.conv_id AND n.turn = w.next)
+SELECT conv_id AS graph, start AS node, string_agg(CAST(turn AS VARCHAR), ',' ORDER BY depth) FILTER (role = 'assistant') AS passed, max(CASE WHEN role = 'system' THEN turn END) AS ended, count(*) AS n FROM w GROUP BY conv_id, start""")
+def graph_chain(spark, sf_dir):
+    """The way from the last turn of each conversation to its first or to a system turn, which ends it as a checkpoint does; what it passes, in order."""
+    t_ = table(spark, sf_dir, "conversations").where("conv_id is not null and turn is not null").groupBy(F.col("conv_id").alias("graph"), F.col("turn").alias("node")).agg(F.min("role").alias("role"))
+    before = F.lag("node").over(Window.partitionBy("graph").orderBy("node"))
+    way = t_.select("graph", "node", "role", F.when(F.col("role") != "system", before).alias("next"))
+    start = t_.groupBy("graph").agg(F.max("node").alias("node"))
+    path = graphs.walk(way, start).join(way.select("graph", "node", "role").hint("merge"), ["graph", "node"])
+    passed = F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == "assistant", F.struct("depth", "node")))), lambda x: x["node"].cast("string"))
+    out = path.groupBy("graph", "start").agg(F.nullif(F.array_join(passed, ","), F.lit("")).alias("passed"), F.max(F.when(F.col("role") == "system", F.col("node"))).alias("ended"), F.count("*").alias("n"))
+    return out.withColumnRenamed("start", "node")
 
 
 @query("SELECT doc_id, md5(lang || '/' || source || '/' || doc_id) AS key_md5, sha256(text) AS content, substr(sha256('{\"lang\":\"' || lang || '\",\"source\":\"' || source || '\"}'), 1, 16) AS request FROM documents")

@@ -73,16 +73,20 @@ def png_chunks(content: bytes) -> list[tuple[str, str]]:
 
 
 def png_metadata(spark: SparkSession, glob: str) -> DataFrame:
-    """path, dialect (infotext, graph or null) and its text."""
+    """path, readable (is a PNG), dialect (infotext, graph or null) and its text; an empty chunk counts as none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [dict(reversed(png_chunks(c or b""))) for c in batch.column("content").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"path": batch.column("path"), "parameters": pa.array([t.get("parameters") for t in texts], pa.string()), "graph": pa.array([t.get("prompt") for t in texts], pa.string())})
+            contents = batch.column("content").to_pylist()
+            texts = [dict(reversed(png_chunks(c or b""))) for c in contents]
+            yield pa.RecordBatch.from_pydict({
+                "path": batch.column("path"), "readable": pa.array([(c or b"")[:8] == b"\x89PNG\r\n\x1a\n" for c in contents]),
+                "parameters": pa.array([t.get("parameters") or None for t in texts], pa.string()), "graph": pa.array([t.get("prompt") or None for t in texts], pa.string()),
+            })
 
     files = spark.read.format("binaryFile").load(glob).select("path", "content")
-    found = files.mapInArrow(run, "path string, parameters string, graph string")
-    return found.select("path", F.when(F.col("parameters").isNotNull(), "infotext").when(F.col("graph").isNotNull(), "graph").alias("dialect"), F.coalesce("parameters", "graph").alias("text"))
+    found = files.mapInArrow(run, "path string, readable boolean, parameters string, graph string")
+    return found.select("path", "readable", F.when(F.col("parameters").isNotNull(), "infotext").when(F.col("graph").isNotNull(), "graph").alias("dialect"), F.coalesce("parameters", "graph").alias("text"))
 
 
 def sidecar_fallback(files: DataFrame, sidecars: DataFrame, suffix: str = ".meta.json") -> DataFrame:

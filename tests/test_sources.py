@@ -79,16 +79,6 @@ def test_infotext(spark):
     assert "lora" not in bare and not bare.endswith(",")
 
 
-def test_graph_walk_and_samplers(spark):
-    nodes = spark.createDataFrame([("g", "s", "KSampler"), ("g", "l1", "LoraLoader"), ("g", "l2", "LoraLoader"), ("g", "c", "CheckpointLoader"), ("h", "s", "KSampler"), ("h", "r", "Reroute")], "graph string, node string, class_type string")
-    edges = spark.createDataFrame([("g", "s", "model", "l1"), ("g", "l1", "model", "l2"), ("g", "l2", "model", "c"), ("g", "s", "positive", "c"), ("h", "s", "model", "r"), ("h", "r", "model", "s")], "graph string, node string, input string, source string")
-    start = spark.createDataFrame([("g", "s"), ("h", "s")], "graph string, node string")
-    got = sorted((r.graph, r.depth, r.node) for r in ingest.model_chain(nodes, edges, start).collect())
-    assert got == [("g", 0, "s"), ("g", 1, "l1"), ("g", 2, "l2"), ("g", 3, "c"), ("h", 0, "s"), ("h", 1, "r")]
-    samplers = spark.createDataFrame([("g", "b", "KSampler", False, 0.45), ("g", "a", "KSampler", True, 1.0), ("g", "d", "FaceDetailerSampler", True, 1.0)], "graph string, node string, class_type string, empty_latent boolean, denoise double")
-    assert sorted((r.node, r.role) for r in ingest.rank_samplers(samplers).collect()) == [("a", "base"), ("b", "second")]
-
-
 def test_sections_round_trip(spark):
     prompt = "score_9, sharp\nportrait, 50mm\nBREAK\nred hair, blue eyes\nblack coat, 1boy\nBREAK\nforest at night\nrim light"
     lines = sections.parse(spark.createDataFrame([(1, prompt)], "doc_id long, prompt string"))
@@ -184,8 +174,8 @@ def test_drafts(spark):
     got = {r.id: r for r in ingest.drafts(parsed, installed).collect()}
     assert [(x.name, x.weight) for x in got[1].loras] == [("ink", 0.7), ("odd", 0.8)] and "lora" not in got[1].prompt
     assert (got[1].seed, got[1].width, got[1].height, got[1].sampler, got[1].scheduler, got[1].base_family) == (7, 512, 640, "DPM", "Karras", "pony")
-    assert got[1].checkpoint == "models/best.safetensors" and got[1].checkpoint_resolved and got[1].notes == ["Steps 24 inherited from universal ratios"]
-    assert (got[2].seed, got[2].width, got[2].checkpoint, got[2].checkpoint_resolved) == (-1, 768, "lost", False) and got[2].notes[-1] == "checkpoint lost is not installed"
+    assert got[1].checkpoint == "models/best.safetensors" and got[1].checkpoint_resolved and got[1].notes == ["Steps 24 is left to the shared ratios"]
+    assert (got[2].seed, got[2].width, got[2].checkpoint, got[2].checkpoint_resolved) == (-1, 768, "lost", False) and got[2].notes[0] == "checkpoint lost is not installed"
     assert got[3].checkpoint == ingest.NO_CHECKPOINT and got[3].notes == []
 
 
@@ -206,8 +196,5 @@ def test_styles_experiments_tickets_and_units(spark, tmp_path):
     units = spark.createDataFrame([(1, [(True, "canny", "x/a.png"), (True, "None", "a.png"), (False, "canny", "a.png"), (True, "depth", "lost.png"), (True, "pose", "b.png")])], "doc_id long, units array<struct<enabled:boolean, model:string, image_file:string>>")
     images = spark.createDataFrame([("a.png",), ("b.png",)], "file string")
     assert sorted((r.pos, r.unit.model) for r in grid.control_units(units, images).collect()) == [(0, "canny"), (4, "pose")]
-    nodes = spark.createDataFrame([("g", "s", "KSampler", None), ("g", "p", "CLIPTextEncode", "a cat")], "graph string, node string, class_type string, text string")
-    edges = spark.createDataFrame([("g", "s", "positive", "p"), ("g", "s", "negative", "s")], "graph string, node string, input string, source string")
-    assert [(r.positive, r.negative) for r in ingest.text_inputs(nodes, edges, nodes.where("node = 's'")).collect()] == [("a cat", "")]
     packed = b"Title\0\1\0en\0t\0" + zlib.compress("ü".encode())
     assert scan.png_chunks(png([(b"iTXt", packed), (b"iTXt", b"k\0\0\0\0\0plain")])) == [("Title", "ü"), ("k", "plain")]
