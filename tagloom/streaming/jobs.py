@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import snapshots
 from ..shared import shared_folder
+from .states import with_rocks
 
 MOVES = {("new", "create"): "open", ("open", "propose"): "proposed", ("proposed", "accept"): "accepted", ("proposed", "decline"): "declined"}
 
@@ -24,55 +28,79 @@ def drain(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint:
     stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def ingest(spark: SparkSession, source: str, schema, keys: list[str], target: str, checkpoint: str) -> DataFrame:
-    """Append what is new since the last run to a table, one row a key; a batch seen twice is written over, so restarts are idempotent."""
-    stream = spark.readStream.schema(schema).parquet(source)
+class Counters(StreamingQueryListener):
+    """Sums of what a query's batches observed under a name, and when the last batch ran; nothing is read again for them."""
 
-    def work(batch: DataFrame, number: int) -> None:
-        new = batch.dropDuplicates(keys)
-        if number > 0:  # keys of earlier batches stay as they are
-            before = spark.read.parquet(target).where(F.col("batch") < number).select(*keys)
-            new = new.join(before.hint("merge"), keys, "left_anti")
-        new.write.mode("overwrite").parquet(f"{target}/batch={number}")
-
-    drain(stream, work, checkpoint)
-    return spark.read.parquet(target).drop("batch")
+    def __init__(self, name: str):
+        self.name, self.totals, self.last, self.batches = name, {}, None, 0
+        self.query, self.ended = None, threading.Event()
 
+    def onQueryStarted(self, event) -> None:
+        pass
 
-def ingest_counts(spark: SparkSession, target: str) -> DataFrame:
-    """(batches, processed) of an ingest's table so far."""
-    return spark.read.parquet(target).agg(F.count_distinct("batch").alias("batches"), F.count("*").alias("processed"))
+    def onQueryProgress(self, event) -> None:
+        seen = event.progress.observedMetrics.get(self.name)
+        if seen is None:
+            return
+        self.batches, self.last = self.batches + 1, event.progress.timestamp
+        for key, value in seen.asDict().items():
+            self.totals[key] = self.totals.get(key, 0) + (value or 0)
 
+    def onQueryIdle(self, event) -> None:
+        pass
 
-def _newest(spark: SparkSession, folder: str) -> int:
-    """The largest number of a complete snapshot in a folder, or -1."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    done = [int(p.getParent().getName()) for p in (s.getPath() for s in files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/*/_SUCCESS")) or ())]
-    return max(done, default=-1)
+    def onQueryTerminated(self, event) -> None:
+        if self.query is None or str(event.id) == self.query:
+            self.ended.set()
 
 
-def upsert(spark: SparkSession, stream: DataFrame, index: str, columns: list[str], checkpoint: str, order: str | None = None) -> str:
-    """Merge computed fields into an index without touching others; each batch writes a snapshot and the newest one's path is returned.
+def ingest(spark: SparkSession, source: str, schema, keys: list[str], target: str, checkpoint: str) -> tuple[DataFrame, dict]:
+    """Append what is new since the last run to a table, one row a key, and count: (table, counts of this run).
 
-    A batch builds on the newest snapshot before it, which is found in the folder, so a restart
-    goes on where the last run ended and a batch seen twice gives the same snapshot.  Of several
-    values for a key in one batch the one with the largest `order` wins (without it, the largest
-    value); a null leaves the field as it was.
+    Keys that were seen are in the stream's state store, so a batch reads no earlier rows; the
+    file sink and the checkpoint make restarts idempotent.  Rows with a null key are rejected.
+    Counts are processed, rejected, batches and last, the time of the last batch; they are
+    observed on the way.
+    """
+    null = F.greatest(*[F.col(k).isNull().cast("int") for k in keys], F.lit(0)) == 1
+    name = f"ingest-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(schema).parquet(source).observe(name, F.count_if(~null).alias("processed"), F.count_if(null).alias("rejected"))
+    counters = Counters(name)
+    spark.streams.addListener(counters)
+    try:
+
+        def run() -> None:
+            query = stream.where(~null).dropDuplicates(keys).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+            counters.query = str(query.id)
+            query.awaitTermination()
+            counters.ended.wait(60)  # events arrive on another thread
+
+        with_rocks(spark, run)
+    finally:
+        spark.streams.removeListener(counters)
+    counts = {"processed": 0, "rejected": 0} | counters.totals | {"batches": counters.batches, "last": counters.last}
+    return spark.read.schema(schema).parquet(target), counts
+
+
+def upsert(spark: SparkSession, stream: DataFrame, index: DataFrame, columns: list[str], checkpoint: str, order: str | None = None, buckets: int = snapshots.BUCKETS) -> DataFrame:
+    """Merge computed fields into an index without touching others; a batch rewrites only the buckets that hold its keys.
+
+    The index is kept in buckets under the checkpoint (see snapshots); batch n makes version
+    n + 1, so a restart goes on where the last run ended and a batch seen twice gives the same
+    version.  Of several values for a key in one batch the one with the largest `order` wins
+    (without it, the largest value); a null leaves the field as it was.
     """
-    folder = f"{checkpoint}/snapshots"
+    root = f"{checkpoint}/snapshots"
+    if snapshots.newest(spark, f"{root}/manifests") < 0:
+        snapshots.create(index, root, "doc_id", buckets)
 
     def work(batch: DataFrame, number: int) -> None:
-        before = min(_newest(spark, folder), number - 1)
-        old = spark.read.parquet(f"{folder}/{before}" if before >= 0 else index)
         value = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct(F.col(order or c).alias("at"), F.col(c).alias("value"))))["value"]
-        new = batch.groupBy("doc_id").agg(*(value(c).alias(f"new_{c}") for c in columns))
-        merged = old.join(new.hint("merge"), "doc_id", "full_outer").select("doc_id", *(F.coalesce(f"new_{c}", c).alias(c) if c in columns else F.col(c) for c in old.columns if c != "doc_id"))
-        merged.write.mode("overwrite").parquet(f"{folder}/{number}")
+        new = batch.groupBy("doc_id").agg(*(value(c).alias(c) for c in columns))
+        snapshots.upsert(new, root, index.schema, "doc_id", columns, number + 1, buckets)
 
     drain(stream, work, checkpoint)
-    newest = _newest(spark, folder)
-    return f"{folder}/{newest}" if newest >= 0 else index
+    return snapshots.read(spark, root, index.schema)
 
 
 def quiet(stream: DataFrame, key: str, ts: str, gap: str, delay: str) -> DataFrame:
