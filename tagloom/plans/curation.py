@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import graphs, ingest, library, profiles
+from ..operators import cells, curation, graphs, ingest, library, profiles
+from ..shared import shared_folder
 from .registry import query
 from .views import hashes, library_index, notes, table, tag_dump, tickets, tokens
 
@@ -75,27 +79,60 @@ def folder_rename(spark, sf_dir):
     return library.rename_folder(library_index(spark, sf_dir), "f2", "two").select("doc_id", "touched", F.array_join("folders", ",").alias("folders"))
 
 
-@query(" SELECT i.doc_id, i.rating FROM library_index i WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = i.doc_id AND d.source = 'src1')", "library_index")
+def keyed_renders(spark, sf_dir):
+    """Documents as renders: doc_id, character, name, file, stem, key."""
+    stem = F.col("doc_id").cast("string")
+    own = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("character"), F.col("source").alias("name"), F.concat(stem, F.lit(".png")).alias("file"), stem.alias("stem"))
+    return own.withColumn("key", F.concat_ws("/", "character", "name", "file"))
+
+
+@query("""WITH r AS (SELECT doc_id, lang || '/' || source || '/' || doc_id || '.png' AS key, source = 'src1' OR doc_id IN (SELECT item_id FROM benchmark) AS gone FROM documents)
+SELECT 'renders' AS kind, key AS id FROM r WHERE NOT gone UNION ALL SELECT 'tickets', key FROM r WHERE NOT gone AND doc_id IN (SELECT doc_id FROM labels) UNION ALL SELECT 'sidecars', key FROM r WHERE NOT gone AND doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)
+UNION ALL SELECT 'index', key FROM r WHERE NOT gone AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) UNION ALL SELECT 'thumbs', md5(key) || '.jpg' FROM r WHERE NOT gone""")
 def delete_cascade(spark, sf_dir):
-    """Index rows left after all renders of one profile are deleted."""
-    gone = table(spark, sf_dir, "documents").where("source = 'src1'").select("doc_id")
-    return library_index(spark, sf_dir).select("doc_id", "rating").join(gone.hint("merge"), "doc_id", "left_anti")
+    """What is left of five tables when one profile's renders and those of benchmark items are deleted."""
+    own, labels = keyed_renders(spark, sf_dir), table(spark, sf_dir, "labels")
+    gone = own.where("name = 'src1'").unionByName(own.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id")).hint("merge"), "doc_id", "left_semi"))
+    having = lambda rows: own.join(rows.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
+    tables = {"renders": own, "tickets": having(labels), "sidecars": having(labels.where("toxic = 1")), "index": having(labels.where("quality = 1")), "thumbs": own.select(F.concat(F.md5(F.col("key").cast("binary")), F.lit(".jpg")).alias("thumb"))}
+    left = curation.delete_cascade(gone, tables)
+    parts = [rows.select(F.lit(kind).alias("kind"), F.col("thumb" if kind == "thumbs" else "key").alias("id")) for kind, rows in left.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-@query("SELECT lang || '/' || CASE source WHEN 'src1' THEN 'first' ELSE source END || '/' || doc_id AS key, source = 'src1' AS renamed FROM documents WHERE source <> 'src2'")
-def rekey(spark, sf_dir):
-    """Keys after a profile rename; the locked profile is rejected."""
-    names = spark.createDataFrame([("src1", "first", False), ("src2", "second", True)], "source string, new string, locked boolean")
-    own = table(spark, sf_dir, "documents").join(F.broadcast(names), "source", "left").where("coalesce(locked, false) = false")
-    return own.select(F.concat_ws("/", "lang", F.coalesce("new", "source"), F.col("doc_id").cast("string")).alias("key"), F.col("new").isNotNull().alias("renamed"))
+PROFILES = """WITH prof AS (SELECT lang AS character, source AS name, coalesce(bool_or(l.toxic = 1), false) AS locked FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY lang, source)"""
 
 
-@query("SELECT CASE WHEN doc_id % 2 = 0 THEN source || '_' || doc_id ELSE source || '-' || doc_id END AS name, CASE WHEN doc_id % 2 = 0 THEN source END AS variant_of, doc_id % 2 = 1 AS overwritten FROM documents")
+def profile_table(spark, sf_dir):
+    """Profiles (character, name, locked, body, variant_of): languages and sources, locked where a labelled document is toxic."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "toxic").hint("merge"), "doc_id", "left")
+    return docs.groupBy(F.col("lang").alias("character"), F.col("source").alias("name")).agg(F.coalesce(F.max(F.col("toxic") == 1), F.lit(False)).alias("locked"), F.min("text").alias("body")).withColumn("variant_of", F.lit(None).cast("string"))
+
+
+@query(PROFILES + """, m AS (SELECT character, name, CASE name WHEN 'src1' THEN 'first' WHEN 'src2' THEN 'src3' WHEN 'src4' THEN 'Bad Name' WHEN 'src5' THEN 'fifth' WHEN 'src6' THEN 'both' WHEN 'src7' THEN 'both' WHEN 'src8' THEN 'src8' END AS new_name, locked FROM prof),
+j AS (SELECT character, name, new_name, locked, CASE WHEN new_name = 'Bad Name' THEN 'bad name' WHEN new_name = name THEN 'same name' WHEN locked THEN 'locked' WHEN EXISTS (SELECT 1 FROM prof p WHERE p.character = m.character AND p.name = m.new_name) OR count(*) OVER (PARTITION BY character, new_name) > 1 THEN 'name taken' END AS reason FROM m WHERE new_name IS NOT NULL)
+SELECT d.doc_id, d.lang || '/' || coalesce(j.new_name, d.source) || '/' || d.doc_id || '.png' AS key, j.new_name IS NOT NULL AS renamed FROM documents d LEFT JOIN j ON j.character = d.lang AND j.name = d.source AND j.reason IS NULL""")
+def rekey(spark, sf_dir):
+    """Index keys after renames of profiles; locked profiles, taken and bad names are refused."""
+    profiles_ = profile_table(spark, sf_dir)
+    new = F.create_map(*[F.lit(x) for kv in {"src1": "first", "src2": "src3", "src4": "Bad Name", "src5": "fifth", "src6": "both", "src7": "both", "src8": "src8"}.items() for x in kv])
+    moves = profiles_.select("character", "name", F.try_element_at(new, F.col("name")).alias("new_name")).where("new_name is not null")
+    moved = curation.rekeyed(keyed_renders(spark, sf_dir).drop("key"), curation.rename_profiles(profiles_, moves))
+    return moved.select("doc_id", F.concat_ws("/", "character", "name", "file").alias("key"), "renamed")
+
+
+@query(PROFILES + """, taken AS (SELECT character, name, locked FROM prof UNION ALL SELECT character, name || '_s', false FROM prof WHERE character = 'de'),
+i AS (SELECT d.lang AS character, d.source AS name, d.text AS body FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = 1),
+v AS (SELECT i.character, i.name, row_number() OVER (PARTITION BY i.character, i.name ORDER BY body) + CASE WHEN i.character = 'de' THEN 1 ELSE 0 END AS k FROM i JOIN prof p USING (character, name) WHERE p.locked)
+SELECT character, name, CASE WHEN k = 1 THEN name || '_s' ELSE name || '_s_' || k END AS saved_as, 'variant' AS action FROM v
+UNION ALL SELECT DISTINCT i.character, i.name, i.name, 'overwritten' FROM i JOIN prof p USING (character, name) WHERE NOT p.locked""")
 def guarded_merge(spark, sf_dir):
-    """Saving over a locked row (even ids) makes a variant; over an unlocked one it overwrites."""
-    locked = F.col("doc_id") % 2 == 0
-    name = F.when(locked, F.concat_ws("_", "source", "doc_id")).otherwise(F.concat_ws("-", "source", "doc_id"))
-    return table(spark, sf_dir, "documents").select(name.alias("name"), F.when(locked, F.col("source")).alias("variant_of"), (~locked).alias("overwritten"))
+    """Good documents saved over the profiles of their language and source: locked ones get variants, with a number where the name is taken."""
+    own = profile_table(spark, sf_dir)
+    there = own.unionByName(own.where("character = 'de'").withColumns({"name": F.concat("name", F.lit("_s")), "locked": F.lit(False)}))
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    incoming = table(spark, sf_dir, "documents").join(good.hint("merge"), "doc_id").select(F.col("lang").alias("character"), F.col("source").alias("name"), F.col("text").alias("body"), F.lit(None).cast("string").alias("variant_of"))
+    return curation.guarded_save(there, incoming, "s")[1]
 
 
 @query("SELECT lang AS character, array_to_string(list_sort(list_distinct(list(source))), ',') AS profiles, count(DISTINCT source) AS n FROM documents GROUP BY lang")
@@ -109,27 +146,36 @@ def dataset_listing(spark, sf_dir):
     return docs.join(labels.hint("merge"), "doc_id", "left").groupBy(F.col("source").alias("dataset")).agg(F.count("*").alias("images"), F.count("hit").alias("exported"), F.max("n_chars").alias("newest"))
 
 
-EXPORT = r""", c AS (SELECT t.doc_id, t.character, 'img' || (t.doc_id % 100) || '.png' AS file, CASE WHEN i.favorite THEN 'tag, ' || t.character END AS machine, trim(t.prompt) AS prompt FROM tickets t JOIN library_index i USING (doc_id) WHERE i.rating >= 2),
-x AS (SELECT *, coalesce(machine, prompt) AS caption, machine IS NULL AND prompt <> '' AS fallback, row_number() OVER (PARTITION BY file ORDER BY doc_id) AS rn FROM c)"""
+EXPORT = r""", c AS (SELECT t.doc_id, t.character || '/' || t.profile || '/' || t.doc_id AS key, t.character, 'img' || (t.doc_id % 100) || '.png' AS file, t.mtime AS length, CASE WHEN i.favorite THEN 'tag, ' || t.character END AS machine, coalesce(t.prompt, '') AS prompt FROM tickets t JOIN library_index i USING (doc_id) WHERE i.rating >= 2),
+x AS (SELECT *, substr(trim(regexp_replace(coalesce(machine, prompt), '(\s*,\s*)+', ', ', 'g'), ' ,'), 1, 2000) AS caption, machine IS NULL AND prompt <> '' AS fallback, CASE WHEN length = first_value(length) OVER (PARTITION BY file ORDER BY key) THEN file ELSE character || '_' || file END AS dest FROM c)"""
 
 
-def export(spark, sf_dir):
+def exported(spark, sf_dir):
+    """Well-rated renders exported with machine tags as captions, to a folder of this query's own."""
     own = tickets(spark, sf_dir).join(library_index(spark, sf_dir).where("rating >= 2").hint("merge"), "doc_id")
-    own = own.select("doc_id", "character", F.concat(F.lit("img"), (F.col("doc_id") % 100).cast("string"), F.lit(".png")).alias("file"), F.when(F.col("favorite"), F.concat(F.lit("tag, "), "character")).alias("machine"), F.trim("prompt").alias("prompt"))
-    own = own.withColumns({"caption": F.coalesce("machine", "prompt"), "fallback": F.col("machine").isNull() & (F.col("prompt") != "")})
-    return own.withColumn("rn", F.row_number().over(Window.partitionBy("file").orderBy("doc_id")))
+    own = own.select(
+        F.concat_ws("/", "character", "profile", F.col("doc_id").cast("string")).alias("key"), "character", F.concat(F.lit("img"), (F.col("doc_id") % 100).cast("string"), F.lit(".png")).alias("file"), F.col("mtime").alias("length"),
+        F.when(F.col("favorite"), F.array(F.lit("tag"), F.col("character"))).alias("machine_tags"), "prompt",
+    )
+    at = f"{shared_folder(spark)}/datasets-{uuid.uuid4().hex}"
+    return curation.export_dataset(own, at, "picked", "wd14"), f"{at}/picked"
 
 
-@query(EXPORT + " SELECT doc_id, CASE WHEN rn = 1 THEN file ELSE character || '_' || doc_id || '_' || file END AS file, caption, fallback FROM x", "tickets library_index")
+@query(EXPORT + " SELECT dest, max(key) AS key, arg_max(length, key) AS length, arg_max(caption, key) AS caption FROM x GROUP BY dest", "tickets library_index")
 def dataset_export(spark, sf_dir):
-    """Captions and file names of an export; a taken name gets a prefix."""
-    name = F.when(F.col("rn") == 1, F.col("file")).otherwise(F.concat_ws("_", "character", "doc_id", "file"))
-    return export(spark, sf_dir).select("doc_id", name.alias("file"), "caption", "fallback")
+    """What a data set holds after an export: a name that another length has gets its character in front."""
+    return spark.read.parquet(f"{exported(spark, sf_dir)[1]}/held/0")
 
 
-@query(EXPORT + " SELECT character, count(*) AS exported, count_if(fallback)::BIGINT AS fallbacks FROM x GROUP BY character", "tickets library_index")
+@query(EXPORT + " SELECT 'picked' AS dataset, 'wd14' AS caption, count(*) AS exported, count_if(fallback)::BIGINT AS wd14_fallbacks FROM x", "tickets library_index")
 def dataset_receipt(spark, sf_dir):
-    return export(spark, sf_dir).groupBy("character").agg(F.count("*").alias("exported"), F.count_if("fallback").alias("fallbacks"))
+    return exported(spark, sf_dir)[0][0]
+
+
+@query(EXPORT + " SELECT key, dest AS file, fallback FROM x", "tickets library_index")
+def dataset_items(spark, sf_dir):
+    """The renders of a receipt and the files they became."""
+    return exported(spark, sf_dir)[0][1]
 
 
 @query(" SELECT count(*) AS total, count(l.doc_id) AS tagged FROM documents d LEFT JOIN library_index l USING (doc_id)", "library_index")
@@ -233,10 +279,13 @@ def ref_parse(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", part("/([0-9]+)").alias("model"), part("[?&]page=([0-9]+)").alias("version"), kind.alias("kind"))
 
 
-@query("SELECT doc_id, key, regexp_matches(key, '^[a-z0-9][a-z0-9_-]*$') AS valid FROM (SELECT doc_id, split_part(text, ' ', 1) AS key FROM documents)")
+@query(r"""SELECT page_id, file, CASE WHEN file = '' THEN 'no name' WHEN contains(file, '/') OR contains(file, '\') THEN 'folder in the name' WHEN NOT ends_with(file, '.png') THEN 'no png' WHEN contains(file, '..') THEN 'dots in the name' END AS reason,
+CASE WHEN key = '' THEN 'no key' WHEN NOT regexp_matches(key, '^[a-z0-9][a-z0-9_-]*$') THEN 'characters that keys don''t have' END AS key_reason
+FROM (SELECT page_id, regexp_replace(url, '^[a-z]+://[^/]*/?', '') AS file, regexp_extract(url, '://([^/?#]*)', 1) AS key FROM pages WHERE url IS NOT NULL)""")
 def key_quarantine(spark, sf_dir):
-    key = F.split_part("text", F.lit(" "), F.lit(1))
-    return table(spark, sf_dir, "documents").select("doc_id", key.alias("key"), key.rlike("^[a-z0-9][a-z0-9_-]*$").alias("valid"))
+    """Paths and hosts of pages as file names and keys, with why they are refused."""
+    own = table(spark, sf_dir, "pages").where("url is not null").select("page_id", F.regexp_replace("url", r"^[a-z]+://[^/]*/?", "").alias("file"), F.regexp_extract("url", "://([^/?#]*)", 1).alias("key"))
+    return own.select("page_id", "file", curation.file_reason(F.col("file")).alias("reason"), curation.key_reason(F.col("key")).alias("key_reason"))
 
 
 _KEYS = [*profiles.SAMPLERS, *profiles.SCHEDULERS, "unheard_of"]
@@ -403,12 +452,36 @@ def axis_grid(spark, sf_dir):
     return own.withColumn("cell", F.row_number().over(Window.partitionBy("profile").orderBy("cfg", "steps")))
 
 
-@query("SELECT event_id, user_id % 4 AS cell FROM events WHERE event_type = 'purchase' AND user_id % 4 IN (1, 3)")
+CELLS = """WITH own AS (SELECT d.doc_id, d.source AS run, d.lang, l.quality, coalesce(l.toxic, 0) AS toxic FROM documents d LEFT JOIN labels l USING (doc_id)), res AS (SELECT DISTINCT run, lang, toxic FROM own WHERE quality = 1), base AS (SELECT DISTINCT run FROM own WHERE quality = 0)"""
+
+
+def cell_tables(spark, sf_dir):
+    """Results of runs (sources) from labelled documents, and a choice for every document: objects whose keys stand in another order, or the word baseline."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic").hint("merge"), "doc_id", "left").withColumn("toxic", F.coalesce("toxic", F.lit(0)))
+    cell = lambda *c: F.parse_json(F.to_json(F.struct(*c)))
+    word = F.parse_json(F.lit('"baseline"'))
+    results = docs.where("quality is not null").select(F.col("source").alias("run"), F.when(F.col("quality") == 1, cell("lang", "toxic")).otherwise(word).alias("cell"))
+    choices = docs.select("doc_id", F.col("source").alias("run"), F.when(F.col("quality").isNull(), word).otherwise(cell("toxic", "lang")).alias("cell"))
+    return results, choices
+
+
+@query(CELLS + " SELECT doc_id, o.run, CASE WHEN quality IS NULL THEN 'baseline' ELSE lang || o.toxic END AS cell FROM own o WHERE CASE WHEN quality IS NULL THEN EXISTS (SELECT 1 FROM base b WHERE b.run = o.run) ELSE EXISTS (SELECT 1 FROM res r WHERE r.run = o.run AND r.lang = o.lang AND r.toxic = o.toxic) END")
 def apply_cell(spark, sf_dir):
-    """Only choices that are cells of the finished run."""
-    cells = spark.createDataFrame([(1,), (3,)], "cell long")
-    own = table(spark, sf_dir, "events").where("event_type = 'purchase'").select("event_id", (F.col("user_id") % 4).alias("cell"))
-    return own.join(F.broadcast(cells), "cell", "left_semi").select("event_id", "cell")
+    """Choices that are cells of their run, as strings or objects."""
+    results, choices = cell_tables(spark, sf_dir)
+    found = cells.chosen(choices, results)
+    text = F.coalesce(F.concat(F.try_variant_get("cell", "$.lang", "string"), F.try_variant_get("cell", "$.toxic", "string")), F.try_variant_get("cell", "$", "string"))
+    return found.select("doc_id", "run", text.alias("cell"))
+
+
+@query("""SELECT d.doc_id AS id, CASE WHEN l.quality = 1 THEN 'tabs[0].score' WHEN l.quality = 0 THEN 'tabs.0.score' WHEN d.lang = 'en' THEN 'tabs[1].score' ELSE 'base.lang' END AS path FROM documents d LEFT JOIN labels l USING (doc_id)
+WHERE (l.quality IS NOT NULL AND l.toxic IS NULL) OR (l.quality IS NULL AND (d.lang = 'en' OR d.lang IS NULL))""")
+def axis_paths(spark, sf_dir):
+    """Axes that lead nowhere in their profile, in both spellings of a place in a list."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic").hint("merge"), "doc_id", "left")
+    profile = F.parse_json(F.to_json(F.struct(F.struct("lang").alias("base"), F.array(F.struct(F.col("toxic").alias("score"))).alias("tabs")), {"ignoreNullFields": "false"}))
+    path = F.when(F.col("quality") == 1, "tabs[0].score").when(F.col("quality") == 0, "tabs.0.score").when(F.col("lang") == "en", "tabs[1].score").otherwise("base.lang")
+    return cells.unresolved_axes(docs.select(F.col("doc_id").alias("id"), profile.alias("profile")), docs.select(F.col("doc_id").alias("id"), path.alias("path")))
 
 
 @query("SELECT doc_id, source AS recorded, CASE source WHEN 'src1' THEN 'src1.safetensors' WHEN 'src2' THEN 'b/src2.ckpt' END AS installed FROM documents")
