@@ -96,7 +96,7 @@ def walk_keys(own: np.ndarray, starts: np.ndarray, ends: np.ndarray, low: int, w
 class Items:
     """A block of the benchmark, ready for look-ups."""
 
-    ids: list
+    ids: list[list]  # of the items with these words
     words: list[np.ndarray]
     vocabulary: np.ndarray
     rare: np.ndarray  # of the vocabulary: in less than COMMON of all items
@@ -106,8 +106,11 @@ class Items:
 def prepare(rows: list[tuple]) -> Items:
     h, at = words_of([t for _, t in rows])
     words = [h[a:b] for a, b in zip(at[:-1], at[1:])]
-    keep = [k for k, w in enumerate(words) if len(w)]
-    ids, words = [rows[k][0] for k in keep], [words[k] for k in keep]
+    same: dict[bytes, list[int]] = {}  # items of equal words are looked up and compared once
+    for k, w in enumerate(words):
+        if len(w):
+            same.setdefault(w.tobytes(), []).append(k)
+    ids, words = [[rows[k][0] for k in ks] for ks in same.values()], [words[ks[0]] for ks in same.values()]
     vocabulary, n_items = np.unique(np.concatenate([np.unique(w) for w in words]), return_counts=True) if words else (np.zeros(0, np.uint64),) * 2
     rare = n_items <= max(1, COMMON * len(words))
     # items that need many rare words are looked up apart from those that need few
@@ -184,20 +187,34 @@ def matches(batch: list[bytes], items: Items) -> list[list[dict]]:
                     while k < len(keys) and keys[k] == key:
                         hits.add((int(starts[part + c]), int(owners[k])))
                         k += 1
+    places: dict[tuple[int, int], list[int]] = {}
     for start, item in hits:
-        d, w = int(doc[start]), items.words[item]
+        places.setdefault((int(doc[start]), item), []).append(start)
+    for (d, item), starts in places.items():
+        w = items.words[item]
         most = len(w) // EDIT_SHARE
-        a, b = max(int(at[d]), start - most), min(int(at[d + 1]), start + len(w) + 2 * most)
-        distance, end = edit_distance_inside(w, h[a:b])
-        if distance <= most:
-            one = (distance, a + end - int(at[d]))
-            found[d][item] = min(one, found[d].get(item, one))
-    return [[{"item": items.ids[k], "distance": v[0], "end_word": v[1], "item_words": len(items.words[k])} for k, v in sorted(f.items())] for f in found]
+        parts: list[list[int]] = []  # the words around each place; what overlaps is compared once
+        for start in sorted(starts):
+            a, b = max(int(at[d]), start - most), min(int(at[d + 1]), start + len(w) + 2 * most)
+            if parts and a <= parts[-1][1]:
+                parts[-1][1] = max(b, parts[-1][1])
+            else:
+                parts.append([a, b])
+        for a, b in parts:
+            distance, end = edit_distance_inside(w, h[a:b])
+            if distance <= most:
+                one = (distance, a + end - int(at[d]))
+                found[d][item] = min(one, found[d].get(item, one))
+    return [[{"item": i, "distance": v[0], "end_word": v[1], "item_words": len(items.words[k])} for k, v in sorted(f.items()) for i in items.ids[k]] for f in found]
+
+
+def _named(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select("item_id", F.col("text").cast("binary").alias("text")).where("item_id is not null and text is not null")
 
 
 def item_blocks(benchmark: DataFrame) -> tuple[int, Iterator[list[tuple]]]:
-    """How many blocks the benchmark has, and their items (id, text), collected one block at a time."""
-    rows = benchmark.select("item_id", F.col("text").cast("binary").alias("text")).where("item_id is not null and text is not null").distinct()
+    """How many blocks the benchmark has, and their items (id, text), collected one block at a time; of equal texts the smallest id."""
+    rows = _named(benchmark).groupBy("text").agg(F.min("item_id").alias("item_id"))
     size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("bytes")).first()
     n = max(1, -(-size.n // BLOCK), -(-size.bytes // BLOCK_BYTES))
     blocks = (rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else rows for k in range(n))
@@ -224,7 +241,16 @@ def _each_block(benchmark: DataFrame, step: Callable[[list[tuple]], DataFrame],
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, n_item_words, distance, end_word): every document and item that it holds."""
+    """(doc_id, item_id, n_item_words, distance, end_word): every document and item that it holds.
+
+    Items of equal text and different ids are looked up once, by a digest of the text; their ids
+    are joined to the hits.
+    """
+    named = _named(benchmark).distinct()
+    if named.count() > named.select("text").distinct().count():
+        keyed = named.withColumn("_key", F.sha2("text", 256))
+        hits = leaks(docs, keyed.select(F.col("_key").alias("item_id"), "text").distinct())
+        return hits.withColumnRenamed("item_id", "_key").join(keyed.select("item_id", "_key").hint("merge"), "_key").select(hits.columns)
     hit = F.explode("hits").alias("hit")
     found = _each_block(benchmark, lambda items: find_hits(docs, benchmark, items, "hits").select("doc_id", hit), "leaks")
     return reduce(DataFrame.unionByName, found).select(

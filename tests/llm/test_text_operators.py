@@ -396,6 +396,23 @@ def test_repeated_rows_and_clashing_columns(spark, docs, operator):
     assert once and sorted(map(repr, work(clash.unionByName(clash)).collect())) == sorted([*once, *once])
 
 
+def test_equal_items_are_looked_up_once(spark, docs):
+    """3,000 items of one text, and ids that have several texts, cost no more than one; every id is found."""
+    import time
+
+    words = [f"w{k * 7919 % 1009}" for k in range(1_200)]
+    item, other = " ".join(words[300:330]), " ".join(words[700:725])
+    one = contamination.prepare([(k, f"{item}{' ' * (k % 3)}".encode()) for k in range(3_000)])
+    began = time.time()
+    got = contamination.matches([" ".join(words).encode()], one)[0]
+    assert time.time() - began < 1 and {r["item"] for r in got} == set(range(3_000)) and {(r["distance"], r["end_word"]) for r in got} == {(0, 330)}
+    bench = spark.createDataFrame([(1, item), (2, item), (1, other), (3, "not there at all in any text " * 3), (2, item), (None, item), (4, None)], "item_id long, text string")
+    texts = [" ".join(words), item, other + " " + other, None]
+    got = sorted((r.doc_id, r.item_id, r.n_item_words, r.distance, r.end_word) for r in contamination.leaks(docs(texts), bench).collect())
+    assert got == [(0, 1, 25, 0, 725), (0, 1, 30, 0, 330), (0, 2, 30, 0, 330), (1, 1, 30, 0, 30), (1, 2, 30, 0, 30), (2, 1, 25, 0, 25)]
+    assert sorted(r.doc_id for r in contamination.without_leaks(docs(texts), bench).collect()) == [3]
+
+
 def test_contamination_in_several_blocks(spark, docs, monkeypatch):
     items = [[rng.choice(WORDS) for _ in range(20)] for _ in range(30)]
     bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
