@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import base_form
+from ..shared import written
 
 # Fixed values that results must share: points by rule, curated groups, colours, bases.
 DUPLICATE, OVERLAP, REPEAT, COLOUR, SUBSUMED, CAP = 20, 12, 3, 12, 6, 100
@@ -19,69 +22,105 @@ GROUPS = (
 )
 COLOURS = ("black", "white", "red", "orange", "yellow", "green", "blue", "purple", "pink", "brown", "grey", "gray", "blonde", "blond", "silver", "aqua", "cyan", "auburn", "crimson")
 ATTRIBUTE = r"\b(hair|eyes?|eyebrows|pubic hair)\b"
+#: Rules in their order.
+KINDS = ("duplicate", "overlap", "repeated-word", "color-conflict", "subsumed", "negative-duplicate")
 BASES = ("dress", "shirt", "skirt", "shoes", "boots", "hair", "gloves", "lingerie")
 
 
-def unprotected(tokens: DataFrame, protected: list[str]) -> DataFrame:
-    """Tokens (doc_id, pos, norm) that no protected tag contains or is contained in."""
-    if not protected:
-        return tokens
-    known = F.array(*[F.lit(p) for p in protected])
-    return tokens.where(~F.exists(known, lambda p: F.contains("norm", p) | F.contains(p, F.col("norm"))))
+def unprotected(tokens: DataFrame, protected: list[str] | None) -> DataFrame:
+    """Tokens (doc_id, pos, norm) that no protected tag contains or is contained in; protected tags are normalised as tokens are."""
+    known = F.filter(F.array(*[base_form(F.lit(p)) for p in protected or []]), lambda p: p != "")
+    return tokens.where(~F.exists(known, lambda p: F.contains("norm", p) | F.contains(p, F.col("norm")))) if protected else tokens
 
 
-def duplicates(tokens: DataFrame, negative: bool = False) -> DataFrame:
-    counts = tokens.groupBy("doc_id", "norm").agg(F.count("*").alias("n")).where("n > 1")
+def norms(tokens: DataFrame) -> DataFrame:
+    """(doc_id, norm, n, pos) of tokens (doc_id, pos, norm): how often and where first; what all rules need, so that it is made once."""
+    return tokens if "n" in tokens.columns else tokens.groupBy("doc_id", "norm").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
+
+
+def _finding(rows: DataFrame, kind: str, target: str, points: Column, place: Column) -> DataFrame:
+    return rows.select("doc_id", F.lit(kind).alias("kind"), F.col(target).alias("target"), points.cast("long").alias("points"), F.lit(KINDS.index(kind)).alias("rule"), place.cast("long").alias("place"))
+
+
+def _duplicates(tokens: DataFrame, negative: bool = False) -> DataFrame:
+    many = norms(tokens).where("n > 1")
     if negative:  # a flat charge, whatever the number
-        return counts.groupBy("doc_id").agg(F.lit("negative-duplicate").alias("kind"), F.min("norm").alias("target"), F.lit(DUPLICATE).cast("long").alias("points"))
-    return counts.select("doc_id", F.lit("duplicate").alias("kind"), F.col("norm").alias("target"), (DUPLICATE * (F.col("n") - 1)).alias("points"))
+        return _finding(many.groupBy("doc_id").agg(F.min("norm").alias("norm")), "negative-duplicate", "norm", F.lit(DUPLICATE), F.lit(0))
+    return _finding(many, "duplicate", "norm", DUPLICATE * (F.col("n") - 1), F.col("pos"))
 
 
-def overlaps(tokens: DataFrame, groups=GROUPS) -> DataFrame:
-    """All members of a curated group but the longest, the earliest of equals."""
+def _overlaps(tokens: DataFrame, groups=GROUPS) -> DataFrame:
     member = F.map_from_arrays(F.array(*[F.lit(m) for g in groups for m in g]), F.array(*[F.lit(k) for k, g in enumerate(groups) for _ in g]))
-    found = tokens.withColumn("grp", F.try_element_at(member, F.col("norm"))).where("grp is not null").groupBy("doc_id", "grp", "norm").agg(F.min("pos").alias("pos"))
+    found = norms(tokens).withColumn("grp", F.try_element_at(member, F.col("norm"))).where("grp is not null")
     order = Window.partitionBy("doc_id", "grp").orderBy(F.desc(F.length("norm")), "pos")
-    return found.withColumn("rn", F.row_number().over(order)).where("rn > 1").select("doc_id", F.lit("overlap").alias("kind"), F.col("norm").alias("target"), F.lit(OVERLAP).cast("long").alias("points"))
+    return _finding(found.withColumn("rn", F.row_number().over(order)).where("rn > 1"), "overlap", "norm", F.lit(OVERLAP), F.col("grp") * 1000 + F.col("rn"))
+
+
+def _repeats(tokens: DataFrame) -> DataFrame:
+    words = norms(tokens).select("doc_id", "n", "pos", F.explode(F.array_distinct(F.split("norm", " "))).alias("word")).where(F.length("word") >= 4)
+    hits = words.groupBy("doc_id", "word").agg(F.sum("n").alias("n"), F.min("pos").alias("pos")).where("n >= 3")
+    return _finding(hits, "repeated-word", "word", REPEAT * (F.col("n") - 2), F.col("pos"))
+
+
+def _colours(tokens: DataFrame, attribute: str = ATTRIBUTE, known=COLOURS) -> DataFrame:
+    colour = F.array_min(F.filter(F.array(*[F.lit(c) for c in known]), lambda c: F.array_contains(F.split("norm", "[^a-z0-9_]+"), c)))
+    found = norms(tokens).select("doc_id", "pos", F.regexp_extract("norm", attribute, 1).alias("attr"), colour.alias("colour")).where("attr <> '' and colour is not null")
+    counts = found.groupBy("doc_id", "attr").agg(F.count_distinct("colour").alias("n"), F.min("pos").alias("pos")).where("n > 1")
+    return _finding(counts, "color-conflict", "attr", COLOUR * (F.col("n") - 1), F.col("pos"))
+
+
+def _subsumed(tokens: DataFrame, bases=BASES) -> DataFrame:
+    found = norms(tokens).withColumn("base", F.element_at(F.split("norm", " "), -1)).where(F.col("base").isin(*bases))
+    flags = found.groupBy("doc_id", "base").agg(F.max((F.col("norm") == F.col("base")).cast("int")).alias("generic"), F.max((F.col("norm") != F.col("base")).cast("int")).alias("specific"))
+    return _finding(flags.where("generic = 1 and specific = 1"), "subsumed", "base", F.lit(SUBSUMED), F.array_position(F.array(*[F.lit(x) for x in bases]), F.col("base")))
+
+
+def _plain(found: DataFrame) -> DataFrame:
+    return found.drop("rule", "place")
+
+
+def duplicates(tokens: DataFrame, negative: bool = False) -> DataFrame:
+    return _plain(_duplicates(tokens, negative))
+
+
+def overlaps(tokens: DataFrame, groups=GROUPS) -> DataFrame:
+    """All members of a curated group but the longest, the earliest of equals."""
+    return _plain(_overlaps(tokens, groups))
 
 
 def repeats(tokens: DataFrame) -> DataFrame:
-    words = tokens.select("doc_id", F.explode(F.array_distinct(F.split("norm", " "))).alias("word")).where(F.length("word") >= 4)
-    hits = words.groupBy("doc_id", "word").agg(F.count("*").alias("n")).where("n >= 3")
-    return hits.select("doc_id", F.lit("repeated-word").alias("kind"), F.col("word").alias("target"), (REPEAT * (F.col("n") - 2)).alias("points"))
+    return _plain(_repeats(tokens))
 
 
 def colours(tokens: DataFrame, attribute: str = ATTRIBUTE, known=COLOURS) -> DataFrame:
     """Several colours of one attribute; a tag's colour is its alphabetically first."""
-    colour = F.array_min(F.filter(F.array(*[F.lit(c) for c in known]), lambda c: F.array_contains(F.split("norm", "[^a-z0-9_]+"), c)))
-    found = tokens.select("doc_id", F.regexp_extract("norm", attribute, 1).alias("attr"), colour.alias("colour")).where("attr <> '' and colour is not null")
-    counts = found.groupBy("doc_id", "attr").agg(F.count_distinct("colour").alias("n")).where("n > 1")
-    return counts.select("doc_id", F.lit("color-conflict").alias("kind"), F.col("attr").alias("target"), (COLOUR * (F.col("n") - 1)).alias("points"))
+    return _plain(_colours(tokens, attribute, known))
 
 
 def subsumed(tokens: DataFrame, bases=BASES) -> DataFrame:
     """A generic noun beside a specific tag that ends with it."""
-    last = F.element_at(F.split("norm", " "), -1)
-    found = tokens.withColumn("base", last).where(F.col("base").isin(*bases))
-    flags = found.groupBy("doc_id", "base").agg(F.max((F.col("norm") == F.col("base")).cast("int")).alias("generic"), F.max((F.col("norm") != F.col("base")).cast("int")).alias("specific"))
-    return flags.where("generic = 1 and specific = 1").select("doc_id", F.lit("subsumed").alias("kind"), F.col("base").alias("target"), F.lit(SUBSUMED).cast("long").alias("points"))
+    return _plain(_subsumed(tokens, bases))
 
 
-def findings(positive: DataFrame, negative: DataFrame, **rules) -> DataFrame:
-    parts = [duplicates(positive), overlaps(positive, rules.get("groups", GROUPS)), repeats(positive), colours(positive, rules.get("attribute", ATTRIBUTE), rules.get("known", COLOURS)), subsumed(positive, rules.get("bases", BASES)), duplicates(negative, negative=True)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def _every(positive: DataFrame, negative: DataFrame, protected: list[str] | None, rules: dict) -> DataFrame:
+    own = written(norms(unprotected(positive, protected)), "norms")
+    parts = [_duplicates(own), _overlaps(own, rules.get("groups", GROUPS)), _repeats(own), _colours(own, rules.get("attribute", ATTRIBUTE), rules.get("known", COLOURS)), _subsumed(own, rules.get("bases", BASES)), _duplicates(negative, negative=True)]
+    return reduce(DataFrame.unionByName, parts)
 
 
-def scores(found: DataFrame) -> DataFrame:
-    return found.groupBy("doc_id").agg(F.least(F.lit(CAP).cast("long"), F.sum("points")).alias("score"), F.count("*").alias("n_findings"))
+def findings(positive: DataFrame, negative: DataFrame, protected: list[str] | None = None, **rules) -> DataFrame:
+    """Findings of all rules; protected tags of the positive prompt take no part.  Tokens are read once: the rules work on written norms."""
+    return _plain(_every(positive, negative, protected, rules))
 
 
-def ordered(found: DataFrame) -> DataFrame:
-    """Findings with their rank in a report: most points first, then by kind and target."""
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("points"), "kind", "target")))
+def report(positive: DataFrame, negative: DataFrame, protected: list[str] | None = None, **rules) -> DataFrame:
+    """Findings with their rank in a document's report: most points first, then in the order of the rules, then of places in the prompt."""
+    order = Window.partitionBy("doc_id").orderBy(F.desc("points"), "rule", "place", "target")
+    return _plain(_every(positive, negative, protected, rules).withColumn("rank", F.row_number().over(order)))
+
+
+def scores(found: DataFrame) -> DataFrame:
+    return found.groupBy("doc_id").agg(F.least(F.lit(CAP).cast("long"), F.sum("points")).alias("score"), F.count("*").alias("n_findings"))
 
 
 def budgets(selected: DataFrame) -> DataFrame:

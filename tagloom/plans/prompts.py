@@ -125,6 +125,23 @@ def lint_findings(spark, sf_dir):
     return lint.findings(lint_side(spark, sf_dir, "positive"), lint_side(spark, sf_dir, "negative"), **RULES)
 
 
+KEPT = NORM.replace("p AS (SELECT * FROM lt WHERE polarity = 'positive')", "p AS (SELECT * FROM lt WHERE polarity = 'positive' AND NOT (contains(norm, 'the') OR contains('the', norm) OR contains(norm, 'la') OR contains('la', norm)))")
+PLACES = {
+    "duplicate": f"SELECT f.*, 0 AS rule, (SELECT min(pos) FROM p WHERE p.doc_id = f.doc_id AND p.norm = f.target) AS place FROM ({DUP}) f",
+    "overlap": "SELECT doc_id, 'overlap' AS kind, norm AS target, 12::BIGINT AS points, 1 AS rule, grp * 1000 + rn AS place FROM (" + OVER.split("FROM (", 1)[1].rsplit(")", 1)[0] + ") WHERE rn > 1",
+    "repeated-word": "SELECT doc_id, 'repeated-word' AS kind, word AS target, 3 * (count(*) - 2) AS points, 2 AS rule, min(pos) AS place FROM (SELECT doc_id, pos, unnest(list_distinct(string_split(norm, ' '))) AS word FROM p) WHERE length(word) >= 4 GROUP BY doc_id, word HAVING count(*) >= 3",
+    "color-conflict": COL.replace("AS points FROM (SELECT doc_id,", "AS points, 3 AS rule, min(pos) AS place FROM (SELECT doc_id, pos,"),
+    "subsumed": SUB.replace("AS points FROM", "AS points, 4 AS rule, list_position(['the', 'of', 'and', 'der', 'und', 'la', 'de'], base) AS place FROM"),
+    "negative-duplicate": f"SELECT f.*, 5 AS rule, 0 AS place FROM ({NEG}) f",
+}
+
+
+@query(KEPT + " SELECT doc_id, kind, target, points, row_number() OVER (PARTITION BY doc_id ORDER BY points DESC, rule, place, target)::INTEGER AS rank FROM (" + " UNION ALL ".join(f"SELECT * FROM ({q})" for q in PLACES.values()) + ")")
+def lint_report(spark, sf_dir):
+    """Findings in the order of a report, with two protected tags, written as tags may be."""
+    return lint.report(lint_side(spark, sf_dir, "positive"), lint_side(spark, sf_dir, "negative"), ["(The:1.1)", " LA "], **RULES)
+
+
 @query(NORM + f" SELECT doc_id, least(100, sum(points))::BIGINT AS score, count(*) AS n_findings FROM ({FINDINGS}) GROUP BY doc_id")
 def lint_score(spark, sf_dir):
     return lint.scores(lint.findings(lint_side(spark, sf_dir, "positive"), lint_side(spark, sf_dir, "negative"), **RULES))

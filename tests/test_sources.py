@@ -149,8 +149,11 @@ def test_removals_keep_lines_and_breaks(spark):
 
 
 def test_findings_order_and_tags_of_stats(spark):
-    found = spark.createDataFrame([(1, "overlap", "b", 12), (1, "duplicate", "a", 20), (1, "overlap", "a", 12)], "doc_id long, kind string, target string, points long")
-    assert [(r.kind, r.target) for r in lint.ordered(found).orderBy("rank").collect()] == [("duplicate", "a"), ("overlap", "a"), ("overlap", "b")]
+    token = lambda text: spark.createDataFrame([(1, text)], "doc_id long, p string").select("doc_id", F.posexplode(t.lint_tokens(F.col("p"))).alias("pos", "raw")).withColumn("norm", t.base_form(F.col("raw")))
+    prompt, negative = token("grin, sky, smiling, dress, red hair, long dress, blue hair, sky, (Grinning:1.2), hat, hat"), token("bad, bad")
+    names = lambda **k: [(r.kind, r.target, r.points) for r in lint.report(prompt, negative, **k).orderBy("rank").collect()]
+    assert names() == [("duplicate", "sky", 20), ("duplicate", "hat", 20), ("negative-duplicate", "bad", 20), ("overlap", "smiling", 12), ("overlap", "grin", 12), ("color-conflict", "hair", 12), ("subsumed", "dress", 6)]
+    assert names(protected=["(SKY)", "Grin", ""]) == [("duplicate", "hat", 20), ("negative-duplicate", "bad", 20), ("color-conflict", "hair", 12), ("subsumed", "dress", 6)]
     from tagloom.operators import stats
 
     tokens = spark.createDataFrame([("positive", "mia", x) for x in ("<lora:x:0.8>", "Blue Sky", "blue-sky", "score_9", "(hat:1.1)")], "polarity string, character string, raw string")
