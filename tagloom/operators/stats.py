@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import QUALITY_GRAMMAR, stats_tag
+from ..shared import written
 
 
 def tag_counts(tokens: DataFrame) -> DataFrame:
@@ -39,23 +40,41 @@ def character_counts(tickets: DataFrame) -> DataFrame:
     return tickets.groupBy("character").agg(F.count("*").alias("renders"), F.count_distinct("profile").alias("profiles"))
 
 
-def cooccurrence(prompts: DataFrame, least: int) -> DataFrame:
-    """Pairs of distinct tags of one prompt (an array `tags`) with the number of prompts, from `least` on.
+def _small(df: DataFrame, rows: int = 20_000) -> DataFrame:
+    """A written table of short strings with the hint for its size: broadcast up to so many rows, else a merge join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")
 
-    Each prompt gives its pairs from its own sorted array, and tasks add them up before the
-    one shuffle.  The work grows with the square of a prompt's tags: meant for prompts, not
-    for long documents.
+
+def cooccurrence(prompts: DataFrame, key: str, least: int) -> DataFrame:
+    """Pairs of distinct tags of one prompt (key, an array `tags`) with the number of prompts, from `least` on.
+
+    A pair is no more frequent than its rarer tag, so tags below `least` go first.  What is
+    left of a prompt gives a row for each left tag with those after it, and tasks add pairs up
+    before the one shuffle of pairs; no row holds a prompt's pairs.
+    """
+    own = prompts.where(F.col("tags").isNotNull()).select(key, F.array_distinct("tags").alias("tags"))
+    tags = own.select(key, F.explode("tags").alias("tag"))
+    often = written(tags.groupBy("tag").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("tag"), "frequent-tags")
+    kept = tags.join(_small(often), "tag", "left_semi").groupBy(key).agg(F.array_sort(F.collect_list("tag")).alias("tags"))
+    left = kept.select(F.posexplode("tags").alias("k", "tag_a"), "tags").select("tag_a", F.slice("tags", F.col("k") + 2, F.size("tags")).alias("after"))
+    pairs = left.select("tag_a", F.explode("after").alias("tag_b"))
+    return pairs.groupBy("tag_a", "tag_b").agg(F.count("*").alias("prompts")).where(F.col("prompts") >= least)
+
+
+def consolidate(renders: DataFrame, share: float) -> DataFrame:
+    """Stable core: tags of at least `share` of a character's renders (character, doc_id, an array `tags`); renders without a tag don't count."""
+    own = renders.select("character", F.filter(F.array_distinct("tags"), lambda x: x != "").alias("tags")).where(F.size("tags") > 0)
+    totals = written(own.groupBy("character").agg(F.count("*").alias("renders")), "renders")
+    counts = own.select("character", F.explode("tags").alias("tag")).groupBy("character", "tag").agg(F.count("*").alias("docs"))
+    return counts.join(_small(totals), "character").where(F.col("docs") >= share * F.col("renders")).select("character", "tag", "docs", "renders")
+
+
+def variations(renders: DataFrame, core: DataFrame) -> DataFrame:
+    """(character, doc_id, line): what each render has beside its character's core, in its own order; one without any has an empty line.
+
+    A core has at most 1 / share times as many tags as a render, so a character's is one array.
     """
-    own = prompts.select(F.array_sort(F.array_distinct("tags")).alias("tags"))
-    after = lambda x, k: F.transform(F.slice(F.col("tags"), k + 2, F.size("tags")), lambda y: F.struct(x.alias("tag_a"), y.alias("tag_b")))
-    pairs = own.select(F.explode(F.flatten(F.transform("tags", after))).alias("pair"))
-    return pairs.groupBy("pair.tag_a", "pair.tag_b").agg(F.count("*").alias("prompts")).where(F.col("prompts") >= least)
-
-
-def consolidate(tokens: DataFrame, share: float) -> DataFrame:
-    """Stable core: tags of at least `share` of a character's renders."""
-    per_doc = tokens.where("polarity = 'positive' and tag <> ''").select("character", "doc_id", "tag").distinct()
-    totals = per_doc.groupBy("character").agg(F.count_distinct("doc_id").alias("renders"))
-    counts = per_doc.groupBy("character", "tag").agg(F.count("*").alias("docs"))
-    totals = F.broadcast(totals) if totals.limit(10_001).count() <= 10_000 else totals.hint("merge")
-    return counts.join(totals, "character").where(F.col("docs") >= share * F.col("renders")).select("character", "tag", "docs", "renders")
+    cores = core.groupBy("character").agg(F.collect_set("tag").alias("core"))
+    own = renders.join(cores.hint("merge"), "character", "left")
+    rest = F.filter(F.array_distinct("tags"), lambda x: (x != "") & ~F.array_contains(F.coalesce("core", F.array().cast("array<string>")), x))
+    return own.select("character", "doc_id", F.array_join(rest, ", ").alias("line"))

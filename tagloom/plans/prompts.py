@@ -38,24 +38,39 @@ def render_total(spark, sf_dir):
 
 
 @query(
-    r"""WITH p AS (SELECT conv_id, turn, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}0-9]+'), lambda x: x <> ''))) AS l FROM (SELECT DISTINCT conv_id, turn, text FROM conversations)),
-t AS (SELECT conv_id, turn, l, unnest(l) AS tag FROM p) SELECT a.tag AS tag_a, b.tag AS tag_b, count(*) AS prompts FROM t a JOIN (SELECT conv_id, turn, l, unnest(l) AS tag FROM p) b ON a.conv_id = b.conv_id AND a.turn = b.turn AND a.l = b.l AND a.tag < b.tag GROUP BY 1, 2 HAVING count(*) >= 8"""
+    r"""WITH p AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}0-9]+'), lambda x: x <> '')) AS l FROM documents), t AS (SELECT doc_id, unnest(l) AS tag FROM p),
+o AS (SELECT tag FROM t GROUP BY tag HAVING count(*) >= (SELECT greatest(8, count(*) // 50) FROM documents)), k AS (SELECT doc_id, tag FROM t JOIN o USING (tag))
+SELECT a.tag AS tag_a, b.tag AS tag_b, count(*) AS prompts FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.tag < b.tag GROUP BY 1, 2 HAVING count(*) >= (SELECT greatest(8, count(*) // 50) FROM documents)"""
 )
 def tag_cooccurrence(spark, sf_dir):
-    """Words of one chat turn as the tags of one prompt."""
-    from .views import table
+    """Words of documents that come together in a fiftieth of them, and in eight at least."""
+    from .views import spread, table
 
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text").distinct()
-    return stats.cooccurrence(turns.select(F.filter(F.split(F.lower("text"), r"[^\p{L}0-9]+"), lambda x: x != "").alias("tags")), 8)
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}0-9]+"), lambda x: x != "")
+    return stats.cooccurrence(docs.select("doc_id", words.alias("tags")), "doc_id", max(8, docs.count() // 50))
 
 
-@query(
-    """, d AS (SELECT DISTINCT character, doc_id, tag FROM tokens WHERE polarity = 'positive' AND tag <> ''), n AS (SELECT character, count(DISTINCT doc_id) AS renders FROM d GROUP BY 1)
-SELECT d.character, d.tag, count(*) AS docs, n.renders FROM d JOIN n USING (character) GROUP BY d.character, d.tag, n.renders HAVING count(*) >= 0.5 * n.renders""",
-    "tokens",
-)
+def tagged(spark, sf_dir):
+    """Documents' positive tags as arrays: character, doc_id, tags."""
+    return tickets(spark, sf_dir).select("character", "doc_id", F.transform(t.stats_tokens(F.coalesce("prompt", F.lit(""))), t.stats_tag).alias("tags"))
+
+
+CORE = """, d AS (SELECT DISTINCT character, doc_id, tag FROM tokens WHERE polarity = 'positive' AND tag <> ''), n AS (SELECT character, count(DISTINCT doc_id) AS renders FROM d GROUP BY 1),
+core AS (SELECT d.character, d.tag, count(*) AS docs, n.renders FROM d JOIN n USING (character) GROUP BY d.character, d.tag, n.renders HAVING count(*) >= 0.5 * n.renders)"""
+
+
+@query(CORE + " SELECT * FROM core", "tokens")
 def consolidate(spark, sf_dir):
-    return stats.consolidate(tokens(spark, sf_dir), 0.5)
+    return stats.consolidate(tagged(spark, sf_dir), 0.5)
+
+
+@query(CORE + """, v AS (SELECT character, doc_id, tag, min(pos) AS pos FROM tokens p WHERE polarity = 'positive' AND tag <> '' AND NOT EXISTS (SELECT 1 FROM core c WHERE c.character = p.character AND c.tag = p.tag) GROUP BY character, doc_id, tag)
+SELECT t.character, t.doc_id, coalesce(string_agg(v.tag, ', ' ORDER BY v.pos), '') AS line FROM tickets t LEFT JOIN v ON v.doc_id = t.doc_id AND v.character = t.character GROUP BY t.character, t.doc_id""", "tokens")
+def variation_lines(spark, sf_dir):
+    """Each document's tags beside the core of its character."""
+    own = tagged(spark, sf_dir)
+    return stats.variations(own, stats.consolidate(own, 0.5))
 
 
 def phrases(c):

@@ -158,8 +158,12 @@ def test_findings_order_and_tags_of_stats(spark):
 
     tokens = spark.createDataFrame([("positive", "mia", x) for x in ("<lora:x:0.8>", "Blue Sky", "blue-sky", "score_9", "(hat:1.1)")], "polarity string, character string, raw string")
     assert sorted((r.tag, r.cnt, r.overall) for r in stats.tag_counts(tokens).collect()) == [("blue_sky", 2, 0), ("blue_sky", 2, 1), ("hat", 1, 0), ("hat", 1, 1)]
-    pairs = stats.cooccurrence(spark.createDataFrame([(["b", "a", "a"],), (["a", "b", "c"],), ([],), (None,)], "tags array<string>"), 2)
+    pairs = stats.cooccurrence(spark.createDataFrame([(1, ["b", "a", "a"]), (2, ["a", "b", "c"]), (3, []), (4, None), (5, ["c"])], "id int, tags array<string>"), "id", 2)
     assert [tuple(r) for r in pairs.collect()] == [("a", "b", 2)]
+    renders = spark.createDataFrame([("m", 1, ["a", "b", "a", ""]), ("m", 2, ["c", "a"]), ("m", 3, [""]), ("n", 4, ["z"])], "character string, doc_id int, tags array<string>")
+    core = stats.consolidate(renders, 0.6)
+    assert sorted(map(tuple, core.collect())) == [("m", "a", 2, 2), ("n", "z", 1, 1)]
+    assert sorted((r.doc_id, r.line) for r in stats.variations(renders, core).collect()) == [(1, "b"), (2, "c"), (3, ""), (4, "")]
 
 
 def test_suggestions_of_any_length(spark):
