@@ -8,24 +8,42 @@ from pyspark.sql import types as T
 
 from ..functions import text as t
 
-STEPS, CFG, HR_SCALE, MOST_UNITS = 24, 6.0, 2.0, 3
-
-
-def render_plan(rows: DataFrame) -> DataFrame:
-    """One plan row a render of (doc_id, prompt, loras, steps_override, steps, cfg, hires, hr_scale, tabs, units, style).
-
-    The profile's loras are merged into the prompt first; tabs take the prompt without any
-    lora, before the style wraps it.
+MOST_UNITS = 3
+#: What a plan takes where neither an override nor the profile says anything.
+BASE = {"seed": -1, "steps": 24, "cfg_scale": 6.0, "distilled_cfg_scale": 3.0, "sampler": "Euler a", "scheduler": "Karras", "width": 768, "height": 1024, "checkpoint": "YOUR_CHECKPOINT.safetensors", "negative_prompt": ""}
+HIRES = {"scale": 2.0, "upscaler": "RealESRGAN_x4plus_anime_6B", "steps": 10, "denoise": 0.45, "cfg": 4.5}
+TAB = {"confidence": 0.3, "denoise": 0.4, "padding": 32}
+
+
+def render_plans(rows: DataFrame, styles: DataFrame, images: DataFrame) -> DataFrame:
+    """One plan a render, with all that a generator is told.
+
+    rows: doc_id, override (prompt, seed, steps, cfg_scale), base, loras, hires, detailer
+    (strip_lora_from_prompt, tabs), units and style; styles as for apply_styles, images as for
+    control_units.  An override comes before the profile, the profile before the defaults.
+    hires is null unless enabled; every enabled tab is there, its prompt its own, else the
+    prompt without loras (with them if stripping is off, as null, which leaves it to the
+    generator); units are those that are enabled, have a model and an image that is there, the
+    first MOST_UNITS.  The style wraps the prompt last.
     """
-    rows = rows.withColumn("prompt", t.merge_loras(F.col("prompt"), F.col("loras")))
-    tabs = F.filter("tabs", lambda x: x["enabled"])
-    units = F.slice(F.filter("units", lambda u: u["enabled"] & (u["model"] != "None")), 1, MOST_UNITS)
-    tab_prompt = F.get(F.transform(tabs, lambda x: F.coalesce(x["prompt_override"], t.strip_loras(F.col("prompt")))), F.lit(0))
-    return rows.withColumn("tab_prompt", tab_prompt).select(
-        "doc_id", F.replace("style", F.lit("{prompt}"), F.col("prompt")).alias("prompt"),
-        F.coalesce("steps_override", "steps", F.lit(STEPS)).alias("steps"), F.coalesce("cfg", F.lit(CFG)).alias("cfg"), F.when(F.col("hires"), F.coalesce("hr_scale", F.lit(HR_SCALE))).alias("hr_scale"),
-        F.size(tabs).alias("n_tabs"), "tab_prompt", F.size(units).alias("n_units"),
+    over = {"prompt", "seed", "steps", "cfg_scale"}
+    pick = lambda name: F.coalesce(*([F.col(f"override.{name}")] if name in over else []), F.col(f"base.{name}"), *([F.lit(BASE[name])] if name in BASE else []))
+    own = rows.withColumn("prompt", t.merge_loras(F.coalesce(pick("prompt"), F.lit("")), F.col("loras"))).withColumns({name: pick(name) for name in BASE})
+    hires = F.struct(*(F.coalesce(F.col(f"hires.{name}"), F.lit(default)).alias(name) for name, default in HIRES.items()))
+    bare = F.when(F.coalesce("detailer.strip_lora_from_prompt", F.lit(True)), t.strip_loras(F.col("prompt")))
+    tab = lambda b: lambda x: F.struct(
+        x["model"].alias("model"), *(F.coalesce(x[name], F.lit(default)).alias(name) for name, default in TAB.items()),
+        F.coalesce(F.nullif(x["prompt_override"], F.lit("")), b).alias("prompt"), F.nullif(x["negative_override"], F.lit("")).alias("negative"),
     )
+    on = F.filter(F.coalesce("detailer.tabs", F.array().cast(rows.schema["detailer"].dataType["tabs"].dataType)), lambda x: F.coalesce(x["enabled"], F.lit(False)))
+    # the bare prompt is bound once for all tabs
+    tabs = F.get(F.transform(F.array(F.coalesce(bare, F.lit("\0"))), lambda b: F.transform(on, tab(F.nullif(b, F.lit("\0"))))), F.lit(0))
+    own = own.withColumns({"hires": F.when(F.col("hires.enabled"), hires), "tabs": tabs})
+    styled = apply_styles(own.select("doc_id", "prompt", "negative_prompt", "style"), styles).select("doc_id", F.col("prompt").alias("_prompt"), F.col("negative").alias("_negative"))
+    units = control_units(rows, images).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "unit"))), lambda x: x["unit"]).alias("_units"))
+    out = own.join(styled.hint("merge"), "doc_id").join(units.hint("merge"), "doc_id", "left")
+    no_units = F.array().cast(rows.schema["units"].dataType)
+    return out.select("doc_id", F.col("_prompt").alias("prompt"), F.col("_negative").alias("negative_prompt"), *(c for c in BASE if c != "negative_prompt"), "hires", "tabs", F.coalesce("_units", no_units).alias("units"))
 
 
 def control_units(rows: DataFrame, images: DataFrame) -> DataFrame:

@@ -255,20 +255,32 @@ def tag_dump_scan(spark, sf_dir):
     return tag_dump(spark, sf_dir)
 
 
-SUGGEST = """, q AS (SELECT DISTINCT unnest(string_split(lower(regexp_replace(text, '[^\\p{L}0-9]+', ' ', 'g')), ' ')) AS q FROM documents WHERE doc_id % 100 = 0), tiers AS (SELECT q, tag, cnt, 1 AS tier FROM q JOIN tag_dump ON tag = q UNION ALL SELECT q, tag, cnt, 2 FROM q JOIN tag_dump ON alias = q
-UNION ALL SELECT q, tag, cnt, 3 FROM q JOIN tag_dump ON starts_with(tag, q) UNION ALL SELECT q, tag, cnt, 4 FROM q JOIN tag_dump ON contains(tag, q) UNION ALL SELECT q, tag, cnt, 5 FROM q JOIN tag_dump ON contains(alias, q)),
-one AS (SELECT q, tag, max(cnt) AS cnt, min(tier) AS tier FROM tiers WHERE q <> '' GROUP BY q, tag)"""
+SUGGEST = """, bw AS (SELECT list_filter(string_split(lower(regexp_replace(text, '[^\\p{L}0-9]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM benchmark),
+dump AS (SELECT tag, cnt, alias FROM tag_dump UNION ALL SELECT tag, count(*), reverse(tag) FROM (SELECT unnest(list_transform(range(1, greatest(2, len(w))), lambda k: concat_ws('_', w[k], w[k + 1]))) AS tag FROM bw) WHERE contains(tag, '_') GROUP BY tag), q AS (SELECT DISTINCT unnest(list_concat(w, list_transform(range(1, greatest(2, len(w))), lambda k: concat_ws('_', w[k], w[k + 1])))) AS q FROM (SELECT list_filter(string_split(lower(regexp_replace(text, '[^\\p{L}0-9]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM documents WHERE doc_id % 100 = 0)), tiers AS (SELECT q, tag, cnt, 1 AS tier FROM q JOIN dump ON tag = q UNION ALL SELECT q, tag, cnt, 2 FROM q JOIN dump ON alias = q
+UNION ALL SELECT q, tag, cnt, 3 FROM q JOIN dump ON starts_with(tag, q) UNION ALL SELECT q, tag, cnt, 4 FROM q JOIN dump ON contains(tag, q) UNION ALL SELECT q, tag, cnt, 5 FROM q JOIN dump ON contains(alias, q)),
+one AS (SELECT q, tag, max(cnt) AS cnt, min(tier) AS tier FROM tiers WHERE q <> '' GROUP BY q, tag), own AS (SELECT q, rank, tag, tier FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY tier, cnt DESC, tag) AS rank FROM one) WHERE rank <= 12),
+had AS (SELECT a.q, count(o.tag) AS had, coalesce(list(o.tag) FILTER (o.tag IS NOT NULL), []) AS seen FROM (SELECT DISTINCT q FROM q WHERE q <> '') a LEFT JOIN own o USING (q) GROUP BY a.q),
+forms AS (SELECT q, had, seen, k, array_to_string(string_split(q, '_')[1:k], '_') AS part FROM (SELECT *, unnest(range(1, len(string_split(q, '_')))) AS k FROM had WHERE had < 12 AND contains(q, '_'))),
+more AS (SELECT f.q, f.had, f.k, d.tag, d.cnt FROM forms f JOIN dump d ON starts_with(d.tag, f.part || '_') AND contains(d.tag, '_') AND NOT list_contains(f.seen, d.tag)),
+best AS (SELECT * FROM more QUALIFY k = max(k) OVER (PARTITION BY q)), late AS (SELECT q, had + row_number() OVER (PARTITION BY q ORDER BY cnt DESC, tag) AS rank, tag, 6 AS tier FROM best)"""
 
 
-@query(SUGGEST + " SELECT q, rank::INTEGER AS rank, tag, tier FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY tier, cnt DESC, tag) AS rank FROM one) WHERE rank <= 12", "tag_dump")
+@query(SUGGEST + " SELECT q, rank::INTEGER AS rank, tag, tier FROM own UNION ALL SELECT q, rank::INTEGER, tag, tier FROM late WHERE rank <= 12", "tag_dump")
 def tag_suggest(spark, sf_dir):
-    """Twelve suggestions for each query, the words of every document whose id is divisible by 100: exact tag, exact alias, prefix, substring, substring of the alias; by count in a tier."""
-    from ..operators.suggest import suggest
-
-    dump = tag_dump(spark, sf_dir)
-    words = F.explode(F.split(F.lower(F.regexp_replace("text", r"[^\p{L}0-9]+", " ")), " ")).alias("q")
-    asked = table(spark, sf_dir, "documents").where("doc_id % 100 = 0").select(words).where("q <> ''").distinct()
-    return suggest(dump, asked, 12)
+    """Twelve suggestions for each query, the words and pairs of words of every document whose id is divisible by 100.
+
+    Tiers: exact tag, exact alias, prefix, substring, substring of the alias, by count; pairs
+    that find too few go on from their shorter form.  Tags are words of documents and pairs of
+    words of the benchmark.
+    """
+    from ..operators.suggest import suggest_all
+
+    words = F.filter(F.split(F.lower(F.regexp_replace("text", r"[^\p{L}0-9]+", " ")), " "), lambda w: w != "")
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 1), F.lit(1)), lambda k: F.concat_ws("_", F.get(F.col("w"), k - 1), F.get(F.col("w"), k)))
+    asked = table(spark, sf_dir, "documents").where("doc_id % 100 = 0").select(words.alias("w")).select(F.explode(F.concat("w", pairs)).alias("q")).where("q <> ''").distinct()
+    more = table(spark, sf_dir, "benchmark").select(words.alias("w")).select(F.explode(pairs).alias("tag")).where("instr(tag, '_') > 0").groupBy("tag").agg(F.count("*").alias("cnt"))
+    dump = tag_dump(spark, sf_dir).select("tag", "cnt", "alias").unionByName(more.withColumn("alias", F.reverse("tag")))
+    return suggest_all(dump, asked, 12)
 
 
 @query("SELECT page_id, nullif(regexp_extract(url, '/([0-9]+)', 1), '') AS model, nullif(regexp_extract(url, '[?&]page=([0-9]+)', 1), '') AS version, CASE WHEN regexp_matches(url, '[?&]page=[0-9]+') THEN 'version' WHEN regexp_matches(url, '/[0-9]+') THEN 'model' ELSE 'reject' END AS kind FROM pages")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import lane, lint, stats
+from ..shared import written
 from .registry import query
 from .views import library_index, tickets, tokens
 
@@ -52,8 +53,8 @@ def tag_cooccurrence(spark, sf_dir):
 
 
 def tagged(spark, sf_dir):
-    """Documents' positive tags as arrays: character, doc_id, tags."""
-    return tickets(spark, sf_dir).select("character", "doc_id", F.transform(t.stats_tokens(F.coalesce("prompt", F.lit(""))), t.stats_tag).alias("tags"))
+    """Documents' positive tags as arrays: character, doc_id, tags; written, as every use would normalise the tokens again."""
+    return written(tickets(spark, sf_dir).select("character", "doc_id", F.transform(t.stats_tokens(F.coalesce("prompt", F.lit(""))), t.stats_tag).alias("tags")), "tagged")
 
 
 CORE = """, d AS (SELECT DISTINCT character, doc_id, tag FROM tokens WHERE polarity = 'positive' AND tag <> ''), n AS (SELECT character, count(DISTINCT doc_id) AS renders FROM d GROUP BY 1),
@@ -263,24 +264,43 @@ def lane_translate(spark, sf_dir):
     return lane.translate(laned(spark, sf_dir).join(tickets(spark, sf_dir).select("doc_id", loras.alias("loras")).hint("merge"), "doc_id"))
 
 
-PLAN = r""", m AS (SELECT *, trim(regexp_replace(prompt, ',\s*$', '')) AS bare FROM tickets)
-SELECT doc_id, bare || CASE WHEN bare = '' THEN '' ELSE chr(10) END || '<lora:' || profile || ':0.8>, clean lines' AS prompt, CASE WHEN doc_id % 2 = 0 THEN doc_id % 50 ELSE 24 END AS steps, CASE WHEN doc_id % 3 = 0 THEN 7.5::DOUBLE ELSE 6.0::DOUBLE END AS cfg,
-CASE WHEN doc_id % 4 = 0 THEN 2.0::DOUBLE END AS hr_scale, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS n_tabs, CASE WHEN doc_id % 2 = 0 THEN bare END AS tab_prompt, least(3, doc_id % 5)::INTEGER AS n_units FROM m"""
+PLAN = r""", own AS (SELECT t.*, l.quality, coalesce(l.toxic, 0) AS toxic, trim(regexp_replace(t.prompt, ',\s*$', '')) AS bare FROM tickets t LEFT JOIN labels l USING (doc_id)),
+m AS (SELECT *, bare || CASE WHEN bare = '' THEN '' ELSE chr(10) END || '<lora:' || profile || ':0.8>' AS merged FROM own)
+SELECT doc_id, CASE WHEN quality IS NULL THEN merged ELSE merged || ', clean lines' END AS prompt, CASE WHEN quality IS NULL THEN coalesce(negative_prompt, '') ELSE 'blur' || CASE WHEN coalesce(negative_prompt, '') = '' THEN '' ELSE ', ' || negative_prompt END END AS negative_prompt,
+coalesce(mtime, -1) AS seed, CASE WHEN quality = 1 THEN 30 ELSE 24 END AS steps, CASE WHEN character = 'de' THEN 7.5::DOUBLE ELSE 6.0::DOUBLE END AS cfg_scale, 3.0::DOUBLE AS distilled_cfg_scale, CASE WHEN character = 'fr' THEN 'Euler' ELSE 'Euler a' END AS sampler, 'Karras' AS scheduler, 768 AS width, 1024 AS height,
+CASE WHEN toxic = 1 THEN 'scale=1.5 upscaler=RealESRGAN_x4plus_anime_6B steps=10 denoise=0.45 cfg=4.5' END AS hires,
+CASE WHEN quality = 1 THEN 'face.pt 0.3 0.2 32 ' || md5(bare) || '; hand.pt 0.3 0.4 32 ' || md5('own') WHEN quality = 0 THEN 'hand.pt 0.3 0.4 32 ' || md5('own') ELSE '' END AS tabs,
+CASE WHEN quality IS NOT NULL THEN 'canny:a.png,pose:b.png,depth:a.png' ELSE 'off:a.png' END AS units FROM m"""
 
 
 @query(" " + PLAN, "tickets")
 def render_plan(spark, sf_dir):
-    """Overrides before profile before defaults; hires only when enabled; enabled tabs with the bare prompt; at most three control units."""
-    from ..operators.grid import render_plan as plan
-
-    d = F.col("doc_id")
-    units = F.transform(F.sequence(F.lit(1), F.lit(5)), lambda k: F.struct((k <= d % 5).alias("enabled"), F.lit("canny").alias("model")))
-    tabs = F.array(F.struct((d % 2 == 0).alias("enabled"), F.lit(None).cast("string").alias("prompt_override")), F.struct(F.lit(False).alias("enabled"), F.lit(None).cast("string").alias("prompt_override")))
-    own = tickets(spark, sf_dir).select(
-        "doc_id", "prompt", F.array(F.struct(F.col("profile").alias("name"), F.lit(None).cast("double").alias("weight"))).alias("loras"), F.when(d % 2 == 0, d % 50).alias("steps_override"), F.lit(None).cast("long").alias("steps"), F.when(d % 3 == 0, F.lit(7.5)).alias("cfg"),
-        (d % 4 == 0).alias("hires"), F.lit(None).cast("double").alias("hr_scale"), tabs.alias("tabs"), units.alias("units"), F.lit("{prompt}, clean lines").alias("style"),
+    """Every field of a plan: overrides before profile before defaults; second passes when enabled; all enabled tabs; at most three control units whose images are there; the style last."""
+    from ..operators.grid import render_plans
+    from .views import table
+
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", F.coalesce("toxic", F.lit(0)).alias("toxic"))
+    own = tickets(spark, sf_dir).join(labels.hint("merge"), "doc_id", "left").withColumn("toxic", F.coalesce("toxic", F.lit(0)))
+    none, good = (lambda kind: F.lit(None).cast(kind)), F.coalesce(F.col("quality") == 1, F.lit(False))
+    base = F.struct("prompt", "negative_prompt", none("string").alias("checkpoint"), F.when(F.col("character") == "fr", "Euler").alias("sampler"), none("string").alias("scheduler"), none("int").alias("width"), none("int").alias("height"), none("int").alias("steps"), F.when(F.col("character") == "de", F.lit(7.5)).alias("cfg_scale"), none("double").alias("distilled_cfg_scale"), F.col("mtime").alias("seed"))
+    hires = F.struct((F.col("toxic") == 1).alias("enabled"), none("string").alias("upscaler"), F.lit(1.5).alias("scale"), none("int").alias("steps"), none("double").alias("denoise"), none("double").alias("cfg"))
+    tab = lambda on, model, prompt, denoise: F.struct(on.alias("enabled"), F.lit(model).alias("model"), prompt.alias("prompt_override"), none("string").alias("negative_override"), none("double").alias("confidence"), denoise.alias("denoise"), none("int").alias("padding"))
+    detailer = F.struct(none("boolean").alias("strip_lora_from_prompt"), F.array(tab(good, "face.pt", none("string"), F.lit(0.2)), tab(F.col("quality").isNotNull(), "hand.pt", F.lit("own"), none("double"))).alias("tabs"))
+    unit = lambda on, model, file: F.struct(on.alias("enabled"), F.lit(model).alias("model"), F.lit(file).alias("image_file"))
+    on = F.col("quality").isNotNull()
+    units = F.array(unit(on, "canny", "x/a.png"), unit(on, "None", "a.png"), unit(~on, "off", "a.png"), unit(on, "lost", "c.png"), unit(on, "pose", "b.png"), unit(on, "depth", "a.png"), unit(on, "fourth", "b.png"))
+    loras = F.array(F.struct(F.col("profile").alias("name"), none("double").alias("weight")))
+    override = F.struct(none("string").alias("prompt"), none("long").alias("seed"), F.when(good, 30).alias("steps"), none("double").alias("cfg_scale"))
+    rows = own.select("doc_id", base.alias("base"), hires.alias("hires"), detailer.alias("detailer"), units.alias("units"), loras.alias("loras"), override.alias("override"), F.when(on, "ink").otherwise("lost").alias("style"))
+    styles = spark.createDataFrame([(0, "ink", "{prompt}, clean lines", "blur")], "nth int, name string, prompt string, negative_prompt string")
+    images = spark.createDataFrame([("a.png",), ("b.png",)], "file string")
+    plan = render_plans(rows, styles, images)
+    text = lambda x, *names: F.concat_ws(" ", *(F.concat(F.lit(f"{n}="), x[n].cast("string")) for n in names))
+    tabs = F.array_join(F.transform("tabs", lambda x: F.concat_ws(" ", x["model"], x["confidence"].cast("string"), x["denoise"].cast("string"), x["padding"].cast("string"), F.md5(x["prompt"].cast("binary")))), "; ")
+    return plan.select(
+        "doc_id", "prompt", "negative_prompt", "seed", "steps", "cfg_scale", "distilled_cfg_scale", "sampler", "scheduler", "width", "height", F.when(F.col("hires").isNotNull(), text(F.col("hires"), "scale", "upscaler", "steps", "denoise", "cfg")).alias("hires"),
+        tabs.alias("tabs"), F.array_join(F.transform("units", lambda u: F.concat_ws(":", u["model"], F.element_at(F.split(u["image_file"], "/"), -1))), ",").alias("units"),
     )
-    return plan(own)
 
 
 @query(r"""SELECT doc_id AS id, trim(regexp_replace(text, ',\s*$', ''), ' ' || chr(10) || chr(9) || chr(13)) AS prompt, 'blur' AS negative_prompt, doc_id AS seed, CASE WHEN doc_id % 2 = 0 THEN 512 ELSE 768 END AS width, CASE WHEN doc_id % 2 = 0 THEN 640 ELSE 1024 END AS height, 'Euler a' AS sampler, 'Karras' AS scheduler,
