@@ -184,6 +184,24 @@ PAGES = [
 ]
 
 
+CANON = '<link rel="canonical" href="https://x.com/de/1">'
+MORE_PAGES = [
+    (40, "https://hidden.example.net/", f"<!-- {CANON} -->"), (41, "https://scripted.example.net/", f"<script>var a = '{CANON}'</script><style>{CANON}</style>"), (42, "https://www.x.com:443/de/2", None), (43, "http://p.example.net:80/a", None),
+    (44, "http://q.example.net/b", '<link rel=canonical href="http://p.example.net/a">'), (45, "http://p.example.net/a", "<!-- x --> " + CANON), (46, "https://based.example.net/z/", '<base href="https://x.com/de/"><link rel="canonical" href="9">'), (47, "https://open.example.net/", f"a <!-- {CANON}"),
+    (48, "https://y.org:443/es/", None), (49, "https://based.example.net/y/", '<!-- <base href="https://x.com/de/"> --><base href="/de/"><link rel="canonical" href="9">'), (50, "https://odd.example.net/", '<base href="mailto:x"><link rel="canonical" href="//x.com/de/1">'), (51, "http://late.example.net/", "<p>" * 200_000 + CANON),
+]
+
+
+def test_hidden_links_ports_and_bases(spark):
+    df = spark.createDataFrame(MORE_PAGES, "page_id long, url string, html string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge_urls(df).collect()}
+    assert {k for k, v in got.items() if v[1] == "block"} == {42, 43, 44, 45, 46, 50, 51} and all(v[0] is None for v in got.values())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", MORE_PAGES)
+    oracle.same(urls.judge_urls(df), con, urls.ORACLE)
+
+
 def test_url_filters(spark):
     df = spark.createDataFrame(PAGES, "page_id long, url string, html string").selectExpr("*", "'clash' as verdict", "'clash' as node")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge_urls(df).collect()}
