@@ -289,6 +289,15 @@ def reliabilities(counts: dict[tuple[int, ...], int], rounds: int = 500) -> tupl
     return shares, table, dict(zip(patterns, posterior.tolist()))
 
 
+def believed(shares: np.ndarray, table: np.ndarray) -> dict[tuple[int, ...], float]:
+    """The probability of every possible pattern, those that no text of the corpus has among them."""
+    out = {}
+    for base, *votes in product((0, 1), *[(-1, 0, 1)] * LABELERS):
+        odds = np.log(shares[base] / (1 - shares[base])) + sum(np.log(table[1, j, max(v, 0)] / table[0, j, max(v, 0)]) for j, v in enumerate(votes) if v)
+        out[(base, *votes)] = float(1 / (1 + np.exp(-odds)))
+    return out
+
+
 def train(rows: list[tuple[list[int], float]], rounds: int = 400, penalty: float = 0.5) -> np.ndarray:
     """Weights of logistic regressions, one for each kind as features don't meet, on probabilities as labels."""
     weights = np.zeros(len(KINDS) * WIDTH)
@@ -359,7 +368,7 @@ def learn(docs: DataFrame) -> Model:
     found = [reliabilities(c) for c in counts]
     sample = seen.orderBy("place", "kind", "votes", "features").limit(TRAIN).collect()
     weights = train([(r["features"], found[r["kind"]][2][pattern[r["votes"]]]) for r in sample])
-    return Model(weights, [f[2] for f in found], [f[:2] for f in found])
+    return Model(weights, [believed(*f[:2]) for f in found], [f[:2] for f in found])
 
 
 def spans_of(text: str, model: Model) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

@@ -132,9 +132,24 @@ def test_expectation_maximisation_finds_reliabilities():
     known = np.log(0.3 / 0.7) + (votes * np.log(right / (1 - right))).sum(axis=1)  # the best that the true accuracies allow
     assert ((p > 0.5) == truth).mean() > ((known > 0) == truth).mean() - 0.005
     assert abs(p[p > 0.8].mean() - truth[p > 0.8].mean()) < 0.02
+    every = pii.believed(shares, table)
+    assert len(every) == 2 * 3**5 and max(abs(every[k] - v) for k, v in posterior.items()) < 1e-6
     assert pii.reliabilities({})[2] == {}
 
 
+def test_a_model_serves_other_texts(spark, docs):
+    """Learnt from texts with base spans only, it finds what such texts never show."""
+    known = [f"{prose(4)} mail {i}.doe@mail.example.com {prose(3)} host 10.1.{i}.7 {prose(3)} phone +1 (555) 010-{1000 + i} card {luhn_number('4', 16)} {prose(3)}" for i in range(80)]
+    model = pii.learn(docs(known))
+    rows = planted()
+    got = {r["doc_id"]: r for r in pii.find_pii(docs([t for t, _ in rows]), model).collect()}
+    hit, want, wrong = 0, 0, 0
+    for k, (text, expected) in enumerate(rows):
+        added = {s for s in spans(got[k]) if s not in brute(text)[2]}
+        hit, want, wrong = hit + len(added & expected), want + len(expected), wrong + len(added - expected)
+    assert hit >= 0.5 * want and wrong <= 0.01 * len(rows), (hit, want, wrong)
+
+
 def test_classifier_learns_probabilities_as_labels():
     rows = [([0, 20], 0.95)] * 300 + [([1, 20], 0.1)] * 300
     w = pii.train(rows)
