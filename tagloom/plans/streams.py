@@ -69,18 +69,18 @@ def log_tail(spark, sf_dir):
     return newest.select("job", "x.seen", "x.step", F.md5(F.col("x.tail").cast("binary")).alias("tail"))
 
 
-@query("""WITH RECURSIVE own AS (SELECT user_id AS id, ts, CASE event_type WHEN 'signup' THEN 'create' WHEN 'click' THEN 'propose' WHEN 'purchase' THEN 'accept' WHEN 'error' THEN 'decline' ELSE 'view' END AS action FROM events),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts, action) AS rn FROM own),
+@query("""WITH RECURSIVE own AS (SELECT user_id AS id, ts, props, CASE event_type WHEN 'signup' THEN 'create' WHEN 'click' THEN 'propose' WHEN 'purchase' THEN 'accept' WHEN 'error' THEN 'decline' ELSE 'view' END AS action FROM events),
+numbered AS (SELECT *, CASE WHEN action = 'propose' AND trim(coalesce(props, '')) = '' THEN 'blank' ELSE action END AS judged, row_number() OVER (PARTITION BY id ORDER BY ts, action, props) AS rn FROM own),
 moves(state, action, after) AS (VALUES ('new', 'create', 'open'), ('open', 'propose', 'proposed'), ('proposed', 'accept', 'accepted'), ('proposed', 'decline', 'declined')),
-walk AS (SELECT n.id, n.rn, n.ts, n.action, m.after IS NOT NULL AS accepted, coalesce(m.after, 'new') AS state FROM numbered n LEFT JOIN moves m ON m.state = 'new' AND m.action = n.action WHERE n.rn = 1
-  UNION ALL SELECT n.id, n.rn, n.ts, n.action, m.after IS NOT NULL, coalesce(m.after, w.state) FROM walk w JOIN numbered n ON n.id = w.id AND n.rn = w.rn + 1 LEFT JOIN moves m ON m.state = w.state AND m.action = n.action)
-SELECT id, ts, action, accepted, state FROM walk""")
+walk AS (SELECT n.id, n.rn, n.ts, n.action, m.after IS NOT NULL AS accepted, coalesce(m.after, 'new') AS state, CAST(NULL AS VARCHAR) AS proposal FROM numbered n LEFT JOIN moves m ON m.state = 'new' AND m.action = n.judged WHERE n.rn = 1
+  UNION ALL SELECT n.id, n.rn, n.ts, n.action, m.after IS NOT NULL, coalesce(m.after, w.state), CASE WHEN m.after = 'proposed' THEN n.props ELSE w.proposal END FROM walk w JOIN numbered n ON n.id = w.id AND n.rn = w.rn + 1 LEFT JOIN moves m ON m.state = w.state AND m.action = n.judged)
+SELECT id, ts, action, accepted, state, proposal FROM walk""")
 def lifecycle(spark, sf_dir):
     """Users' events as request actions, judged by a stateful stream."""
     at = jobs.shared(spark)
     schema = table(spark, sf_dir, "events").schema
     action = F.create_map(*[F.lit(x) for p in (("signup", "create"), ("click", "propose"), ("purchase", "accept"), ("error", "decline")) for x in p])
-    events = spark.readStream.schema(schema).parquet(source(sf_dir, "events")).select(F.col("user_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.coalesce(F.try_element_at(action, F.col("event_type")), F.lit("view")).alias("action"))
+    events = spark.readStream.schema(schema).parquet(source(sf_dir, "events")).select(F.col("user_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.coalesce(F.try_element_at(action, F.col("event_type")), F.lit("view")).alias("action"), F.col("props").alias("proposal"))
     out = jobs.lifecycle(events)
     out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{at}/out")

@@ -115,17 +115,25 @@ def step(state: str, action: str) -> tuple[bool, str]:
 
 
 def lifecycle(events: DataFrame) -> DataFrame:
-    """(id, ts, action, accepted, state) of request events (id, ts, action); the state of an id is kept between batches."""
+    """(id, ts, action, accepted, state, proposal) of request events (id, ts, action, proposal); an id's state and proposal are kept between batches.
+
+    An accepted `propose` stores its proposal, which later rows of the id show; one without a
+    text is refused, and what is refused changes nothing.
+    """
+    kind = events.schema["id"].dataType.simpleString()
 
     def advance(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get[0] if state.exists else "new"
+        now, held = state.get if state.exists else ("new", None)
         # one id's events of one micro-batch, which may come in several Arrow batches
-        own = pd.concat([part[["ts", "action"]] for part in parts]).sort_values(["ts", "action"])
+        own = pd.concat([part[["ts", "action", "proposal"]] for part in parts]).sort_values(["ts", "action", "proposal"])
         out = []
-        for ts, action in own.itertuples(index=False):
-            accepted, now = step(now, action)
-            out.append((key[0], ts, action, accepted, now))
-        state.update((now,))
-        yield pd.DataFrame(out, columns=["id", "ts", "action", "accepted", "state"])
-
-    return events.groupBy("id").applyInPandasWithState(advance, "id long, ts timestamp, action string, accepted boolean, state string", "state string", "append", GroupStateTimeout.NoTimeout)
+        for ts, action, proposal in own.itertuples(index=False):
+            blank = action == "propose" and not (isinstance(proposal, str) and proposal.strip())
+            accepted, now = (False, now) if blank else step(now, action)
+            held = proposal if accepted and action == "propose" else held
+            out.append((key[0], ts, action, accepted, now, held))
+        state.update((now, held))
+        yield pd.DataFrame(out, columns=["id", "ts", "action", "accepted", "state", "proposal"])
+
+    schema = f"id {kind}, ts timestamp, action string, accepted boolean, state string, proposal string"
+    return events.groupBy("id").applyInPandasWithState(advance, schema, "state string, proposal string", "append", GroupStateTimeout.NoTimeout)

@@ -132,6 +132,17 @@ def test_lifecycle_table(spark, sf_dir):
             assert (r.accepted, r.state) == (ok, state)
 
 
+def test_proposals_are_kept_over_restarts(spark, tmp_path):
+    schema = "id string, ts timestamp, action string, proposal string"
+    at = lambda k: datetime.datetime(2024, 1, 1, 0, 0, k)
+    for events in ([("a", at(0), "create", None), ("a", at(1), "propose", "first"), ("b", at(0), "propose", "early")], [("a", at(2), "propose", "second"), ("a", at(3), "accept", None), ("b", at(1), "create", None), ("b", at(2), "propose", None)]):
+        spark.createDataFrame(events, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        out = jobs.lifecycle(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"))
+        out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r.id, r.ts.second, r.accepted, r.state, r.proposal) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [("a", 0, True, "open", None), ("a", 1, True, "proposed", "first"), ("a", 2, False, "proposed", "first"), ("a", 3, True, "accepted", "first"), ("b", 0, False, "new", None), ("b", 1, True, "open", None), ("b", 2, False, "open", None)]
+
+
 def test_steps():
     state, seen = "new", []
     for action in ("create", "propose", "propose", "accept", "accept"):
