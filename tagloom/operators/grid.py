@@ -46,6 +46,20 @@ def render_plans(rows: DataFrame, styles: DataFrame, images: DataFrame) -> DataF
     return out.select("doc_id", F.col("_prompt").alias("prompt"), F.col("_negative").alias("negative_prompt"), *(c for c in BASE if c != "negative_prompt"), "hires", "tabs", F.coalesce("_units", no_units).alias("units"))
 
 
+def batch(profiles: DataFrame, lines: Column, mode: str, most: int = 64) -> DataFrame:
+    """A row for each of the first `most` lines of each profile (doc_id, prompt, seed): doc_id, line, seed, prompt.
+
+    Seeds are fixed, random (-1), or count up from a seed that isn't negative.  A line follows
+    the prompt on a new line if that holds a lora, else after a comma; an empty line leaves the
+    prompt as it is.
+    """
+    own = profiles.select("doc_id", F.col("prompt").alias("_base"), F.coalesce("seed", F.lit(-1)).cast("long").alias("_seed"), F.posexplode(F.slice(lines, 1, most)).alias("line", "_raw"))
+    seed = {"fixed": F.col("_seed"), "random": F.lit(-1).cast("long"), "increment": F.when(F.col("_seed") >= 0, F.col("_seed") + F.col("line")).otherwise(F.lit(-1).cast("long"))}[mode]
+    by = F.when(F.contains("_base", F.lit("<lora:")), "\n").otherwise(", ")
+    full = F.when(F.col("_raw") == "", F.col("_base")).otherwise(F.concat(F.regexp_replace("_base", r"\s+\z", ""), by, F.regexp_replace("_raw", r"^\s+|\s+\z", "")))
+    return own.select("doc_id", "line", seed.alias("seed"), full.alias("prompt"))
+
+
 def control_units(rows: DataFrame, images: DataFrame) -> DataFrame:
     """(doc_id, pos, unit) of enabled control units with a model whose image file, by its base name, is among images (file); at most MOST_UNITS a render."""
     own = rows.select("doc_id", F.posexplode("units").alias("pos", "unit")).where("unit.enabled and coalesce(unit.model, 'None') <> 'None'")

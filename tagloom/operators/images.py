@@ -53,9 +53,13 @@ def drift(pairs: DataFrame) -> DataFrame:
     )
 
 
+# Weights of red, green and blue in the luma.
+LUMA = (0.299, 0.587, 0.114)
+
+
 def texture_energy(pixels: DataFrame) -> DataFrame:
     """Mean absolute 4-neighbour Laplacian of the luma over interior pixels."""
-    grey = pixels.select("img", "y", "x", ((F.col("r") + F.col("g") + F.col("b")) / 3).alias("v"))
+    grey = pixels.select("img", "y", "x", sum((w * F.col(c) for w, c in zip(LUMA[1:], "gb")), LUMA[0] * F.col("r")).alias("v"))
     across, down = Window.partitionBy("img", "y").orderBy("x"), Window.partitionBy("img", "x").orderBy("y")
     own = grey.withColumns({"l": F.lag("v").over(across), "r": F.lead("v").over(across), "u": F.lag("v").over(down), "d": F.lead("v").over(down)})
     inside = own.where("l is not null and r is not null and u is not null and d is not null")
@@ -69,7 +73,8 @@ def inset(x0: Column, x1: Column, size: int, share: float = 0.15) -> tuple[Colum
 
 
 def region_stats(lab: DataFrame, boxes: DataFrame, width: int, height: int) -> DataFrame:
-    """Mean Lab of the pixels in each image's inset box (img, x0, y0, x1, y1)."""
+    """Mean Lab and texture of the pixels in each image's inset box (img, x0, y0, x1, y1); a box without interior pixels has no texture."""
     (x0, x1), (y0, y1) = inset(F.col("x0"), F.col("x1"), width), inset(F.col("y0"), F.col("y1"), height)
     inside = lab.join(boxes.hint("merge"), "img").where((F.col("x") >= x0) & (F.col("x") < x1) & (F.col("y") >= y0) & (F.col("y") < y1))
-    return inside.groupBy("img").agg(F.count("*").alias("pixels"), F.avg("lab_l").alias("l"), F.avg("lab_a").alias("a"), F.avg("lab_b").alias("b"))
+    means = inside.groupBy("img").agg(F.count("*").alias("pixels"), F.avg("lab_l").alias("l"), F.avg("lab_a").alias("a"), F.avg("lab_b").alias("b"))
+    return means.join(texture_energy(inside).hint("merge"), "img", "left")

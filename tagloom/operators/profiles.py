@@ -39,3 +39,32 @@ def inherit(profiles: DataFrame, pins: dict) -> DataFrame:
     return profiles.withColumns({
         "base": filled(F.col("base"), "base"), "hires": F.when(F.col("hires").isNotNull(), filled(F.col("hires"), "hires")), "tabs": F.transform("tabs", lambda t: filled(t, "tabs")),
     })
+
+
+def model_ref(ref: Column) -> Column:
+    """struct(kind, id) of a reference to a model: digits alone are a model, `modelVersionId=` a version, `/models/` a model; else kind is reject."""
+    bare = F.trim(F.coalesce(ref, F.lit("")))
+    part = lambda pattern: F.nullif(F.regexp_extract(bare, pattern, 1), F.lit(""))
+    digits, version, model = part("^([0-9]+)$"), part("[?&]modelVersionId=([0-9]+)"), part("/models/([0-9]+)")
+    kind = F.when(digits.isNotNull(), "model").when(version.isNotNull(), "version").when(model.isNotNull(), "model").otherwise("reject")
+    return F.struct(kind.alias("kind"), F.coalesce(digits, version, model).alias("id"))
+
+
+# Names of metrics and the groups they belong to.
+METRICS = {"face": "face", "lab": "face", "texture_energy": "face", "drift": "drift", "lab_drift": "drift", "deltae": "drift", "ssim_vs_baseline": "drift"}
+
+
+def metric_groups(names: Column) -> Column:
+    """struct(groups, unknown) of an array of metric names: groups distinct in order, both of them for null or no names; unknown is the first name that is none."""
+    known = F.create_map(*[F.lit(x) for kv in METRICS.items() for x in kv])
+    both = F.array(F.lit("face"), F.lit("drift"))
+    groups = F.array_distinct(F.transform(names, lambda n: F.try_element_at(known, n)))
+    unknown = F.get(F.filter(names, lambda n: F.try_element_at(known, n).isNull()), F.lit(0))
+    return F.struct(F.when(unknown.isNull(), F.when(names.isNull() | (F.size(names) == 0), both).otherwise(groups)).alias("groups"), unknown.alias("unknown"))
+
+
+def pass_counts(results: DataFrame, errors: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Counts (ok, skipped, failed, no_match, total) of an enrichment pass (key, status, error), and the first errors (key, error) by key."""
+    n = lambda s: F.count_if(F.col("status") == s).alias(s)
+    counts = results.agg(n("ok"), n("skipped"), n("failed"), n("no_match"), F.count("*").alias("total"))
+    return counts, results.where("status = 'failed'").select("key", F.substr("error", F.lit(1), F.lit(80)).alias("error")).orderBy("key").limit(errors)

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import cells, curation, graphs, ingest, library, profiles
+from ..operators import cells, curation, graphs, grid, ingest, library, profiles
 from ..shared import shared_folder
 from .registry import query
 from .views import hashes, library_index, notes, table, tag_dump, tickets, tokens
@@ -283,12 +283,17 @@ def tag_suggest(spark, sf_dir):
     return suggest_all(dump, asked, 12)
 
 
-@query("SELECT page_id, nullif(regexp_extract(url, '/([0-9]+)', 1), '') AS model, nullif(regexp_extract(url, '[?&]page=([0-9]+)', 1), '') AS version, CASE WHEN regexp_matches(url, '[?&]page=[0-9]+') THEN 'version' WHEN regexp_matches(url, '/[0-9]+') THEN 'model' ELSE 'reject' END AS kind FROM pages")
+REF = "CASE WHEN regexp_matches(url, '/[0-9]+$') THEN regexp_extract(url, '/([0-9]+)$', 1) ELSE replace(regexp_replace(url, '://[^/]*/', '://x/models/'), 'page=', 'modelVersionId=') END"
+
+
+@query(f"""SELECT page_id, CASE WHEN regexp_matches(r, '^[0-9]+$') THEN 'model' WHEN regexp_matches(r, '[?&]modelVersionId=[0-9]') THEN 'version' WHEN regexp_matches(r, '/models/[0-9]') THEN 'model' ELSE 'reject' END AS kind,
+CASE WHEN regexp_matches(r, '^[0-9]+$') THEN r WHEN regexp_matches(r, '[?&]modelVersionId=[0-9]') THEN regexp_extract(r, '[?&]modelVersionId=([0-9]+)', 1) ELSE nullif(regexp_extract(r, '/models/([0-9]+)', 1), '') END AS id
+FROM (SELECT page_id, trim(coalesce({REF}, '')) AS r FROM pages)""")
 def ref_parse(spark, sf_dir):
+    """Pages' urls as references to models: numbers at their end stand alone, others keep their host for a model hub's and their page for a version."""
     u = F.col("url")
-    part = lambda p: F.nullif(F.regexp_extract(u, p, 1), F.lit(""))
-    kind = F.when(u.rlike("[?&]page=[0-9]+"), "version").when(u.rlike("/[0-9]+"), "model").otherwise("reject")
-    return table(spark, sf_dir, "pages").select("page_id", part("/([0-9]+)").alias("model"), part("[?&]page=([0-9]+)").alias("version"), kind.alias("kind"))
+    ref = F.when(u.rlike("/[0-9]+$"), F.regexp_extract(u, "/([0-9]+)$", 1)).otherwise(F.replace(F.regexp_replace(u, "://[^/]*/", "://x/models/"), F.lit("page="), F.lit("modelVersionId=")))
+    return table(spark, sf_dir, "pages").select("page_id", profiles.model_ref(ref).alias("x")).select("page_id", "x.*")
 
 
 @query(r"""SELECT page_id, file, CASE WHEN file = '' THEN 'no name' WHEN contains(file, '/') OR contains(file, '\') THEN 'folder in the name' WHEN NOT ends_with(file, '.png') THEN 'no png' WHEN contains(file, '..') THEN 'dots in the name' END AS reason,
@@ -311,13 +316,17 @@ def vocab_map(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", k.alias("k")).select("doc_id", "k", profiles.known_name(F.col("k"), profiles.SAMPLERS | profiles.SCHEDULERS).alias("name"))
 
 
-@query("SELECT event_id, CASE event_type WHEN 'error' THEN 'fallback' WHEN 'view' THEN 'view' WHEN 'click' THEN 'clicked' ELSE 'fallback' END AS name, event_type NOT IN ('error', 'view', 'click') AS noted FROM events")
+UPSCALERS = """WITH asked AS (SELECT doc_id, CASE WHEN l.quality = 1 THEN 'R-ESRGAN 4x+' WHEN l.quality = 0 THEN '' ELSE d.source END AS name FROM documents d LEFT JOIN labels l USING (doc_id)), installed AS (SELECT DISTINCT source AS name FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 UNION SELECT 'RealESRGAN_x4plus')"""
+
+
+@query(UPSCALERS + """ SELECT doc_id, CASE WHEN name = '' THEN 'RealESRGAN_x4plus_anime_6B' WHEN name IN (SELECT name FROM installed) THEN name WHEN name = 'R-ESRGAN 4x+' THEN 'RealESRGAN_x4plus' ELSE 'RealESRGAN_x4plus_anime_6B' END AS upscaler,
+name <> '' AND name <> 'R-ESRGAN 4x+' AND name NOT IN (SELECT name FROM installed) AS noted FROM asked""")
 def upscaler_resolve(spark, sf_dir):
-    """none -> fallback; installed -> itself; alias -> installed name; else fallback and a note."""
-    e, installed = F.col("event_type"), F.array(F.lit("view"), F.lit("clicked"))
-    alias = F.try_element_at(F.create_map(F.lit("click"), F.lit("clicked")), e)
-    name = F.when(e == "error", "fallback").when(F.array_contains(installed, e), e).when(F.array_contains(installed, alias), alias).otherwise("fallback")
-    return table(spark, sf_dir, "events").select("event_id", name.alias("name"), ((name == "fallback") & (e != "error")).alias("noted"))
+    """Upscalers that documents ask for against an installed list: none, an alias, installed ones and others, which get the fallback and a note."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic").hint("merge"), "doc_id", "left")
+    asked = docs.select("doc_id", F.when(F.col("quality") == 1, "R-ESRGAN 4x+").when(F.col("quality") == 0, "").otherwise(F.col("source")).alias("asked"))
+    installed = docs.where("toxic = 1").select(F.col("source").alias("name")).distinct().unionByName(spark.createDataFrame([("RealESRGAN_x4plus",)], "name string"))
+    return ingest.upscaler_names(asked, "asked", installed).select("doc_id", "upscaler", F.col("upscaler_note").isNotNull().alias("noted"))
 
 
 @query("SELECT event_id, event_type AS status, ts FROM events WHERE event_type = 'purchase' ORDER BY event_id DESC LIMIT 100")
@@ -326,9 +335,24 @@ def request_listing(spark, sf_dir):
     return table(spark, sf_dir, "events").where("event_type = 'purchase'").select("event_id", F.col("event_type").alias("status"), "ts").orderBy(F.desc("event_id")).limit(100)
 
 
-@query("SELECT event_type AS status, count(*) AS n FROM events GROUP BY event_type")
+STATUS = {"view": "ok", "click": "ok", "purchase": "skipped", "error": "failed"}
+
+
+def enrichment(spark, sf_dir):
+    """Events as results of an enrichment pass."""
+    status = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in STATUS.items() for x in kv]), F.col("event_type")), F.lit("no_match"))
+    return profiles.pass_counts(table(spark, sf_dir, "events").select(F.col("event_id").alias("key"), status.alias("status"), F.col("props").alias("error")))
+
+
+@query("SELECT count_if(event_type IN ('view', 'click'))::BIGINT AS ok, count_if(event_type = 'purchase')::BIGINT AS skipped, count_if(event_type = 'error')::BIGINT AS failed, count_if(event_type NOT IN ('view', 'click', 'purchase', 'error'))::BIGINT AS no_match, count(*) AS total FROM events")
 def enrichment_counts(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("status")).agg(F.count("*").alias("n"))
+    return enrichment(spark, sf_dir)[0]
+
+
+@query("SELECT event_id AS key, substr(props, 1, 80) AS error FROM events WHERE event_type = 'error' ORDER BY event_id LIMIT 10")
+def enrichment_errors(spark, sf_dir):
+    """A report of the first ten errors."""
+    return enrichment(spark, sf_dir)[1]
 
 
 @query("SELECT user_id, max_by(event_id, ts) AS event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id DESC) AS rn FROM events WHERE event_type <> 'error') WHERE rn = 1 GROUP BY user_id")
@@ -418,12 +442,16 @@ def settings_unpivot(spark, sf_dir):
     return own.withColumn("model", F.try_element_at("m", F.concat(F.lit("Model"), "tab"))).where("model <> 'None'").select("doc_id", "tab", "model")
 
 
-@query("SELECT doc_id, array_to_string(list_transform([2, 1, 2, 1], lambda k: k), ',') AS raw, CASE WHEN doc_id % 2 = 0 THEN 'drift,face' ELSE 'face,drift' END AS metrics FROM documents")
+@query("""WITH n AS (SELECT doc_id, list_concat(CASE WHEN l.quality = 1 THEN ['lab', 'deltae', 'face'] WHEN l.quality = 0 THEN ['ssim_vs_baseline'] ELSE [] END, CASE WHEN l.toxic = 1 THEN ['drift', 'texture_energy'] ELSE [] END, CASE WHEN d.lang = 'es' THEN [d.source] ELSE [] END) AS names FROM documents d LEFT JOIN labels l USING (doc_id))
+SELECT doc_id, CASE WHEN len(u) > 0 THEN NULL WHEN len(names) = 0 THEN 'face,drift' ELSE (SELECT string_agg(g, ',' ORDER BY k) FROM (SELECT g, min(k) AS k FROM (SELECT unnest(gs) AS g, unnest(range(len(gs))) AS k) GROUP BY g)) END AS metrics, u[1] AS unknown
+FROM (SELECT *, list_transform(names, lambda x: CASE WHEN x IN ('face', 'lab', 'texture_energy') THEN 'face' ELSE 'drift' END) AS gs, list_filter(names, lambda x: x NOT IN ('face', 'lab', 'texture_energy', 'drift', 'lab_drift', 'deltae', 'ssim_vs_baseline')) AS u FROM n)""")
 def metric_alias(spark, sf_dir):
-    """Metric names to their groups, distinct in order."""
-    alias = F.create_map(*[F.lit(x) for p in (("ssim", "drift"), ("delta_e", "drift"), ("face_l", "face"), ("texture", "face")) for x in p])
-    names = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("ssim"), F.lit("texture"), F.lit("delta_e"))).otherwise(F.array(F.lit("face_l"), F.lit("delta_e"), F.lit("texture")))
-    return table(spark, sf_dir, "documents").select("doc_id", F.lit("2,1,2,1").alias("raw"), F.array_join(F.array_distinct(F.transform(names, lambda n: F.try_element_at(alias, n))), ",").alias("metrics"))
+    """Metric names of documents to their groups; a source's name is none and refused."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic").hint("merge"), "doc_id", "left")
+    words = lambda *w: F.array(*[F.lit(x) for x in w])
+    none = F.array().cast("array<string>")
+    names = F.concat(F.when(F.col("quality") == 1, words("lab", "deltae", "face")).when(F.col("quality") == 0, words("ssim_vs_baseline")).otherwise(none), F.when(F.col("toxic") == 1, words("drift", "texture_energy")).otherwise(none), F.when(F.col("lang") == "es", F.array("source")).otherwise(none))
+    return docs.select("doc_id", profiles.metric_groups(names).alias("x")).select("doc_id", F.array_join("x.groups", ",").alias("metrics"), "x.unknown")
 
 
 @query("""SELECT doc_id, coalesce(CASE WHEN doc_id % 2 = 0 THEN doc_id % 50 END, 30) AS steps, coalesce(CASE WHEN doc_id % 3 = 0 THEN (doc_id % 10)::DOUBLE END, 6.0::DOUBLE) AS cfg_scale, 3.0::DOUBLE AS distilled_cfg_scale,
@@ -441,12 +469,14 @@ def inherit_defaults(spark, sf_dir):
     return own.select("doc_id", "base.*", F.col("hires.scale").alias("hr_scale"), F.col("hires.steps").alias("hr_steps"), F.col("hires.denoise").alias("hr_denoise"), F.col("hires.cfg").alias("hr_cfg"), F.size("tabs").cast("long").alias("n_tabs"), last["confidence"].alias("confidence"), last["denoise"].alias("denoise"), last["padding"].alias("padding"))
 
 
-@query(" SELECT doc_id, line::INTEGER AS line, CASE WHEN doc_id % 3 = 0 THEN -1 ELSE doc_id + line END AS seed, CASE WHEN trim(raw) = '' THEN profile ELSE profile || ', ' || trim(raw) END AS prompt FROM (SELECT doc_id, profile, unnest(range(least(64, len(string_split(prompt, ', '))))) AS line, unnest(string_split(prompt, ', ')[1:64]) AS raw FROM tickets)", "tickets")
+@query(""" SELECT doc_id, line::INTEGER AS line, CASE WHEN character = 'de' THEN -1 ELSE mtime + line END AS seed, CASE WHEN raw = '' THEN base ELSE base || CASE WHEN contains(base, '<lora:') THEN chr(10) ELSE ', ' END || trim(raw) END AS prompt
+FROM (SELECT doc_id, character, mtime, CASE WHEN character = 'en' THEN '<lora:' || profile || ':1>' ELSE profile END AS base, unnest(range(least(64, len(l)))) AS line, unnest(l[1:64]) AS raw FROM (SELECT *, string_split(prompt, ', ') AS l FROM tickets))""", "tickets")
 def batch_plan(spark, sf_dir):
-    """One row a line, 64 at most as in the batch form; seeds count up from a fixed base, or stay random (-1)."""
-    own = tickets(spark, sf_dir).select("doc_id", "profile", F.posexplode(F.slice(F.split("prompt", ", "), 1, 64)).alias("line", "raw"))
-    seed = F.when(F.col("doc_id") % 3 == 0, F.lit(-1).cast("long")).otherwise(F.col("doc_id") + F.col("line"))
-    return own.select("doc_id", "line", seed.alias("seed"), F.when(F.trim("raw") == "", F.col("profile")).otherwise(F.concat("profile", F.lit(", "), F.trim("raw"))).alias("prompt"))
+    """One row a line, 64 at most as in the batch form; seeds count up from a fixed base, or stay random (-1); lines follow loras on a new line."""
+    own = tickets(spark, sf_dir)
+    base = F.when(F.col("character") == "en", F.concat(F.lit("<lora:"), "profile", F.lit(":1>"))).otherwise(F.col("profile"))
+    rows = own.select("doc_id", base.alias("prompt"), F.when(F.col("character") == "de", -1).otherwise(F.col("mtime")).alias("seed"), F.col("prompt").alias("asked"))
+    return grid.batch(rows, F.split("asked", ", "), "increment")
 
 
 @query("SELECT p.source AS profile, s.v AS steps, c.v AS cfg, row_number() OVER (PARTITION BY p.source ORDER BY c.v, s.v)::INTEGER AS cell FROM (SELECT DISTINCT source FROM documents) p, (SELECT unnest([14, 16, 18, 20]) AS v) s, (SELECT unnest([5, 6, 7]) AS v) c")

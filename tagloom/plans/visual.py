@@ -90,19 +90,22 @@ def lab_convert(spark, sf_dir):
     return own.select("img", "y", "x", *(F.round(c, 6).alias(c) for c in ("lab_l", "lab_a", "lab_b")))
 
 
-@query(""", v AS (SELECT img, y, x, (r + g + b) / 3 AS v FROM pixels), n AS (SELECT *, lag(v) OVER a AS l, lead(v) OVER a AS rr, lag(v) OVER d AS u, lead(v) OVER d AS dd FROM v WINDOW a AS (PARTITION BY img, y ORDER BY x), d AS (PARTITION BY img, x ORDER BY y))
+@query(""", v AS (SELECT img, y, x, 0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b AS v FROM pixels), n AS (SELECT *, lag(v) OVER a AS l, lead(v) OVER a AS rr, lag(v) OVER d AS u, lead(v) OVER d AS dd FROM v WINDOW a AS (PARTITION BY img, y ORDER BY x), d AS (PARTITION BY img, x ORDER BY y))
 SELECT img, round(avg(abs(l + rr + u + dd - 4 * v)), 6) AS texture FROM n WHERE l IS NOT NULL AND rr IS NOT NULL AND u IS NOT NULL AND dd IS NOT NULL GROUP BY img""", "pixels")
 def texture_energy(spark, sf_dir):
     return images.texture_energy(pixels(spark, sf_dir)).select("img", F.round("texture", 6).alias("texture"))
 
 
-@query(LAB + """, bx AS (SELECT vec_id AS img, (label % 3)::INTEGER AS x0, 8 AS x1 FROM embeddings), c AS (SELECT img, greatest(0, x0 + trunc((x1 - x0) * 0.15::DOUBLE)::INTEGER) AS a, least(8, x1 - trunc((x1 - x0) * 0.15::DOUBLE)::INTEGER) AS z FROM bx)
-SELECT img, count(*) AS pixels, round(avg(lab_l), 6) + 0.0::DOUBLE AS l, round(avg(lab_a), 6) + 0.0::DOUBLE AS a, round(avg(lab_b), 6) + 0.0::DOUBLE AS b FROM lab JOIN c USING (img) WHERE x >= c.a AND x < c.z AND y >= c.a AND y < c.z GROUP BY img""", "pixels")
+@query(LAB + """, bx AS (SELECT vec_id AS img, (label % 3)::INTEGER AS x0, 8 AS x1 FROM embeddings), c AS (SELECT img, greatest(0, x0 + trunc((x1 - x0) * 0.15::DOUBLE)::INTEGER) AS a, least(8, x1 - trunc((x1 - x0) * 0.15::DOUBLE)::INTEGER) AS z FROM bx),
+box AS (SELECT img, y, x, lab_l, lab_a, lab_b, 0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b AS v FROM lab JOIN c USING (img) WHERE x >= c.a AND x < c.z AND y >= c.a AND y < c.z),
+near AS (SELECT img, abs(lag(v) OVER p + lead(v) OVER p + lag(v) OVER q + lead(v) OVER q - 4 * v) AS t FROM box WINDOW p AS (PARTITION BY img, y ORDER BY x), q AS (PARTITION BY img, x ORDER BY y)),
+tex AS (SELECT img, round(avg(t), 6) AS texture FROM near WHERE t IS NOT NULL GROUP BY img)
+SELECT img, count(*) AS pixels, round(avg(lab_l), 6) + 0.0::DOUBLE AS l, round(avg(lab_a), 6) + 0.0::DOUBLE AS a, round(avg(lab_b), 6) + 0.0::DOUBLE AS b, any_value(texture) AS texture FROM box LEFT JOIN tex USING (img) GROUP BY img""", "pixels")
 def region_stats(spark, sf_dir):
     start = (F.col("label") % 3).cast("int")
     boxes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("img"), start.alias("x0"), start.alias("y0"), F.lit(8).alias("x1"), F.lit(8).alias("y1"))
     out = images.region_stats(images.with_lab(pixels(spark, sf_dir)), boxes, 8, 8)
-    return out.select("img", "pixels", *(F.round(c, 6).alias(c) for c in "lab"))
+    return out.select("img", "pixels", *(F.round(c, 6).alias(c) for c in "lab"), F.round("texture", 6).alias("texture"))
 
 
 DRIFT = LAB + """, base AS (SELECT label, min(img) AS img0 FROM lab GROUP BY label),
