@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import cells, curation, graphs, grid, ingest, library, profiles
+from ..operators import notes as vault
 from ..shared import shared_folder
 from .registry import query
 from .views import hashes, library_index, notes, table, tag_dump, tickets, tokens
@@ -191,10 +192,12 @@ def note_render(spark, sf_dir):
     return notes(spark, sf_dir).select("id", F.concat(F.lit("---\ntitle: "), "title", F.lit("\ntags: ["), tags, F.lit("]\n---"), n, "body").alias("note"))
 
 
-@query(" SELECT id, title, substr(trim(regexp_replace(body, '\\s+', ' ', 'g')), 1, 140) AS snippet FROM notes WHERE list_contains(tags, 'en') AND contains(lower(id || ' ' || title || ' ' || body || ' ' || array_to_string(tags, ' ') || ' ' || array_to_string(links, ' ')), 'the th')".replace("\\\\", "\\"), "notes")
+@query(r" SELECT id, title, substr(trim(regexp_replace(body, '\s+', ' ', 'g')), 1, 140) AS snippet FROM notes JOIN labels USING (doc_id) WHERE quality = 1 AND list_contains(tags, 'en') AND contains(lower(id || ' ' || title || ' ' || body || ' ' || array_to_string(tags, ' ') || ' ' || array_to_string(links, ' ')), 'the th')", "notes")
 def note_search(spark, sf_dir):
-    hay = F.lower(F.concat_ws(" ", "id", "title", "body", F.array_join("tags", " "), F.array_join("links", " ")))
-    return notes(spark, sf_dir).where(F.array_contains("tags", "en") & F.contains(hay, F.lit("the th"))).select("id", "title", F.substr(F.trim(F.regexp_replace("body", r"\s+", " ")), F.lit(1), F.lit(140)).alias("snippet"))
+    """Guides, which are the good documents, with a tag and a text."""
+    kind = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "guide").alias("type"))
+    own = notes(spark, sf_dir).join(kind.hint("merge"), "doc_id", "left")
+    return vault.search(own, "The th", "en", "guide").select("id", "title", "snippet")
 
 
 @query(" SELECT link AS target, count(DISTINCT id) AS sources, min(id) AS first FROM (SELECT id, unnest(links) AS link FROM notes) l WHERE EXISTS (SELECT 1 FROM notes n WHERE n.id = l.link) GROUP BY link", "notes")
@@ -205,11 +208,11 @@ def backlinks(spark, sf_dir):
     return edges.join(known.hint("merge"), "target", "left_semi").groupBy("target").agg(F.count("*").alias("sources"), F.min("id").alias("first"))
 
 
-@query(" SELECT id, array_to_string(list_sort(list_distinct(list_concat(links, regexp_extract_all(body, '([A-Z][a-z]{8,})', 1)))), ',') AS links FROM notes", "notes")
+@query(r" SELECT id, array_to_string(list_sort(list_distinct(list_concat(links, list_filter(regexp_extract_all(regexp_replace(body, '([A-Z][\p{L}]{4,})[ ,.]', '[[\1|x]] ', 'g'), '\[\[([^|\]]+)\|', 1), lambda x: x <> '')))), ',') AS links FROM notes", "notes")
 def note_links(spark, sf_dir):
-    """Frontmatter links joined with links found in the body, sorted."""
-    found = F.regexp_extract_all("body", F.lit("([A-Z][a-z]{8,})"), F.lit(1))
-    return notes(spark, sf_dir).select("id", F.array_join(F.array_sort(F.array_union("links", found)), ",").alias("links"))
+    """Frontmatter links joined with wiki links of the body, sorted; long capitalised words of documents are written as such links."""
+    body = F.regexp_replace("body", r"([A-Z][\p{L}]{4,})[ ,.]", "[[$1|x]] ")
+    return notes(spark, sf_dir).select("id", F.array_join(F.array_sort(F.array_union("links", ingest.wiki_links(body))), ",").alias("links"))
 
 
 @query(" SELECT DISTINCT unnest(tags) AS tag FROM notes", "notes")
@@ -225,29 +228,48 @@ def slug_suffix(spark, sf_dir):
     return library.slug_suffix(notes(spark, sf_dir).select("doc_id", "title"), t.slug(F.col("title")), "doc_id").select("doc_id", "slug", "id")
 
 
-BLOCKS = ("script", "style", "nav", "aside", "header", "footer", "noscript")
+_SHOWN = "html"
+for _t in vault.BLOCKS:
+    _SHOWN = f"regexp_replace({_SHOWN}, '<{_t}\\b[^>]*>.*?</{_t}\\s*>', '', 'gis')"
+_SHOWN = f"regexp_replace({_SHOWN}, '<!--.*?-->', '', 'gs')"
 
 
-def html_text(html):
-    for tag in BLOCKS:
-        html = F.regexp_replace(html, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
-    html = F.regexp_replace(F.regexp_replace(html, r"(?s)<!--.*?-->", ""), "<[^>]+>", "\n")
-    return F.regexp_replace(html, r"\n{3,}", "\n\n")
+def _plain(sql):
+    for name, sign in (("&nbsp;", "chr(160)"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&amp;", "'&'")):
+        sql = f"replace({sql}, '{name}', {sign})"
+    return sql
 
 
-_HTML = "html"
-for _t in BLOCKS:
-    _HTML = f"regexp_replace({_HTML}, '<{_t}\\b[^>]*>.*?</{_t}\\s*>', '', 'gis')"
-_HTML = f"regexp_replace(regexp_replace(regexp_replace({_HTML}, '<!--.*?-->', '', 'gs'), '<[^>]+>', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"
+def _strip(sql):
+    return f"regexp_replace({sql}, '^\\s+|\\s+$', '', 'g')"
 
 
-@query(rf"""SELECT page_id, md5(body) AS body_md5, title, CASE WHEN contains(lower(title || substr(body, 1, 4000)), 'prompt') THEN 'civitai,prompting' ELSE 'civitai' END AS tags FROM (
-SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1, 's') AS title, substr({_HTML}, 1, 100000) AS body, length({_HTML}) AS n FROM pages) WHERE n >= 300""")
+def _between(tag):
+    inner = f"regexp_replace(regexp_extract(s, '<{tag}\\b[^>]*>(.*?)</{tag}\\s*>', 1, 'is'), '<[^>]+>', '', 'g')"
+    return f"nullif({_strip(_plain(inner))}, '')"
+
+
+_TEXT = "regexp_replace(s, '<[^>]+>', chr(10), 'g')"
+GUIDES = f"""WITH shown AS (SELECT page_id, regexp_extract(coalesce(url, ''), '([^/?#]*)$', 1) AS stem, {_SHOWN} AS s FROM (SELECT page_id, url, coalesce(html, '') AS html FROM pages)),
+g AS (SELECT page_id, coalesce(nullif({_strip("regexp_replace(coalesce(" + _between("title") + ", " + _between("h1") + ", stem), '\\s*_\\s*Civitai\\s*$', '')")}, ''), stem) AS title, {_strip("regexp_replace(" + _plain(_TEXT) + ", '\\n{3,}', chr(10) || chr(10), 'g')")} AS text FROM shown),
+k AS (SELECT *, coalesce(nullif(substr(trim(regexp_replace(lower(title), '[^a-z0-9_-]+', '-', 'g'), '-'), 1, 60), ''), 'note') AS slug, lower(title) || lower(substr(text, 1, 4000)) AS said FROM g WHERE length(text) >= 300)"""
+
+
+def guides(spark, sf_dir):
+    return vault.guides(table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(F.coalesce("url", F.lit("")), "([^/?#]*)$", 1).alias("stem"), "html"))
+
+
+@query(GUIDES + """ SELECT page_id, CASE WHEN n = 1 THEN slug ELSE slug || '-' || (n - 1) END AS id, title, 'civitai' || CASE WHEN regexp_matches(said, 'pony|score_9') THEN ',pony' ELSE '' END || CASE WHEN contains(said, 'prompt') THEN ',prompting' ELSE '' END AS tags, md5(substr(text, 1, 100000)) AS text_md5
+FROM (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY page_id) AS n FROM k)""")
 def html_guides(spark, sf_dir):
-    own = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).alias("title"), html_text(F.col("html")).alias("whole"))
-    own = own.where(F.length("whole") >= 300).withColumn("body", F.substr("whole", F.lit(1), F.lit(100_000)))
-    tags = F.when(F.contains(F.lower(F.concat("title", F.substr("body", F.lit(1), F.lit(4000)))), F.lit("prompt")), "civitai,prompting").otherwise("civitai")
-    return own.select("page_id", F.md5(F.col("body").cast("binary")).alias("body_md5"), "title", tags.alias("tags"))
+    """Pages as guide notes: title, heading or file name, text without blocks, tags, ids."""
+    own = guides(spark, sf_dir)[0]
+    return own.select("page_id", "id", "title", F.array_join("tags", ",").alias("tags"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query(GUIDES + " SELECT page_id, 'too little text' AS reason FROM g WHERE length(text) < 300")
+def guide_rejects(spark, sf_dir):
+    return guides(spark, sf_dir)[1]
 
 
 @query(" SELECT tag, category::INTEGER AS category, cnt, alias FROM tag_dump", "tag_dump")

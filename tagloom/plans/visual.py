@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import text as t
 from ..operators import images, resample, similar
 from .registry import query
-from .views import hashes, pixels, small, table, tokens
+from .views import hashes, pixels, small, table, tickets
 
 LAB = """, lin AS (SELECT *, CASE WHEN r <= 0.04045 THEN r / 12.92 ELSE pow((r + 0.055) / 1.055, 2.4) END AS lr, CASE WHEN g <= 0.04045 THEN g / 12.92 ELSE pow((g + 0.055) / 1.055, 2.4) END AS lg,
   CASE WHEN b <= 0.04045 THEN b / 12.92 ELSE pow((b + 0.055) / 1.055, 2.4) END AS lb FROM pixels),
@@ -50,7 +51,9 @@ def similar_to(spark, sf_dir):
 
 def simhash(spark, sf_dir):
     """64-bit simhash of each document's distinct positive tags: key, h."""
-    words = tokens(spark, sf_dir).where("polarity = 'positive' and tag <> ''").select("doc_id", "tag").distinct()
+    # distinct within the row, so that tags aren't shuffled: tasks add up a document's votes before the one exchange
+    tags = F.array_distinct(F.transform(t.stats_tokens(F.coalesce("prompt", F.lit(""))), t.stats_tag))
+    words = tickets(spark, sf_dir).select("doc_id", F.explode(tags).alias("tag")).where("tag <> ''")
     digest = F.md5(F.col("tag").cast("binary"))
     halves = words.select("doc_id", F.conv(F.substring(digest, 1, 8), 16, 10).cast("long").alias("hi"), F.conv(F.substring(digest, 9, 8), 16, 10).cast("long").alias("lo"))
     votes = [F.sum(2 * F.getbit(F.col(c), F.lit(b)).cast("int") - 1).alias(f"{c}{b}") for c in ("hi", "lo") for b in range(32)]

@@ -205,3 +205,24 @@ def test_styles_experiments_tickets_and_units(spark, tmp_path):
     assert sorted((r.pos, r.unit.model) for r in grid.control_units(units, images).collect()) == [(0, "canny"), (4, "pose")]
     packed = b"Title\0\1\0en\0t\0" + zlib.compress("ü".encode())
     assert scan.png_chunks(png([(b"iTXt", packed), (b"iTXt", b"k\0\0\0\0\0plain")])) == [("Title", "ü"), ("k", "plain")]
+
+
+def test_guides_and_searches(spark):
+    from tagloom.operators import notes
+
+    words = "some text of a page &amp; more " * 20
+    html = {
+        1: f"<title> A &lt;Title&gt; _ Civitai</title><nav>{words}</nav><p>{words}</p>", 2: f"<HEADER>x</HEADER><h1 class='a'>Big <b>Pony</b></h1>{words} a prompt<!-- <title>no</title> -->", 3: f"<script>var t = '<title>no</title>'</script><p>{words}", 4: "<title>short</title><p>x", 5: None,
+        6: f"<title>A  &lt;title&gt;!</title>{words}\n\n\n\n\nend", 7: f"<title>_ Civitai</title>{words}",
+    }
+    pages = spark.createDataFrame([(k, f"file{k}", v) for k, v in html.items()], "page_id int, stem string, html string")
+    kept, rejects = notes.guides(pages)
+    got = {r.page_id: r for r in kept.collect()}
+    assert {k: (r.id, r.title, r.tags) for k, r in got.items()} == {
+        1: ("a-title", "A <Title>", ["civitai"]), 2: ("big-pony", "Big Pony", ["civitai", "pony", "prompting"]), 3: ("file3", "file3", ["civitai"]), 6: ("a-title-1", "A  <title>!", ["civitai"]), 7: ("file7", "file7", ["civitai"]),
+    }
+    assert "page & more" in got[1].text and got[6].text.endswith("more \n\nend") and sorted(r.page_id for r in rejects.collect()) == [4, 5]
+    vault = spark.createDataFrame([("a", "One", "guide", ["x"], ["l"], "# only a heading"), ("b", "Two", None, ["x", "y"], [], "# head\nBody  text"), ("c", "Three", "note", [], ["Link"], "z" * 200)], "id string, title string, type string, tags array<string>, links array<string>, body string")
+    find = lambda **k: {r.id: r.snippet for r in notes.search(vault, **k).collect()}
+    assert find() == {"a": "", "b": "# head Body text", "c": "z" * 140}
+    assert set(find(kind="note")) == {"b", "c"} and set(find(tag="x")) == {"a", "b"} and set(find(q="LINK")) == {"c"} and set(find(q="body", tag="y", kind="note")) == {"b"} and not find(q="nothing like it")
