@@ -120,7 +120,7 @@ WRITTEN_DOMAIN = re.compile(rf"[A-Za-z0-9-]{{1,63}}(?:{DOT}[A-Za-z0-9-]{{1,63}})
 BEFORE_AT = re.compile(r"[A-Za-z0-9._%+-]{1,64}[ \t]{0,2}\Z")
 AFTER_AT = re.compile(r"[ \t]{0,2}")
 HEX_GROUPS = re.compile(r"(?<![0-9A-Za-z:.])[0-9A-Fa-f:]{6,45}(?![0-9A-Za-z:])")
-WIDE = re.compile(r"(?<![0-9])[0-9](?:[ .\-/   ]{0,2}[0-9])++")
+WIDE = re.compile(r"(?<![0-9])[0-9](?:[ .\-/\u00a0\u2009\u202f]{0,2}[0-9])++")
 GROUP = re.compile(r"[0-9]+")
 NATIONAL = re.compile(r"(?<![0-9A-Za-z.+\-/(])(?:\([0-9]{2,5}\)|[0-9]{2,5})(?:[ ./-]{0,2}[0-9]{2,5}){1,4}(?![0-9A-Za-z]|[.\-/][0-9])")
 AREA = re.compile(r"(?:\+[0-9]{1,3} ?)?\([0-9]{3}\)[ -]?[0-9]{3}[ .-][0-9]{4}")
