@@ -210,7 +210,7 @@ LANED = "regexp_replace(CASE doc_id % 4 WHEN 0 THEN 'score_9, ' WHEN 1 THEN 'Mas
 
 def laned(spark, sf_dir):
     head = F.when(F.col("doc_id") % 4 == 0, "score_9, ").when(F.col("doc_id") % 4 == 1, "Masterpiece, ").when(F.col("doc_id") % 4 == 2, "source_anime, ").otherwise("")
-    return tickets(spark, sf_dir).select("doc_id", F.concat(head, "prompt").alias("prompt"))
+    return tickets(spark, sf_dir).select("doc_id", F.concat(head, "prompt").alias("prompt"), "profile")
 
 
 @query(f""" SELECT doc_id, CASE WHEN regexp_matches(lower(p), 'score_9|source_cartoon|source_anime') THEN 'pony' WHEN regexp_matches(lower(p), 'masterpiece|best quality|masterwork|best_quality') THEN 'illustrious' END AS lane
@@ -261,7 +261,7 @@ def settings_map(spark, sf_dir):
 def lane_translate(spark, sf_dir):
     """All prompts normalised to the lane, with their receipts."""
     loras = F.array(F.struct(F.col("profile").alias("name"), F.lit(0.6).cast("double").alias("weight")))
-    return lane.translate(laned(spark, sf_dir).join(tickets(spark, sf_dir).select("doc_id", loras.alias("loras")).hint("merge"), "doc_id"))
+    return lane.translate(laned(spark, sf_dir).withColumn("loras", loras))
 
 
 PLAN = r""", own AS (SELECT t.*, l.quality, coalesce(l.toxic, 0) AS toxic, trim(regexp_replace(t.prompt, ',\s*$', '')) AS bare FROM tickets t LEFT JOIN labels l USING (doc_id)),
