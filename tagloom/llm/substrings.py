@@ -23,7 +23,9 @@ hash, and stream through automata in the same way.
 
 Defined results: a null text has no words; a null doc_id neither removes nor loses words;
 doc_id may be of any type that Spark orders, and of either sign; rows with equal id and
-text are the same document; a very long text is cut to many pieces; other columns are
+text are the same document; different texts with one id rank their windows by start alone, so
+that of two equal windows the one with the smaller start is earlier and of equal starts
+neither is; a very long text is cut to many pieces; other columns are
 ignored, whatever their names; an empty table gives an empty table; every row gives one row.
 """
 
