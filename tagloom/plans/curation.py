@@ -12,6 +12,7 @@ from ..functions import text as t
 from ..operators import cells, curation, graphs, grid, ingest, library, profiles
 from ..operators import notes as vault
 from ..shared import shared_folder
+from ..sources import scan
 from .registry import query
 from .views import hashes, library_index, notes, table, tag_dump, tickets, tokens
 
@@ -272,9 +273,12 @@ def guide_rejects(spark, sf_dir):
     return guides(spark, sf_dir)[1]
 
 
-@query(" SELECT tag, category::INTEGER AS category, cnt, alias FROM tag_dump", "tag_dump")
+@query(" SELECT tag, category::INTEGER AS category, cnt, alias || ',x' AS aliases FROM tag_dump", "tag_dump")
 def tag_dump_scan(spark, sf_dir):
-    return tag_dump(spark, sf_dir)
+    """Words of documents as a CSV of tags, written and scanned."""
+    at = f"{shared_folder(spark)}/tags-{uuid.uuid4().hex}"
+    tag_dump(spark, sf_dir).select("tag", "category", "cnt", F.concat(F.lit(" "), "alias", F.lit(", X ,"))).write.option("escape", '"').csv(at)
+    return scan.tag_dump(spark, at).select("tag", "category", "cnt", F.array_join("aliases", ",").alias("aliases"))
 
 
 SUGGEST = """, bw AS (SELECT list_filter(string_split(lower(regexp_replace(text, '[^\\p{L}0-9]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM benchmark),

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shared import exists, written
+
 TICKET = """profile string, file string, seed long, wall_s double, forge_infotext string, experiment_id string,
 effective_settings struct<prompt:string, negative_prompt:string, checkpoint:string, size:string, sampler:string, scheduler:string, steps:long, cfg_scale:double>, _corrupt_record string"""
 
@@ -129,9 +131,22 @@ def models(spark: SparkSession, root: str, cache: DataFrame) -> DataFrame:
     return own.join(cache.hint("merge"), "name", "left").withColumn("enriched", F.col("url").isNotNull())
 
 
-def write_tickets(tickets: DataFrame, path: str) -> None:
-    """One JSON partition a character and profile; existing files stay."""
-    tickets.write.partitionBy("character", "profile").mode("append").json(path)
+def write_tickets(tickets: DataFrame, path: str) -> int:
+    """Write JSON tickets (character, profile, file, ...) by character and profile, each file once, and return how many were new.
+
+    A ticket that is there already stays as it is; of several new ones for a file the first
+    seed counts.  The new ones are written apart first, so that the reading is over when they are added.
+    """
+    keys, spark = ["character", "profile", "file"], tickets.sparkSession
+    one = tickets.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(F.asc_nulls_last("seed")))).where("_rn = 1").drop("_rn") if "seed" in tickets.columns else tickets.dropDuplicates(keys)
+    if exists(spark, path):
+        there = spark.read.schema("file string, character string, profile string").json(path).select(*keys).distinct()
+        one = one.join(there.hint("merge"), keys, "left_anti")
+    new = written(one.select(tickets.columns), "tickets")
+    n = new.count()
+    if n:
+        new.write.partitionBy("character", "profile").mode("append").json(path)
+    return n
 
 
 def styles(spark: SparkSession, path: str) -> DataFrame:

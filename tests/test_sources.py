@@ -226,3 +226,14 @@ def test_guides_and_searches(spark):
     find = lambda **k: {r.id: r.snippet for r in notes.search(vault, **k).collect()}
     assert find() == {"a": "", "b": "# head Body text", "c": "z" * 140}
     assert set(find(kind="note")) == {"b", "c"} and set(find(tag="x")) == {"a", "b"} and set(find(q="LINK")) == {"c"} and set(find(q="body", tag="y", kind="note")) == {"b"} and not find(q="nothing like it")
+
+
+def test_tickets_are_written_once(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame(list(r), "character string, profile string, file string, seed long")
+    path = f"{tmp_path}/tickets"
+    assert scan.write_tickets(rows(("m", "a", "1.png", 7), ("m", "a", "1.png", 3), ("m", "b", "1.png", 9)), path) == 2
+    assert scan.write_tickets(rows(("m", "a", "1.png", 1), ("n", "a", "2.png", None)), path) == 1
+    assert scan.write_tickets(rows(("n", "a", "2.png", 5)), path) == 0
+    got = spark.read.json(path).select("character", "profile", "file", "seed").collect()
+    assert sorted(map(tuple, got)) == [("m", "a", "1.png", 3), ("m", "b", "1.png", 9), ("n", "a", "2.png", None)]
+    assert (tmp_path / "tickets" / "character=m" / "profile=b").is_dir()
