@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import re
+import sys
 import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+# The driver starts processors once in a Python of its own that doesn't get the files sent to the
+# executors, so they travel by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STORE = "spark.sql.streaming.stateStore.providerClass"
 #: Lines of a log that are kept, and what a line with progress looks like.
