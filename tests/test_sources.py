@@ -174,6 +174,22 @@ def test_suggestions_of_any_length(spark):
     assert sorted((r.q, r["rank"], r.tag, r.tier) for r in got.collect()) == [("g", 1, "g", 1), ("g", 2, "green_dress", 3), ("g", 3, "green_hat", 3), ("green_ball_gown", 1, "green_dress", 6), ("green_ball_gown", 2, "green_hat", 6), ("robe", 1, "green_dress", 2)]
 
 
+def test_suggestions_of_frequent_beginnings(spark):
+    """Each query's candidates are at most those that begin with it, as soon as they are enough; a tag of two rows has one place."""
+    from tagloom.operators import suggest
+
+    rows = [(f"ab{k:03}", 500 - k, f"{k:03}ba") for k in range(300)] + [("xxab0", 900, "p"), ("twice_x", 3, "q"), ("twice_x", 8, "r"), ("zzlongtailzz", 1, "s")]
+    dump = spark.createDataFrame(rows, "tag string, cnt long, alias string")
+    asked = spark.createDataFrame([("ab",), ("ab",), ("xab",), ("ab0",), ("r",), ("longtail",), ("twice_y",), ("00ba",)], "q string")
+    got = {}
+    for r in sorted(suggest.suggest_all(dump, asked, 3).collect(), key=lambda r: (r.q, r["rank"])):
+        got.setdefault(r.q, []).append((r.tag, r.tier))
+    assert got == {
+        "ab": [("ab000", 3), ("ab001", 3), ("ab002", 3)], "xab": [("xxab0", 4)], "ab0": [("ab000", 3), ("ab001", 3), ("ab002", 3)], "r": [("twice_x", 2)],
+        "longtail": [("zzlongtailzz", 4)], "twice_y": [("twice_x", 6)], "00ba": [("ab000", 5), ("ab100", 5), ("ab200", 5)],
+    }
+
+
 def test_drafts(spark):
     text = "a cat <lora:ink:0.7>, score_9, <lora:ink:0.2> <lora:odd:x>,\nNegative prompt: blur\nSteps: 24, Seed: 7.0, Size: 512x640, Model: sub\\\\Best, Sampler: DPM"
     parsed = ingest.infotext(spark.createDataFrame([(1, text), (2, "b\nSteps: 3, Seed: no, Model: lost"), (3, "c")], "id long, text string"))
