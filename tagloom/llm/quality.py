@@ -12,7 +12,9 @@ ends where the text ends.
 
 `fit_bands` narrows the limits of whole documents to what documents labelled as good have:
 the outer thousandths of their ratios in each length class, with a margin, wherever a class
-has LEAST_GOOD of them; elsewhere, and without labels, the limits above hold.
+has LEAST_GOOD of them; elsewhere, and without labels, the limits above hold.  All good documents
+count: ratios are counted in steps of 1 / STEP, and a limit is the outermost ratio of the step
+that holds its rank.
 
 Defined results: a null text counts as empty; texts under the first band's length are
 not judged by ratio; every input row gives one output row, in any order; other columns
@@ -24,7 +26,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_texts
@@ -38,8 +40,8 @@ CHUNK = 2048
 CHUNK_BAND = (1.70, 6.0)
 CHUNK_SHARE = 0.3
 MIN_WORDS = 50
-#: Good documents that limits are fitted on, at most (smallest hashes of the id); how many a class needs; margins below and above.
-GOOD_ROWS, LEAST_GOOD, MARGINS = 20_000, 200, (0.95, 1.02)
+#: Good documents that a class needs for limits of its own; margins below and above; outer parts in thousandths; counted steps of a ratio, and from where they are one (above all limits).
+LEAST_GOOD, MARGINS, OUTER, STEP, TOP = 200, (0.95, 1.02), 1, 10_000, 10.0
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -131,16 +133,22 @@ def measure(batch: list[bytes], bands: tuple = BANDS) -> dict:
 def fit_bands(docs: DataFrame, labels: DataFrame) -> tuple:
     """BANDS with limits narrowed to the good documents of labels (doc_id, quality); of repeated labels the worst counts."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    # at most GOOD_ROWS ids, whatever the corpus
-    good = known.where("quality = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(GOOD_ROWS).select("doc_id")
 
     def work(batch: list[bytes]) -> dict:
         m = measure(batch)
         return {"failed": pa.array(m["base_failed"], pa.bool_()), "start": pa.array([max((b[0] for b in BANDS if len(t) >= b[0]), default=None) for t in batch], pa.int64()), "ratio": m["doc_ratio"]}
 
-    own = map_texts(docs.select("doc_id", "text").join(F.broadcast(good), "doc_id"), work, "failed boolean, start long, ratio double").where("not failed and start is not null")
-    limits = own.groupBy("start").agg(F.count("*").alias("n"), F.percentile_approx("ratio", F.array(F.lit(0.001), F.lit(0.999)), 10_000).alias("q")).where(F.col("n") >= LEAST_GOOD)
-    found = {r.start: r.q for r in limits.collect()}  # one row a class
+    # every text is measured where it is, so that three numbers a document are shuffled and no text
+    own = map_texts(docs.select("doc_id", "text"), work, "failed boolean, start long, ratio double").where("not failed and start is not null")
+    own = own.join(known.where("quality = 1").select("doc_id").hint("merge"), "doc_id").select("start", F.least("ratio", F.lit(TOP)).alias("ratio"))
+    steps = own.groupBy("start", F.floor(F.col("ratio") * STEP).alias("step")).agg(F.count("*").alias("n"), F.min("ratio").alias("least"), F.max("ratio").alias("most"))
+    # at most TOP * STEP steps a class
+    order = Window.partitionBy("start").orderBy("step")
+    ranked = steps.select("*", F.sum("n").over(order).alias("upto"), F.sum("n").over(Window.partitionBy("start")).alias("total"))
+    rank = lambda k: F.greatest(F.lit(1), F.ceil(F.col("total") * k / 1000))
+    holds = lambda k: (F.col("upto") >= rank(k)) & (F.col("upto") - F.col("n") < rank(k))
+    limits = ranked.groupBy("start").agg(F.max("total").alias("n"), F.max(F.when(holds(OUTER), F.col("least"))).alias("low"), F.max(F.when(holds(1000 - OUTER), F.col("most"))).alias("high"))
+    found = {r.start: (r.low, r.high) for r in limits.where(F.col("n") >= LEAST_GOOD).collect()}  # one row a class
     return tuple((at, max(low, found[at][0] * MARGINS[0]), min(high, found[at][1] * MARGINS[1])) if at in found else (at, low, high) for at, low, high in BANDS)
 
 

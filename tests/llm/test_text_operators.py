@@ -87,6 +87,22 @@ def test_quality_bands_follow_good_documents(spark, docs, monkeypatch):
     assert quality.fit_bands(table, labels.limit(0)) == quality.BANDS == quality.fit_bands(table.limit(0), labels)
 
 
+def test_quality_bands_count_all_good_documents(spark, docs, monkeypatch):
+    monkeypatch.setattr(quality, "LEAST_GOOD", 20)
+    monkeypatch.setattr(quality, "GOOD_ROWS", 25, raising=False)
+    own = random.Random(11)
+    letters = lambda k: "".join(own.choices("abcdefghijklmnopqrstuvwxyz", k=k))
+    texts = [" ".join(letters(own.randint(2, 9)) for _ in range(70)) + " " + " ".join(own.choices(WORDS, k=60 + k)) for k in range(90)]
+    bands = {b[0]: b[1:] for b in quality.fit_bands(docs(texts), spark.createDataFrame([(k, 1) for k in range(90)], "doc_id long, quality int"))}
+    packer, by_class = quality.zstandard.ZstdCompressor(level=3, write_checksum=False), {}
+    for x in map(str.encode, texts):
+        by_class.setdefault(max(b[0] for b in quality.BANDS if len(x) >= b[0]), []).append(len(x) / len(packer.compress(x)))
+    assert max(map(len, by_class.values())) > 25
+    for at, low, high in quality.BANDS:
+        r = by_class.get(at, [])
+        assert bands[at] == ((max(low, min(r) * 0.95), min(high, max(r) * 1.02)) if len(r) >= 20 else (low, high))
+
+
 def test_quality_rejects_random_words():
     packer, own = quality.zstandard.ZstdCompressor(level=3, write_checksum=False), random.Random(3)
     base62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
