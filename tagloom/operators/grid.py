@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as t
+from ..shared import looked_up
 
 MOST_UNITS = 3
 #: What a plan takes where neither an override nor the profile says anything.
@@ -63,7 +64,8 @@ def batch(profiles: DataFrame, lines: Column, mode: str, most: int = 64) -> Data
 def control_units(rows: DataFrame, images: DataFrame) -> DataFrame:
     """(doc_id, pos, unit) of enabled control units with a model whose image file, by its base name, is among images (file); at most MOST_UNITS a render."""
     own = rows.select("doc_id", F.posexplode("units").alias("pos", "unit")).where("unit.enabled and coalesce(unit.model, 'None') <> 'None'")
-    own = own.withColumn("file", F.element_at(F.split("unit.image_file", "/"), -1)).join(images.select("file").distinct().hint("merge"), "file", "left_semi").drop("file")
+    own = own.withColumn("file", F.element_at(F.split("unit.image_file", "/"), -1))
+    own = looked_up(own, images.select("file").distinct(), "file", "doc_id", "left_semi").drop("file")
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))
     return own.withColumn("nth", nth).where(F.col("nth") <= MOST_UNITS).drop("nth")
 
@@ -76,7 +78,7 @@ def apply_styles(rows: DataFrame, styles: DataFrame) -> DataFrame:
     """
     known = styles.where("contains(prompt, '{prompt}')").groupBy("name").agg(F.min(F.struct("nth", "prompt", "negative_prompt")).alias("s"))
     known = known.select(F.col("name").alias("style"), F.col("s.prompt").alias("template"), F.coalesce("s.negative_prompt", F.lit("")).alias("extra"))
-    own = rows.join(known.hint("merge"), "style", "left")
+    own = looked_up(rows, known, "style", "doc_id")
     both = F.concat_ws(", ", F.nullif("extra", F.lit("")), F.nullif("negative_prompt", F.lit("")))
     return own.select("doc_id", "style", F.when(F.col("template").isNotNull(), F.replace("template", F.lit("{prompt}"), F.col("prompt"))).otherwise(F.col("prompt")).alias("prompt"), F.when(F.col("template").isNotNull(), both).otherwise(F.col("negative_prompt")).alias("negative"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import QUALITY_GRAMMAR, stats_tag
-from ..shared import written
+from ..shared import looked_up, small, written
 
 
 def tag_counts(tokens: DataFrame) -> DataFrame:
@@ -40,11 +40,6 @@ def character_counts(tickets: DataFrame) -> DataFrame:
     return tickets.groupBy("character").agg(F.count("*").alias("renders"), F.count_distinct("profile").alias("profiles"))
 
 
-def _small(df: DataFrame, rows: int = 20_000) -> DataFrame:
-    """A written table of short strings with the hint for its size: broadcast up to so many rows, else a merge join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")
-
-
 def cooccurrence(prompts: DataFrame, key: str, least: int) -> DataFrame:
     """Pairs of distinct tags of one prompt (key, an array `tags`) with the number of prompts, from `least` on.
 
@@ -55,7 +50,7 @@ def cooccurrence(prompts: DataFrame, key: str, least: int) -> DataFrame:
     own = prompts.where(F.col("tags").isNotNull()).select(key, F.array_distinct("tags").alias("tags"))
     tags = own.select(key, F.explode("tags").alias("tag"))
     often = written(tags.groupBy("tag").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("tag"), "frequent-tags")
-    kept = tags.join(_small(often), "tag", "left_semi").groupBy(key).agg(F.array_sort(F.collect_list("tag")).alias("tags"))
+    kept = tags.join(small(often, 20_000), "tag", "left_semi").groupBy(key).agg(F.array_sort(F.collect_list("tag")).alias("tags"))
     left = kept.select(F.posexplode("tags").alias("k", "tag_a"), "tags").select("tag_a", F.slice("tags", F.col("k") + 2, F.size("tags")).alias("after"))
     pairs = left.select("tag_a", F.explode("after").alias("tag_b"))
     return pairs.groupBy("tag_a", "tag_b").agg(F.count("*").alias("prompts")).where(F.col("prompts") >= least)
@@ -64,9 +59,9 @@ def cooccurrence(prompts: DataFrame, key: str, least: int) -> DataFrame:
 def consolidate(renders: DataFrame, share: float) -> DataFrame:
     """Stable core: tags of at least `share` of a character's renders (character, doc_id, an array `tags`); renders without a tag don't count."""
     own = renders.select("character", F.filter(F.array_distinct("tags"), lambda x: x != "").alias("tags")).where(F.size("tags") > 0)
-    totals = written(own.groupBy("character").agg(F.count("*").alias("renders")), "renders")
+    totals = own.groupBy("character").agg(F.count("*").alias("renders"))
     counts = own.select("character", F.explode("tags").alias("tag")).groupBy("character", "tag").agg(F.count("*").alias("docs"))
-    return counts.join(_small(totals), "character").where(F.col("docs") >= share * F.col("renders")).select("character", "tag", "docs", "renders")
+    return looked_up(counts, totals, "character", "tag", "inner").where(F.col("docs") >= share * F.col("renders")).select("character", "tag", "docs", "renders")
 
 
 def variations(renders: DataFrame, core: DataFrame) -> DataFrame:
@@ -75,6 +70,6 @@ def variations(renders: DataFrame, core: DataFrame) -> DataFrame:
     A core has at most 1 / share times as many tags as a render, so a character's is one array.
     """
     cores = core.groupBy("character").agg(F.collect_set("tag").alias("core"))
-    own = renders.join(cores.hint("merge"), "character", "left")
+    own = looked_up(renders, cores, "character", "doc_id")
     rest = F.filter(F.array_distinct("tags"), lambda x: (x != "") & ~F.array_contains(F.coalesce("core", F.array().cast("array<string>")), x))
     return own.select("character", "doc_id", F.array_join(rest, ", ").alias("line"))

@@ -112,3 +112,18 @@ def test_pairs_of_different_sizes(spark):
     rows = resample.paired(pixels, pairs).collect()
     assert sorted((r.img, r.img0) for r in rows) == [(1, 2)] * 16 + [(2, 1)] * 6 + [(3, 1)] * 16
     assert all(abs(r.r0 - 0.5) < 1e-12 for r in rows)
+
+
+def test_lookups_deal_frequent_keys(spark):
+    """With more keys than are broadcast, rows of a frequent key go to several tasks and meet their key once."""
+    from pyspark.sql import functions as F
+
+    from tagloom import shared
+
+    rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 3900, "hot").otherwise(F.col("id").cast("string")).alias("style"))
+    known = spark.createDataFrame([("hot", 1)] + [(str(k), k) for k in range(3900, 3950)], "style string, v int")
+    for most in (100, 10):
+        got = shared.looked_up(rows, known, "style", "doc_id", most=most)
+        assert (got.count(), got.where("v = 1").count(), got.where("v is null").count(), got.columns) == (4000, 3900, 50, ["style", "doc_id", "v"])
+    salts = rows.where("style = 'hot'").select(F.pmod(F.xxhash64("doc_id"), F.lit(shared.SALTS))).distinct().count()
+    assert salts == shared.SALTS
