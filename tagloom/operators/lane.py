@@ -1,7 +1,7 @@
 """Normalise a prompt corpus to one lane, with a receipt of what changed.
 
-A prompt is an array of segments, a segment an array of tokens; every rule is an array
-expression, so a corpus takes one projection.
+A prompt is an array of segments, a segment an array of tokens, each beside its tag, which is
+normalised once; every rule is an array expression, so a corpus takes one projection.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import name_form, spaceless
+from ..functions.text import let, name_form, spaceless
 
 # Fixed values of the lane.
 SCAFFOLD = ("score_9", "score_8_up", "score_7_up", "score_6_up")
@@ -28,6 +28,11 @@ def tag(token: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.trim(plain)), r"(?U)[\s-]+", " "))
 
 
+def _closed(g: Column) -> Column:
+    """The spaceless form of a tag, which has no other separators than single spaces and underscores and is in lower case."""
+    return F.replace(F.replace(g, F.lit(" "), F.lit("")), F.lit("_"), F.lit(""))
+
+
 def _words(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
@@ -55,29 +60,33 @@ def translate(prompts: DataFrame, style_lora: str = LORA, denied: tuple[str, ...
     own = own.withColumn("segs", segs).withColumn("all", F.filter(F.concat(inline, "given"), lambda x: F.coalesce(name_form(x["name"]), F.lit("")) != ""))
 
     # inline loras leave the prompt
-    own = own.withColumn("loose", F.filter(_flat("segs"), lambda t: t.rlike(f"^{INLINE}$"))).withColumn("segs", _keep("segs", lambda t: ~t.rlike(f"^{INLINE}$")))
+    is_inline = lambda t: F.startswith(t, F.lit("<")) & t.rlike(f"^{INLINE}$")
+    own = own.withColumn("loose", F.filter(_flat("segs"), is_inline)).withColumn("segs", _keep("segs", lambda t: ~is_inline(t)))
+    # a token t with its tag g
+    own = own.withColumn("segs", F.transform("segs", lambda seg: F.transform(seg, lambda t: F.struct(t.alias("t"), tag(t).alias("g")))))
     # quality tokens carry no weight on the lane
-    no_weight = _words([w.replace(" ", "") for w in NO_WEIGHT])
-    own = own.withColumn("removed", F.filter(_flat("segs"), lambda t: F.array_contains(no_weight, spaceless(tag(t))))).withColumn("segs", _keep("segs", lambda t: ~F.array_contains(no_weight, spaceless(tag(t)))))
+    is_quality = lambda x: _closed(x["g"]).isin(*[w.replace(" ", "") for w in NO_WEIGHT])
+    own = own.withColumn("removed", F.transform(F.filter(_flat("segs"), is_quality), lambda x: x["t"])).withColumn("segs", _keep("segs", lambda x: ~is_quality(x)))
     # scaffold and source
-    own = own.withColumn("tags", F.transform(_flat("segs"), tag)).withColumn("scored", F.array_contains("tags", "score_9"))
+    put = lambda t: F.struct(t.alias("t"), t.alias("g"))
+    own = own.withColumn("tags", F.transform(_flat("segs"), lambda x: x["g"])).withColumn("scored", F.array_contains("tags", "score_9"))
     own = own.withColumn("scaffold", F.when(F.col("scored"), empty).otherwise(F.array_except(_words([*SCAFFOLD, SOURCE]), F.col("tags"))))
-    is_anime = lambda t: tag(t) == "source_anime"
-    has_source = lambda seg: F.exists(seg, lambda t: tag(t) == SOURCE)
-    swapped = F.transform(F.col("segs"), lambda seg: F.when(has_source(seg), F.filter(seg, lambda t: ~is_anime(t))).otherwise(F.transform(seg, lambda t: F.when(is_anime(t), F.lit(SOURCE)).otherwise(t))))
+    is_anime = lambda x: x["g"] == "source_anime"
+    has_source = lambda seg: F.exists(seg, lambda x: x["g"] == SOURCE)
+    swapped = F.transform(F.col("segs"), lambda seg: F.when(has_source(seg), F.filter(seg, lambda x: ~is_anime(x))).otherwise(F.transform(seg, lambda x: F.when(is_anime(x), put(F.lit(SOURCE))).otherwise(x))))
     own = own.withColumn("n_swapped", F.when(F.col("scored"), F.aggregate(F.col("segs"), F.lit(0), lambda a, seg: a + F.when(has_source(seg), 0).otherwise(F.size(F.filter(seg, is_anime))))).otherwise(0))
     own = own.withColumn("n_dropped", F.when(F.col("scored"), F.aggregate(F.col("segs"), F.lit(0), lambda a, seg: a + F.when(has_source(seg), F.size(F.filter(seg, is_anime))).otherwise(0))).otherwise(0))
-    own = own.withColumn("segs", F.when(F.col("scored"), swapped).otherwise(_into_first(F.col("segs"), F.lit(0), F.col("scaffold"))))
-    head = lambda arr: F.coalesce(F.array_position(F.transform(arr, lambda t: ~tag(t).rlike("^(score|source)_")), True) - 1, F.lit(0))
-    lead = head(F.element_at("segs", 1))
-    lead = F.when((lead < 0), F.size(F.element_at("segs", 1))).otherwise(lead).cast("int")
-    own = own.withColumn("no_source", ~F.array_contains(F.transform(_flat("segs"), tag), SOURCE))
-    own = own.withColumn("segs", F.when(F.col("no_source"), _into_first(F.col("segs"), lead, F.array(F.lit(SOURCE)))).otherwise(F.col("segs")))
+    own = own.withColumn("segs", F.when(F.col("scored"), swapped).otherwise(_into_first(F.col("segs"), F.lit(0), F.transform("scaffold", put))))
+    is_head = lambda g: F.startswith(g, F.lit("score_")) | F.startswith(g, F.lit("source_"))
+    # the first token beside the scaffold, or the end
+    place = lambda first: let(F.array_position(F.transform(first, lambda x: ~is_head(x["g"])), True).cast("int"), lambda k: F.when(k > 0, k - 1).otherwise(F.size(first)))
+    own = own.withColumn("no_source", ~F.exists("segs", has_source))
+    own = own.withColumn("segs", F.when(F.col("no_source"), _into_first(F.col("segs"), let(F.element_at("segs", 1), place), F.array(put(F.lit(SOURCE))))).otherwise(F.col("segs")))
     # counts of people, after the last scaffold token of the whole prompt
-    own = own.withColumn("tags", F.transform(_flat("segs"), tag)).withColumn("found", F.filter("tags", lambda x: F.array_contains(_words(PEOPLE), x)))
-    last = F.aggregate(F.transform("tags", lambda x, i: F.when(x.rlike("^(score|source)_"), i + 1).otherwise(0)), F.lit(0), lambda a, b: F.greatest(a, b))
-    at = F.least(last, F.size(F.element_at("segs", 1)))
-    own = own.withColumn("segs", F.when(F.size("found") == 0, _into_first(F.col("segs"), at, _words(["solo", "1girl"]))).otherwise(F.col("segs")))
+    own = own.withColumn("tags", F.transform(_flat("segs"), lambda x: x["g"])).withColumn("found", F.filter("tags", lambda g: g.isin(*PEOPLE)))
+    last = F.array_max(F.transform("tags", lambda g, i: F.when(is_head(g), i + 1).otherwise(0)))
+    at = F.least(F.coalesce(last, F.lit(0)), F.size(F.element_at("segs", 1)))
+    own = own.withColumn("segs", F.when(F.size("found") == 0, _into_first(F.col("segs"), at, F.transform(_words(["solo", "1girl"]), put))).otherwise(F.col("segs")))
     # loras: the style lora first at its weight, denied ones out
     deny = _words([d.replace(" ", "") for d in denied]) if denied else empty
     bare = lambda x: F.regexp_replace(name_form(x["name"]), r"\.safetensors$", "")
@@ -85,24 +94,27 @@ def translate(prompts: DataFrame, style_lora: str = LORA, denied: tuple[str, ...
     is_denied = lambda x: F.array_contains(deny, spaceless(bare(x)))
     own = own.withColumn("kept", F.filter("all", lambda x: ~is_style(x) & ~is_denied(x)))
     style = F.array(F.struct(F.lit(style_lora).alias("name"), F.lit(WEIGHT).alias("weight")))
-    own = own.withColumn("carriers", F.filter(_flat("segs"), lambda t: F.array_contains(deny, spaceless(tag(t))))).withColumn("segs", _keep("segs", lambda t: ~F.array_contains(deny, spaceless(tag(t)))))
+    own = own.withColumn("carriers", empty)
+    if denied:
+        carries = lambda x: F.array_contains(deny, _closed(x["g"]))
+        own = own.withColumn("carriers", F.transform(F.filter(_flat("segs"), carries), lambda x: x["t"])).withColumn("segs", _keep("segs", lambda x: ~carries(x)))
 
     def change(op: str, target: Column, when: Column, apply: bool = True) -> Column:
         return F.when(when, F.struct(F.lit(op).alias("op"), target.alias("target"), F.lit(apply).alias("apply")))
 
     tail = F.array_sort(F.array_intersect("tags", _words(TAIL)))
-    wrong = F.filter(_flat("segs"), lambda t: tag(t).rlike(NO_COUNT))
+    own = own.withColumn("wrong", F.transform(F.filter(_flat("segs"), lambda x: x["g"].rlike(NO_COUNT)), lambda x: x["t"]))
     some = lambda c: F.size(c) > 0
     changes = F.filter(
         F.array(
             change("strip", F.array_join("loose", ", "), some("loose")), change("strip", F.array_join("removed", ", "), some("removed")), change("add", F.array_join("scaffold", ", "), some("scaffold")),
             change("normalize", F.lit(f"source_anime -> {SOURCE}"), F.col("n_swapped") > 0), change("strip", F.lit("source_anime"), F.col("n_dropped") > 0), change("add", F.lit(SOURCE), F.col("no_source")),
             change("flag", F.array_join(tail, ", "), F.col("scored") & some(tail), False), change("add", F.lit("1girl, solo"), F.size("found") == 0),
-            change("flag", F.lit("solo alongside multiple-character tags"), F.array_contains("found", "solo") & F.arrays_overlap("found", _words(SEVERAL)), False), change("flag", F.array_join(wrong, ", "), some(wrong), False),
+            change("flag", F.lit("solo alongside multiple-character tags"), F.array_contains("found", "solo") & F.arrays_overlap("found", _words(SEVERAL)), False), change("flag", F.array_join("wrong", ", "), some("wrong"), False),
             change("add", F.lit(f"lora {style_lora} @ {WEIGHT}"), ~F.exists("all", is_style)), change("normalize", F.lit(f"lora {style_lora} weight"), F.exists("all", lambda x: is_style(x) & (F.abs(x["weight"] - WEIGHT) > 1e-9))),
             change("keep", F.concat(F.size("kept").cast("string"), F.lit(" lora(s)")), some("kept")), change("strip", F.array_join("carriers", ", "), some("carriers")),
         ),
         lambda x: x.isNotNull(),
     )
-    prompt = F.array_join(F.transform("segs", lambda seg: F.array_join(seg, ", ")), "\nBREAK\n")
+    prompt = F.array_join(F.transform("segs", lambda seg: F.array_join(F.transform(seg, lambda x: x["t"]), ", ")), "\nBREAK\n")
     return own.select("doc_id", prompt.alias("prompt"), F.concat(style, "kept").alias("loras"), changes.alias("changes"))

@@ -78,3 +78,11 @@ def test_lint_queries_shuffle_no_tokens(spark, sf_dir):
     for name in ("lint_duplicates", "lint_overlap", "lint_repeats", "lint_colors", "lint_subsumed", "lint_findings", "lint_apply"):
         found = physical(catalog.queries()[name](spark, sf_dir))
         assert "HashAggregate" not in found and "Window" not in found
+
+
+def test_lane_normalises_each_token_once(spark, prompts):
+    from tagloom.operators import lane
+
+    df = lane.translate(prompts.withColumn("loras", F.lit(None).cast("array<struct<name:string,weight:double>>")), denied=("red hair",))
+    assert plan(df).count("[()]+") == 1
+    assert {r.doc_id: r.prompt for r in df.collect()}[63] == "score_9, score_8_up, score_7_up, score_6_up, source_cartoon, solo, 1girl, a, a"
