@@ -40,16 +40,54 @@ def character_counts(tickets: DataFrame) -> DataFrame:
     return tickets.groupBy("character").agg(F.count("*").alias("renders"), F.count_distinct("profile").alias("profiles"))
 
 
-def cooccurrence(prompts: DataFrame, key: str, least: int) -> DataFrame:
+#: Frequent tags whose pairs are counted in a square of numbers.
+DENSE = 2_048
+
+
+def _pair_counts(tags: list[str]):
+    """Counts of pairs of the given sorted tags over a task's prompts (an array `tags`), as products of their 0/1 rows."""
+
+    def count(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        known, total = pa.array(tags, pa.string()), np.zeros((len(tags), len(tags)), dtype=np.int64)
+        for batch in batches:
+            lists = batch.column("tags")
+            at = pc.index_in(lists.flatten(), value_set=known)
+            row = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            held = at.is_valid().to_numpy(zero_copy_only=False)
+            row, tag = row[held], at.drop_null().to_numpy(zero_copy_only=False)
+            for low in range(0, len(lists), 2_048):
+                own = (row >= low) & (row < low + 2_048)
+                ones = np.zeros((min(2_048, len(lists) - low), len(tags)), dtype=np.float32)
+                ones[row[own] - low, tag[own]] = 1
+                total += (ones.T @ ones).astype(np.int64)
+        a, b = np.nonzero(np.triu(total, 1))
+        for low in range(0, len(a), 65_536):
+            i, j = a[low : low + 65_536], b[low : low + 65_536]
+            yield pa.RecordBatch.from_arrays([known.take(pa.array(i)), known.take(pa.array(j)), pa.array(total[i, j])], ["tag_a", "tag_b", "n"])
+
+    return count
+
+
+def cooccurrence(prompts: DataFrame, key: str, least: int, dense: int = DENSE) -> DataFrame:
     """Pairs of distinct tags of one prompt (key, an array `tags`) with the number of prompts, from `least` on.
 
-    A pair is no more frequent than its rarer tag, so tags below `least` go first.  What is
-    left of a prompt gives a row for each left tag with those after it, and tasks add pairs up
-    before the one shuffle of pairs; no row holds a prompt's pairs.
+    A pair is no more frequent than its rarer tag, so tags below `least` go first.  Up to `dense`
+    tags are left as a rule: tasks add up their prompts' pairs as products of 0/1 rows, and only
+    these sums are shuffled.  With more, a prompt gives a row for each left tag with those after it,
+    and no row holds a prompt's pairs.
     """
-    own = prompts.where(F.col("tags").isNotNull()).select(key, F.array_distinct("tags").alias("tags"))
-    tags = own.select(key, F.explode("tags").alias("tag"))
+    own = prompts.select(key, F.array_distinct("tags").alias("tags"))
+    # the outer form, as the plain one gets a condition on the array, which makes it once more
+    tags = own.select(key, F.explode_outer("tags").alias("tag")).where("tag is not null")
     often = written(tags.groupBy("tag").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("tag"), "frequent-tags")
+    known = [r.tag for r in often.limit(dense + 1).collect()]
+    if len(known) <= dense:
+        sums = own.select("tags").mapInArrow(_pair_counts(sorted(known)), "tag_a string, tag_b string, n long")
+        return sums.groupBy("tag_a", "tag_b").agg(F.sum("n").alias("prompts")).where(F.col("prompts") >= least)
     kept = tags.join(small(often, 20_000), "tag", "left_semi").groupBy(key).agg(F.array_sort(F.collect_list("tag")).alias("tags"))
     left = kept.select(F.posexplode("tags").alias("k", "tag_a"), "tags").select("tag_a", F.slice("tags", F.col("k") + 2, F.size("tags")).alias("after"))
     pairs = left.select("tag_a", F.explode("after").alias("tag_b"))

@@ -86,3 +86,21 @@ def test_lane_normalises_each_token_once(spark, prompts):
     df = lane.translate(prompts.withColumn("loras", F.lit(None).cast("array<struct<name:string,weight:double>>")), denied=("red hair",))
     assert plan(df).count("[()]+") == 1
     assert {r.doc_id: r.prompt for r in df.collect()}[63] == "score_9, score_8_up, score_7_up, score_6_up, source_cartoon, solo, 1girl, a, a"
+
+
+def test_pairs_by_products_equal_pairs_by_rows(spark):
+    from tagloom.operators import stats
+
+    rng = random.Random(2)
+    rows = [(k, [rng.choice("abcdéfg") for _ in range(rng.randrange(7))] + [f"own{k}"]) for k in range(5_000)] + [(5_000, None), (5_001, []), (5_002, ["a", None, "b"])]
+    df = spark.createDataFrame(rows, "id int, tags array<string>")
+    both = [{(r.tag_a, r.tag_b): r.prompts for r in stats.cooccurrence(df, "id", 100, dense).collect()} for dense in (7, 0)]
+    want = {}
+    for _, tags in rows:
+        for a in set(tags or ()) - {None}:
+            for b in set(tags) - {None}:
+                if a < b and len(a + b) == 2:
+                    want[a, b] = want.get((a, b), 0) + 1
+    assert both[0] == both[1] == {k: n for k, n in want.items() if n >= 100}
+    assert "PythonMapInArrow" in plan(stats.cooccurrence(df, "id", 100)) or "MapInArrow" in plan(stats.cooccurrence(df, "id", 100))
+    assert stats.cooccurrence(df, "id", 10_000).count() == 0
