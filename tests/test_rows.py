@@ -104,3 +104,23 @@ def test_pairs_by_products_equal_pairs_by_rows(spark):
     assert both[0] == both[1] == {k: n for k, n in want.items() if n >= 100}
     assert "PythonMapInArrow" in plan(stats.cooccurrence(df, "id", 100)) or "MapInArrow" in plan(stats.cooccurrence(df, "id", 100))
     assert stats.cooccurrence(df, "id", 10_000).count() == 0
+
+
+def test_simhash_counts_votes_of_tags(spark):
+    import hashlib
+
+    from tagloom.operators import similar
+
+    rows = [(k, [f"tag{j}" for j in range(k, 3 * k)]) for k in range(1, 40)] + [(40, []), (41, None), (42, ["é"])]
+    got = {r.key: r.h & (1 << 64) - 1 for r in similar.simhash(spark.createDataFrame(rows, "key long, tags array<string>").repartition(3)).collect()}
+    want = {}
+    for k, tags in rows:
+        digests = [int(hashlib.md5(x.encode()).hexdigest()[:16], 16) for x in tags or []]
+        if digests:
+            want[k] = sum(1 << b for b in range(64) if 2 * sum(d >> b & 1 for d in digests) > len(digests))
+    assert got == want
+
+
+def test_hash_classes_read_texts_once(spark, sf_dir):
+    for name in ("hash_classes", "dup_groups", "near_dup_pairs"):
+        assert "documents" not in "".join(catalog.queries()[name](spark, sf_dir).inputFiles())
