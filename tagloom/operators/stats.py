@@ -11,8 +11,8 @@ from ..shared import looked_up, small, written
 
 def tag_counts(tokens: DataFrame) -> DataFrame:
     """Counts by polarity, for each character and overall (character null) in one pass."""
-    # equal raw tokens are counted first, so each is normalised once
-    raws = tokens.groupBy("polarity", "character", "raw").agg(F.count("*").alias("n"))
+    # equal raw tokens are counted first and written, as the conditions on tags would else be worked out below the counting, for every token
+    raws = written(tokens.groupBy("polarity", "character", "raw").agg(F.count("*").alias("n")), "raw-tokens")
     kept = raws.withColumn("tag", stats_tag(F.col("raw"))).where((F.col("tag") != "") & ~F.col("tag").rlike(QUALITY_GRAMMAR) & ~F.startswith("tag", F.lit("<lora")))
     sets = kept.groupingSets([("polarity", "character", "tag"), ("polarity", "tag")], "polarity", "character", "tag")
     return sets.agg(F.grouping("character").cast("int").alias("overall"), F.sum("n").alias("cnt"))

@@ -124,3 +124,8 @@ def test_simhash_counts_votes_of_tags(spark):
 def test_hash_classes_read_texts_once(spark, sf_dir):
     for name in ("hash_classes", "dup_groups", "near_dup_pairs"):
         assert "documents" not in "".join(catalog.queries()[name](spark, sf_dir).inputFiles())
+
+
+def test_tags_are_counted_raw_before_they_are_normalised(spark, sf_dir):
+    df = catalog.queries()["tag_stats"](spark, sf_dir)
+    assert "documents" not in "".join(df.inputFiles()) and "raw-tokens" in "".join(df.inputFiles())
