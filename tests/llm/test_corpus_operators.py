@@ -140,6 +140,33 @@ def test_remove_repeats(spark, docs, monkeypatch, shard, owners):
     assert got == repeats_truth(TEXTS)
 
 
+def joined_rows(spark, after):
+    """Rows that inner joins on `id` made in the executions from number `after` on, and the next one's number."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs, total = store.executionsList(), 0
+    for run in (runs.apply(k) for k in range(runs.size())):
+        if run.executionId() >= after:
+            nodes, values = store.planGraph(run.executionId()).allNodes(), store.executionMetrics(run.executionId())
+            for node in (nodes.apply(k) for k in range(nodes.size())):
+                if "Join" in node.name() and "[id#" in node.desc() and "Inner" in node.desc():
+                    metrics = node.metrics()
+                    rows = [values.get(m.accumulatorId()) for m in (metrics.apply(k) for k in range(metrics.size())) if m.name() == "number of output rows"]
+                    total += sum(int(r.get().replace(",", "")) for r in rows if r.isDefined())
+    return total, max([after, *(runs.apply(k).executionId() + 1 for k in range(runs.size()))])
+
+
+def test_a_passage_in_many_texts_is_joined_by_its_parts(spark, docs, monkeypatch):
+    monkeypatch.setattr(substrings, "SHARD_WORDS", 200)
+    common, pair = passage(80), ["left", "right"] * 40
+    for shared in (common, pair):
+        many = [" ".join(passage(15) + shared + passage(15)) for _ in range(30)]
+        before = joined_rows(spark, 0)[1]
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.remove_repeats(docs(many)).collect()}
+        assert got == repeats_truth(many)
+        rows = joined_rows(spark, before)[0]
+        assert 30 <= rows < 30 * 61 / 2  # 61 windows of each text recur
+
+
 def test_remove_repeats_edges(spark, docs):
     text = " ".join(passage(40))
     df = docs([text, text])
